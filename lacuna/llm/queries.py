@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from lacuna.llm.bin_packing import op9_best_fit_shards
 from lacuna.llm.quality_ledger import OP7_SQL, op7_quality_ledger
+from lacuna.llm.url_rules import OP5_SQL, op5_url_trie
+from lacuna.llm.warc_bundles import OP10_SQL, op10_warc_bundles
 
 QUERIES = {
+    "op5_url_trie": op5_url_trie,
     "op7_quality_ledger": op7_quality_ledger,
+    "op9_best_fit_shards": op9_best_fit_shards,
+    "op10_warc_bundles": op10_warc_bundles,
 }
 
 ORACLE_SQL = {
+    "op5_url_trie": OP5_SQL,
     "op7_quality_ledger": OP7_SQL,
+    "op10_warc_bundles": OP10_SQL,
 }

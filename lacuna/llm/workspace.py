@@ -83,3 +83,18 @@ def read_range(uri: str, start: int, length: int) -> bytes:
     with files.open_input_file(path) as f:
         f.seek(start)
         return f.read(length)
+
+
+def rows_of(batch, *names: str, at_once: int = 256):
+    """The rows of an Arrow batch as tuples, with only a few turned into Python objects at a time."""
+    for k in range(0, batch.num_rows, at_once):
+        part = batch.slice(k, at_once)
+        yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
+
+
+def arrow_schema(ddl: str):
+    """pyarrow's schema of `name type, ...`; for use in tasks, which have no session to ask."""
+    import pyarrow as pa
+
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
