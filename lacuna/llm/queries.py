@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from lacuna.llm.bin_packing import op9_best_fit_shards
+from lacuna.llm.golay_simhash import op8_golay_simhash
 from lacuna.llm.quality_ledger import OP7_SQL, op7_quality_ledger
 from lacuna.llm.url_rules import OP5_SQL, op5_url_trie
 from lacuna.llm.warc_bundles import OP10_SQL, op10_warc_bundles
+from lacuna.shipping import shipped
 
-QUERIES = {
+_ALL = {
     "op5_url_trie": op5_url_trie,
     "op7_quality_ledger": op7_quality_ledger,
+    "op8_golay_simhash": op8_golay_simhash,
     "op9_best_fit_shards": op9_best_fit_shards,
     "op10_warc_bundles": op10_warc_bundles,
 }
+QUERIES = {name: shipped(query) for name, query in _ALL.items()}
 
 ORACLE_SQL = {
     "op5_url_trie": OP5_SQL,
