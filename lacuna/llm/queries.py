@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lacuna.llm.bin_packing import op9_best_fit_shards
+from lacuna.llm.byte_bpe import op6_byte_bpe
 from lacuna.llm.golay_simhash import op8_golay_simhash
 from lacuna.llm.quality_ledger import OP7_SQL, op7_quality_ledger
 from lacuna.llm.url_rules import OP5_SQL, op5_url_trie
@@ -11,6 +12,7 @@ from lacuna.shipping import shipped
 
 _ALL = {
     "op5_url_trie": op5_url_trie,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_ledger": op7_quality_ledger,
     "op8_golay_simhash": op8_golay_simhash,
     "op9_best_fit_shards": op9_best_fit_shards,
