@@ -7,6 +7,7 @@ from lacuna.llm.byte_bpe import op6_byte_bpe
 from lacuna.llm.decontamination import op3_pigeonhole_decontamination
 from lacuna.llm.golay_simhash import op8_golay_simhash
 from lacuna.llm.huffman_tokens import op1_huffman_tokens
+from lacuna.llm.neural_lm import op2_log_bilinear_lm
 from lacuna.llm.quality_ledger import OP7_SQL, op7_quality_ledger
 from lacuna.llm.quality_mil import op4_attention_quality
 from lacuna.llm.url_rules import OP5_SQL, op5_url_trie
@@ -16,6 +17,7 @@ from lacuna.shipping import shipped
 _ALL = {
     "op1_huffman_tokens": op1_huffman_tokens,
     "op5_url_trie": op5_url_trie,
+    "op2_log_bilinear_lm": op2_log_bilinear_lm,
     "op3_pigeonhole_decontamination": op3_pigeonhole_decontamination,
     "op4_attention_quality": op4_attention_quality,
     "op6_byte_bpe": op6_byte_bpe,
