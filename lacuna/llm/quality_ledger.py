@@ -68,8 +68,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(_without(x, SPACE_CHARS)) > 0)
     df = df.withColumn("__lines", lines)
     size = F.length(body)
-    return df.select(
-        *[docs[c] for c in docs.columns],
+    measures = F.struct(
         n.cast("long").alias("n_words"),
         F.length(_without(F.col(body), SPACE_CHARS)).cast("long").alias("word_chars"),
         (size - F.length(_without(F.col(body), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -78,6 +77,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("__lines").cast("long").alias("n_lines"),
         (size - F.length(_without(F.col(body), CAPITALS))).cast("long").alias("n_capitals"),
     )
+    # a generator of one row: filters on the measurements stay above it, so nothing is worked out anew for them
+    return df.select(*[docs[c] for c in docs.columns], F.inline(F.array(measures)))
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
