@@ -23,36 +23,38 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.workspace import rows_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-LIMIT_CACHE = 400_000
-LIMIT_ROWS = 4_000_000
+LIMIT_CACHE = 250_000
+LIMIT_ROWS = 1_500_000
 LONG_WORD = 512
-DECODE_ROWS = 500_000
+DECODE_ROWS = 300_000
+#: Texts that are encoded together.
+PORTION = 1000
 # fixed values: the characters of Unicode's White_Space property, which is what \s means in the pattern
 WHITE = r"\t-\r \x85\xa0  -     　"
 
+# a row's key is word << 10 | position, so one order serves all words
 ENCODE_SQL = """
 with recursive tokens as (
-  select 0 as step, w, pos, id from word_bytes
+  select 0 as step, key, id from word_bytes
   union all
   (with pairs as (
-     select step, w, pos, id, lead(id) over word as next_id, lead(pos) over word as next_pos
-     from tokens window word as (partition by w order by pos)
+     select key, id, lead(id) over words as next_id, lead(key) over words as next_key from tokens window words as (order by key)
    ), best as (
-     select w, min(rank * 4294967296 + pos) as pick, arg_min(next_pos, rank * 4294967296 + pos) as gone
-     from pairs join merges on pairs.id = merges.l and pairs.next_id = merges.r group by w
+     select key >> 10 as w, min(rank * 1024 + (key & 1023)) as pick, arg_min(next_key, rank * 1024 + (key & 1023)) as gone
+     from pairs join merges on pairs.id = merges.l and pairs.next_id = merges.r where key >> 10 = next_key >> 10 group by 1
    )
-   select step + 1, t.w, t.pos, case when t.pos = pick % 4294967296 then cast(pick // 4294967296 as integer) else t.id end
-   from tokens t join best using (w) where t.pos <> gone)
+   select step + 1, key, case when key & 1023 = pick & 1023 then cast(pick >> 10 as integer) else id end
+   from tokens join best on key >> 10 = w where key <> gone)
 )
-select w, id from tokens join (select w, max(step) as step from tokens group by w) using (w, step) order by w, pos
+select key >> 10 as w, id
+from tokens join (select key >> 10 as w, max(step) as last from tokens group by 1) on key >> 10 = w and step = last
+order by key
 """
 DECODE_SQL = "select doc, string_agg(piece, '' order by pos) as text from ids join vocabulary using (id) group by doc"
 
@@ -106,10 +108,11 @@ class Codec:
         import duckdb
         import regex
 
-        self.ranks, self.known = load_ranks(path), {}
+        self.ranks, self.known, self.past = load_ranks(path), {}, {}
+        self.plain_letters = pattern == public_tokenizers.PATTERN
         self.match = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         merges = pa.table({name: pa.array(x, pa.int32() if name != "rank" else pa.int64()) for name, x in zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True)})
         pieces = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])})
@@ -131,28 +134,31 @@ class Codec:
             lens = np.fromiter(map(len, part), np.int32, n)
             first = np.cumsum(lens) - lens
             flat = self.of_byte[np.frombuffer(b"".join(part), np.uint8)]
-            self.db.register("word_bytes", pa.table({"w": np.repeat(np.arange(n, dtype=np.int32), lens), "pos": np.arange(len(flat), dtype=np.int64) - np.repeat(first, lens), "id": flat}))
+            self.db.register("word_bytes", pa.table({"key": np.repeat((np.arange(n, dtype=np.int64) << 10) - first, lens) + np.arange(len(flat), dtype=np.int64), "id": flat}))
             got = self.db.execute(ENCODE_SQL).fetchnumpy()
             self.db.unregister("word_bytes")
             ids, at = np.asarray(got["id"], "<i4").tobytes(), 4 * np.searchsorted(got["w"], np.arange(n + 1))
             out |= {w: ids[a:b] for w, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True)}
         return out
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        matched = {c: [m.encode() for m in self.match(c)] for c in chunks}
+    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        """ids of chunks; one that is letters alone, perhaps after a space, is one match of the pattern."""
+        matched = {c: [c.encode()] if self.plain_letters and (c[1:] if c[:1] == " " else c).isalpha() else [m.encode() for m in self.match(c)] for c in chunks}
         distinct = {m for ms in matched.values() for m in ms}
         ids = {m: self.ranks[m].to_bytes(4, "little") for m in distinct if m in self.ranks}
         ids |= self._contract([m for m in distinct if m not in ids])
-        self.known |= {c: b"".join([ids[m] for m in ms]) for c, ms in matched.items()}
+        return {c: ids[ms[0]] if len(ms) == 1 else b"".join([ids[m] for m in ms]) for c, ms in matched.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """int32 ids of each text, little-endian."""
+        """int32 ids of each text, little-endian.  Chunks in use are remembered, those of long ago are forgotten."""
         cut = [chunks(t) for t in texts]
-        fresh = {c for cs in cut for c in cs}
-        missing = fresh - self.known.keys()
-        if len(self.known) + len(missing) > LIMIT_CACHE:
-            self.known, missing = {}, fresh
-        self.learn(missing)
+        used = set().union(*cut)
+        new = used - self.known.keys()
+        if len(self.known) + len(new) > LIMIT_CACHE:
+            self.known, self.past, new = {}, self.known, used
+        again = {c: self.past[c] for c in new & self.past.keys()}
+        self.known |= again
+        self.known |= self.learn(new - again.keys())
         get = self.known.__getitem__
         return [b"".join(map(get, cs)) for cs in cut]
 
@@ -192,8 +198,8 @@ def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: st
     def run(batches):
         tools = codec(path, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for k in range(0, batch.num_rows, PORTION):
+                part = batch.slice(k, PORTION)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(tools.encode([t or "" for t in part.column(1).to_pylist()]))], ["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
@@ -230,20 +236,23 @@ def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenize
     return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, ids array<int>, bytes binary")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    kind = decoded.schema["id"].dataType.simpleString()
+def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """`(id, n_tokens, ids_sha256, decoded_sha256)`: encoding and decoding of every row, by one worker with one set of tables."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        tools, names = codec(path, pattern), {}
         for batch in batches:
-            names = {}
-            sums = []
-            for ids in _ids_of(batch.column(1)):
-                sums.append(hashlib.sha256(" ".join([names.get(i) or names.setdefault(i, str(i)) for i in ids.tolist()]).encode()).hexdigest())
-            texts = [hashlib.sha256(x).hexdigest() for (x,) in rows_of(batch, "bytes")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.list_value_length(batch.column(1)).cast(pa.int64()), pa.array(sums), pa.array(texts)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for k in range(0, batch.num_rows, PORTION):
+                part = batch.slice(k, PORTION)
+                ids = [np.frombuffer(x, "<i4") for x in tools.encode([t or "" for t in part.column(1).to_pylist()])]
+                texts = [hashlib.sha256(x).hexdigest() for a, b in _in_portions(ids, DECODE_ROWS) for x in tools.decode(ids[a:b])]
+                sums = [hashlib.sha256(" ".join([names.get(i) or names.setdefault(i, str(i)) for i in x.tolist()]).encode()).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    return narrow.mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
