@@ -23,6 +23,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ LIMIT_ROWS = 1_500_000
 LONG_WORD = 512
 DECODE_ROWS = 300_000
 #: Texts that are encoded together.
-PORTION = 1000
+PORTION = 2000
 # fixed values: the characters of Unicode's White_Space property, which is what \s means in the pattern
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -59,6 +60,9 @@ order by key
 DECODE_SQL = "select doc, string_agg(piece, '' order by pos) as text from ids join vocabulary using (id) group by doc"
 
 
+#: White space of any kind beside a space (or the mark that the cutting uses): such texts are cut one by one.
+_ANY = "[\\t-\\r \\x1c-\\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+ODD_SPACE = f"{_ANY} | {_ANY}|\\x00"
 _near_space = re.compile(r"\s | \s").search
 _cuts = re.compile(r"(?<=\S) (?=\S)").split
 
@@ -69,6 +73,42 @@ def chunks(text: str) -> list[str]:
     return [parts[0], *[" " + p for p in parts[1:]]]
 
 
+def matcher(pattern: str):
+    """findall of the pattern, with \\s as Unicode's White_Space."""
+    import regex
+
+    return regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
+
+
+def remembered(texts: pa.Array, known: dict[str, bytes], learn) -> list[bytes]:
+    """The ids (4 bytes each) of each text's chunks, joined.  learn(new chunks) adds to known those that aren't there.
+
+    Arrow cuts the texts and numbers the distinct chunks, so Python sees each of these once per call.
+    """
+    out: list[bytes | None] = [None] * len(texts)
+    odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+    rest = np.flatnonzero(odd).tolist()
+    cut = {i: chunks(texts[i].as_py()) for i in rest}
+    plain = texts.filter(pa.array(~odd))
+    lists = pc.split_pattern(pc.replace_substring(plain, " ", "\0 "), "\0")
+    numbered = lists.flatten().dictionary_encode()
+    names, index = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+    learn({c for c in names if c not in known}.union(*({c for c in cs if c not in known} for cs in cut.values())))
+    found = list(map(known.__getitem__, names))
+    size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+    first = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(found), "<i4")
+    each = size[index]
+    ends = np.cumsum(each)
+    ids = flat[np.repeat(first[index] - (ends - each), each) + np.arange(int(each.sum()))]
+    bounds = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+    for i, a, b in zip(np.flatnonzero(~odd).tolist(), bounds[:-1], bounds[1:], strict=True):
+        out[i] = ids[a:b].tobytes()
+    for i, cs in cut.items():
+        out[i] = b"".join([known[c] for c in cs])
+    return out
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -106,11 +146,10 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         import duckdb
-        import regex
 
         self.ranks, self.known, self.past = load_ranks(path), {}, {}
         self.plain_letters = pattern == public_tokenizers.PATTERN
-        self.match = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
+        self.match = matcher(pattern)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
@@ -141,6 +180,11 @@ class Codec:
             out |= {w: ids[a:b] for w, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True)}
         return out
 
+    def _recall(self, new: set[str]) -> None:
+        again = {c: self.past[c] for c in new & self.past.keys()}
+        self.known |= again
+        self.known |= self.learn(new - again.keys())
+
     def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
         """ids of chunks; one that is letters alone, perhaps after a space, is one match of the pattern."""
         matched = {c: [c.encode()] if self.plain_letters and (c[1:] if c[:1] == " " else c).isalpha() else [m.encode() for m in self.match(c)] for c in chunks}
@@ -149,18 +193,11 @@ class Codec:
         ids |= self._contract([m for m in distinct if m not in ids])
         return {c: ids[ms[0]] if len(ms) == 1 else b"".join([ids[m] for m in ms]) for c, ms in matched.items()}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """int32 ids of each text, little-endian.  Chunks in use are remembered, those of long ago are forgotten."""
-        cut = [chunks(t) for t in texts]
-        used = set().union(*cut)
-        new = used - self.known.keys()
-        if len(self.known) + len(new) > LIMIT_CACHE:
-            self.known, self.past, new = {}, self.known, used
-        again = {c: self.past[c] for c in new & self.past.keys()}
-        self.known |= again
-        self.known |= self.learn(new - again.keys())
-        get = self.known.__getitem__
-        return [b"".join(map(get, cs)) for cs in cut]
+        if len(self.known) > LIMIT_CACHE:
+            self.known, self.past = {}, self.known
+        return remembered(texts, self.known, self._recall)
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -200,7 +237,7 @@ def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: st
         for batch in batches:
             for k in range(0, batch.num_rows, PORTION):
                 part = batch.slice(k, PORTION)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(tools.encode([t or "" for t in part.column(1).to_pylist()]))], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(tools.encode(part.column(1).fill_null("")))], ["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
 
@@ -245,7 +282,7 @@ def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
         for batch in batches:
             for k in range(0, batch.num_rows, PORTION):
                 part = batch.slice(k, PORTION)
-                ids = [np.frombuffer(x, "<i4") for x in tools.encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [np.frombuffer(x, "<i4") for x in tools.encode(part.column(1).fill_null(""))]
                 texts = [hashlib.sha256(x).hexdigest() for a, b in _in_portions(ids, DECODE_ROWS) for x in tools.decode(ids[a:b])]
                 sums = [hashlib.sha256(" ".join([names.get(i) or names.setdefault(i, str(i)) for i in x.tolist()]).encode()).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.byte_bpe import chunks
+from lacuna.llm.byte_bpe import matcher, remembered
 from lacuna.llm.workspace import Replacing, arrow_schema, filesystem, new_folder, rows_of, to_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,7 +36,8 @@ BLOCK = 1024
 LOCKSTEP = 4096
 #: Bytes of text that make one file.
 FILE_BYTES = 24 << 20
-LIMIT_CACHE = 400_000
+#: Chunks, and matches of the pattern, that a worker remembers; as many again are kept until they are not used for a while.
+LIMIT_CACHE = 250_000
 MAGIC = b"LHUF0001"
 
 SPOOL = "part int, spool string, n_docs bigint, n_tokens bigint, ids array<int>, counts array<bigint>"
@@ -151,7 +153,8 @@ class _Encoder:
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tool.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.match = matcher(public_tokenizers.PATTERN)
+        self.known, self.past, self.matches, self.past_matches = {}, {}, {}, {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -159,20 +162,38 @@ class _Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _match_ids(self, match: str) -> bytes:
+        """ids of one match of the pattern, from the tokenizer's own merges."""
+        ids = self.matches.get(match)
+        if ids is None:
+            ids = self.past_matches.get(match)
+            if ids is None:
+                ids = array("I", [t.id for t in self.tool.model.tokenize(match.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+            self.matches[match] = ids
+        return ids
+
+    def _learn(self, new: set[str]) -> None:
+        for c in new:
+            ids = self.past.get(c)
+            if ids is None:
+                whole = (c[1:] if c[:1] == " " else c).isalpha()
+                ids = self._match_ids(c) if whole else b"".join([self._match_ids(m) for m in self.match(c)])
+            self.known[c] = ids
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.apart:
-            return self._plain(texts)
-        cut = [chunks(t) for t in texts]
-        fresh = {c for cs in cut for c in cs}
-        missing = fresh - self.known.keys()
-        if len(self.known) + len(missing) > LIMIT_CACHE:
-            self.known, missing = {}, fresh
-        todo = list(missing)
-        for k in range(0, len(todo), 20_000):
-            part = todo[k : k + 20_000]
-            self.known |= zip(part, self._plain(part), strict=True)
-        return [b"".join(map(self.known.__getitem__, cs)) for cs in cut]
+            return self._plain(texts.to_pylist())
+        if len(self.known) > LIMIT_CACHE:
+            self.known, self.past = {}, self.known
+        if len(self.matches) > LIMIT_CACHE:
+            self.matches, self.past_matches = {}, self.matches
+        return remembered(texts, self.known, self._learn)
+
+
+# fixed values: the letters that byte-level vocabularies write for bytes, printable ones for themselves and the others in order from 256 on
+_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(b) for b in _printable} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _printable)}
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -221,9 +242,9 @@ def _spool(docs: DataFrame, folder: str, tokenizer: str, end_id: int, files: int
         counts, doc_ids, lengths, body, end = np.zeros(max(tool.size, end_id + 1), np.int64), [], [], [], np.array([end_id], "<u4").tobytes()
         squeeze = zstandard.ZstdCompressor(level=1).compressobj()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
-                found = [x + end for x in tool([t or "" for t in some.column(1).to_pylist()])]
+            for k in range(0, batch.num_rows, 4000):
+                some = batch.slice(k, 4000)
+                found = [x + end for x in tool(some.column(1).fill_null(""))]
                 flat = np.frombuffer(b"".join(found), "<u4")
                 counts += np.bincount(flat, minlength=len(counts))
                 doc_ids += some.column(0).to_pylist()
@@ -240,15 +261,27 @@ def _spool(docs: DataFrame, folder: str, tokenizer: str, end_id: int, files: int
     return to_table(ranged.mapInArrow(run, SPOOL), f"{folder}/spooled")
 
 
+def _summed(batches):
+    """The counts of a task's partitions, added up before they are shuffled."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for ids, counts in rows_of(batch, "ids", "counts"):
+            ids = np.array(ids)
+            if ids[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64)])
+            total[ids] += counts
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> tuple[DataFrame, np.ndarray]:
     """Writes the files of docs (doc_id, text) and `lengths` below folder; returns their table and the code lengths."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spooled = _spool(docs, folder, tokenizer, end_id, max(1, -(-size // FILE_BYTES)))
-    pairs = spooled.select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n"))
-    total = pairs.collect()  # one row per entry of the vocabulary at most
-    counts = np.zeros(max((r["ids"] for r in total), default=0) + 1, np.int64)
+    total = spooled.select("ids", "counts").mapInArrow(_summed, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per entry of the vocabulary at most
+    counts = np.zeros(max((r["id"] for r in total), default=0) + 1, np.int64)
     for r in total:
-        counts[r["ids"]] = r["n"]
+        counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     book = Replacing(f"{folder}/lengths")
     book.write(lengths.tobytes())
