@@ -36,10 +36,11 @@ VOCABULARY = 1024
 CLASSES = 256
 CONTEXT = 2
 DIM = 24
-NOISE = 256
+NOISE = 64
 BATCH = 4096
 RATE = 0.15
-ROUNDS = 2
+#: Passes over all training tokens, each followed by averaging.
+ROUNDS = 1
 BLOCK_TOKENS = 3_000_000
 FOLDS, HELD_OUT = 7, 2
 SEED = 11
@@ -47,6 +48,20 @@ SEED = 11
 END = "\n"
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Byte planes, compressed: the high bytes of small numbers take hardly any room."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes())
+
+
+def expanded(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
@@ -184,7 +199,7 @@ def dictionaries(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
                 own[: len(counts)] += counts
                 counts = own
                 total += sum(map(len, rows))
-                yield _batch(schema, len(rows), block=[block] * len(rows), doc_id=part.column(0), held=part.column(1), tokens=[r.tobytes() for r in rows])
+                yield _batch(schema, len(rows), block=[block] * len(rows), doc_id=part.column(0), held=part.column(1), tokens=[squeezed(r) for r in rows])
                 if total >= BLOCK_TOKENS:
                     yield from words()
                     block, places, counts, total = block + 1, defaultdict(count().__next__), np.zeros(0, np.int64), 0
@@ -225,8 +240,8 @@ def _resolve(blocks: DataFrame, counts: DataFrame, vocabulary: DataFrame, total:
                 base, seen, symbols, inner = table
                 for k in range(a, b, 500):
                     part = batch.slice(k, min(500, b - k))
-                    tokens = [np.frombuffer(t, np.int32) for t in part.column("tokens").to_pylist()]
-                    yield _batch(schema, len(tokens), doc_id=part.column("doc_id"), held_out=part.column("held"), n_tokens=[len(t) for t in tokens], n_known=[int(seen[t].sum()) for t in tokens], base_score=[float(base[t].sum()) for t in tokens], inner=[float(inner[t].sum()) for t in tokens], symbols=[symbols[t].tobytes() for t in tokens])
+                    tokens = [expanded(t, np.int32) for t in part.column("tokens").to_pylist()]
+                    yield _batch(schema, len(tokens), doc_id=part.column("doc_id"), held_out=part.column("held"), n_tokens=[len(t) for t in tokens], n_known=[int(seen[t].sum()) for t in tokens], base_score=[float(base[t].sum()) for t in tokens], inner=[float(inner[t].sum()) for t in tokens], symbols=[squeezed(symbols[t]) for t in tokens])
 
     return stream.mapInArrow(run, _RESOLVED.format(id=kind))
 
@@ -241,7 +256,7 @@ def _train(resolved: DataFrame, counts: np.ndarray) -> np.ndarray:
             model, rng, seen = LogBilinear(counts, start), np.random.default_rng([SEED, turn, TaskContext.get().partitionId()]), 0
             for batch in batches:
                 for k in range(0, batch.num_rows, 2000):
-                    texts = [np.frombuffer(t, np.uint16) for t in batch.column(0).slice(k, 2000).to_pylist()]
+                    texts = [expanded(t, np.uint16) for t in batch.column(0).slice(k, 2000).to_pylist()]
                     model.train(np.concatenate([contexts_of(t) for t in texts]).astype(np.int64), np.concatenate(texts).astype(np.int64), rng)
                     seen += sum(map(len, texts))
             if seen:
@@ -280,7 +295,7 @@ def score(docs: DataFrame, folder: str, text: str = "text", id_col: str = "doc_i
         for batch in batches:
             out = [np.empty(0)]
             for k in range(0, batch.num_rows, 500):
-                texts = [np.frombuffer(t, np.uint16) for t in batch.column("symbols").slice(k, 500).to_pylist()]
+                texts = [expanded(t, np.uint16) for t in batch.column("symbols").slice(k, 500).to_pylist()]
                 each = model.log_probabilities(np.concatenate([contexts_of(t) for t in texts]).astype(np.int64), np.concatenate(texts).astype(np.int64))
                 lens = np.array([len(t) for t in texts])
                 out.append(np.add.reduceat(each, np.cumsum(lens) - lens) / np.log(10))
