@@ -1,6 +1,562 @@
-"""All queries over the driver's tables, with their SQL twins."""
+"""All queries over the driver's tables, with their SQL twins.
+
+A query loads derived fixtures, applies one operator and returns plain columns.  The SQL says the same another way:
+per base instead of by sweep line, by direct range predicates instead of bins.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lacuna.operators import coverage, gaps, intervals, overlaps, phasing, reads, sequence, state, validation
+from lacuna.plans.fixtures import duck, load
+from lacuna.shipping import shipped
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None, fixtures: str = ""):
+    """Registers a query; `fixtures` names the tables that its SQL starts from."""
+
+    def add(f):
+        QUERIES[name] = shipped(f)
+        if sql is not None:
+            ORACLE_SQL[name] = (duck(*fixtures.split()) + " " if fixtures else "") + sql
+        return f
+
+    return add
+
+
+def _aln_gaps(spark, d):
+    return load(spark, d, "aln"), load(spark, d, "gaps")
+
+
+MIN_RUN = 3
+_RUNS = """, n as (
+  select chrom, ord, seq, unnest(range(1, length(seq) + 1)) as i from contigs
+), p as (
+  select chrom, ord, i, i - row_number() over (partition by chrom order by i) as g from n where substr(seq, i, 1) = 'N'
+), runs as (
+  select chrom, ord, cast(min(i) - 1 as bigint) as gap_start, cast(max(i) as bigint) as gap_end, cast(count(*) as bigint) as size from p group by chrom, ord, g
+)
+"""
+
+
+# --- gaps and edits ------------------------------------------------------------------------------------------
+
+
+@query("gap_scan", _RUNS + "select chrom, ord, gap_start, gap_end, size, concat(chrom, '_', gap_start, '_', gap_end) as name from runs where size >= 3", "contigs")
+def _(spark, d):
+    return gaps.scan_gaps(load(spark, d, "contigs"), MIN_RUN)
+
+
+@query("gap_scan_named", _RUNS + "select chrom, ord, gap_start, gap_end, size, concat(chrom, '_gap', row_number() over (order by ord, gap_start)) as name from runs where size between 3 and 6", "contigs")
+def _(spark, d):
+    return gaps.number_gaps(gaps.scan_gaps(load(spark, d, "contigs"), MIN_RUN, 6))
+
+
+@query("gap_stats", _RUNS + """, s as (select size, row_number() over (order by size) as k, count(*) over () as n from runs where size >= 3)
+select cast(count(*) as bigint) as count, cast(sum(size) as bigint) as total_bp, min(size) as min_size, max(size) as max_size,
+       cast(sum(size) // count(*) as bigint) as mean_size, max(case when k = n // 2 + 1 then size end) as median_size from s""", "contigs")
+def _(spark, d):
+    return gaps.gap_stats(gaps.scan_gaps(load(spark, d, "contigs"), MIN_RUN))
+
+
+@query("gap_normalize_lengths", "select chrom, ord, regexp_replace(seq, 'N{5,}', repeat('N', 500), 'g') as seq from contigs", "contigs")
+def _(spark, d):
+    return gaps.normalize_lengths(load(spark, d, "contigs"), 5)
+
+
+_HAP_GAPS = """
+select 'hap1' as hap, chrom, gap_start, gap_end from gaps
+union all select 'hap2', chrom, gap_start + gap_start % 3500, gap_end + gap_start % 3500 from gaps
+union all select 'hap3', chrom, gap_start + gap_start % 1700, gap_end + gap_start % 1700 from gaps"""
+
+
+def _hap_gaps(spark, d):
+    return spark.sql(_HAP_GAPS.replace("from gaps", "from {g}"), g=load(spark, d, "gaps"))
+
+
+@query("gap_shared_specific", f""", h as ({_HAP_GAPS})
+select *, exists (select 1 from h o where o.chrom = h.chrom and o.hap <> h.hap and abs(o.gap_start - h.gap_start) <= 1000) as is_shared from h""", "gaps")
+def _(spark, d):
+    return gaps.shared_or_specific(_hap_gaps(spark, d))
+
+
+_PRIORITY_ROWS = """
+select o_orderkey as gap_id, cast(case when o_orderkey % 11 <> 0 then o_custkey * 37 % 15000 end as bigint) as size,
+       o_custkey % 8 as hifi_spanning, o_orderkey % 5 as ont_spanning, o_orderkey % 7 as hifi_left, o_custkey % 6 as hifi_right from orders"""
+_PRIORITY = f"""with g as ({_PRIORITY_ROWS}), p as (select gap_id, cast(
+  case when coalesce(size, 500) < 1000 then 50 when coalesce(size, 500) < 5000 then 30 when coalesce(size, 500) < 10000 then 10 else 0 end
+  + case when hifi_spanning >= 5 then 100 when hifi_spanning >= 3 then 50 else 0 end + case when ont_spanning >= 3 then 30 else 0 end
+  + case when hifi_left >= 3 and hifi_right >= 3 then 20 else 0 end as int) as priority from g) """
+
+
+def _priorities(spark, d):
+    rows = spark.sql(_PRIORITY_ROWS.replace("from orders", "from {o}"), o=spark.read.parquet(f"{d}/orders.parquet"))
+    return gaps.priority(rows).select("gap_id", "priority")
+
+
+@query("gap_priority", _PRIORITY + "select * from p")
+def _(spark, d):
+    return _priorities(spark, d)
+
+
+@query("gap_batches", _PRIORITY + "select gap_id, priority, cast((row_number() over (order by priority desc, gap_id) - 1) // 50 as bigint) as batch from p")
+def _(spark, d):
+    return gaps.batches(_priorities(spark, d)).select("gap_id", "priority", "batch")
+
+
+@query("gap_attemptable", """, l as (select gap_id, arg_max(status, (ts, seq_no)) as status from status_log group by gap_id)
+select c_custkey as gap_id from customer where c_custkey not in (select gap_id from l where status in ('unfillable', 'filled_complete', 'filled_partial'))""", "status_log")
+def _(spark, d):
+    known = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("gap_id"))
+    return gaps.attemptable(known, state.latest(load(spark, d, "status_log")))
+
+
+@query("truncate_partial", """, f as (select chrom, regexp_replace(seq, 'N{4,}', repeat('N', 500), 'g') as seq, ord % 2 = 0 as left_valid, ord % 3 = 0 as right_valid from contigs)
+select chrom, left_valid, right_valid, case when regexp_matches(seq, 'N{10,}')
+  then concat(case when left_valid then regexp_extract(seq, '(?s)^(.*?)(N{10,})(.*)$', 1) else '' end, regexp_extract(seq, '(?s)^(.*?)(N{10,})(.*)$', 2),
+              case when right_valid then regexp_extract(seq, '(?s)^(.*?)(N{10,})(.*)$', 3) else '' end) else seq end as seq from f""", "contigs")
+def _(spark, d):
+    fills = gaps.normalize_lengths(load(spark, d, "contigs"), 4).select("chrom", "seq", F.expr("ord % 2 = 0").alias("left_valid"), F.expr("ord % 3 = 0").alias("right_valid"))
+    return gaps.truncate_partial(fills).select("chrom", "left_valid", "right_valid", "seq")
+
+
+def _fills(spark, d):
+    found = gaps.scan_gaps(load(spark, d, "contigs"), 4).filter("gap_start % 3 <> 0")
+    return found.select("chrom", "gap_start", "gap_end", F.expr("repeat('G', cast(gap_start % 9 as int))").alias("fill"))
+
+
+_FILLS = _RUNS + ", fills as (select chrom, gap_start, gap_end, repeat('G', cast(gap_start % 9 as int)) as fill from runs where size >= 4 and gap_start % 3 <> 0)"
+
+
+@query("splice_fills", _FILLS + """, inside as (select chrom, unnest(range(gap_start + 1, gap_end + 1)) as i from fills), parts as (
+  select chrom, i, substr(seq, i, 1) as s from n where not exists (select 1 from inside x where x.chrom = n.chrom and x.i = n.i)
+  union all select chrom, gap_start + 1, fill from fills
+) select c.chrom, coalesce(string_agg(s, '' order by i), '') as seq from contigs c left join parts using (chrom) group by c.chrom""", "contigs")
+def _(spark, d):
+    return gaps.splice_fills(load(spark, d, "contigs").select("chrom", "seq"), _fills(spark, d))
+
+
+@query("lift_over", _FILLS + """, g as (select concat(chrom, '_', gap_start, '_', gap_end) as gap_id, chrom, gap_start, gap_end from runs where size >= 4)
+select gap_id, g.chrom, g.gap_start, g.gap_end, cast(coalesce(sum(length(fill) - (f.gap_end - f.gap_start)), 0) as bigint) as shift
+from g left join fills f on f.chrom = g.chrom and f.gap_start < g.gap_start group by all""", "contigs")
+def _(spark, d):
+    found = gaps.scan_gaps(load(spark, d, "contigs"), 4).select(F.col("name").alias("gap_id"), "chrom", "gap_start", "gap_end")
+    return gaps.lifted(found, _fills(spark, d))
+
+
+@query("merge_prefix", f", h as ({_HAP_GAPS}) select hap, concat(hap, '__', chrom) as chrom, gap_start, gap_end from h", "gaps")
+def _(spark, d):
+    return gaps.prefix_contigs(_hap_gaps(spark, d))
+
+
+@query("split_prefix", f", h as ({_HAP_GAPS}) select hap, chrom, gap_start, gap_end from h", "gaps")
+def _(spark, d):
+    return gaps.split_prefix(gaps.prefix_contigs(_hap_gaps(spark, d)).drop("hap")).select("hap", "chrom", "gap_start", "gap_end")
+
+
+# --- reads ---------------------------------------------------------------------------------------------------
+
+_NEAR = "aln a join gaps g on a.chrom = g.chrom"
+_DIRECT = f"""direct as (select gap_id, read_name, read_type, read_len, aln_no, ref_start, ref_end from {_NEAR}
+  where not is_secondary and mapq >= 20 and read_len >= 500 and ref_start < gap_end + 100 and ref_end > gap_start - 100 and ref_start <= gap_start and ref_end >= gap_end)"""
+_LINKED = f"""l as (select * from (select gap_id, read_name, read_type, gap_start, gap_end, ref_end as left_end, read_len as left_len, row_number() over (partition by gap_id, read_name order by aln_no desc) as k
+    from {_NEAR} where mapq >= 20 and ref_start < gap_start + 1000 and ref_end > greatest(gap_start - 1000, 0) and abs(ref_end - gap_start) <= 1000) where k = 1),
+  r as (select * from (select gap_id, read_name, ref_start as right_start, read_len as right_len, row_number() over (partition by gap_id, read_name order by aln_no desc) as k
+    from {_NEAR} where mapq >= 20 and ref_start < gap_end + 1000 and ref_end > greatest(gap_end - 1000, 0) and abs(ref_start - gap_end) <= 1000) where k = 1),
+  linked as (select gap_id, read_name, read_type, left_end, right_start, case when left_len > 0 then left_len else right_len end as read_len
+    from l join r using (gap_id, read_name) where left_end <= gap_start + 1000 and right_start >= gap_end - 1000 and case when left_len > 0 then left_len else right_len end >= 500)"""
+_ALL = """spanning as (select gap_id, read_name, read_type, read_len, method from (select *, row_number() over (partition by gap_id, read_name order by method, place) as k from (
+    select gap_id, read_name, read_type, read_len, 'direct' as method, aln_no as place from direct union all select gap_id, read_name, read_type, read_len, 'linked', 0 from linked)) where k = 1)"""
+
+
+def _flank_sql(side: str) -> str:
+    at, clip, reach = ("gap_start", "rclip", "abs(ref_end - gap_start) <= 500") if side == "left" else ("gap_end", "lclip", "abs(ref_start - gap_end) <= 500")
+    inside = "ref_end < gap_end" if side == "left" else "ref_start > gap_start"
+    return f"""{side}s as (select gap_id, read_name, read_type, aln_no from (select *, row_number() over (partition by gap_id, read_name order by aln_no) as k from {_NEAR}
+      where not is_secondary and ref_start < {at} + 500 and ref_end > greatest({at} - 500, 0))
+      where k = 1 and mapq >= 20 and read_len >= 500 and (({reach} and {clip} > 0) or (ref_start < {at} and {at} < ref_end and {inside}) or (is_supplementary and {reach})))"""
+
+
+@query("spanning_direct", f", {_DIRECT} select * from direct", "gaps aln")
+def _(spark, d):
+    return reads.spanning_direct(*_aln_gaps(spark, d)).select("gap_id", "read_name", "read_type", "read_len", "aln_no", "ref_start", "ref_end")
+
+
+@query("spanning_supplementary", f", {_LINKED} select * from linked", "gaps aln")
+def _(spark, d):
+    return reads.spanning_linked(*_aln_gaps(spark, d)).select("gap_id", "read_name", "read_type", "left_end", "right_start", "read_len")
+
+
+@query("spanning_all", f", {_DIRECT}, {_LINKED}, {_ALL} select * from spanning", "gaps aln")
+def _(spark, d):
+    return reads.spanning_all(*_aln_gaps(spark, d))
+
+
+@query("flank_left", f", {_flank_sql('left')} select * from lefts", "gaps aln")
+def _(spark, d):
+    return reads.flank_left(*_aln_gaps(spark, d)).select("gap_id", "read_name", "read_type", "aln_no")
+
+
+@query("flank_right", f", {_flank_sql('right')} select * from rights", "gaps aln")
+def _(spark, d):
+    return reads.flank_right(*_aln_gaps(spark, d)).select("gap_id", "read_name", "read_type", "aln_no")
+
+
+@query("gap_read_classes", f""", c as (select *, row_number() over (partition by gap_id, read_name order by aln_no) as k from {_NEAR}
+  where not is_secondary and mapq >= 20 and read_len >= 500 and ref_start < gap_end + 500 and ref_end > greatest(gap_start - 500, 0)), v as (
+  select gap_id, read_name, read_type, case when ref_start <= gap_start and ref_end >= gap_end then 'spanning'
+    when abs(ref_end - gap_start) <= 500 then case when rclip > 0 then 'left' end when abs(ref_start - gap_end) <= 500 and lclip > 0 then 'right' end as read_class from c where k = 1)
+select * from v where read_class is not null""", "gaps aln")
+def _(spark, d):
+    return reads.classify_once(*_aln_gaps(spark, d))
+
+
+@query("anchored_reads", "select read_name, aln_no, mapq >= 20 and lclip < 100 and rclip < 100 as is_anchored from aln", "aln")
+def _(spark, d):
+    return reads.anchored(load(spark, d, "aln")).select("read_name", "aln_no", "is_anchored")
+
+
+_USEFUL = """f as (select * from (select *, row_number() over (partition by read_name order by aln_no) as k from aln) where k = 1), useful as (
+  select read_name, aln_no, read_len, exists (select 1 from gaps g where g.chrom = f.chrom) and (not (mapq >= 20 and lclip < 100 and rclip < 100)
+    or exists (select 1 from gaps g where g.chrom = f.chrom and greatest(gap_start - ref_end, ref_start - gap_end, 0) <= 1000)) as is_useful from f)"""
+
+
+@query("useful_reads", f", {_USEFUL} select * from useful", "gaps aln")
+def _(spark, d):
+    return reads.useful_reads(*_aln_gaps(spark, d)).select("read_name", "aln_no", "read_len", "is_useful")
+
+
+@query("kept_read_names_poly", """select distinct read_name from aln a where not is_secondary and (not (mapq >= 20 and lclip < 100 and rclip < 100)
+  or exists (select 1 from gaps g where g.chrom = a.chrom and greatest(gap_start - ref_end, ref_start - gap_end, 0) <= 1000))""", "gaps aln")
+def _(spark, d):
+    return reads.kept_names(*_aln_gaps(spark, d))
+
+
+@query("filter_stats", f""", {_USEFUL} select cast((select count(*) from aln) as bigint) as total_reads, cast(count(*) filter (is_useful) as bigint) as kept_reads,
+  cast(count(*) filter (is_useful and read_len >= 500) as bigint) as stored_reads, count(*) filter (is_useful) / greatest((select count(*) from aln), 1) as kept_ratio from useful""", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    return reads.filter_stats(aln, reads.useful_reads(aln, found))
+
+
+_BUNDLE = f"""{_DIRECT}, {_LINKED}, {_ALL}, {_flank_sql('left')}, {_flank_sql('right')}, bundle as (
+  select gap_id, read_type, 'spanning' as kind from spanning union all select gap_id, read_type, 'left' from lefts union all select gap_id, read_type, 'right' from rights
+), counts as (select g.gap_id, """ + ", ".join(f"cast(count(*) filter (read_type = '{t}' and kind = '{k}') as bigint) as {t}_{k}" for t in ("hifi", "ont") for k in ("spanning", "left", "right")) + " from gaps g left join bundle using (gap_id) group by g.gap_id)"
+
+
+@query("reads_bundle_counts", f", {_BUNDLE} select * from counts", "gaps aln")
+def _(spark, d):
+    return reads.bundle_counts(*_aln_gaps(spark, d))
+
+
+@query("tier_choice", f""", {_BUNDLE}, t as (select gap_id, list_filter([case when hifi_spanning >= 3 then '0' end, case when ont_spanning >= 5 then '0b' end,
+  case when hifi_spanning >= 3 then '1' end, case when ont_spanning >= 3 then '2' end, case when hifi_spanning + ont_spanning >= 3 then '3' end, case when hifi_left + hifi_right > 0 then '4' end,
+  case when ont_left + ont_right > 0 then '5' end, case when hifi_left + hifi_right + ont_left + ont_right > 0 then '6' end], lambda x: x is not null) as l from counts)
+select gap_id, l[1] as first_tier, coalesce(array_to_string(l, ','), '') as tiers from t""", "gaps aln")
+def _(spark, d):
+    return overlaps.tier_choice(reads.bundle_counts(*_aln_gaps(spark, d)))
+
+
+@query("genome_size_estimate", f""", {_DIRECT}, s as (select gap_id, count(*) as n, sum(read_len) as t from direct group by gap_id)
+select gap_id, cast(n as bigint) as n_reads, cast(t as bigint) as total_bp, cast(greatest(case when n >= 5 then floor(cast(0.8 as double) * t / n) else t // 10 end, 5000) as bigint) as genome_size from s""", "gaps aln")
+def _(spark, d):
+    return sequence.genome_size(reads.spanning_direct(*_aln_gaps(spark, d)))
+
+
+# --- coverage and validation ---------------------------------------------------------------------------------
+
+_PRIMARY = "prim as (select * from aln where not is_secondary and not is_supplementary)"
+
+
+def _region_sql(regions: str) -> str:
+    """region_stats of `regions`, base by base."""
+    return f"""{_PRIMARY}, regs as ({regions}), m as (select * from prim a join regs r on a.chrom = r.chrom and ref_start < r_end + 500 and ref_end > greatest(r_start - 500, 0)),
+  c as (select region_id, count(*) filter (ref_start <= r_start and ref_end >= r_end) as spanning_reads, count(*) filter (ref_start < r_start and r_start < ref_end) as left_boundary_reads,
+    count(*) filter (ref_start < r_end and r_end < ref_end) as right_boundary_reads,
+    count(*) filter (ref_end between r_start - 100 and r_start + 100 and rclip > 0) / nullif(count(*) filter (ref_end between r_start - 100 and r_start + 100), 0) as left_clip_ratio,
+    count(*) filter (ref_start between r_end - 100 and r_end + 100 and lclip > 0) / nullif(count(*) filter (ref_start between r_end - 100 and r_end + 100), 0) as right_clip_ratio from m group by region_id),
+  b as (select region_id, chrom, unnest(range(r_start, r_end)) as p from regs),
+  dep as (select b.region_id, b.p, count(a.chrom) as n from b left join prim a on a.chrom = b.chrom and a.ref_start <= b.p and a.ref_end > b.p group by b.region_id, b.p),
+  dd as (select region_id, avg(n) as avg_coverage, min(n) as min_coverage, count(*) filter (n = 0) / count(*) as zero_coverage_ratio from dep group by region_id),
+  rs as (select regs.region_id, cast(coalesce(spanning_reads, 0) as bigint) as spanning_reads, cast(coalesce(left_boundary_reads, 0) as bigint) as left_boundary_reads,
+    cast(coalesce(right_boundary_reads, 0) as bigint) as right_boundary_reads, coalesce(left_clip_ratio, 0.0) as left_clip_ratio, coalesce(right_clip_ratio, 0.0) as right_clip_ratio,
+    coalesce(avg_coverage, 0.0) as avg_coverage, cast(coalesce(min_coverage, 0) as bigint) as min_coverage, coalesce(zero_coverage_ratio, 1.0) as zero_coverage_ratio, r_end - r_start as fill_length
+    from regs left join c using (region_id) left join dd using (region_id))"""
+
+
+_GAP_REGIONS = "select gap_id as region_id, chrom, gap_start as r_start, gap_end as r_end from gaps"
+
+
+def _gap_regions(found):
+    return found.select(F.col("gap_id").alias("region_id"), "chrom", F.col("gap_start").alias("r_start"), F.col("gap_end").alias("r_end"))
+
+
+@query("region_stats", f", {_region_sql(_GAP_REGIONS)} select * exclude (fill_length) replace (round(avg_coverage, 6) as avg_coverage, round(zero_coverage_ratio, 6) as zero_coverage_ratio, round(left_clip_ratio, 6) as left_clip_ratio, round(right_clip_ratio, 6) as right_clip_ratio) from rs", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    out = coverage.region_stats(aln, _gap_regions(found))
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_coverage", "zero_coverage_ratio", "left_clip_ratio", "right_clip_ratio")})
+
+
+@query("junction_coverage", f""", {_PRIMARY}, w as (select gap_id as point_id, chrom, greatest(gap_start - 50, 0) as a, gap_start + 50 as b from gaps)
+select point_id, round(coalesce(sum(case when ref_start is not null then least(ref_end, b) - greatest(ref_start, a) end), 0) / any_value(b - a), 6) as junction_coverage
+from w left join prim p on p.chrom = w.chrom and ref_start < b and ref_end > a group by point_id""", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    points = found.select(F.col("gap_id").alias("point_id"), "chrom", F.col("gap_start").alias("pos"))
+    return coverage.junction_coverage(aln, points).withColumn("junction_coverage", F.round("junction_coverage", 6))
+
+
+_FLANKS = """fl as (select concat(gap_id, '/l') as flank_id, gap_id, chrom, greatest(gap_start - 1000, 0) as f_start, gap_start as f_end from gaps
+  union all select concat(gap_id, '/r'), gap_id, chrom, gap_end, gap_end + 1000 from gaps)"""
+_CLIPS = f"""{_PRIMARY}, {_FLANKS}, ch as (select flank_id, pos, cast(count(*) as bigint) as n_reads from (
+  select flank_id, f_start, f_end, unnest([case when lclip > 0 then ref_start end, case when rclip > 0 then ref_end end]) as pos from prim p join fl on p.chrom = fl.chrom and ref_start < f_end and ref_end > f_start)
+  where pos >= f_start and pos < f_end group by flank_id, pos), md as (select flank_id, cast(sum(length(md) - length(regexp_replace(md, '[ACGT]', '', 'g'))) as bigint) as mismatches, cast(sum(read_len) as bigint) as aligned
+  from prim p join fl on p.chrom = fl.chrom and ref_start < f_end and ref_end > f_start where md is not null group by flank_id)"""
+
+
+@query("clip_histogram", f", {_CLIPS} select * from ch", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    return coverage.clip_histogram(aln, validation.flanks_of(found).drop("gap_id"))
+
+
+@query("mismatch_density", f", {_CLIPS} select flank_id, mismatches, aligned, round(mismatches / aligned, 9) as density from md", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    return coverage.mismatch_density(aln, validation.flanks_of(found).drop("gap_id")).withColumn("density", F.round("density", 9))
+
+
+_TRIAGE = f"""{_CLIPS}, bad as (select fl.gap_id, bool_or(coalesce(m, 0) >= 5 or coalesce(mismatches / aligned, 0) > 0.05) as bad
+  from fl left join (select flank_id, max(n_reads) as m from ch group by flank_id) using (flank_id) left join md using (flank_id) group by fl.gap_id)"""
+
+
+@query("flank_triage", f", {_TRIAGE} select gap_id, case when bad then 'needs_polish' else 'unfillable' end as status from bad", "gaps aln")
+def _(spark, d):
+    return validation.triage(*_aln_gaps(spark, d))
+
+
+@query("pre_assess", f", {_TRIAGE} select gap_id, case when bad then 'needs_polish' else 'pending' end as status from bad", "gaps aln")
+def _(spark, d):
+    return validation.pre_assess(*_aln_gaps(spark, d))
+
+
+_CONFIDENCE = """round(cast(least(case when spanning_reads >= 5 then 0.4 when spanning_reads >= 2 then 0.3 when spanning_reads >= 1 then 0.2 else 0 end
+  + case when avg_coverage >= 10 then 0.3 when avg_coverage >= 5 then 0.2 when avg_coverage >= 2 then 0.1 else 0 end + case when zero_coverage_ratio = 0 then 0.2 when zero_coverage_ratio < 0.02 then 0.1 else 0 end
+  + case when (left_clip_ratio + right_clip_ratio) / 2 < 0.1 then 0.1 when (left_clip_ratio + right_clip_ratio) / 2 < 0.2 then 0.05 else 0 end, 1.0) as double), 6)"""
+
+
+@query("confidence_score", f", {_region_sql(_GAP_REGIONS)} select region_id, {_CONFIDENCE} as confidence from rs", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    c = F.col
+    score = coverage.confidence(c("spanning_reads"), c("avg_coverage"), c("zero_coverage_ratio"), (c("left_clip_ratio") + c("right_clip_ratio")) / 2)
+    return coverage.region_stats(aln, _gap_regions(found)).select("region_id", F.round(score, 6).alias("confidence"))
+
+
+_COMPLETE = "select gap_id as region_id, chrom, gap_start as r_start, gap_end + gap_start % 1700 as r_end from gaps"
+
+
+@query("validate_complete", f""", {_region_sql(_COMPLETE)}, v as (select *, spanning_reads >= case when fill_length < 1000 then 1 else 2 end and avg_coverage >= 2 as valid from rs)
+select region_id, spanning_reads, round(avg_coverage, 6) as avg_coverage, valid, {_CONFIDENCE} as confidence, case when valid then 'filled_complete' else 'failed' end as status from v""", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    fills = found.select(F.col("gap_id").alias("region_id"), "chrom", F.col("gap_start").alias("r_start"), (F.col("gap_end") + F.col("gap_start") % 1700).alias("r_end"))
+    return validation.validate_complete(aln, fills).withColumn("avg_coverage", F.round("avg_coverage", 6))
+
+
+_PARTIAL = "pf as (select gap_id as fill_id, chrom, gap_start, gap_end, gap_start + gap_start % 300 as new_start, gap_end - gap_start % 700 % 200 as new_end from gaps)"
+_SIDES = """select concat(fill_id, '/l') as region_id, chrom, gap_start as r_start, new_start as r_end from pf where new_start > gap_start
+  union all select concat(fill_id, '/r'), chrom, new_end, gap_end from pf where gap_end > new_end"""
+
+
+@query("validate_partial", f""", {_PARTIAL}, {_region_sql(_SIDES)}, jw as (select region_id, chrom, case when ends_with(region_id, '/l') then r_start else r_end end as pos from regs),
+  jc as (select region_id, coalesce(sum(case when ref_start is not null then least(ref_end, pos + 50) - greatest(ref_start, greatest(pos - 50, 0)) end), 0) / any_value(pos + 50 - greatest(pos - 50, 0)) as j
+    from jw left join prim p on p.chrom = jw.chrom and ref_start < pos + 50 and ref_end > greatest(pos - 50, 0) group by region_id),
+  k as (select split_part(region_id, '/', 1) as fill_id, split_part(region_id, '/', 2) as side, j >= 5 and avg_coverage >= 5 and zero_coverage_ratio <= 0.05 as ok from rs join jc using (region_id)),
+  o as (select fill_id, bool_or(ok) filter (side = 'l') as left_valid, bool_or(ok) filter (side = 'r') as right_valid from k group by fill_id)
+select pf.fill_id, left_valid, right_valid, coalesce(left_valid, false) or coalesce(right_valid, false) as valid,
+  case when coalesce(left_valid, false) or coalesce(right_valid, false) then 'filled_partial' else 'failed' end as status from pf left join o using (fill_id)""", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    start = F.col("gap_start")
+    fills = found.select(F.col("gap_id").alias("fill_id"), "chrom", "gap_start", "gap_end", (start + start % 300).alias("new_start"), (F.col("gap_end") - start % 700 % 200).alias("new_end"))
+    return validation.validate_partial(aln, fills)
+
+
+@query("overlap_pairs", f"select read_name, aln_no, gap_id from {_NEAR} where ref_start < gap_end and ref_end > gap_start", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    return intervals.overlap_join(aln, found, window=("gap_start", "gap_end")).select("read_name", "aln_no", "gap_id")
+
+
+# --- sequences -----------------------------------------------------------------------------------------------
+
+_READS = "rd as (select concat('g', ord - ord % 7) as gap_id, ord as read_no, seq from contigs)"
+
+
+def _reads(spark, d):
+    return load(spark, d, "contigs").select(F.concat(F.lit("g"), F.col("ord") - F.col("ord") % 7).alias("gap_id"), F.col("ord").alias("read_no"), "seq")
+
+
+_PAIRS = f"""{_READS}, rk as (select *, row_number() over (partition by gap_id order by read_no) as i from rd),
+  ks as (select gap_id, i, case when length(seq) >= 15 then list_distinct([substr(seq, x, 15) for x in range(1, length(seq) - 13)]) else [] end as k from rk),
+  ch as (select * from (select a.gap_id, a.i, b.i as j, a.k as ka, b.k as kb, row_number() over (partition by a.gap_id order by md5(concat_ws('/', a.gap_id, a.i, b.i))) as n from ks a join ks b on a.gap_id = b.gap_id and a.i < b.i) where n <= 10),
+  id as (select gap_id, i, j, case when len(ka) = 0 or len(kb) = 0 then 0.0 else len(list_intersect(ka, kb)) / len(list_distinct(list_concat(ka, kb))) end as identity from ch)"""
+
+
+@query("kmer_jaccard", f", {_PAIRS} select gap_id, cast(i as int) as i, cast(j as int) as j, round(identity, 9) as identity from id", "contigs")
+def _(spark, d):
+    return sequence.pair_identity(_reads(spark, d)).withColumn("identity", F.round("identity", 9))
+
+
+@query("mean_identity", f", {_PAIRS} select gap_id, cast(n as bigint) as n_reads, round(coalesce(m, 1.0), 9) as identity from (select gap_id, count(*) as n from rd group by gap_id) left join (select gap_id, avg(identity) as m from id group by gap_id) using (gap_id)", "contigs")
+def _(spark, d):
+    return sequence.mean_identity(_reads(spark, d)).withColumn("identity", F.round("identity", 9))
+
+
+@query("backbone_read", f", {_READS} select gap_id, read_no, seq from (select *, row_number() over (partition by gap_id order by length(seq), read_no) as k, count(*) over (partition by gap_id) as n from rd) where k = n // 2 + 1", "contigs")
+def _(spark, d):
+    return sequence.backbone(_reads(spark, d)).select("gap_id", "read_no", "seq")
+
+
+@query("majority_vote", f""", {_READS}, b as (select gap_id, read_no, unnest(range(1, length(seq) + 1)) as pos, unnest(string_split(seq, '')) as base from rd),
+  v as (select gap_id, pos, base, count(*) as n, min(read_no) as f from b group by all), w as (select gap_id, pos, base, row_number() over (partition by gap_id, pos order by n desc, f) as k from v)
+select gap_id, string_agg(base, '' order by pos) as consensus from w where k = 1 group by gap_id""", "contigs")
+def _(spark, d):
+    return sequence.majority_vote(_reads(spark, d))
+
+
+_ROUTES = "select o_orderkey as gap_id, case when o_orderkey % 3 = 0 then 'ont' else 'hifi' end as read_type, o_custkey % 9 as n_reads, cast(80 + o_orderkey % 20 as double) / 100 as identity from orders"
+
+
+@query("consensus_route", f"""with s as ({_ROUTES}), r as (select *, case when n_reads < 3 then 'none' when read_type = 'ont' then case when identity >= 0.85 and n_reads >= 5 then 'ont_poa_consensus' else 'none' end
+  when identity >= 0.95 then 'direct_consensus' when identity >= 0.85 then 'poa_consensus' else 'none' end as route from s)
+select gap_id, read_type, n_reads, identity, route, round(cast(case route when 'direct_consensus' then least(identity + 0.1, 1.0) when 'none' then 0.0 else identity end as double), 6) as confidence from r""")
+def _(spark, d):
+    rows = spark.sql(_ROUTES.replace("from orders", "from {o}"), o=spark.read.parquet(f"{d}/orders.parquet"))
+    return sequence.consensus_route(rows).withColumn("confidence", F.round("confidence", 6))
+
+
+# --- SNPs and phasing ----------------------------------------------------------------------------------------
+
+_BASE = "substr('ACGT', cast((read_len / 100 + (pos - 250) * 3 % 7) % 4 as int) + 1, 1)"
+_HITS = f"hits as (select read_name, aln_no, s.chrom, pos, hap1, hap2, hap3, {_BASE.replace('read_len / 100', 'read_len // 100')} as base from aln a join snps s on a.chrom = s.chrom and ref_start <= pos and ref_end > pos where not is_secondary)"
+
+
+def _hits(spark, d):
+    sites = load(spark, d, "snps").withColumn("w_start", F.col("pos")).withColumn("w_end", F.col("pos") + 1)
+    met = intervals.overlap_join(load(spark, d, "aln").filter("not is_secondary"), sites)
+    return met.withColumn("base", F.expr(_BASE.replace("read_len / 100", "read_len div 100")))
+
+
+@query("snp_by_position", """, o as (select concat('ctg', ord - 1) as chrom, seq as alt from contigs where ord % 2 = 1), j as (select chrom, seq, alt, unnest(range(1, least(length(seq), length(alt)) + 1)) as i from contigs join o using (chrom))
+select chrom, cast(i - 1 as bigint) as pos, substr(seq, i, 1) as ref_base, substr(alt, i, 1) as alt_base from j where substr(seq, i, 1) <> substr(alt, i, 1) and substr(seq, i, 1) <> 'N' and substr(alt, i, 1) <> 'N'""", "contigs")
+def _(spark, d):
+    first = load(spark, d, "contigs")
+    return phasing.snp_by_position(first, first.filter("ord % 2 = 1").select(F.concat(F.lit("ctg"), F.col("ord") - 1).alias("chrom"), "seq"))
+
+
+@query("snp_hap_coverage", "select hap, cast(count(*) as bigint) as n_snps from (select unnest(['hap1', 'hap2', 'hap3']) as hap, unnest([hap1, hap2, hap3]) as base from snps) where base is not null group by hap", "snps")
+def _(spark, d):
+    return phasing.hap_coverage(load(spark, d, "snps"))
+
+
+_PHASED = f"""{_HITS}, sc as (select read_name, aln_no, count(*) as checked, count(*) filter (base = hap1) as n1, count(*) filter (base = coalesce(hap2, hap1)) as n2, count(*) filter (base = coalesce(hap3, hap1)) as n3 from hits group by all),
+  ph as (select read_name, aln_no, cast(coalesce(checked, 0) as bigint) as checked, case when checked is null then 'no_snp' when greatest(n1, n2, n3) = 0 then 'no_match'
+    when (n1 = greatest(n1, n2, n3))::int + (n2 = greatest(n1, n2, n3))::int + (n3 = greatest(n1, n2, n3))::int > 1 then 'tie' when n1 = greatest(n1, n2, n3) then 'hap1' when n2 = greatest(n1, n2, n3) then 'hap2' else 'hap3' end as outcome
+    from (select read_name, aln_no from aln where not is_secondary) left join sc using (read_name, aln_no))"""
+
+
+def _phased(spark, d):
+    reads_ = load(spark, d, "aln").filter("not is_secondary").select("read_name", "aln_no")
+    return phasing.phase_reads(_hits(spark, d).select("read_name", "aln_no", "base", "hap1", "hap2", "hap3"), reads_)
+
+
+@query("phase_reads", f", {_PHASED} select * from ph", "aln snps")
+def _(spark, d):
+    return _phased(spark, d)
+
+
+@query("phase_stats", f", {_PHASED} select outcome, cast(count(*) as bigint) as n_reads from ph group by outcome", "aln snps")
+def _(spark, d):
+    return phasing.phase_stats(_phased(spark, d))
+
+
+@query("pileup_polish", f""", {_HITS}, c as (select chrom as region_id, pos, max(hap1) as ref_base, count(*) as total, count(*) filter (base = 'A') as a, count(*) filter (base = 'C') as c, count(*) filter (base = 'G') as g, count(*) filter (base = 'T') as t from hits group by chrom, pos)
+select region_id, pos, case when total >= 3 and greatest(a, c, g, t) / total >= 0.6 then case greatest(a, c, g, t) when a then 'A' when c then 'C' when g then 'G' else 'T' end else ref_base end as base from c""", "aln snps")
+def _(spark, d):
+    return sequence.pileup_polish(_hits(spark, d).select(F.col("chrom").alias("region_id"), "pos", F.col("hap1").alias("ref_base"), "base"))
+
+
+# --- state and overlaps --------------------------------------------------------------------------------------
+
+_LATEST = "l as (select gap_id, arg_max(status, (ts, seq_no)) as status from status_log group by gap_id)"
+
+
+@query("status_latest", f", {_LATEST} select * from l", "status_log")
+def _(spark, d):
+    return state.latest(load(spark, d, "status_log"))
+
+
+@query("status_summary", f", {_LATEST} select status, cast(count(*) as bigint) as n_gaps from l group by status", "status_log")
+def _(spark, d):
+    return state.summary(load(spark, d, "status_log"))
+
+
+@query("status_history", "select gap_id, string_agg(status, ',' order by ts, seq_no) as statuses from status_log group by gap_id", "status_log")
+def _(spark, d):
+    return state.history(load(spark, d, "status_log")).select("gap_id", F.array_join("statuses", ",").alias("statuses"))
+
+
+_RESULTS = "select o_orderkey as gap_id, o_orderkey % 2 = 0 as success, o_orderkey % 3 = 0 as complete, o_orderkey % 5 > 0 as validated, case when o_custkey % 2 = 0 then 'unfillable' else 'needs_polish' end as triage from orders"
+
+
+@query("round_transition", f""", {_LATEST}, r as ({_RESULTS}), w as (select gap_id, case when success and validated and complete then 'filled_complete' when success and validated then 'filled_partial'
+  when not success and triage = 'unfillable' then 'unfillable' else 'failed' end as new from r) select gap_id, coalesce(new, status) as status from l full join w using (gap_id)""", "status_log")
+def _(spark, d):
+    results = spark.sql(_RESULTS.replace("from orders", "from {o}"), o=spark.read.parquet(f"{d}/orders.parquet"))
+    return state.after_round(state.latest(load(spark, d, "status_log")), results)
+
+
+@query("trim_flanks", """, g as (select gap_id, max(qend) filter (tend >= tlen - 100 and qstart < 200) as l, min(qstart) filter (tstart < 100 and qend > qlen - 200) as r, max(qlen) as q
+  from paf where matches / greatest(block_len, 1) >= 0.9 and strand = '+' group by gap_id)
+select gap_id, case when l > 0 and l < q - 100 then l end as left_trim, case when r > 100 and r < q then r end as right_trim from g""", "paf")
+def _(spark, d):
+    return overlaps.trim_points(load(spark, d, "paf"))
+
+
+@query("overlap_merge", """select gap_id, min(line_no) as line_no, arg_min(qend, line_no) as qend from paf
+where matches / greatest(block_len, 1) >= 0.9 and block_len >= 100 and tend >= tlen - 100 and strand = '+' group by gap_id""", "paf")
+def _(spark, d):
+    return overlaps.merge_points(load(spark, d, "paf"))
+
+
+_CLUSTER_READS = "select o_orderkey % 97 as gap_id, o_orderkey as read_no from orders"
+_CLUSTER_EDGES = "select o_orderkey % 97 as gap_id, o_orderkey as query_no, o_orderkey + 97 * (1 + o_orderkey % 3) as target_no, 850 + o_orderkey * 7 % 90 as matches, 1000 as block_len from orders"
+
+
+@query("cluster_reads", f"""with recursive rd as ({_CLUSTER_READS}), e as (select * from ({_CLUSTER_EDGES}) where matches / block_len >= 0.9 and target_no in (select read_no from rd)),
+  u as (select gap_id, query_no as a, target_no as b from e union select gap_id, target_no, query_no from e), reach as (select gap_id, read_no as a, read_no as b from rd union select r.gap_id, r.a, u.b from reach r join u on r.gap_id = u.gap_id and r.b = u.a),
+  s as (select gap_id, count(*) as n, min(read_no) as m from rd group by gap_id)
+select gap_id, a as read_no, case when any_value(n) <= 3 then any_value(m) else min(b) end as cluster from reach join s using (gap_id) group by gap_id, a""")
+def _(spark, d):
+    from lacuna.plans.rounds import shared_checkpoint
+
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    found = spark.sql(_CLUSTER_READS.replace("from orders", "from {o}"), o=orders)
+    rows = spark.sql(_CLUSTER_EDGES.replace("from orders", "from {o}"), o=orders)
+    real = rows.join(found.select("gap_id", F.col("read_no").alias("target_no")), ["gap_id", "target_no"], "left_semi")
+    return overlaps.clusters(found, real, shared_checkpoint)
+
+
+_CANDIDATES = """select o_custkey % 200 as gap_id, cast(o_orderkey % 7 as int) as tier, concat('s', o_orderkey) as source, case o_orderkey % 3 when 0 then 'failed' when 1 then 'passed' else 'not_evaluated' end as validation_state, concat('ACGT', o_orderkey) as seq from orders"""
+
+
+@query("accepted_fill", f"with c as ({_CANDIDATES}), k as (select *, row_number() over (partition by gap_id order by tier, source, seq) as n from c where validation_state in ('passed', 'not_evaluated')) select gap_id, tier, source, seq, validation_state from k where n = 1")
+def _(spark, d):
+    return overlaps.accepted(spark.sql(_CANDIDATES.replace("from orders", "from {o}"), o=spark.read.parquet(f"{d}/orders.parquet")))
