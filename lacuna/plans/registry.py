@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lacuna.operators import coverage, gaps, intervals, overlaps, phasing, reads, sequence, state, validation
+from lacuna.operators import align, coverage, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state, validation
 from lacuna.plans.fixtures import duck, load
 from lacuna.shipping import shipped
 
@@ -560,3 +560,34 @@ _CANDIDATES = """select o_custkey % 200 as gap_id, cast(o_orderkey % 7 as int) a
 @query("accepted_fill", f"with c as ({_CANDIDATES}), k as (select *, row_number() over (partition by gap_id order by tier, source, seq) as n from c where validation_state in ('passed', 'not_evaluated')) select gap_id, tier, source, seq, validation_state from k where n = 1")
 def _(spark, d):
     return overlaps.accepted(spark.sql(_CANDIDATES.replace("from orders", "from {o}"), o=spark.read.parquet(f"{d}/orders.parquet")))
+
+
+# --- kernels: no SQL twin ------------------------------------------------------------------------------------
+
+
+def _pieces(spark, d, size: int = 300, step: int = 150):
+    """Every contig, without N, as overlapping pieces: (gap_id, read_no, seq)."""
+    plain = load(spark, d, "contigs").select("chrom", F.translate("seq", "N", "A").alias("seq")).filter(F.length("seq") >= size)
+    at = F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(step)))
+    return plain.withColumn("at", at).select(F.col("chrom").alias("gap_id"), F.col("at").cast("bigint").alias("read_no"), F.substring(F.col("seq").cast("binary"), F.col("at") + 1, F.lit(size)).cast("string").alias("seq"))
+
+
+@query("assemble_gap")
+def _(spark, d):
+    return kernels.assemble(_pieces(spark, d))
+
+
+@query("poa_consensus")
+def _(spark, d):
+    """Reads of a place: a piece of a contig as it is, without its 11th base, and with its 21st changed."""
+    seq = F.col("seq")
+    forms = F.array(seq, F.concat(F.substring(seq, 1, 10), F.expr("substring(seq, 12)")), F.concat(F.substring(seq, 1, 20), F.lit("A"), F.expr("substring(seq, 22)")))
+    reads_ = _pieces(spark, d, 300, 1500).select(F.concat_ws(":", "gap_id", "read_no").alias("gap_id"), F.posexplode(forms)).select("gap_id", F.col("pos").cast("bigint").alias("read_no"), F.col("col").alias("seq"))
+    return kernels.poa_consensus(reads_.filter("length(seq) >= 100"))
+
+
+@query("align_reads")
+def _(spark, d):
+    contigs = load(spark, d, "contigs").select("chrom", "ord", F.translate("seq", "N", "A").alias("seq"))
+    reads_ = _pieces(spark, d, 300, 900).select(F.concat_ws(":", "gap_id", "read_no").alias("read_name"), "seq")
+    return align.place_reads(reads_, gaps.contig_blocks(contigs))
