@@ -591,3 +591,15 @@ def _(spark, d):
     contigs = load(spark, d, "contigs").select("chrom", "ord", F.translate("seq", "N", "A").alias("seq"))
     reads_ = _pieces(spark, d, 300, 900).select(F.concat_ws(":", "gap_id", "read_no").alias("read_name"), "seq")
     return align.place_reads(reads_, gaps.contig_blocks(contigs))
+
+
+@query("fill_round")
+def _(spark, d):
+    """Every contig of 800 bases or more, 100 of them taken out in the middle, filled again from pieces around it."""
+    from lacuna.plans.rounds import spanning_fills
+
+    plain = load(spark, d, "contigs").select("chrom", "ord", F.translate("seq", "N", "A").alias("seq")).filter("length(seq) >= 800").withColumn("mid", F.expr("length(seq) div 2"))
+    broken = plain.select("chrom", "ord", F.concat(F.expr("substring(seq, 1, mid - 50)"), F.lit("N" * 100), F.expr("substring(seq, mid + 51)")).alias("seq"))
+    at = F.explode(F.sequence(F.lit(-400), F.lit(100), F.lit(50)))
+    pieces = plain.withColumn("at", at).select(F.concat_ws(":", "chrom", "at").alias("read_name"), F.expr("substring(seq, mid + at + 1, 300)").alias("seq"))
+    return spanning_fills(broken, pieces)

@@ -178,3 +178,17 @@ def test_overlap_join_gives_each_pair_once(spark):
     y = spark.createDataFrame([("c", *r) for r in b], "chrom string, j int, w_start bigint, w_end bigint")
     got = sorted((r["i"], r["j"]) for r in intervals.overlap_join(x, y, width=16).collect())
     assert got == sorted((i, j) for i, s, e in a for j, u, v in b if s < v and e > u)
+
+
+def test_rounds_restore_planted_gaps_and_go_on_where_they_stopped(spark, tmp_path):
+    from lacuna.plans.rounds import run_rounds
+
+    rng = random.Random(12)
+    truth = {c: "".join(rng.choice("ACGT") for _ in range(2500)) for c in "ab"}
+    broken = [("a", 0, truth["a"][:1000] + "N" * 500 + truth["a"][1120:]), ("b", 1, truth["b"][:600] + "N" * 120 + truth["b"][700:1500] + "N" * 100 + truth["b"][1600:])]
+    flip = str.maketrans("ACGT", "TGCA")
+    found = [(f"{c}{k}", s[k : k + 400] if k % 80 else s[k : k + 400][::-1].translate(flip)) for c, s in truth.items() for k in range(0, 2100, 40)]
+    contigs, given = spark.createDataFrame(broken, "chrom string, ord int, seq string"), spark.createDataFrame(found, "read_name string, seq string")
+    for _ in range(2):
+        got = {r["chrom"]: r["seq"] for r in run_rounds(contigs, given, f"{tmp_path}/run").collect()}
+        assert got == truth
