@@ -55,3 +55,22 @@ def accepted(candidates: DataFrame) -> DataFrame:
     """Per gap the candidate of the lowest tier that isn't refused: validation_state passed or not_evaluated."""
     ok = candidates.filter(F.col("validation_state").isin("passed", "not_evaluated"))
     return ok.groupBy("gap_id").agg(F.min_by(F.struct("tier", "source", "seq", "validation_state"), F.struct("tier", "source", "seq")).alias("x")).select("gap_id", "x.*")
+
+
+def merged_sequences(sides: DataFrame, points: DataFrame, filler: int = 500) -> DataFrame:
+    """`(gap_id, seq, is_complete)` of sides (gap_id, left_seq, right_seq): joined at the merge point, else `filler` N between."""
+    joined = sides.join(points.select("gap_id", "qend"), "gap_id", "left")
+    left, right = F.coalesce("left_seq", F.lit("")), F.coalesce("right_seq", F.lit(""))
+    whole = F.concat(left, F.expr("substring(coalesce(right_seq, ''), cast(qend as int) + 1)"))
+    return joined.select("gap_id", F.when(F.col("qend").isNotNull(), whole).otherwise(F.concat(left, F.lit("N" * filler), right)).alias("seq"), F.col("qend").isNotNull().alias("is_complete"))
+
+
+def n_runs(assembled: DataFrame) -> DataFrame:
+    """Adds n_runs, n_bases and is_usable (no N at all, either case) to assembled sequences."""
+    runs = F.regexp_count("seq", F.lit("[Nn]+"))
+    return assembled.withColumns({"n_runs": runs, "n_bases": F.regexp_count("seq", F.lit("[Nn]")), "is_usable": runs == 0})
+
+
+def fill_totals(fills: DataFrame) -> DataFrame:
+    """Counts and bases of accepted fills by source."""
+    return fills.groupBy("source").agg(F.count(F.lit(1)).alias("n_fills"), F.sum(F.length("seq")).cast("bigint").alias("total_bp"))

@@ -49,3 +49,15 @@ def phase_reads(hits: DataFrame, reads: DataFrame, haps: tuple[str, ...] = HAPS,
 
 def phase_stats(phased: DataFrame) -> DataFrame:
     return phased.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+def snps_from_pairs(pairs: DataFrame) -> DataFrame:
+    """`(chrom, pos, ref_base, bases)` from aligned bases (chrom, pos, ref_base, hap, base, place), gaps and N left out before.
+
+    A site is where any haplotype differs from the reference; there every haplotype's base counts, that of the
+    first row by place, in `bases` (haplotype -> base).
+    """
+    usable = pairs.filter("base in ('A', 'C', 'G', 'T') and ref_base in ('A', 'C', 'G', 'T')")
+    first = usable.groupBy("chrom", "pos", "hap").agg(F.min_by(F.struct("ref_base", "base"), "place").alias("x"), F.bool_or(F.col("base") != F.col("ref_base")).alias("differs")).select("chrom", "pos", "hap", "x.*", "differs")
+    sites = first.groupBy("chrom", "pos").agg(F.max("ref_base").alias("ref_base"), F.bool_or("differs").alias("is_site"), F.array_sort(F.collect_list(F.struct("hap", "base"))).alias("found"))  # as many entries as haplotypes
+    return sites.filter("is_site").select("chrom", "pos", "ref_base", F.map_from_entries("found").alias("bases"))

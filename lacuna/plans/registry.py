@@ -603,3 +603,35 @@ def _(spark, d):
     at = F.explode(F.sequence(F.lit(-400), F.lit(100), F.lit(50)))
     pieces = plain.withColumn("at", at).select(F.concat_ws(":", "chrom", "at").alias("read_name"), F.expr("substring(seq, mid + at + 1, 300)").alias("seq"))
     return spanning_fills(broken, pieces)
+
+
+# --- further summaries ---------------------------------------------------------------------------------------
+
+
+@query("snp_two_pass", f""", {_HITS}, q as (select chrom, pos, hap1 as ref_base, concat('hap', cast(aln_no % 3 as int) + 1) as hap, base, concat(read_name, '/', aln_no) as place from hits),
+  f as (select chrom, pos, hap, arg_min(ref_base, place) as ref_base, arg_min(base, place) as base, bool_or(base <> ref_base) as differs from q group by chrom, pos, hap)
+select chrom, pos, max(ref_base) as ref_base, string_agg(concat(hap, '=', base), ',' order by hap) as bases from f group by chrom, pos having bool_or(differs)""", "aln snps")
+def _(spark, d):
+    pairs = _hits(spark, d).select("chrom", "pos", F.col("hap1").alias("ref_base"), F.concat(F.lit("hap"), F.col("aln_no") % 3 + 1).alias("hap"), "base", F.concat_ws("/", "read_name", "aln_no").alias("place"))
+    out = phasing.snps_from_pairs(pairs)
+    return out.withColumn("bases", F.array_join(F.transform(F.array_sort(F.map_entries("bases")), lambda x: F.concat_ws("=", x["key"], x["value"])), ","))
+
+
+@query("assembled_n_runs", "select chrom, cast(len(regexp_extract_all(seq, 'N+')) as int) as n_runs, cast(len(regexp_extract_all(seq, 'N')) as int) as n_bases, not contains(seq, 'N') as is_usable from contigs", "contigs")
+def _(spark, d):
+    return overlaps.n_runs(load(spark, d, "contigs").select("chrom", "seq")).drop("seq")
+
+
+@query("fill_totals", f"with c as ({_CANDIDATES.replace(chr(39) + 's' + chr(39) + ', o_orderkey', chr(39) + 's' + chr(39) + ', o_orderkey % 5')}) select source, cast(count(*) as bigint) as n_fills, cast(sum(length(seq)) as bigint) as total_bp from c group by source")
+def _(spark, d):
+    rows = spark.sql(_CANDIDATES.replace("'s', o_orderkey", "'s', o_orderkey % 5").replace("from orders", "from {o}"), o=spark.read.parquet(f"{d}/orders.parquet"))
+    return overlaps.fill_totals(rows)
+
+
+@query("merged_sequences", """, m as (select gap_id, arg_min(qend, line_no) as qend from paf where matches / greatest(block_len, 1) >= 0.9 and block_len >= 100 and tend >= tlen - 100 and strand = '+' and gap_id % 2 = 0 group by gap_id),
+  s as (select distinct gap_id, repeat('AC', cast(gap_id as int) + 1) as l, repeat('GT', 1600) as r from paf)
+select gap_id, case when qend is not null then concat(l, substr(r, qend + 1)) else concat(l, repeat('N', 500), r) end as seq, qend is not null as is_complete from s left join m using (gap_id)""", "paf")
+def _(spark, d):
+    paf = load(spark, d, "paf")
+    sides = paf.select("gap_id").distinct().select("gap_id", F.expr("repeat('AC', cast(gap_id as int) + 1)").alias("left_seq"), F.expr("repeat('GT', 1600)").alias("right_seq"))
+    return overlaps.merged_sequences(sides, overlaps.merge_points(paf.filter("gap_id % 2 = 0")))
