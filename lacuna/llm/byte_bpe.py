@@ -37,7 +37,7 @@ DECODE_ROWS = 300_000
 #: Texts that are encoded together.
 PORTION = 2000
 # fixed values: the characters of Unicode's White_Space property, which is what \s means in the pattern
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # a row's key is word << 10 | position, so one order serves all words
 ENCODE_SQL = """
@@ -61,7 +61,7 @@ DECODE_SQL = "select doc, string_agg(piece, '' order by pos) as text from ids jo
 
 
 #: White space of any kind beside a space (or the mark that the cutting uses): such texts are cut one by one.
-_ANY = "[\\t-\\r \\x1c-\\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_ANY = "[" + re.sub(r"\\[xu]([0-9a-f]+)", r"\\x{\1}", WHITE) + r"\x1c-\x1f]"
 ODD_SPACE = f"{_ANY} | {_ANY}|\\x00"
 _near_space = re.compile(r"\s | \s").search
 _cuts = re.compile(r"(?<=\S) (?=\S)").split
