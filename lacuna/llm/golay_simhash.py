@@ -222,9 +222,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     prints = cut_lineage(fingerprints(docs, text, id_col, shingle))
     classes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     roots = connected_components(links(classes, max_bits, cell), cut_lineage)
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(least, "root").select("fp", "component_id")
+    linked = roots.join(classes, roots["node"] == classes["fp"]).select("fp", "rep", "root")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))  # one row per component of several fingerprints
+    of_class = classes.join(linked.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return prints.join(of_class, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
