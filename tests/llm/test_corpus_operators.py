@@ -14,7 +14,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lacuna.llm import bin_packing, byte_bpe, decontamination, golay_simhash, huffman_tokens, neural_lm, quality_ledger, quality_mil, queries, url_rules, warc_bundles
+from lacuna.llm import bin_packing, byte_bpe, decontamination, golay_simhash, huffman_tokens, near_copies, neural_lm, quality_ledger, quality_mil, queries, url_rules, warc_bundles
 from lacuna.llm.workspace import cut_lineage, new_folder
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, `row` int"
@@ -309,3 +309,36 @@ def test_pipeline(spark, odd):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SMALL).columns == odd.columns
     assert corpus_pipeline.near_duplicates(spark, odd, SMALL).count() == 6
+
+
+def _planted_near_copies():
+    """Chains of texts, each with some words of the one before changed, and texts of one passage with other surroundings."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for n in (8, 30, 120, 400):
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            for _ in range(5):
+                texts.append(" ".join(base))
+                base = [word() if rng.random() < 0.02 else w for w in base]
+    passage = [word() for _ in range(60)]
+    texts += [" ".join([*passage, *(word() for _ in range(20))]) for _ in range(30)]
+    return texts
+
+
+@pytest.mark.parametrize("cell", [1024, 7])
+def test_near_copies_are_those_of_exact_jaccard(spark, cell):
+    texts = _planted_near_copies()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = sorted({min(i for i, h in enumerate(group) if h == g) for g in group})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert 30 < len(least) < len(texts) - 30
+    assert sorted(r["id"] for r in near_copies.first_of_groups(docs, cell=cell).collect()) == least
+    if cell == 1024:
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()) == least
