@@ -342,3 +342,11 @@ def test_near_copies_are_those_of_exact_jaccard(spark, cell):
     assert sorted(r["id"] for r in near_copies.first_of_groups(docs, cell=cell).collect()) == least
     if cell == 1024:
         assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()) == least
+
+
+def test_rows_of_equal_ids_stay_in_their_groups(spark):
+    own = [" ".join(f"{tag}{i}" for i in range(40)) for tag in "abcde"]
+    rows = [(1, own[0]), (5, own[0]), (5, own[1]), (5, own[2]), (5, own[2]), (9, own[2]), (5, own[3]), (2, own[3]), (None, own[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect())
+    assert got == sorted([(1, own[0]), (5, own[1]), (5, own[2]), (2, own[3]), (0, own[0])])
