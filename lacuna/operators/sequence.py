@@ -22,18 +22,19 @@ def jaccard(a: Column, b: Column) -> Column:
 def pair_identity(reads: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
     """`(gap_id, i, j, identity)` of at most `most` pairs of each gap's reads (gap_id, read_no, seq).
 
-    Pairs are chosen before any sequence is touched: those with the least hash of (gap, i, j).  Only reads below
-    `most` + 1 in number order can be in the candidate set of small gaps, so each gap offers a bounded number.
+    Pairs are chosen before any sequence is touched: those with the least hash of (gap, i, j) among all pairs.  A row
+    for each i holds its `most` least j; hashing grows with the square of a gap's reads, rows don't.
     """
     order = Window.partitionBy("gap_id").orderBy("read_no")
     ranked = reads.withColumn("i", F.row_number().over(order))
-    sizes = ranked.groupBy("gap_id").agg(F.max("i").alias("n"))
-    limit = 2 * most
-    m = F.least("n", F.lit(limit))
-    offered = sizes.filter("n >= 2").select("gap_id", F.explode(F.sequence(F.lit(1), m - 1)).alias("i"), m.alias("m")).select("gap_id", "i", F.explode(F.sequence(F.col("i") + 1, F.col("m"))).alias("j"))
-    pick = Window.partitionBy("gap_id").orderBy(F.md5(F.concat_ws("/", "gap_id", "i", "j")), "i", "j")
-    chosen = offered.withColumn("__k", F.row_number().over(pick)).filter(F.col("__k") <= most).drop("__k")
-    sets = ranked.filter(F.col("i") <= limit).select("gap_id", "i", kmers(F.col("seq")).alias("kmers"))
+    sizes = reads.groupBy("gap_id").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n >= 2")
+    firsts = sizes.select("gap_id", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i")).repartition("gap_id", "i")
+    hashed = F.transform(F.sequence(F.col("i") + 1, F.col("n")), lambda j: F.struct(F.md5(F.concat_ws("/", "gap_id", "i", j)).alias("hash"), j.alias("j")))
+    offered = firsts.select("gap_id", "i", F.inline(F.slice(F.sort_array(hashed), 1, most)))
+    pick = Window.partitionBy("gap_id").orderBy("hash", "i", "j")
+    chosen = offered.withColumn("__k", F.row_number().over(pick)).filter(F.col("__k") <= most).select("gap_id", "i", "j")
+    needed = chosen.select("gap_id", F.explode(F.array("i", "j")).alias("i")).distinct()
+    sets = ranked.join(needed, ["gap_id", "i"], "left_semi").select("gap_id", "i", kmers(F.col("seq")).alias("kmers"))
     left, right = sets.withColumnRenamed("kmers", "a"), sets.select("gap_id", F.col("i").alias("j"), F.col("kmers").alias("b"))
     return chosen.join(left, ["gap_id", "i"]).join(right, ["gap_id", "j"]).select("gap_id", "i", "j", jaccard(F.col("a"), F.col("b")).alias("identity"))
 

@@ -1,5 +1,6 @@
 """Boundaries of predicates, planted truth, formats and plans, on small fixtures."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -192,3 +193,11 @@ def test_rounds_restore_planted_gaps_and_go_on_where_they_stopped(spark, tmp_pat
     for _ in range(2):
         got = {r["chrom"]: r["seq"] for r in run_rounds(contigs, given, f"{tmp_path}/run").collect()}
         assert got == truth
+
+
+def test_identity_pairs_are_the_least_hashes_of_all_pairs(spark):
+    rng, sizes = random.Random(2), {"a": 300, "b": 21, "c": 2}
+    df = spark.createDataFrame([(g, 3 * k, "".join(rng.choices("ACGT", k=40))) for g, n in sizes.items() for k in range(n)], "gap_id string, read_no int, seq string")
+    hashed = {g: sorted((hashlib.md5(f"{g}/{i}/{j}".encode()).hexdigest(), i, j) for i in range(1, n) for j in range(i + 1, n + 1))[:10] for g, n in sizes.items()}
+    got = sorted((r["gap_id"], r["i"], r["j"]) for r in sequence.pair_identity(df).collect())
+    assert got == sorted((g, i, j) for g, pairs in hashed.items() for _, i, j in pairs)
