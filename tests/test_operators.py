@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import components, coverage, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state
+from lacuna.operators import align, components, coverage, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state
 from lacuna.plans import registry
 from lacuna.plans.rounds import shared_checkpoint
 from lacuna.sources import files
@@ -201,3 +201,25 @@ def test_identity_pairs_are_the_least_hashes_of_all_pairs(spark):
     hashed = {g: sorted((hashlib.md5(f"{g}/{i}/{j}".encode()).hexdigest(), i, j) for i in range(1, n) for j in range(i + 1, n + 1))[:10] for g, n in sizes.items()}
     got = sorted((r["gap_id"], r["i"], r["j"]) for r in sequence.pair_identity(df).collect())
     assert got == sorted((g, i, j) for g, pairs in hashed.items() for _, i, j in pairs)
+
+
+def test_reads_of_many_copies_are_placed(spark):
+    rng = random.Random(8)
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    text, own = dna(600), dna(600)
+    blocks = spark.createDataFrame([(f"c{k:03d}", 0, text) for k in range(70)] + [("own", 0, own)], "chrom string, block_start bigint, seq string")
+    given = spark.createDataFrame([("r1", text[100:400]), ("r2", text[100:400]), ("r3", own[50:350])], "read_name string, seq string")
+    got = {r["read_name"]: (r["chrom"], r["strand"], r["ref_start"], r["ref_end"], r["mapq"]) for r in align.place_reads(given, blocks).collect()}
+    assert got == {"r1": ("c000", "+", 100, 400, 0), "r2": ("c000", "+", 100, 400, 0), "r3": ("own", "+", 50, 350, 60)}
+
+
+def test_gaps_of_many_copies_are_filled(spark):
+    from lacuna.plans.rounds import spanning_fills
+
+    rng = random.Random(9)
+    truth = "".join(rng.choices("ACGT", k=1000))
+    contigs = spark.createDataFrame([(f"c{k:03d}", k, truth[:450] + "N" * 100 + truth[550:]) for k in range(70)], "chrom string, ord int, seq string")
+    given = spark.createDataFrame([(f"r{k}", truth[k : k + 400]) for k in range(300, 340, 10)], "read_name string, seq string")
+    fills = spanning_fills(contigs, given).collect()
+    assert sorted((r["gap_id"], r["chrom"]) for r in fills) == sorted((g["name"], g["chrom"]) for g in gaps.scan_gaps(contigs, 100).collect())
+    assert len(fills) == 70 and {r["fill"] for r in fills} == {truth[450:550]}
