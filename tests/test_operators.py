@@ -203,6 +203,27 @@ def test_identity_pairs_are_the_least_hashes_of_all_pairs(spark):
     assert got == sorted((g, i, j) for g, pairs in hashed.items() for _, i, j in pairs)
 
 
+@pytest.mark.parametrize("n", [65, 3000])
+def test_consensus_counts_every_read_once(spark, n):
+    rng = random.Random(6)
+    truth = "".join(rng.choices("ACGT", k=60))
+    stray = "".join("A" if c != "A" else "C" for c in truth)
+    df = spark.createDataFrame([("g", k, truth) for k in range(n - 1)] + [("g", n, stray)], "gap_id string, read_no bigint, seq string")
+    assert [(r["n_reads"], r["seq"]) for r in kernels.poa_consensus(df).collect()] == [(n, truth)]
+
+
+def test_votes_by_aggregation_equal_those_of_one_task(spark, monkeypatch):
+    rng, rows = random.Random(7), []
+    for g in range(12):
+        truth = rng.choices("ACGT", k=50)
+        for k in range(rng.randint(3, 9)):
+            rows.append((g, k, "".join(rng.choice(["", "A", c + "G", c, c, c, c, c, c]) for c in truth)))
+    df = spark.createDataFrame(rows, "gap_id int, read_no bigint, seq string")
+    want = sorted(map(tuple, kernels.poa_consensus(df).collect()))
+    monkeypatch.setattr(kernels, "PORTION", 2)
+    assert len(want) == 12 and sorted(map(tuple, kernels.poa_consensus(df).collect())) == want
+
+
 def test_reads_of_many_copies_are_placed(spark):
     rng = random.Random(8)
     dna = lambda n: "".join(rng.choices("ACGT", k=n))
