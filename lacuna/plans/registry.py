@@ -565,9 +565,9 @@ def _(spark, d):
 # --- kernels: no SQL twin ------------------------------------------------------------------------------------
 
 
-def _pieces(spark, d, size: int = 300, step: int = 150):
-    """Every contig, without N, as overlapping pieces: (gap_id, read_no, seq)."""
-    plain = load(spark, d, "contigs").select("chrom", F.translate("seq", "N", "A").alias("seq")).filter(F.length("seq") >= size)
+def _pieces(spark, d, size: int = 300, step: int = 150, least: int = 300):
+    """Every contig of `least` bases, without N, as pieces up to its end: (gap_id, read_no, seq)."""
+    plain = load(spark, d, "contigs").select("chrom", F.translate("seq", "N", "A").alias("seq")).filter(F.length("seq") >= least)
     at = F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(step)))
     return plain.withColumn("at", at).select(F.col("chrom").alias("gap_id"), F.col("at").cast("bigint").alias("read_no"), F.substring(F.col("seq").cast("binary"), F.col("at") + 1, F.lit(size)).cast("string").alias("seq"))
 
@@ -582,26 +582,26 @@ def _(spark, d):
     """Reads of a place: a piece of a contig as it is, without its 11th base, and with its 21st changed."""
     seq = F.col("seq")
     forms = F.array(seq, F.concat(F.substring(seq, 1, 10), F.expr("substring(seq, 12)")), F.concat(F.substring(seq, 1, 20), F.lit("A"), F.expr("substring(seq, 22)")))
-    reads_ = _pieces(spark, d, 300, 1500).select(F.concat_ws(":", "gap_id", "read_no").alias("gap_id"), F.posexplode(forms)).select("gap_id", F.col("pos").cast("bigint").alias("read_no"), F.col("col").alias("seq"))
-    return kernels.poa_consensus(reads_.filter("length(seq) >= 100"))
+    reads_ = _pieces(spark, d, 300, 300, 1).select(F.concat_ws(":", "gap_id", "read_no").alias("gap_id"), F.posexplode(forms)).select("gap_id", F.col("pos").cast("bigint").alias("read_no"), F.col("col").alias("seq"))
+    return kernels.poa_consensus(reads_)
 
 
 @query("align_reads")
 def _(spark, d):
     contigs = load(spark, d, "contigs").select("chrom", "ord", F.translate("seq", "N", "A").alias("seq"))
-    reads_ = _pieces(spark, d, 300, 900).select(F.concat_ws(":", "gap_id", "read_no").alias("read_name"), "seq")
+    reads_ = _pieces(spark, d, 300, 300, 1).select(F.concat_ws(":", "gap_id", "read_no").alias("read_name"), "seq")
     return align.place_reads(reads_, gaps.contig_blocks(contigs))
 
 
 @query("fill_round")
 def _(spark, d):
-    """Every contig of 800 bases or more, 100 of them taken out in the middle, filled again from pieces around it."""
+    """Every contig that has 20 bases on both sides of the 100 in its middle, which are taken out and filled again from pieces around them."""
     from lacuna.plans.rounds import spanning_fills
 
-    plain = load(spark, d, "contigs").select("chrom", "ord", F.translate("seq", "N", "A").alias("seq")).filter("length(seq) >= 800").withColumn("mid", F.expr("length(seq) div 2"))
+    plain = load(spark, d, "contigs").select("chrom", "ord", F.translate("seq", "N", "A").alias("seq")).filter("length(seq) >= 140").withColumn("mid", F.expr("length(seq) div 2"))
     broken = plain.select("chrom", "ord", F.concat(F.expr("substring(seq, 1, mid - 50)"), F.lit("N" * 100), F.expr("substring(seq, mid + 51)")).alias("seq"))
     at = F.explode(F.sequence(F.lit(-400), F.lit(100), F.lit(50)))
-    pieces = plain.withColumn("at", at).select(F.concat_ws(":", "chrom", "at").alias("read_name"), F.expr("substring(seq, mid + at + 1, 300)").alias("seq"))
+    pieces = plain.withColumn("at", at).select(F.concat_ws(":", "chrom", "at").alias("read_name"), F.expr("substring(seq, greatest(mid + at, 0) + 1, 300)").alias("seq"))
     return spanning_fills(broken, pieces)
 
 

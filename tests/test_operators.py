@@ -244,3 +244,10 @@ def test_gaps_of_many_copies_are_filled(spark):
     fills = spanning_fills(contigs, given).collect()
     assert sorted((r["gap_id"], r["chrom"]) for r in fills) == sorted((g["name"], g["chrom"]) for g in gaps.scan_gaps(contigs, 100).collect())
     assert len(fills) == 70 and {r["fill"] for r in fills} == {truth[450:550]}
+
+
+def test_pieces_cover_every_base(spark, tmp_path):
+    texts = ["abc" * 7, "acgt" * 100, "tgca" * 400]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["gap_id"]: (r["n_reads"], len(r["seq"])) for r in registry.QUERIES["poa_consensus"](spark, str(tmp_path)).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {f"ctg{i}:{at}": 3 for i, t in enumerate(texts) for at in range(0, len(t), 300)}
