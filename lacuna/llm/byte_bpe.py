@@ -7,17 +7,19 @@ pair of least rank, and words leave when no pair is left.  Decoding joins ids wi
 the pieces in order of position, again in DuckDB.  Both run map-side: no shuffle, and memory is bounded by an
 Arrow batch, LIMIT_CACHE remembered chunks and LIMIT_ROWS recursion rows.
 
-A word of more than LONG_WORD bytes would need a recursion quadratic in its length; such words are contracted by
-the same rule with a heap (`contract_long`).
+The recursion for short words keeps every step's rows, which would be quadratic in a word's length.  Words of more
+than LONG_WORD bytes, one at a time, take a recursion that keeps only the current state, by key, and contracts in one
+step all places of the least rank up to the first whose contraction makes a pair of lower rank: the same order of
+contractions, so the same ids.
 
-Null text counts as empty: no ids, and decoding gives no bytes.  Ties in rank go to the leftmost pair.
+Null text counts as empty: no ids, and decoding gives no bytes.  Ties in rank go to the leftmost pair.  Repeated rows
+are encoded one by one; an empty table gives an empty result; texts are encoded whole, whatever their length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterable
 
@@ -28,11 +30,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.workspace import portions, release
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-LIMIT_CACHE = 250_000
+LIMIT_CACHE = 150_000
 LIMIT_ROWS = 1_500_000
 LONG_WORD = 512
+#: Longest chunk, in characters, that is remembered.
+LONGEST = 64
 DECODE_ROWS = 300_000
 #: Texts that are encoded together.
 PORTION = 2000
@@ -57,6 +62,32 @@ select key >> 10 as w, id
 from tokens join (select key >> 10 as w, max(step) as last from tokens group by 1) on key >> 10 = w and step = last
 order by key
 """
+# the state of one word: a row for each byte, of which those contracted away have id -1
+LONG_SQL = """
+with recursive tokens(key, id) using key (key) as (
+  select key, id from word_bytes
+  union
+  (with live as (
+     select key, id, row_number() over w as n, lead(key) over w as next_key, lead(id) over w as next_id, lag(id) over w as before, lead(id, 2) over w as after
+     from recurring.tokens where id >= 0 window w as (order by key)
+   ), pairs as (
+     select live.*, rank from live join merges on id = l and next_id = r
+   ), least as (  -- neighbouring places, as in aaaa, share an island
+     select *, n - row_number() over (order by n) as island from pairs where rank = (select min(rank) from pairs)
+   ), apart as (
+     select * from (select *, row_number() over (partition by island order by n) as k from least) where k % 2 = 1
+   ), chosen as (
+     select key, next_key, rank, after, case when lag(n) over (order by n) = n - 2 then rank else before end as before from apart
+   ), lower as (
+     select min(key) as key from chosen left join merges a on a.l = chosen.before and a.r = chosen.rank left join merges b on b.l = chosen.rank and b.r = chosen.after
+     where a.rank < chosen.rank or b.rank < chosen.rank
+   ), now as (
+     select chosen.* from chosen, lower where lower.key is null or chosen.key <= lower.key
+   )
+   select key, cast(rank as integer) from now union all select next_key, -1 from now)
+)
+select id from tokens where id >= 0 order by key
+"""
 DECODE_SQL = "select doc, string_agg(piece, '' order by pos) as text from ids join vocabulary using (id) group by doc"
 
 
@@ -114,33 +145,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def contract_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Leftmost least-rank contraction by a heap of pairs over a linked list."""
-    n = len(word)
-    piece: list[bytes | None] = [word[i : i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap: list[tuple[int, int, bytes, bytes]] = []
-
-    def offer(i: int) -> None:
-        j = after[i] if i >= 0 else n
-        if i >= 0 and j < n and (rank := ranks.get(piece[i] + piece[j])) is not None:
-            heapq.heappush(heap, (rank, i, piece[i], piece[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, left, right = heapq.heappop(heap)
-        j = after[i] if piece[i] is not None else n
-        if j >= n or piece[i] != left or piece[j] != right:
-            continue  # one of the two has been contracted since
-        piece[i], piece[j], after[i] = left + right, None, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        offer(i)
-        offer(before[i])
-    return [ranks[p] for p in piece if p is not None]
-
-
 class Codec:
     """One worker's tables, connection and remembered chunks."""
 
@@ -151,7 +155,7 @@ class Codec:
         self.plain_letters = pattern == public_tokenizers.PATTERN
         self.match = matcher(pattern)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         merges = pa.table({name: pa.array(x, pa.int32() if name != "rank" else pa.int64()) for name, x in zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True)})
         pieces = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])})
@@ -162,7 +166,7 @@ class Codec:
 
     def _contract(self, words: list[bytes]) -> dict[bytes, bytes]:
         """ids (int32, little-endian) of words that are no tokens."""
-        out = {w: np.array(contract_long(w, self.ranks), "<i4").tobytes() for w in words if len(w) > LONG_WORD}
+        out = {w: self._contract_long(w) for w in words if len(w) > LONG_WORD}
         rest = sorted((w for w in words if len(w) <= LONG_WORD), key=len)
         while rest:
             cost, n = 0, 0
@@ -180,6 +184,12 @@ class Codec:
             out |= {w: ids[a:b] for w, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True)}
         return out
 
+    def _contract_long(self, word: bytes) -> bytes:
+        self.db.register("word_bytes", pa.table({"key": np.arange(len(word), dtype=np.int64), "id": self.of_byte[np.frombuffer(word, np.uint8)]}))
+        ids = self.db.execute(LONG_SQL).fetchnumpy()["id"]
+        self.db.unregister("word_bytes")
+        return np.asarray(ids, "<i4").tobytes()
+
     def _recall(self, new: set[str]) -> None:
         again = {c: self.past[c] for c in new & self.past.keys()}
         self.known |= again
@@ -197,7 +207,10 @@ class Codec:
         """int32 ids of each text, little-endian.  Chunks in use are remembered, those of long ago are forgotten."""
         if len(self.known) > LIMIT_CACHE:
             self.known, self.past = {}, self.known
-        return remembered(texts, self.known, self._recall)
+        out = remembered(texts, self.known, self._recall)
+        for c in [c for c in self.known if len(c) > LONGEST]:
+            del self.known[c]
+        return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -235,8 +248,8 @@ def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: st
     def run(batches):
         tools = codec(path, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, PORTION):
-                part = batch.slice(k, PORTION)
+            for k, n in portions(batch.column(1), PORTION):
+                part = batch.slice(k, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(tools.encode(part.column(1).fill_null("")))], ["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
@@ -278,10 +291,11 @@ def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        release()
         tools, names = codec(path, pattern), {}
         for batch in batches:
-            for k in range(0, batch.num_rows, PORTION):
-                part = batch.slice(k, PORTION)
+            for k, n in portions(batch.column(1), PORTION):
+                part = batch.slice(k, n)
                 ids = [np.frombuffer(x, "<i4") for x in tools.encode(part.column(1).fill_null(""))]
                 texts = [hashlib.sha256(x).hexdigest() for a, b in _in_portions(ids, DECODE_ROWS) for x in tools.decode(ids[a:b])]
                 sums = [hashlib.sha256(" ".join([names.get(i) or names.setdefault(i, str(i)) for i in x.tolist()]).encode()).hexdigest() for x in ids]
