@@ -2,27 +2,34 @@
 
 Rows with equal texts form a group that never leaves its shard.  Groups go to bins in order of falling size, each
 into the bin with the least remaining capacity that still holds it; the bins stand in a balanced search tree by
-remaining capacity.  Only a bounded number of items reaches the driver: a group of at least 1/HEAVY of all bytes
-is an item of its own (there are at most HEAVY such groups), every other group belongs to one of BUNDLES bundles
-by hash, and a bundle's size comes from a Spark aggregation.
+remaining capacity.
+
+Spark sorts and counts, the driver packs runs.  A size is rounded up to DIGITS binary digits, so there are at most
+2^(DIGITS-1) sizes to an octave (about 40,000 in all, however many groups), and one row for each of them, with its
+count, reaches the driver.  Equal sizes follow one another, and best fit puts them into one bin until that is full,
+so a run is placed in one step; the result is that of packing group by group.  Within a size, groups are ranked by
+hash and dealt to the runs' bins.
 
 `pack` opens as many bins of a fixed capacity as needed; `pack_evenly` searches for the smallest capacity that
 needs no more than the given number of bins, which makes their sizes near equal (law `bytes`).  A group larger
 than an even share gets a shard for itself, and the other shards divide what is left.
 
 Null text has no bytes (size 1) and groups with other nulls; the empty text is a group of its own.  Equal rows
-share a shard and get different slots.  An empty table gives an empty result.
+share a shard and get different slots.  A text of any length counts whole.  An empty table gives an empty result.
+Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HEAVY = 4096
-BUNDLES = 4096
+from lacuna.llm.workspace import HOT, join_hot, new_folder, to_table
+
+#: Binary digits of a size that are kept; below 2^DIGITS sizes are exact.
+DIGITS = 12
 #: Rows that one task numbers at a time.
-SLOT_ROWS = 50_000
+CELL_ROWS = 50_000
 
 
 class _Node:
@@ -115,33 +122,47 @@ class CapacityTree:
         return best
 
 
-def pack(sizes: list[int], capacity: int) -> tuple[list[int], int]:
-    """Bin of each item, and how many bins.  Sizes must be in falling order; an item above capacity fills a bin alone."""
+def pack(runs: list[tuple[int, int]], capacity: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """(bin, how many) of each run (size, count), and how many bins.  Sizes must fall; an item above capacity fills a bin alone."""
     tree, bins, out = CapacityTree(), 0, []
-    for size in sizes:
-        found = tree.tightest(size)
-        if found is None:
-            out.append(bins)
-            left, bins = capacity - size, bins + 1
-            if left > 0:
-                tree.add((left, bins - 1))
-            continue
-        tree.remove(found)
-        out.append(found[1])
-        if found[0] > size:
-            tree.add((found[0] - size, found[1]))
+    for size, count in runs:
+        placed = []
+        while count:
+            found = tree.tightest(size)
+            if found is None:
+                left, at = capacity, bins
+                bins += 1
+            else:
+                tree.remove(found)
+                left, at = found
+            n = min(count, max(1, left // size))  # the bin stays the tightest one until it holds no more of this size
+            count -= n
+            placed.append((at, n))
+            if left > n * size:
+                tree.add((left - n * size, at))
+        out.append(placed)
     return out, bins
 
 
-def pack_evenly(sizes: list[int], bins: int) -> list[int]:
+def pack_evenly(runs: list[tuple[int, int]], bins: int) -> list[list[tuple[int, int]]]:
     """As `pack`, with the smallest capacity found that needs at most `bins` bins."""
-    alone = 0
-    while alone < min(len(sizes), bins - 1) and sizes[alone] * (bins - alone) > sum(sizes[alone:]):
+    total, alone, rest = sum(s * n for s, n in runs), 0, [list(r) for r in runs]
+    while rest and alone < bins - 1 and rest[0][0] * (bins - alone) > total:  # larger than an even share of what is left
+        total -= rest[0][0]
         alone += 1
-    rest, left = sizes[alone:], bins - alone
+        rest[0][1] -= 1
+        if not rest[0][1]:
+            rest.pop(0)
+    heads = list(range(alone))
+    out: list[list[tuple[int, int]]] = []
+    for _, n in runs:
+        own, heads = heads[:n], heads[n:]
+        out.append([(b, 1) for b in own])
     if not rest:
-        return list(range(alone))
-    low, high = max(rest[0], -(-sum(rest) // left)), max(rest[0], -(-sum(rest) // left)) + rest[0]
+        return out
+    left, rest = bins - alone, [tuple(r) for r in rest]
+    low = max(rest[0][0], -(-total // left))
+    high = low + rest[0][0]
     while pack(rest, high)[1] > left:
         high *= 2
     while low < high:
@@ -149,50 +170,71 @@ def pack_evenly(sizes: list[int], bins: int) -> list[int]:
         low, high = (low, mid) if pack(rest, mid)[1] <= left else (mid + 1, high)
     while pack(rest, low)[1] > left:  # best fit isn't monotone in the capacity
         low += 1 + low // 10_000
-    return [*range(alone), *(alone + b for b in pack(rest, low)[0])]
+    packed = dict(zip((s for s, _ in rest), pack(rest, low)[0], strict=True))
+    return [own + [(alone + b, n) for b, n in packed.get(s, [])] for own, (s, _) in zip(out, runs, strict=True)]
+
+
+def rounded(size: str) -> Column:
+    """The column of sizes, rounded up to DIGITS binary digits."""
+    drop = f"greatest(length(bin({size})) - {DIGITS}, 0)"
+    return F.expr(f"shiftleft(shiftright({size} - 1, {drop}) + 1, {drop})")
 
 
 def _group(text: Column) -> Column:
-    return F.coalesce(F.sha2(text, 256), F.lit("null"))
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit("null").cast("binary"))
 
 
-def shard(docs: DataFrame, shards: int = 16, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs' id, size, text_crc32, law, shard, slot and grown_shard."""
-    spark = docs.sparkSession
+def _ranked(df: DataFrame, keys: list[str], order: list[str], total: int) -> DataFrame:
+    """Adds `rank`, gapless from 0 within keys: rows are dealt to cells of about CELL_ROWS, which are numbered apart and start where the ones before end."""
+    cells = max(1, -(-total // CELL_ROWS))
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(*keys, F.ceil(F.col("__n") / CELL_ROWS).cast("int").alias("__cells")) if cells > 1 else None
+    dealt = df.withColumn("__cells", F.lit(1)) if counted is None else df.join(F.broadcast(counted), keys)
+    dealt = dealt.withColumn("__cell", F.pmod(F.xxhash64(*order), F.col("__cells")).cast("int")).drop("__cells")
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__n")).select(*keys, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    within = Window.partitionBy(*keys, "__cell").orderBy(*order)
+    return dealt.withColumn("__k", F.row_number().over(within)).join(starts, [*keys, "__cell"]).withColumn("rank", (F.col("__first") + F.col("__k") - 1).cast("long")).drop("__cell", "__first", "__k")
+
+
+def shard(docs: DataFrame, folder: str, shards: int = 16, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs' id, size, text_crc32, law, shard, slot and grown_shard; texts are read once, tables of sizes go below folder."""
+    spark: SparkSession = docs.sparkSession
     body = F.col(text).cast("string")
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("crc"),
-        _group(body).alias("g"),
-    ).withColumn("bundle", F.pmod(F.xxhash64("g"), F.lit(BUNDLES)).cast("int"))
-    groups = rows.groupBy("g", "bundle").agg(F.sum("size").alias("bytes"))
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    own = F.col("bytes") >= max(1, -(-total // HEAVY))
-    found = groups.groupBy(F.when(own, F.col("g")).alias("g"), F.when(~own, F.col("bundle")).alias("bundle")).agg(F.sum("bytes").alias("bytes")).collect()
-    items = sorted(((r["bytes"], r["g"], r["bundle"]) for r in found), key=lambda x: (-x[0], x[1] or "", x[2] or 0))  # HEAVY + BUNDLES at most
-    bins = pack_evenly([x[0] for x in items], shards)
-    named = spark.createDataFrame([(g, b) for (_, g, _), b in zip(items, bins, strict=True) if g is not None], "g string, own int")
-    bundles = spark.createDataFrame([(k, b) for (_, g, k), b in zip(items, bins, strict=True) if g is None], "bundle int, shared int")
-    placed = (
-        rows.join(F.broadcast(named), "g", "left")  # HEAVY rows at most
-        .join(F.broadcast(bundles), "bundle", "left")  # BUNDLES rows at most
-        .withColumn("shard", F.coalesce("own", "shared"))
+    rows = to_table(
+        docs.select(
+            F.col(id_col).alias("id"),
+            (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
+            F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("crc"),
+            _group(body).alias("g"),
+        ),
+        f"{folder}/rows",
     )
-    return _numbered(placed, count, shards).select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    groups = to_table(rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).withColumn("class", rounded("bytes")), f"{folder}/groups")
+    count, n_groups = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    classes = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("class")).collect()  # 2^(DIGITS-1) an octave
+    packed = pack_evenly([(r["class"], r["n"]) for r in classes], shards)
+    runs = []
+    for r, placed in zip(classes, packed, strict=True):
+        ends, at = [], 0
+        for b, n in placed:
+            at += n
+            ends.append((at, b))
+        runs.append((r["class"], ends))
+    dealt = spark.createDataFrame(runs, "class bigint, runs array<struct<upto:bigint,bin:int>>")
+    of_group = (
+        _ranked(groups.select("g", "n", "class"), ["class"], ["g"], n_groups)
+        .join(F.broadcast(dealt), "class")  # a row for each class
+        .select("g", "n", F.expr("filter(runs, r -> r.upto > rank)[0].bin").alias("shard"))
     )
+    of_group = to_table(of_group, f"{folder}/placed")
+    hot = of_group.filter(F.col("n") * HOT > count).select("g", "shard")
+    own = rows.select("id", "size", "crc", "g", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))  # names a row, so equal rows part
+    placed = to_table(join_hot(own, of_group.select("g", "shard"), hot, "g", F.struct("file", "at")).drop("g"), f"{folder}/sharded")
+    numbered = _ranked(placed, ["shard"], ["id", "file", "at"], count)
+    return numbered.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _numbered(placed: DataFrame, count: int, shards: int) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard: buckets of about SLOT_ROWS rows are numbered apart and start where the ones before end."""
-    buckets = max(1, -(-count // (shards * SLOT_ROWS)) * 2)
-    cell = placed.withColumn("cell", F.pmod(F.xxhash64("id", "crc", F.lit(7)), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cell.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "cell").orderBy("id", "g")
-    return cell.withColumn("k", F.row_number().over(within)).join(starts, ["shard", "cell"]).withColumn("slot", (F.col("first") + F.col("k") - 1).cast("long"))
+def op9_best_fit_shards(spark, sf_dir: str) -> DataFrame:
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_folder(spark, "shards"))
 
 
-def op9_best_fit_shards(spark, sf_dir: str) -> DataFrame:
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
