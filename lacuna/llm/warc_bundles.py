@@ -8,8 +8,14 @@ Records with equal payloads: the one with the largest id is a `response`, the ot
 keep the HTTP head (with the payload's length) and its digest, but not the payload.  Payloads below `min_bytes`
 are always responses.
 
+Payloads are shuffled once, by digest, to meet the id that revisits refer to; rows of a digest that has more than
+1/HOT of all rows are dealt out by id instead.  A bundle's name holds the attempt that wrote it, so a second attempt
+never replaces what a committed manifest points into; bundles of lost attempts are in no manifest.  Reading takes the
+frames from the bundles' seek tables and deals them to tasks by size.
+
 Null html is an empty payload; a null url leaves out WARC-Target-URI; a null id is written as `null` and, among
-equal payloads, loses to any other.  Rows with the same id and payload as the largest are all responses.
+equal payloads, loses to any other.  Rows with the same id and payload as the largest are all responses.  A payload
+of any length is one record of one frame.  Empty tables give no bundles and no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,15 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.workspace import Replacing, arrow_schema, filesystem, new_folder, read_range, rows_of, to_table
+from lacuna.llm.workspace import HOT, Replacing, arrow_schema, filesystem, join_hot, new_folder, read_range, rows_of, to_table
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
+#: Unpacked bytes that one task reads back.
+READ_BYTES = 16 << 20
 # fixed values of the Zstandard seekable format: magic of the skippable frame that holds the table, and of its footer
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
 MANIFEST = "page_id bigint, bundle string, frame int, frame_start bigint, frame_bytes bigint, offset bigint, length bigint"
+FRAMES = "bundle string, frame int, frame_start bigint, frame_bytes bigint, raw_bytes bigint"
 DIGESTS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
@@ -152,21 +161,23 @@ def read_one(uri: str, start: int, packed: int, offset: int) -> dict:
 def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Writes the bundles and returns their manifest.  The manifest is itself written, so the bundles are written once."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    # the digest is 20 bytes; payloads are shuffled once, by digest, so that revisits meet their response
-    rows = pages.select("page_id", "url", body.alias("html"), F.unhex(F.sha1(body)).alias("digest"))
-    firsts = pages.select("page_id", F.unhex(F.sha1(body)).alias("digest")).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "first")
+    digest = F.unhex(F.sha1(body))
+    rows = pages.select("page_id", "url", body.alias("html"), digest.alias("digest"))
+    firsts = to_table(pages.select("page_id", digest.alias("digest")).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), f"{folder}/firsts")
+    hot = firsts.filter(F.col("n") * HOT > pages.count())
+    joined = join_hot(rows, firsts.select("digest", "first"), hot.select("digest", "first"), "digest", F.col("page_id")).select("page_id", "url", "html", "first")
 
     def write(batches):
         from pyspark import TaskContext
 
-        part, number, bundle, schema = TaskContext.get().partitionId(), 0, None, arrow_schema(MANIFEST)
+        task, number, bundle, schema = TaskContext.get(), 0, None, arrow_schema(MANIFEST)
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         manifest = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in batches:
             for page_id, url, html, first in rows_of(batch, "page_id", "url", "html", "first"):
                 payload = html.encode()
                 revisit = first is not None and first != page_id and len(payload) >= min_bytes
-                bundle = bundle or BundleWriter(f"{folder}/part-{part:06d}-{number:04d}.warc.zst")
+                bundle = bundle or BundleWriter(f"{folder}/{name}-{number:04d}.warc.zst")
                 bundle.add(page_id, to_record(page_id, url, payload, first, revisit))
                 if bundle.raw >= BUNDLE_BYTES:
                     yield manifest(bundle.close())
@@ -177,9 +188,14 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
     return to_table(joined.mapInArrow(write, MANIFEST), f"{folder}/manifest")
 
 
-def read_bundles(manifest: DataFrame) -> DataFrame:
-    """All records of the bundles, frame by frame; frames, not files, are dealt out to tasks."""
-    frames = manifest.select("bundle", "frame_start", "frame_bytes").distinct()
+def read_bundles(bundles: DataFrame) -> DataFrame:
+    """All records of the bundles (rows with `bundle`, repeated ones once), frame by frame; frames, not files, are dealt out to tasks."""
+
+    def frames(batches):
+        schema = arrow_schema(FRAMES)
+        for batch in batches:
+            for (uri,) in rows_of(batch, "bundle"):
+                yield pa.RecordBatch.from_pylist([{"bundle": uri, "frame": k, "frame_start": at, "frame_bytes": packed, "raw_bytes": raw} for k, (at, packed, raw) in enumerate(seek_table(uri))], schema=schema)
 
     def read(batches):
         schema = arrow_schema(RECORDS)
@@ -191,7 +207,9 @@ def read_bundles(manifest: DataFrame) -> DataFrame:
                     out.append(record)
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return frames.mapInArrow(read, RECORDS)
+    found = bundles.select("bundle").distinct().mapInArrow(frames, FRAMES)
+    size = found.agg(F.sum("raw_bytes")).first()[0] or 0
+    return found.repartition(max(1, min(-(-size // READ_BYTES), 100_000))).mapInArrow(read, RECORDS)
 
 
 def op10_warc_bundles(spark, sf_dir: str) -> DataFrame:
