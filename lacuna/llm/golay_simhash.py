@@ -12,9 +12,14 @@ the fingerprints share a key pair, 24 bits, in at least one of the three pairs o
 
 Equal fingerprints are one class from the start, so copies are never paired.  Rows of a key are compared in one
 task, which hands on a spanning forest of the links it finds, not all pairs; keys with more than CELL members are
-dealt into cells, each pair of cells being one task's work.  Components then come from star contraction.
+dealt into cells, each pair of cells being one task's work.  Components then come from star contraction.  A class
+has about 80 keys of 24 bits, so of n unrelated classes a key holds about n / 630,000: comparisons grow with the
+square of n from some 10^9 classes on, where more bits in a key (four segments) would be needed.
+
+Rows of a fingerprint or a key that has more than 1/HOT of all are dealt out by id where the others are joined.
 
 Null text counts as empty: fingerprint zero.  Rows with the same id are all kept, each with its own fingerprint.
+Long texts are hashed whole.  An empty table gives an empty result; columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.workspace import cut_lineage, rows_of
+from lacuna.llm.workspace import HOT, cut_lineage, join_hot, new_folder, rows_of, to_table
 from lacuna.operators.components import connected_components
 
 SEED = 42
@@ -33,6 +38,8 @@ MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Members of a key that are compared in one task.
 CELL = 4096
+#: Classes whose keys one task works out.
+EXPANDED = 4000
 #: Runs up to this size are compared position by position, longer ones by search from member to member.
 SHORT_RUN = 6
 # fixed value: generator polynomial of the (23, 12) Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -199,13 +206,16 @@ def candidate_keys(classes: DataFrame) -> DataFrame:
     return classes.select("fp").mapInArrow(run, "key bigint, fp bigint")
 
 
-def links(classes: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFrame:
+def links(classes: DataFrame, folder: str, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFrame:
     """Edges `(a, b)` that join all fingerprints (distinct rows `fp`) within max_bits of each other into components."""
     if not 0 <= max_bits <= 5:
         raise ValueError("the keys find links of up to 5 bits")
-    keys = candidate_keys(classes)
-    hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell).select("key", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
-    marked = keys.join(hot, "key", "left")
+    spread = classes.select("fp").repartition(max(1, min(-(-classes.count() // EXPANDED), 100_000)))
+    keys = to_table(candidate_keys(spread), f"{folder}/keys")
+    counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell).select("key", "n", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
+    crowded = cut_lineage(counted)
+    hot = crowded.filter(F.col("n") * HOT > keys.count()).select("key", "cells")
+    marked = join_hot(keys, crowded.select("key", "cells"), hot, "key", F.col("fp"))
     mine = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
     other = F.when(F.col("cells").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))
     dealt = marked.withColumn("mine", mine).withColumn("other", F.explode(other)).select(
@@ -217,17 +227,20 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> Dat
     return _links(sorted_, max_bits).distinct()
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, text: str = "text", id_col: str = "doc_id", cell: int = CELL) -> DataFrame:
-    """`(id, fp, component_id)` for every row of docs; component_id is the least id that links lead to."""
-    prints = cut_lineage(fingerprints(docs, text, id_col, shingle))
-    classes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = connected_components(links(classes, max_bits, cell), cut_lineage)
+def near_duplicates(docs: DataFrame, folder: str, max_bits: int = MAX_BITS, shingle: int = SHINGLE, text: str = "text", id_col: str = "doc_id", cell: int = CELL) -> DataFrame:
+    """`(id, fp, component_id)` for every row of docs; component_id is the least id that links lead to.  Tables go below folder."""
+    prints = to_table(fingerprints(docs, text, id_col, shingle), f"{folder}/prints")
+    classes = to_table(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), f"{folder}/classes")
+    roots = connected_components(links(classes, folder, max_bits, cell), cut_lineage)
     linked = roots.join(classes, roots["node"] == classes["fp"]).select("fp", "rep", "root")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))  # one row per component of several fingerprints
-    of_class = classes.join(linked.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return prints.join(of_class, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = classes.join(linked.join(least, "root").select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id"))
+    of_class = to_table(named, f"{folder}/components")
+    hot = of_class.filter(F.col("n") * HOT > prints.count())
+    out = join_hot(prints, of_class.select("fp", "component_id"), hot.select("fp", "component_id"), "fp", F.col("id"))
+    return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op8_golay_simhash(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_folder(spark, "simhash"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
