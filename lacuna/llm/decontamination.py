@@ -7,9 +7,12 @@ regions around an item's hits are merged, so that none is read twice, and Myers'
 least edit distance of the item to any part of the region.
 
 The items of the benchmark go to the tasks by broadcast, in blocks of at most about BLOCK_BYTES of text; a larger
-benchmark takes one pass over the documents for each block.  There is no shuffle and no pairing of rows.
+benchmark takes one pass over the documents for each block, and one block is alive at a time: what its pass found is
+written before the next is read.  There is no shuffle and no pairing of rows.
 
-Null or empty texts and items without words match nothing.  Equal items and repeated rows are all reported.
+Null or empty texts and items without words match nothing.  Equal items and repeated rows are all reported.  Ids of
+documents and items may be of any type, and null.  Long texts are searched whole.  Empty tables give no matches, and
+without matches all documents stay, with all their columns; no column is added, so no name can clash.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.workspace import rows_of
+from lacuna.llm.workspace import new_folder, portions, rows_of, to_table
 
 RATE = 0.05
 BLOCK_BYTES = 16 << 20
@@ -173,54 +176,68 @@ def _outside(spans: list[tuple[int, int, int, int]], begin: int, end: int) -> tu
 _matchers: list[tuple[list, float, Matcher]] = []
 
 
-def _blocks(benchmark: DataFrame) -> list:
-    """Broadcasts of `(item_id, text)` lists, each of about BLOCK_BYTES of text."""
+def _blocks(benchmark: DataFrame):
+    """One after the other, `(item_id, text)` lists of about BLOCK_BYTES of text, and whether one is the last."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
-    parts = (items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n))
-    return [benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()]) for part in parts]
+    for k in range(n):
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n)) == k)
+        yield [tuple(r) for r in part.collect()], k == n - 1
 
 
 def _matcher(items: list, rate: float) -> Matcher:
     if not _matchers or _matchers[0][0] is not items or _matchers[0][1] != rate:
-        _matchers[:] = [(items, rate, Matcher(items, rate))]
+        _matchers.clear()
+        _matchers.append((items, rate, Matcher(items, rate)))
     return _matchers[0][2]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """`(doc_id, item_id, distance, start, end)`: the best match of every item in every document that has one."""
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"{id_col} {kind}, item_id {item_kind}, distance int, start bigint, `end` bigint"
-    narrow, found = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")), None
-    for sent in _blocks(benchmark):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = docs.sparkSession
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    schema = f"{id_col} {kind}, item_id {item_type.simpleString()}, distance int, start bigint, `end` bigint"
+    narrow, folder, found = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")), new_folder(spark, "matches"), []
+    types = (to_arrow_type(item_type), pa.int32(), pa.int64(), pa.int64())
+    for k, (items, last) in enumerate(_blocks(benchmark)):
+        sent = spark.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
             match = _matcher(sent.value, rate)
             for batch in batches:
                 out = [(i, *hit) for i, t in rows_of(batch, "id", "text") for hit in match(t or "")]
-                ids, names, *spans = zip(*out, strict=True) if out else ((),) * 5
-                types = (pa.int32(), pa.int64(), pa.int64())
-                columns = [pa.array(ids, batch.schema.field("id").type), pa.array(names, pa.int64() if item_kind == "bigint" else pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, t) for x, t in zip(spans, types, strict=True))], [id_col, "item_id", "distance", "start", "end"])
+                ids, *columns = zip(*out, strict=True) if out else ((),) * 5
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], [id_col, "item_id", "distance", "start", "end"])
 
         part = narrow.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+        if not last:
+            part = to_table(part, f"{folder}/{k}")
+            sent.destroy()
+        found.append(part)
+    for part in found[1:]:
+        found[0] = found[0].unionByName(part)
+    return found[0]
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns: one pass for each block, no shuffle."""
-    at = docs.columns.index(text)
-    for sent in _blocks(benchmark):
+    at, folder = docs.columns.index(text), new_folder(docs.sparkSession, "without")
+    for k, (items, last) in enumerate(_blocks(benchmark)):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
             match = _matcher(sent.value, rate)
             for batch in batches:
-                keep = [not match(t or "") for k in range(0, batch.num_rows, 256) for t in batch.column(at).slice(k, 256).to_pylist()]
+                keep = [not match(t or "") for a, n in portions(batch.column(at), 256) for t in batch.column(at).slice(a, n).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = to_table(docs, f"{folder}/{k}")
+            sent.destroy()
     return docs
 
 
