@@ -3,12 +3,14 @@
 A rule is `(action, host, path)`.  It fits the host and all its subdomains where the url's path starts with the
 rule's path.  Of the rules that fit, the longest (host and path together) wins, then the longer host, then
 `block`.  The host labels are walked from the last to the first; every host node carries a second trie over
-whole path segments, whose nodes list the unfinished last segments of their rules.
+whole path segments, whose nodes hold the unfinished last segments of their rules by length: a url is compared with
+one of each length that occurs, however many rules end there.
 
-The compiled trie goes to the executors in the closure of the one map over urls; `compile_rules` refuses more
-than MAX_RULES, and `judge` then runs the rules in several tries of that size, one map each, and keeps the best.
+The compiled trie is broadcast; `compile_rules` refuses more than MAX_RULES, and `judge` then runs the rules in
+several tries of that size, one map each, and keeps the best.
 
-Null urls and urls without `://` have an empty host and path, and no rule fits them.
+Null urls and urls without `://` have an empty host and path, and no rule fits them.  Urls are judged row by row, so
+repeated rows and ids, long urls and empty tables are nothing special; columns other than id and url are not looked at.
 """
 
 from __future__ import annotations
@@ -59,6 +61,10 @@ def compile_rules(rules: Iterable[Rule]) -> dict:
         ends = node.setdefault("ends", {})
         if ends.get(last, ("", "allow"))[1] != "block":
             ends[last] = (host + path, action)
+        lengths = node.setdefault("lengths", [])
+        if len(last) not in lengths:
+            lengths.append(len(last))
+            lengths.sort(reverse=True)
     return root
 
 
@@ -66,12 +72,10 @@ def _best_path(node: dict, path: str) -> tuple[str, str] | None:
     """The longest rule in one host's path trie that path starts with."""
     best, parts = None, path.split("/")
     for k, part in enumerate(parts):
-        ends = node.get("ends")
-        if ends:
-            rest = "/".join(parts[k:])  # an unfinished last piece may itself be longer than this segment only where rules hold no slash
-            fits = [e for e in ends if rest.startswith(e)]
-            if fits:
-                best = ends[max(fits, key=len)]
+        for n in node.get("lengths", ()):
+            if found := node["ends"].get(part[:n] if n <= len(part) else None):
+                best = found
+                break
         node = node.get(("segment", part))
         if node is None:
             break
@@ -104,11 +108,12 @@ def judge(urls: DataFrame, rules: list[Rule] = RULES, url: str = "url", default:
     tries = [compile_rules(rules[k : k + MAX_RULES]) for k in range(0, max(1, len(rules)), MAX_RULES)]
     out = urls.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("u"))
     for k, trie in enumerate(tries):
+        sent = urls.sparkSession.sparkContext.broadcast(trie)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + f", rule{k} string, action{k} string"
 
-        def match(batches, trie=trie, k=k):
+        def match(batches, sent=sent, k=k):
             for batch in batches:
-                found = [longest_match(trie, *split_url(u)) or (None, None) for (u,) in rows_of(batch, "u")]
+                found = [longest_match(sent.value, *split_url(u)) or (None, None) for (u,) in rows_of(batch, "u")]
                 for name, at in ((f"rule{k}", 0), (f"action{k}", 1)):
                     batch = batch.append_column(name, pa.array([x[at] for x in found], pa.string()))
                 yield batch
