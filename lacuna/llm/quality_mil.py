@@ -1,15 +1,19 @@
 """Quality classifier: gated attention over a document's passages (multiple-instance learning).
 
-A document is a bag of passages of PASSAGE words.  A passage is encoded as surface statistics and hashed words,
-a hidden layer h, and an attention weight softmax(w . (tanh(V h) * sigmoid(U h))); the document's score is a
-logistic of the weighted mean of h.  Only documents carry labels; the attention weights are learned from those.
-
-Learning uses at most SAMPLE labelled rows (those with the least hash of their id among the training folds) in
-numpy on the driver; scoring runs over all rows, map-side.  The id decides folds and the sample and is never part
-of a score, nor are labels, lang or source.
-
-Null and empty texts are one passage without words and are scored like any other.  Without labelled rows, or with
-one class alone, the score is the share of label 1 (0.5 without any).
+A document is a bag of passages of PASSAGE words.  A passage's learned encoding has two layers: embeddings of hashed
+words and word ends, pooled over the passage, together with surface statistics give a hidden layer g, and that gives
+h.  The attention weight is softmax(w . (tanh(V h) * sigmoid(U h))), the document's score a logistic of the weighted
+mean of h.  Only documents carry labels; embeddings, layers and attention are learned from those.
+
+Learning uses at most SAMPLE labelled ids (those with the least hash among the training folds), one row of each (that
+of the least features), and at most FIT_PASSAGES passages of a row, evenly spread, in numpy on the driver; scoring runs
+over all rows and passages, map-side.  The id decides folds and the sample and is never part of a score, nor are
+labels, lang or source.
+
+Null and empty texts are one passage without words and are scored like any other; repeated rows score alike; an id
+with several labels counts with the greatest.  Without labelled rows, or with one class alone, the score is the share
+of label 1 (0.5 without any).  An empty table gives an empty result.  Other columns are carried along as they are;
+the caller names the score's column.
 """
 
 from __future__ import annotations
@@ -22,19 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.workspace import portions
+
 PASSAGE = 64
 #: Most labelled rows that the model is fitted to.
 SAMPLE = 4000
-HASHED = 32
-HIDDEN, ATTENTION = 16, 8
-EPOCHS, RATE, DECAY, SEED = 120, 0.02, 1e-4, 7
+#: Most passages of a row that the model is fitted to.
+FIT_PASSAGES = 64
+HASHED, ENDS = 96, 32
+WORDS, HIDDEN, ATTENTION = 24, 16, 8
+EPOCHS, RATE, DECAY, SEED = 60, 0.02, 1e-3, 7
 THRESHOLD = 0.3
 FOLDS = 5
 
 _SYMBOLS = b"#*$%&|<>{}[]\\^~=+_@"
 _UPPER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _MARKS, _HIGH = b".,;:!?'\"()-/", bytes(range(128, 256))
-N_FEATURES = 13 + HASHED
+N_SURFACE = 13
+N_FEATURES = N_SURFACE + HASHED + ENDS
 
 
 def passages(text: str) -> np.ndarray:
@@ -63,7 +72,8 @@ def passages(text: str) -> np.ndarray:
             sum(w[-1:] in b".!?" for w in part) / n,
             line.count(b"!!") / n,
         )
-        row[13:] = np.bincount([zlib.crc32(w) & (HASHED - 1) for w in part], minlength=HASHED) / n
+        row[N_SURFACE : N_SURFACE + HASHED] = np.bincount([zlib.crc32(w) % HASHED for w in part], minlength=HASHED) / n
+        row[N_SURFACE + HASHED :] = np.bincount([zlib.crc32(w[-2:]) % ENDS for w in part], minlength=ENDS) / n
         seen |= own
     return out
 
@@ -77,7 +87,8 @@ class Model:
 
     def forward(self, x: np.ndarray, starts: np.ndarray):
         w = self.weights
-        h = np.tanh(((x - self.mean) / self.scale).astype(np.float64) @ w["W"] + w["b"])
+        g = np.tanh(((x - self.mean) / self.scale).astype(np.float64) @ w["E"] + w["e"])
+        h = np.tanh(g @ w["W"] + w["b"])
         t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
         e = (t * s) @ w["w"]
         sizes = np.diff(np.r_[starts, len(x)])
@@ -85,7 +96,7 @@ class Model:
         a = np.exp(e - np.maximum.reduceat(e, starts)[bag])
         a /= np.add.reduceat(a, starts)[bag]
         z = np.add.reduceat(a[:, None] * h, starts)
-        return h, t, s, a, bag, z, 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["c0"], -30, 30)))
+        return g, h, t, s, a, bag, z, 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["c0"], -30, 30)))
 
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
         if self.constant is not None or not bags:
@@ -94,12 +105,12 @@ class Model:
         return self.forward(np.concatenate(bags), np.cumsum(sizes) - sizes)[-1]
 
     def attention(self, bag: np.ndarray) -> np.ndarray:
-        return self.forward(bag, np.array([0]))[3]
+        return self.forward(bag, np.array([0]))[4]
 
 
 def _gradient(model: Model, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     w = model.weights
-    h, t, s, a, bag, z, p = model.forward(x, starts)
+    g, h, t, s, a, bag, z, p = model.forward(x, starts)
     ds = (p - y) / len(y)
     dz = ds[:, None] * w["c"]
     da = (h * dz[bag]).sum(1)
@@ -107,7 +118,8 @@ def _gradient(model: Model, x: np.ndarray, starts: np.ndarray, y: np.ndarray) ->
     dg = de[:, None] * w["w"]
     dt, du = dg * s * (1 - t**2), dg * t * s * (1 - s)
     dh = (a[:, None] * dz[bag] + dt @ w["V"].T + du @ w["U"].T) * (1 - h**2)
-    out = {"W": ((x - model.mean) / model.scale).T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ du, "w": (t * s).T @ de, "c": z.T @ ds, "c0": ds.sum()}
+    dg1 = dh @ w["W"].T * (1 - g**2)
+    out = {"E": ((x - model.mean) / model.scale).T @ dg1, "e": dg1.sum(0), "W": g.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ du, "w": (t * s).T @ de, "c": z.T @ ds, "c0": ds.sum()}
     return {k: v + DECAY * w[k] for k, v in out.items()}
 
 
@@ -116,7 +128,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray) -> Model:
     rng = np.random.default_rng(SEED)
     flat = np.concatenate(bags) if bags else np.zeros((1, N_FEATURES), np.float32)
     init = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-    weights = {"W": init(N_FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": init(HIDDEN, ATTENTION), "U": init(HIDDEN, ATTENTION), "w": init(ATTENTION), "c": init(HIDDEN), "c0": np.zeros(())}
+    weights = {"E": init(N_FEATURES, WORDS), "e": np.zeros(WORDS), "W": init(WORDS, HIDDEN), "b": np.zeros(HIDDEN), "V": init(HIDDEN, ATTENTION), "U": init(HIDDEN, ATTENTION), "w": init(ATTENTION), "c": init(HIDDEN), "c0": np.zeros(())}
     model = Model(flat.mean(0), np.maximum(flat.std(0), 1e-3), weights)
     if len(set(y.tolist())) < 2:
         model.constant = float(y[0]) if len(y) else 0.5
@@ -146,11 +158,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches):
         for batch in batches:
-            bags = [passages(t or "").tobytes() for k in range(0, batch.num_rows, 256) for t in batch.column(2).slice(k, 256).to_pylist()]
+            bags = []
+            for a, n in portions(batch.column(2), 256):
+                for t in batch.column(2).slice(a, n).to_pylist():
+                    bag = passages(t or "")
+                    bags.append(bag[np.linspace(0, len(bag) - 1, min(len(bag), FIT_PASSAGES)).astype(int)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], ["doc_id", "quality", "bag"])
 
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    rows = sorted(labelled.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, bag binary").collect())
+    found = labelled.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, bag binary")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("quality", "bag")).alias("x")).select("doc_id", "x.*").collect()  # SAMPLE rows of FIT_PASSAGES passages
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in rows], np.array([r["quality"] for r in rows], float))
 
 
@@ -163,8 +181,8 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "s
     def run(batches):
         for batch in batches:
             scores = [np.empty(0)]
-            for k in range(0, batch.num_rows, 128):
-                scores.append(model.score([passages(t or "") for t in batch.column(at).slice(k, 128).to_pylist()]))
+            for k, n in portions(batch.column(at), 128, 1 << 20):
+                scores.append(model.score([passages(t or "") for t in batch.column(at).slice(k, n).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
