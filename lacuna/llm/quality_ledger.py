@@ -4,8 +4,9 @@ Every rule is evaluated once per document; the ledger keeps the measurements and
 failed.  A policy is a named mask over those bits, so judging a corpus under another policy, or asking what a
 rule contributes, reads the ledger and never the texts.  Only DataFrame functions are used.
 
-Null or empty text has no words and fails `few_words`.  Repeated rows are judged alike; other columns, whatever
-their names, are not looked at.  An empty table gives an empty ledger.
+Null or empty text has no words and fails `few_words`.  Repeated rows are judged alike; long texts are measured
+whole.  Other columns are carried along; where one has a measurement's name, it is returned as given_<name>.  An empty
+table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.llm.workspace import free_name
+
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -41,7 +44,7 @@ def _without(text: Column, chars: str) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds MEASURES to docs.  Everything is computed within the row: no shuffle, whatever the skew."""
-    body, words, hashes, runs = "__body", "__words", "__hashes", "__runs"
+    body, words, hashes, runs, kept = (free_name(docs, n) for n in ("__body", "__words", "__hashes", "__runs", "__lines"))
     df = docs.withColumn(body, F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = df.withColumn(words, F.array_remove(F.split(body, SPACE), ""))
     w, n = F.col(words), F.size(words)
@@ -66,25 +69,26 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a: a["n"],
     )
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(_without(x, SPACE_CHARS)) > 0)
-    df = df.withColumn("__lines", lines)
+    df = df.withColumn(kept, lines)
     size = F.length(body)
     measures = F.struct(
         n.cast("long").alias("n_words"),
         F.length(_without(F.col(body), SPACE_CHARS)).cast("long").alias("word_chars"),
         (size - F.length(_without(F.col(body), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(kept) - F.size(F.array_distinct(kept))).cast("long").alias("n_dup_lines"),
         F.when(F.size(r) == 0, F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
+        F.size(kept).cast("long").alias("n_lines"),
         (size - F.length(_without(F.col(body), CAPITALS))).cast("long").alias("n_capitals"),
     )
     # a generator of one row: filters on the measurements stay above it, so nothing is worked out anew for them
-    return df.select(*[docs[c] for c in docs.columns], F.inline(F.array(measures)))
+    return df.select(*[df[f"`{c}`"] for c in docs.columns], F.inline(F.array(measures)))
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns of docs (all if None), the measurements and `failure_bits`."""
     narrow = docs if keep is None else docs.select(*dict.fromkeys([*keep, text]))
-    narrow = narrow.drop(*[c for c in MEASURES + ["failure_bits"] if c in narrow.columns and c != text])
+    clash = {c: free_name(docs, f"given_{c}") for c in narrow.columns if c.lower() in [*MEASURES, "failure_bits"]}
+    narrow, text, keep = narrow.withColumnsRenamed(clash), clash.get(text, text), keep and [clash.get(c, c) for c in keep]
     measured = measure(narrow, text)
     bits = F.lit(0).cast("long")
     for name, failed in RULES.items():
@@ -123,6 +127,10 @@ def op7_quality_ledger(spark, sf_dir: str) -> DataFrame:
     return book.select("doc_id", *MEASURES, "failure_bits", failed.alias("base_failed"), (~failed & passes(F.col("failure_bits"))).alias("kept"))
 
 
+def ledger_ablations(spark, sf_dir: str) -> DataFrame:
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"]))
+
+
 OP7_SQL = r"""
 with d as (
   select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents
@@ -154,3 +162,11 @@ with d as (
 )
 select *, (failure_bits & 3) <> 0 as base_failed, failure_bits = 0 as kept from b
 """
+
+ABLATIONS_SQL = OP7_SQL.replace("select *, (failure_bits & 3) <> 0 as base_failed, failure_bits = 0 as kept from b", "") + """, r(rule, bit) as (
+  values """ + ", ".join(f"('{name}', cast({bit} as bigint))" for name, bit in BITS.items()) + """
+)
+select rule, bit, count(*) filter (failure_bits & bit <> 0) as failed, count(*) filter (failure_bits = bit) as failed_alone,
+       count(*) filter (failure_bits = 0 or failure_bits = bit) as passing_without, count(*) as n_rows
+from b, r group by rule, bit
+"""

@@ -8,7 +8,7 @@ from lacuna.llm.decontamination import op3_pigeonhole_decontamination
 from lacuna.llm.golay_simhash import op8_golay_simhash
 from lacuna.llm.huffman_tokens import op1_huffman_tokens
 from lacuna.llm.neural_lm import op2_log_bilinear_lm
-from lacuna.llm.quality_ledger import OP7_SQL, op7_quality_ledger
+from lacuna.llm.quality_ledger import ABLATIONS_SQL, OP7_SQL, ledger_ablations, op7_quality_ledger
 from lacuna.llm.quality_mil import op4_attention_quality
 from lacuna.llm.url_rules import OP5_SQL, op5_url_trie
 from lacuna.llm.warc_bundles import OP10_SQL, op10_warc_bundles
@@ -22,6 +22,7 @@ _ALL = {
     "op4_attention_quality": op4_attention_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_ledger": op7_quality_ledger,
+    "ledger_ablations": ledger_ablations,
     "op8_golay_simhash": op8_golay_simhash,
     "op9_best_fit_shards": op9_best_fit_shards,
     "op10_warc_bundles": op10_warc_bundles,
@@ -32,4 +33,5 @@ ORACLE_SQL = {
     "op5_url_trie": OP5_SQL,
     "op7_quality_ledger": OP7_SQL,
     "op10_warc_bundles": OP10_SQL,
+    "ledger_ablations": ABLATIONS_SQL,
 }
