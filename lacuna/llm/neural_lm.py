@@ -3,19 +3,25 @@
 Tokens are lower-cased words and one end per text.  The model's symbols are the end, the VOCABULARY most frequent
 training words and CLASSES classes of all other words (by their last two bytes).  Within a class, unseen words are
 one outcome, as they are in the base score, with the Good-Turing share (words seen once / tokens); a seen word has
-its part of the rest.  A symbol's probability given
-the CONTEXT symbols before it is softmax(R q + b) with q = sum of C_i r_i; it is normalised over all symbols by
-batched matrix products, once for each distinct context that a task meets.
+its part of the rest.
+
+A symbol's probability given the CONTEXT symbols before it is that of its group times that within the group, both
+learned: softmax(S q + t) over GROUPS groups, softmax(R q + b) over the group's symbols, with q = sum of c_i * e_i over
+the context.  Groups hold equally many symbols that follow the same COMPANY frequent symbols.  Both softmaxes are
+normalised by batched matrix products, so a token costs GROUPS + symbols / GROUPS products, not one for each symbol.
 
 1. One pass cuts every text into indices of a dictionary of its block (at most BLOCK_TOKENS tokens of one task).
 2. The dictionaries, not the tokens, are shuffled: training counts are summed by word and sent back to the blocks.
 3. Every document becomes its symbols, its base score and its words' shares within classes.
-4. Each task trains on all tokens of its training rows by noise-contrastive estimation, starting from the common
-   parameters; the results are averaged by Spark, weighted by tokens, ROUNDS times.
-5. One pass scores every row.
-
-Null text counts as empty: one end.  Rows are scored one by one, so repeated ids are fine.  Without training rows
-all counts are zero and the model is uniform.
+4. One pass counts what follows frequent symbols; from these counts the symbols are grouped.
+5. Training rows are dealt by hash into shards of about SHARD_TOKENS, so neither the order of rows nor the layout of
+   files matters.  Each shard is trained on from the common parameters by noise-contrastive estimation of both
+   softmaxes; parameters and AdaGrad's sums are averaged by Spark, weighted by tokens, ROUNDS times.
+6. One pass scores every row.
+
+Null text counts as empty: one end.  Rows are scored one by one, so repeated ids and rows are fine, and texts of any
+length are scored whole.  Without training rows all counts are zero and the model is uniform; an empty table gives an
+empty result.  Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -30,22 +36,33 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.workspace import new_folder, to_table
+from lacuna.llm.workspace import new_folder, portions, to_table
 
-VOCABULARY = 1024
+VOCABULARY = 16_384
 CLASSES = 256
-CONTEXT = 2
+GROUPS = 128
+#: The end and the most frequent words, whose followers decide the groups.
+COMPANY = 64
+CONTEXT = 3
 DIM = 24
-NOISE = 64
-BATCH = 4096
-RATE = 0.15
+#: Noise samples for the group of a token, and within it.
+NOISE = 32
+BATCH = 16_384
+#: Tokens of one group that share noise samples.
+TOGETHER = 32
+RATE = 0.2
 #: Passes over all training tokens, each followed by averaging.
 ROUNDS = 1
+SHARD_TOKENS = 4_000_000
 BLOCK_TOKENS = 3_000_000
 FOLDS, HELD_OUT = 7, 2
 SEED = 11
 #: The end of a text; no word holds white space.
 END = "\n"
+N_SYMBOLS = 1 + VOCABULARY + CLASSES
+#: Places of a group; the last ones of some groups stay empty.
+WIDTH = -(-N_SYMBOLS // GROUPS)
+SLOTS = GROUPS * WIDTH
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
@@ -79,79 +96,155 @@ def shares(n: int, once: int) -> tuple[float, float]:
 # --- the model -----------------------------------------------------------------------------------------------
 
 
-class LogBilinear:
-    """Parameters as one vector: R (symbols x DIM), b (symbols), C (CONTEXT x DIM x DIM)."""
+def grouped(company: np.ndarray) -> np.ndarray:
+    """Slot (group * WIDTH + place) of each symbol, from counts (COMPANY x symbols): halved again and again across the direction in which the followed symbols differ most."""
+    expected = company.sum(1, keepdims=True) * (company.sum(0, keepdims=True) / max(1, company.sum()))
+    x = np.log((company + 1.0) / (expected + 1.0)).T
+    parts = [np.arange(company.shape[1])]
+    while len(parts) < GROUPS:
+        halves = []
+        for own in parts:
+            y = x[own] - x[own].mean(0)
+            direction = np.linalg.eigh(y.T @ y)[1][:, -1]
+            order = own[np.argsort(np.round(y @ direction, 6) * (1 if direction[np.abs(direction).argmax()] > 0 else -1), kind="stable")]
+            halves += [order[: len(order) // 2], order[len(order) // 2 :]]
+        parts = halves
+    slot = np.empty(company.shape[1], np.int64)
+    for g, own in enumerate(parts):
+        slot[own] = g * WIDTH + np.arange(len(own))
+    return slot
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):  # 1 / inf is 0
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp along the last axis; exponents of 80 and more don't occur in a trained model."""
+    np.minimum(x, 80, out=x)
+    return np.log(np.exp(x, out=x).sum(-1))
+
 
-    def __init__(self, counts: np.ndarray, vector: np.ndarray | None = None):
-        self.n = len(counts)
-        self.noise = (counts + 1.0) / (counts + 1.0).sum()
-        if vector is None:
+def _summed_by(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices, sorted, and the sums of their rows."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    return index[first], np.add.reduceat(rows[order], first)
+
+
+class LogBilinear:
+    """Parameters as one vector: E and R (slots x DIM), b (slots), S (groups x DIM), t (groups), c (CONTEXT x DIM)."""
+
+    SHAPES = {"E": (SLOTS, DIM), "R": (SLOTS, DIM), "b": (SLOTS,), "S": (GROUPS, DIM), "t": (GROUPS,), "c": (CONTEXT, DIM)}
+
+    def __init__(self, counts: np.ndarray, state: np.ndarray | None = None):
+        """counts: of training tokens by slot, -1 for empty places.  state: the parameters and AdaGrad's sums."""
+        filled = counts >= 0
+        own = np.where(filled, counts + 1.0, 0.0).reshape(GROUPS, WIDTH)
+        self.groups = own.sum(1) / own.sum()
+        self.within = own / own.sum(1, keepdims=True)
+        size = sum(int(np.prod(x)) for x in self.SHAPES.values())
+        if state is None:
             rng = np.random.default_rng(SEED)
-            vector = np.concatenate([rng.normal(0, 0.1, self.n * DIM), np.log(self.noise), *(np.eye(DIM).ravel() * w for w in (0.5, 0.25, 0.125, 0.06)[:CONTEXT])])
-        self.vector = vector.astype(np.float32)
-        k = self.n * DIM
-        self.R, self.b, self.C = self.vector[:k].reshape(self.n, DIM), self.vector[k : k + self.n], self.vector[k + self.n :].reshape(CONTEXT, DIM, DIM)
-        self._norms: dict[int, float] = {}
+            with np.errstate(divide="ignore"):
+                b = np.maximum(np.log(self.within), -1e4)
+            first = {"E": rng.normal(0, 0.3, (SLOTS, DIM)), "R": np.zeros((SLOTS, DIM)), "b": b, "S": np.zeros((GROUPS, DIM)), "t": np.log(self.groups), "c": np.outer(1 / np.arange(1, CONTEXT + 1), np.ones(DIM))}
+            state = np.concatenate([*(np.ravel(first[k]) for k in self.SHAPES), np.ones(size)])
+        self.state, at = np.array(state, np.float32), 0
+        self.sums: dict[str, np.ndarray] = {}
+        for name, shape in self.SHAPES.items():
+            n = int(np.prod(shape))
+            setattr(self, name, self.state[at : at + n].reshape(shape))
+            self.sums[name] = self.state[size + at : size + at + n].reshape(shape)
+            at += n
+        self.log_groups = np.log(NOISE * self.groups).astype(np.float32)
+        with np.errstate(divide="ignore"):
+            self.log_within = np.maximum(np.log(NOISE * self.within), -1e4).ravel().astype(np.float32)
+        self.drawing = (np.arange(GROUPS)[:, None] + np.minimum(np.cumsum(self.within, axis=1), 1)).ravel()
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.R[contexts[:, i]] @ self.C[i] for i in range(CONTEXT))
-
-    def log_probabilities(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all symbols."""
-        key = contexts[:, 0].astype(np.int64)
+        q = self.E[contexts[:, 0]] * self.c[0]
         for i in range(1, CONTEXT):
-            key = key * self.n + contexts[:, i]
-        distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
-        norms = np.array([self._norms.get(k, np.nan) for k in distinct.tolist()])
-        new = np.flatnonzero(np.isnan(norms))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            s = self.predicted(contexts[first[part]]) @ self.R.T + self.b
-            top = s.max(1)
-            norms[part] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        if len(self._norms) + len(new) > 1_000_000:
-            self._norms.clear()
-        self._norms.update(zip(distinct[new].tolist(), norms[new].tolist(), strict=True))
-        out = np.empty(len(symbols))
-        for k in range(0, len(symbols), 1 << 16):
-            c, w = contexts[k : k + (1 << 16)], symbols[k : k + (1 << 16)]
-            out[k : k + len(w)] = np.einsum("ij,ij->i", self.predicted(c), self.R[w]) + self.b[w]
-        return out - norms[back]
-
-    def train(self, contexts: np.ndarray, symbols: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass of noise-contrastive estimation over all rows, by AdaGrad; the noise is the unigram distribution, shared within a batch."""
-        scale = np.full(len(self.vector), 0.1, np.float32)
-        k = self.n * DIM
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        order = rng.permutation(len(symbols))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            ctx, w = contexts[rows], symbols[rows]
-            drawn = rng.choice(self.n, NOISE, p=self.noise)
-            q = self.predicted(ctx)
-            sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-            d_data = sigmoid((q * self.R[w]).sum(1) + self.b[w] - log_noise[w]) - 1
-            d_noise = sigmoid(q @ self.R[drawn].T + self.b[drawn] - log_noise[drawn])
-            size = np.float32(1 / len(rows))
-            grad = np.zeros_like(self.vector)
-            gR, gb, gC = grad[:k].reshape(self.n, DIM), grad[k : k + self.n], grad[k + self.n :].reshape(CONTEXT, DIM, DIM)
-            dq = d_data[:, None] * self.R[w] + d_noise @ self.R[drawn]
-            np.add.at(gR, w, d_data[:, None] * q)
-            np.add.at(gR, drawn, d_noise.T @ q)
-            np.add.at(gb, w, d_data)
-            np.add.at(gb, drawn, d_noise.sum(0))
-            for i in range(CONTEXT):
-                gC[i] = self.R[ctx[:, i]].T @ dq
-                np.add.at(gR, ctx[:, i], dq @ self.C[i].T)
-            grad *= size
-            scale += grad * grad
-            self.vector -= RATE * np.where(grad == 0, 0, grad / np.sqrt(scale)).astype(np.float32)
-
-
-def contexts_of(symbols: np.ndarray, end: int = 0) -> np.ndarray:
-    """The CONTEXT symbols before each symbol of one text, nearest first; ends stand before its start."""
-    padded = np.concatenate([np.full(CONTEXT, end, symbols.dtype), symbols])
-    return np.stack([padded[CONTEXT - 1 - i : CONTEXT - 1 - i + len(symbols)] for i in range(CONTEXT)], 1)
+            q += self.E[contexts[:, i]] * self.c[i]
+        return q
+
+    @staticmethod
+    def blocks(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group of each block, rows of each block): at most TOGETHER rows of one group, filled up with -1."""
+        order, n = np.argsort(groups, kind="stable"), np.bincount(groups, minlength=GROUPS)
+        many = -(-n // TOGETHER)
+        at = np.arange(len(groups)) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(many) - many) * TOGETHER, n)
+        rows = np.full(int(many.sum()) * TOGETHER, -1, np.int64)
+        rows[at] = order
+        return np.repeat(np.arange(GROUPS), many), rows.reshape(-1, TOGETHER)
+
+    def log_probabilities(self, contexts: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Natural logarithms, normalised over all symbols."""
+        out = np.empty(len(slots))
+        for k in range(0, len(slots), 1 << 14):
+            w = slots[k : k + (1 << 14)]
+            q, g = self.predicted(contexts[k : k + len(w)]), w // WIDTH
+            s = q @ self.S.T
+            s += self.t
+            value = s[np.arange(len(w)), g] + np.einsum("ij,ij->i", q, self.R[w]) + self.b[w]
+            value -= _log_sum(s)
+            of_block, rows = self.blocks(g)
+            r = q[rows] @ self.R.reshape(GROUPS, WIDTH, DIM)[of_block].transpose(0, 2, 1)
+            r += self.b.reshape(GROUPS, 1, WIDTH)[of_block]
+            real = rows >= 0
+            value[rows[real]] -= _log_sum(r)[real]
+            out[k : k + len(w)] = value
+        return out
+
+    def _moved(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        gradient = gradient.astype(np.float32, copy=False)
+        sums = self.sums[name][rows] + gradient * gradient
+        self.sums[name][rows] = sums
+        np.sqrt(sums, out=sums)
+        gradient = RATE * gradient
+        gradient /= sums
+        getattr(self, name)[rows] -= gradient
+
+    def step(self, contexts: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> None:
+        """Noise-contrastive estimation of both softmaxes on one batch, by AdaGrad; noise comes from the unigram distributions."""
+        q, g = self.predicted(contexts), w // WIDTH
+        z = rng.choice(GROUPS, NOISE, p=self.groups)
+        weight = _sigmoid(q @ self.S[z].T + (self.t[z] - self.log_groups[z])) @ np.eye(GROUPS, dtype=np.float32)[z]
+        weight[np.arange(len(w)), g] += _sigmoid(np.einsum("ij,ij->i", q, self.S[g]) + self.t[g] - self.log_groups[g]) - 1
+        dq = weight @ self.S
+        data = _sigmoid(np.einsum("ij,ij->i", q, self.R[w]) + self.b[w] - self.log_within[w]) - 1
+        dq += data[:, None] * self.R[w]
+        of_block, rows = self.blocks(g)
+        noise = np.minimum(np.searchsorted(self.drawing, of_block[:, None] + rng.random((len(rows), NOISE))), SLOTS - 1)
+        real, qb, Rn = rows >= 0, q[rows], self.R[noise]
+        d = _sigmoid(qb @ Rn.transpose(0, 2, 1) + (self.b[noise] - self.log_within[noise])[:, None, :])
+        d *= real[:, :, None]
+        dq[rows[real]] += (d @ Rn)[real]
+        symbols, moves = _summed_by(np.concatenate([w, noise.ravel()]), np.concatenate([np.c_[data[:, None] * q, data], np.c_[(d.transpose(0, 2, 1) @ qb).reshape(-1, DIM), d.sum(1).ravel()]]))
+        gc = np.stack([(dq * self.E[contexts[:, i]]).mean(0) for i in range(CONTEXT)])
+        before, back = _summed_by(contexts.T.ravel(), np.concatenate([dq * self.c[i] for i in range(CONTEXT)]))
+        self._moved("S", weight.T @ q)
+        self._moved("t", weight.sum(0))
+        self._moved("R", moves[:, :DIM], symbols)
+        self._moved("b", moves[:, DIM], symbols)
+        self._moved("c", gc)
+        self._moved("E", back, before)
+
+
+def contexts_of(texts: list[np.ndarray], end: int) -> np.ndarray:
+    """The CONTEXT symbols before each symbol of texts, nearest first; ends stand before the start of a text."""
+    flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.full((len(flat), CONTEXT), end, np.int64)
+    for i in range(CONTEXT):
+        inside = np.flatnonzero(at > i)
+        out[inside, i] = flat[inside - i - 1]
+    return out
 
 
 # --- passes over the corpus ----------------------------------------------------------------------------------
@@ -191,8 +284,8 @@ def dictionaries(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
         for batch in batches:
             schema = schema or _arrow(_BLOCKS, batch.schema.field("doc_id").type)
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for k, n in portions(batch.column(2), 500):
+                part = batch.slice(k, n)
                 rows = [np.array([*map(places.__getitem__, (t or "").encode().lower().split()), places[END.encode()]], np.int32) for t in part.column(2).to_pylist()]
                 train = [r for r, held in zip(rows, part.column(1).to_pylist(), strict=True) if not held]
                 own = np.bincount(np.concatenate(train) if train else np.empty(0, np.int64), minlength=len(places))
@@ -215,8 +308,9 @@ def _resolve(blocks: DataFrame, counts: DataFrame, vocabulary: DataFrame, total:
     known = counts.join(F.broadcast(vocabulary), "word", "left").select("word", "c", "symbol")  # VOCABULARY rows
     words = blocks.filter("word is not null").select("block", "word", "place", "class").join(known, "word").select("block", F.lit(0).alias("kind"), "place", "c", F.coalesce("symbol", F.lit(-1)).alias("symbol"), "class")
     rows = blocks.filter("tokens is not null").select("block", F.lit(1).alias("kind"), "doc_id", "held", "tokens")
-    stream = words.unionByName(rows, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind", "place")
-    n_symbols = 1 + VOCABULARY
+    n_blocks = blocks.filter("place = 0").count()
+    stream = words.unionByName(rows, allowMissingColumns=True).repartition(max(1, min(2 * n_blocks, 100_000)), "block").sortWithinPartitions("block", "kind", "place")
+    first_class = 1 + VOCABULARY
     unseen, seen_part = (np.array(x) for x in zip(*(shares(*inside.get(k, (0, 0))) for k in range(CLASSES)), strict=True))
 
     def run(batches):
@@ -235,7 +329,7 @@ def _resolve(blocks: DataFrame, counts: DataFrame, vocabulary: DataFrame, total:
                 if table is None:
                     c, symbol, group = (np.concatenate(x) for x in zip(*parts, strict=True))
                     rare = symbol < 0
-                    table = np.log10((c + 1) / (total + distinct + 1)), c > 0, np.where(rare, n_symbols + group, symbol).astype(np.uint16), np.where(rare, np.where(c > 0, np.log10(np.maximum(c, 1)) + seen_part[group], unseen[group]), 0.0)
+                    table = np.log10((c + 1) / (total + distinct + 1)), c > 0, np.where(rare, first_class + group, symbol).astype(np.uint16), np.where(rare, np.where(c > 0, np.log10(np.maximum(c, 1)) + seen_part[group], unseen[group]), 0.0)
                     parts = []
                 base, seen, symbols, inner = table
                 for k in range(a, b, 500):
@@ -246,29 +340,113 @@ def _resolve(blocks: DataFrame, counts: DataFrame, vocabulary: DataFrame, total:
     return stream.mapInArrow(run, _RESOLVED.format(id=kind))
 
 
-def _train(resolved: DataFrame, counts: np.ndarray) -> np.ndarray:
-    vector = LogBilinear(counts).vector
+def _texts(column: pa.Array, slot: np.ndarray):
+    """Lists of the slots of neighbouring texts, some BATCH tokens at a time at least."""
+    texts, size = [], 0
+    for t in column:
+        texts.append(slot[expanded(t.as_py(), np.uint16)])
+        size += len(texts[-1])
+        if size >= 8 * BATCH:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
+def _company(resolved: DataFrame) -> np.ndarray:
+    """How often each symbol follows each of the COMPANY first ones in training rows: (COMPANY, symbols)."""
+
+    def run(batches):
+        total = np.zeros((COMPANY, N_SYMBOLS), np.int64)
+        for batch in batches:
+            for texts in _texts(batch.column(0), np.arange(N_SYMBOLS)):
+                before, after = contexts_of(texts, 0)[:, 0], np.concatenate(texts)
+                known = before < COMPANY
+                total += np.bincount(before[known] * N_SYMBOLS + after[known], minlength=total.size).reshape(total.shape)
+        yield _summands(total, 0, 1)
+
+    return _added_up(resolved.filter("not held_out").select("symbols").mapInArrow(run, _SUMMANDS), COMPANY * N_SYMBOLS)[0].reshape(COMPANY, N_SYMBOLS)
+
+
+_SUMMANDS = "k int, shard bigint, n bigint, part binary"
+_CHUNK = 1 << 16
+
+
+def _summands(values: np.ndarray, shard: int, n: int) -> pa.RecordBatch:
+    """A vector in chunks, weighted by n."""
+    flat = values.ravel().astype(np.float64) * n
+    parts = [squeezed(flat[k : k + _CHUNK]) for k in range(0, len(flat), _CHUNK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([shard] * len(parts), pa.int64()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["k", "shard", "n", "part"])
+
+
+def _added_up(parts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """The sum of vectors and of their weights: chunk by chunk, in order of shards, so that it is always the same."""
+
+    def run(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for k, n, part in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "part")), strict=True):
+                own = sums.setdefault(k, [0, 0.0])
+                own[0] += n
+                own[1] = own[1] + expanded(part, np.float64)
+        for k, (n, v) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int64()), pa.array([n], pa.int64()), pa.array([squeezed(v)], pa.binary())], ["k", "shard", "n", "part"])
+
+    rows = parts.repartition(-(-size // _CHUNK), "k").sortWithinPartitions("k", "shard").mapInArrow(run, _SUMMANDS).collect()  # one vector
+    out = np.zeros(size)
+    for r in rows:
+        v = expanded(r["part"], np.float64)
+        out[r["k"] * _CHUNK : r["k"] * _CHUNK + len(v)] = v
+    return out, max((r["n"] for r in rows), default=0)
+
+
+def _train(resolved: DataFrame, counts: np.ndarray, slot: np.ndarray, total: int, folder: str) -> np.ndarray:
+    """State of the model after ROUNDS rounds."""
+    sc, shards = resolved.sparkSession.sparkContext, max(1, -(-total // SHARD_TOKENS))
+    rows = resolved.filter("not held_out").select(F.xxhash64("doc_id", "symbols").alias("h"), "symbols").withColumn("shard", F.pmod("h", F.lit(shards)))
+    dealt = to_table(rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "symbols"), f"{folder}/shards")
+    state = LogBilinear(counts).state
     for turn in range(ROUNDS):
+        sent = sc.broadcast(state)
+
+        def run(batches, sent=sent, turn=turn):
+            at, seen, held, model, rng, left = None, 0, 0, None, None, []
 
-        def run(batches, start=vector, turn=turn):
-            from pyspark import TaskContext
+            def learn():
+                nonlocal left, held, seen
+                if left:
+                    contexts, w = contexts_of(left, slot[0]), np.concatenate(left)
+                    seen += len(w)
+                    for k in range(0, len(w), BATCH):
+                        model.step(contexts[k : k + BATCH], w[k : k + BATCH], rng)
+                    left, held = [], 0
 
-            model, rng, seen = LogBilinear(counts, start), np.random.default_rng([SEED, turn, TaskContext.get().partitionId()]), 0
             for batch in batches:
-                for k in range(0, batch.num_rows, 2000):
-                    texts = [expanded(t, np.uint16) for t in batch.column(0).slice(k, 2000).to_pylist()]
-                    model.train(np.concatenate([contexts_of(t) for t in texts]).astype(np.int64), np.concatenate(texts).astype(np.int64), rng)
-                    seen += sum(map(len, texts))
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(start), dtype=np.int32)), pa.array(model.vector.astype(np.float64) * seen), pa.array(np.full(len(start), seen, np.int64))], ["i", "v", "n"])
-
-        mixed = resolved.filter("not held_out").select("symbols").mapInArrow(run, "i int, v double, n bigint")
-        rows = mixed.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()  # as many as the model has parameters
-        if not rows:
+                shard = batch.column("shard").to_numpy()
+                cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a == b:
+                        continue
+                    if shard[a] != at:
+                        if model is not None:
+                            learn()
+                            yield _summands(model.state, at, seen)
+                        at, seen, model, rng = int(shard[a]), 0, LogBilinear(counts, sent.value), np.random.default_rng([SEED, turn, int(shard[a])])
+                    for k in range(a, b):
+                        left.append(slot[expanded(batch.column("symbols")[k].as_py(), np.uint16)])
+                        held += len(left[-1])
+                        if held >= 8 * BATCH:
+                            learn()
+            if model is not None:
+                learn()
+                yield _summands(model.state, at, seen)
+
+        summed, n = _added_up(dealt.select("shard", "symbols").mapInArrow(run, _SUMMANDS), len(state))
+        sent.destroy()
+        if not n:
             break
-        vector = np.zeros(len(vector), np.float32)
-        vector[[r["i"] for r in rows]] = [r["v"] for r in rows]
-    return vector
+        state = (summed / n).astype(np.float32)
+    return state
 
 
 def score(docs: DataFrame, folder: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -282,23 +460,25 @@ def score(docs: DataFrame, folder: str, text: str = "text", id_col: str = "doc_i
     vocabulary = docs.sparkSession.createDataFrame(list(names.items()), "word string, symbol int")
     rare = counts.join(F.broadcast(vocabulary), "word", "left_anti").filter("c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect()  # CLASSES rows
     inside = {r["class"]: (r["n"], r["once"]) for r in rare}
-    frequency = np.zeros(1 + VOCABULARY + CLASSES)
+    frequency = np.zeros(N_SYMBOLS)
     frequency[0] = ends[0]["c"] if ends else 0
     frequency[1 : len(top) + 1] = [r["c"] for r in top]
     for k, (n, _) in inside.items():
         frequency[1 + VOCABULARY + k] = n
     resolved = to_table(_resolve(blocks, counts, vocabulary, total, distinct, inside), f"{folder}/resolved")
-    vector = _train(resolved, frequency)
+    slot = grouped(_company(resolved))
+    by_slot = np.full(SLOTS, -1.0)
+    by_slot[slot] = frequency
+    state = docs.sparkSession.sparkContext.broadcast(_train(resolved, by_slot, slot, total, folder))
 
     def run(batches):
-        model = LogBilinear(frequency, vector)
+        model = LogBilinear(by_slot, state.value)
         for batch in batches:
             out = [np.empty(0)]
-            for k in range(0, batch.num_rows, 500):
-                texts = [expanded(t, np.uint16) for t in batch.column("symbols").slice(k, 500).to_pylist()]
-                each = model.log_probabilities(np.concatenate([contexts_of(t) for t in texts]).astype(np.int64), np.concatenate(texts).astype(np.int64))
-                lens = np.array([len(t) for t in texts])
-                out.append(np.add.reduceat(each, np.cumsum(lens) - lens) / np.log(10))
+            for texts in _texts(batch.column("symbols"), slot):
+                each = model.log_probabilities(contexts_of(texts, slot[0]), np.concatenate(texts))
+                sizes = np.array([len(t) for t in texts])
+                out.append(np.add.reduceat(each, np.cumsum(sizes) - sizes) / np.log(10))
             scores = np.concatenate(out) + batch.column("inner").to_numpy()
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(scores)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
