@@ -4,12 +4,18 @@
    folder, one file each, together with the partition's counts per id.
 2. The global counts (one row per vocabulary entry at most) give code lengths by package-merge, at most MAX_BITS,
    and canonical codes follow from the lengths alone.
-3. Every spool file becomes one output file: header, document table, checkpoints, bits.  The bits are cut into
-   blocks of BLOCK ids; a checkpoint is the bit offset at which a block starts, so blocks decode independently.
-   A decoder advances many blocks in lockstep, one table look-up per id.
-
-Files are in ascending order of id, and so are documents within a file (null first; equal ids by text), so `start`
-is a running sum over files and then documents.  Null text counts as empty and has the end id alone.
+3. Every spool file becomes one output file: header, code lengths, document table, checkpoints, bits.  The bits are
+   cut into blocks of BLOCK ids; a checkpoint is the bit offset at which a block starts, so blocks decode
+   independently.  A decoder advances LOCKSTEP blocks together, one table look-up per id, and reads only their bytes.
+
+A file is all that its decoder needs.  Files are in ascending order of id, and so are documents within a file (null
+first; equal ids by hash of the text, then text), so `start` is a running sum over the files' headers (one row for
+each FILE_BYTES of text, in one task) and then documents.
+
+Null text counts as empty and has the end id alone.  An added token's string in a text is that token, as the
+library has it by default.  Repeated rows are all kept; rows of one id may spread over files, rows that also have
+equal texts share one.  A text of any length is encoded whole, and decoded in pieces.  An empty table gives no files
+and no rows.  Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -21,28 +27,32 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.byte_bpe import matcher, remembered
-from lacuna.llm.workspace import Replacing, arrow_schema, filesystem, new_folder, rows_of, to_table
+from lacuna.llm.workspace import Replacing, arrow_schema, filesystem, new_folder, portions, release, rows_of, to_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 MAX_BITS = 20
 BLOCK = 1024
 #: Blocks that advance together.
-LOCKSTEP = 4096
+LOCKSTEP = 1024
 #: Bytes of text that make one file.
 FILE_BYTES = 24 << 20
 #: Chunks, and matches of the pattern, that a worker remembers; as many again are kept until they are not used for a while.
 LIMIT_CACHE = 250_000
-MAGIC = b"LHUF0001"
+#: Longest chunk, in characters, that is remembered.
+LONGEST = 64
+MAGIC = b"LHUF0002"
 
-SPOOL = "part int, spool string, n_docs bigint, n_tokens bigint, ids array<int>, counts array<bigint>"
-FILES = "part int, path string, n_docs bigint, n_tokens bigint"
-DOCS = "part int, number bigint, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
+SPOOL = "part int, spool string, ids array<int>, counts array<bigint>"
+FILES = "part int, path string"
+HEADS = "part int, path string, n_tokens bigint"
+DOCS = "part int, number bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 # --- codes ---------------------------------------------------------------------------------------------------
@@ -123,18 +133,27 @@ class Codebook:
 
     def decode(self, bits: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """The n ids of whole blocks that start at the given bit offsets."""
-        raw = np.frombuffer(bits + bytes(8), np.uint8).astype(np.uint32)
-        window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-        last, mask, out = len(window) - 1, np.int64((1 << self.bits) - 1), np.empty(len(checkpoints) * BLOCK, np.uint32)
-        for k in range(0, len(checkpoints), LOCKSTEP):
-            at = np.array(checkpoints[k : k + LOCKSTEP], np.int64)
-            block = np.empty((min(BLOCK, n - k * BLOCK), len(at)), np.uint32)
-            for j in range(len(block)):
-                index = (window[np.minimum(at >> 3, last)].astype(np.int64) >> (32 - self.bits - (at & 7))) & mask
-                block[j] = self.symbol[index]
-                at += self.step[index]
-            out[k * BLOCK : (k + len(at)) * BLOCK].reshape(len(at), BLOCK)[:, : len(block)] = block.T
-        return out[:n]
+        return np.concatenate([np.empty(0, np.uint32), *(self._together(bits, checkpoints[k : k + LOCKSTEP], min(n - k * BLOCK, LOCKSTEP * BLOCK)) for k in range(0, len(checkpoints), LOCKSTEP))])
+
+    def _together(self, bits: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
+        at = np.array(checkpoints, np.int64)
+        first = int(at[0]) >> 3
+        end = min(len(bits), (int(at[-1]) + BLOCK * self.bits >> 3) + 1)
+        raw = np.frombuffer(bits[first:end] + bytes(8), np.uint8)
+        window = np.zeros(len(raw) - 3, np.uint32)
+        for k in range(4):
+            window <<= 8
+            window |= raw[k : len(raw) - 3 + k]
+        at -= 8 * first
+        last, mask = len(window) - 1, np.int64((1 << self.bits) - 1)
+        block = np.empty((min(BLOCK, n), len(at)), np.uint32)
+        for j in range(len(block)):
+            index = (window[np.minimum(at >> 3, last)].astype(np.int64) >> (32 - self.bits - (at & 7))) & mask
+            block[j] = self.symbol[index]
+            at += self.step[index]
+        out = np.zeros((len(at), BLOCK), np.uint32)
+        out[:, : len(block)] = block.T
+        return out.ravel()[:n]
 
 
 # --- tokenising ----------------------------------------------------------------------------------------------
@@ -151,16 +170,13 @@ class _Encoder:
         split = said.get("pre_tokenizer") or {}
         self.apart = said.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t["content"] for t in said.get("added_tokens") or []]  # texts that hold one are encoded as a whole
         self.size = self.tool.get_vocab_size()
         self.match = matcher(public_tokenizers.PATTERN)
         self.known, self.past, self.matches, self.past_matches = {}, {}, {}, {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 256):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
-        return out
+        return [np.array(self.tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
     def _match_ids(self, match: str) -> bytes:
         """ids of one match of the pattern, from the tokenizer's own merges."""
@@ -188,7 +204,21 @@ class _Encoder:
             self.known, self.past = {}, self.known
         if len(self.matches) > LIMIT_CACHE:
             self.matches, self.past_matches = {}, self.matches
-        return remembered(texts, self.known, self._learn)
+        holds = np.zeros(len(texts), bool)
+        for token in self.added:
+            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            found = remembered(texts, self.known, self._learn)
+        else:
+            found = [b""] * len(texts)
+            for mask, ids in ((~holds, remembered(texts.filter(pa.array(~holds)), self.known, self._learn)), (holds, self._plain(texts.filter(pa.array(holds)).to_pylist()))):
+                for i, x in zip(np.flatnonzero(mask).tolist(), ids, strict=True):
+                    found[i] = x
+        for long in [c for c in self.known if len(c) > LONGEST]:
+            del self.known[long]
+        for long in [m for m in self.matches if len(m) > LONGEST]:
+            del self.matches[long]
+        return found
 
 
 # fixed values: the letters that byte-level vocabularies write for bytes, printable ones for themselves and the others in order from 256 on
@@ -209,26 +239,58 @@ def encoder(path: str) -> _Encoder:
     return _encoders[path]
 
 
-def _pack(uri: str, doc_ids: list, lengths: np.ndarray, body: list[bytes], more: bytes = b"") -> None:
-    """Header, table of documents, `more`, body."""
+def _pack(uri: str, doc_ids: list, lengths: np.ndarray, body: list[bytes], more: bytes = b"", book: bytes = b"") -> None:
+    """Header, code lengths, table of documents, `more`, body."""
     valid = np.array([d is not None for d in doc_ids], np.uint8)
     table = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + lengths.astype("<i8").tobytes() + valid.tobytes(), 1)
+    packed = zlib.compress(book, 1)
     out = Replacing(uri)
-    out.write(MAGIC + struct.pack("<QQQQ", len(doc_ids), len(table), len(more), sum(map(len, body))) + table + more)
+    out.write(MAGIC + struct.pack("<QQQQQQ", len(doc_ids), int(lengths.sum()), len(packed), len(table), len(more), sum(map(len, body))) + packed + table + more)
     for part in body:
         out.write(part)
     out.close()
 
 
-def _unpack(uri: str) -> tuple[list, np.ndarray, bytes, bytes]:
-    files, path = filesystem(uri)
-    with files.open_input_file(path) as f:
-        if f.read(8) != MAGIC:
+class TokenFile:
+    """A file of tokens (or of spooled ids): its header and tables; ids are read on demand."""
+
+    HEAD = 8 + 6 * 8
+
+    def __init__(self, uri: str):
+        files, path = filesystem(uri)
+        self.stream = files.open_input_file(path)
+        head = self.stream.read(self.HEAD)
+        if head[:8] != MAGIC:
             raise ValueError(f"{uri} is no token file")
-        n, table, more, body = struct.unpack("<QQQQ", f.read(32))
-        raw, extra, data = zlib.decompress(f.read(table)), f.read(more), f.read(body)
-    ids, lengths, valid = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n)
-    return [i if v else None for i, v in zip(ids.tolist(), valid.tolist(), strict=True)], lengths, extra, data
+        self.n_docs, self.n_tokens, *self.parts = struct.unpack("<QQQQQQ", head[8:])
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.stream.close()
+
+    def tables(self) -> None:
+        n, (book, table, more, _) = self.n_docs, self.parts
+        self.stream.seek(self.HEAD)
+        self.book = np.frombuffer(zlib.decompress(self.stream.read(book)), np.uint8)
+        raw = zlib.decompress(self.stream.read(table))
+        self.sizes, valid = np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n)
+        self.doc_ids = [i if v else None for i, v in zip(np.frombuffer(raw, "<i8", n).tolist(), valid.tolist(), strict=True)]
+        self.more = self.stream.read(more)
+
+    def body(self, start: int, length: int) -> bytes:
+        self.stream.seek(self.HEAD + sum(self.parts[:3]) + start)
+        return self.stream.read(length)
+
+    def ids(self, code: Codebook, first: int = 0, last: int | None = None):
+        """Arrays of the ids of blocks first to last (all if None), LOCKSTEP blocks at a time; only their bytes are read."""
+        checkpoints = np.frombuffer(self.more, "<i8")
+        last = len(checkpoints) if last is None else last
+        for k in range(first, last, LOCKSTEP):
+            at = checkpoints[k : min(k + LOCKSTEP, last)]
+            start, end = int(at[0]) >> 3, int(checkpoints[k + len(at)] >> 3) + 1 if k + len(at) < len(checkpoints) else self.parts[3]
+            yield code.decode(self.body(start, end - start), at - 8 * start, min(self.n_tokens - k * BLOCK, len(at) * BLOCK))
 
 
 def _spool(docs: DataFrame, folder: str, tokenizer: str, end_id: int, files: int) -> DataFrame:
@@ -242,8 +304,8 @@ def _spool(docs: DataFrame, folder: str, tokenizer: str, end_id: int, files: int
         counts, doc_ids, lengths, body, end = np.zeros(max(tool.size, end_id + 1), np.int64), [], [], [], np.array([end_id], "<u4").tobytes()
         squeeze = zstandard.ZstdCompressor(level=1).compressobj()
         for batch in batches:
-            for k in range(0, batch.num_rows, 4000):
-                some = batch.slice(k, 4000)
+            for k, n in portions(batch.column(1), 4000, 8 << 20):
+                some = batch.slice(k, n)
                 found = [x + end for x in tool(some.column(1).fill_null(""))]
                 flat = np.frombuffer(b"".join(found), "<u4")
                 counts += np.bincount(flat, minlength=len(counts))
@@ -254,11 +316,11 @@ def _spool(docs: DataFrame, folder: str, tokenizer: str, end_id: int, files: int
             body.append(squeeze.flush())
             uri, used = f"{folder}/spool/part-{part:06d}", np.flatnonzero(counts)
             _pack(uri, doc_ids, np.array(lengths, np.int64), body, kind.encode())
-            yield pa.RecordBatch.from_pylist([{"part": part, "spool": uri, "n_docs": len(doc_ids), "n_tokens": int(sum(lengths)), "ids": used, "counts": counts[used]}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"part": part, "spool": uri, "ids": used, "counts": counts[used]}], schema=schema)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = narrow.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    return to_table(ranged.mapInArrow(run, SPOOL), f"{folder}/spooled")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    ranged = narrow.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return to_table(ranged.select("doc_id", "text").mapInArrow(run, SPOOL), f"{folder}/spooled")
 
 
 def _summed(batches):
@@ -274,66 +336,82 @@ def _summed(batches):
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> tuple[DataFrame, np.ndarray]:
-    """Writes the files of docs (doc_id, text) and `lengths` below folder; returns their table and the code lengths."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
+    """Writes the files of docs (doc_id, text) below folder; returns their table (part, path)."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     spooled = _spool(docs, folder, tokenizer, end_id, max(1, -(-size // FILE_BYTES)))
     total = spooled.select("ids", "counts").mapInArrow(_summed, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per entry of the vocabulary at most
     counts = np.zeros(max((r["id"] for r in total), default=0) + 1, np.int64)
     for r in total:
         counts[r["id"]] = r["n"]
-    lengths = code_lengths(counts)
-    book = Replacing(f"{folder}/lengths")
-    book.write(lengths.tobytes())
-    book.close()
-    packed = lengths.tobytes()
+    book = code_lengths(counts).tobytes()
 
     def run(batches):
         import zstandard
 
-        code, schema = Codebook(np.frombuffer(packed, np.uint8)), arrow_schema(FILES)
+        release(_encoders)
+        code, schema = Codebook(np.frombuffer(book, np.uint8)), arrow_schema(FILES)
         for batch in batches:
-            for part, uri, n_docs, n_tokens in rows_of(batch, "part", "spool", "n_docs", "n_tokens"):
-                doc_ids, sizes, kind, data = _unpack(uri)
-                ids = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(data), kind.decode())
-                bits, checkpoints = code.encode(ids)
-                path = f"{folder}/tokens-{part:06d}.huf"
-                _pack(path, doc_ids, sizes, [bits], checkpoints.astype("<i8").tobytes())
-                yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": n_docs, "n_tokens": n_tokens}], schema=schema)
+            for part, uri in rows_of(batch, "part", "spool"):
+                with TokenFile(uri) as spool:
+                    spool.tables()
+                    ids = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(spool.body(0, spool.parts[3])), spool.more.decode())
+                    bits, checkpoints = code.encode(ids)
+                    path = f"{folder}/tokens-{part:06d}.huf"
+                    _pack(path, spool.doc_ids, spool.sizes, [bits], checkpoints.astype("<i8").tobytes(), book)
+                yield pa.RecordBatch.from_pylist([{"part": part, "path": path}], schema=schema)
 
-    todo = spooled.select("part", "spool", "n_docs", "n_tokens").repartition(max(1, min(spooled.count(), 10_000)), "part")
-    return to_table(todo.mapInArrow(run, FILES), f"{folder}/files"), lengths
+    todo = spooled.select("part", "spool").repartition(max(1, min(spooled.count(), 10_000)))
+    return to_table(todo.mapInArrow(run, FILES), f"{folder}/files")
 
 
-def read_tokens(files: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Per document: file number, place in it, id, ids before it in the file, its number of ids and their crc32."""
-    packed = np.asarray(lengths, np.uint8).tobytes()
+def read_tokens(files: DataFrame) -> DataFrame:
+    """Per document: file number, place in it, id, ids before it in all files, its number of ids and their crc32; all from the files."""
+    tasks = max(1, min(files.count(), 10_000))
 
-    def run(batches):
-        code, schema = Codebook(np.frombuffer(packed, np.uint8)), arrow_schema(DOCS)
+    def heads(batches):
+        schema = arrow_schema(HEADS)
         for batch in batches:
             for part, path in rows_of(batch, "part", "path"):
-                doc_ids, sizes, checkpoints, bits = _unpack(path)
-                ids = code.decode(bits, np.frombuffer(checkpoints, "<i8"), int(sizes.sum()))
-                ends = np.cumsum(sizes)
-                sums = [zlib.crc32(ids[b - n : b].astype("<u4")) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([part] * len(sums), range(len(sums)), doc_ids, ends - sizes, sizes, sums), schema, strict=True)], schema=schema)
-
-    return files.select("part", "path").repartition(max(1, min(files.count(), 10_000)), "part").mapInArrow(run, DOCS)
+                with TokenFile(path) as f:
+                    yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_tokens": f.n_tokens}], schema=schema)
 
-
-def read_document(path: str, lengths: np.ndarray, number: int) -> np.ndarray:
+    def run(batches):
+        release(_encoders)
+        schema = arrow_schema(DOCS)
+        for batch in batches:
+            for part, path, first in rows_of(batch, "part", "path", "first"):
+                with TokenFile(path) as f:
+                    f.tables()
+                    starts, sums, at, number = first + np.cumsum(f.sizes) - f.sizes, np.zeros(f.n_docs, np.int64), 0, 0
+                    left = f.sizes.tolist()
+                    for ids in f.ids(Codebook(f.book)):
+                        raw, at = ids.astype("<u4").tobytes(), 0
+                        while at < len(raw):  # every document has an end, so none is empty
+                            n = min(4 * left[number], len(raw) - at)
+                            sums[number] = zlib.crc32(raw[at : at + n], int(sums[number]))
+                            left[number] -= n // 4
+                            at += n
+                            number += not left[number]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, g.type) for x, g in zip(([part] * f.n_docs, range(f.n_docs), f.doc_ids, starts, f.sizes, sums), schema, strict=True)], schema=schema)
+
+    found = files.select("part", "path").repartition(tasks).mapInArrow(heads, HEADS)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file, and the running sum needs them in order
+    placed = found.select("part", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("bigint").alias("first"))
+    return placed.repartition(tasks).mapInArrow(run, DOCS)
+
+
+def read_document(path: str, number: int) -> np.ndarray:
     """The ids of one document, from the blocks that hold it alone."""
-    _, sizes, checkpoints, bits = _unpack(path)
-    starts, total = np.frombuffer(checkpoints, "<i8"), int(sizes.sum())
-    first = int(sizes[:number].sum())
-    a, b = first // BLOCK, -(-(first + int(sizes[number])) // BLOCK)
-    ids = Codebook(lengths).decode(bits, starts[a:b], min(b * BLOCK, total) - a * BLOCK)
-    return ids[first - a * BLOCK : first - a * BLOCK + int(sizes[number])]
+    with TokenFile(path) as f:
+        f.tables()
+        first = int(f.sizes[:number].sum())
+        size = int(f.sizes[number])
+        a, b = first // BLOCK, -(-(first + size) // BLOCK)
+        ids = np.concatenate(list(f.ids(Codebook(f.book), a, b)))
+        return ids[first - a * BLOCK : first - a * BLOCK + size]
 
 
 def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, lengths = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), new_folder(spark, "huffman"))
-    # one row per file: small, and the running sum needs them in order
-    starts = files.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("first"))
-    return read_tokens(files, lengths).join(F.broadcast(starts), "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    files = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), new_folder(spark, "huffman"))
+    return read_tokens(files).select("doc_id", "start", "n_tokens", "ids_crc32")
