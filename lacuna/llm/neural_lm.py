@@ -124,17 +124,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    """log of the sum of exp along the last axis; exponents of 80 and more don't occur in a trained model."""
-    np.minimum(x, 80, out=x)
-    return np.log(np.exp(x, out=x).sum(-1))
+    """log of the sum of exp along the last axis."""
+    top = max(0.0, float(x.max(initial=0)) - 80)  # of no use in a trained model, but nothing may overflow
+    if top:
+        x -= top
+    return np.log(np.exp(x, out=x) @ np.ones(x.shape[-1], x.dtype)) + top
 
 
 def _summed_by(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct indices, sorted, and the sums of their rows."""
     order = np.argsort(index.astype(np.uint16), kind="stable")
-    index = index[order]
+    index = index.take(order)
     first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-    return index[first], np.add.reduceat(rows[order], first)
+    return index.take(first), np.add.reduceat(rows.take(order, axis=0), first)
 
 
 class LogBilinear:
@@ -168,9 +170,12 @@ class LogBilinear:
         self.drawing = (np.arange(GROUPS)[:, None] + np.minimum(np.cumsum(self.within, axis=1), 1)).ravel()
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        q = self.E[contexts[:, 0]] * self.c[0]
+        q = self.E.take(contexts[:, 0], axis=0)
+        q *= self.c[0]
         for i in range(1, CONTEXT):
-            q += self.E[contexts[:, i]] * self.c[i]
+            part = self.E.take(contexts[:, i], axis=0)
+            part *= self.c[i]
+            q += part
         return q
 
     @staticmethod
@@ -186,24 +191,28 @@ class LogBilinear:
     def log_probabilities(self, contexts: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all symbols."""
         out = np.empty(len(slots))
+        # biases as one more column, against a column of ones
+        S = np.concatenate([self.S.T, self.t[None]])
+        R = np.ascontiguousarray(np.concatenate([self.R.reshape(GROUPS, WIDTH, DIM), self.b.reshape(GROUPS, WIDTH, 1)], 2))
         for k in range(0, len(slots), 1 << 14):
             w = slots[k : k + (1 << 14)]
-            q, g = self.predicted(contexts[k : k + len(w)]), w // WIDTH
-            s = q @ self.S.T
-            s += self.t
-            value = s[np.arange(len(w)), g] + np.einsum("ij,ij->i", q, self.R[w]) + self.b[w]
+            q, g = np.ones((len(w), DIM + 1), np.float32), w // WIDTH
+            q[:, :DIM] = self.predicted(contexts[k : k + len(w)])
+            s = q @ S
+            value = s[np.arange(len(w)), g] + np.einsum("ij,ij->i", q, R.reshape(SLOTS, -1).take(w, axis=0))
             value -= _log_sum(s)
             of_block, rows = self.blocks(g)
-            r = q[rows] @ self.R.reshape(GROUPS, WIDTH, DIM)[of_block].transpose(0, 2, 1)
-            r += self.b.reshape(GROUPS, 1, WIDTH)[of_block]
-            real = rows >= 0
-            value[rows[real]] -= _log_sum(r)[real]
+            flat = rows.ravel()
+            norm = _log_sum(q.take(flat, axis=0, mode="wrap").reshape(*rows.shape, -1) @ R.take(of_block, axis=0).transpose(0, 2, 1)).ravel()
+            kept = np.flatnonzero(flat >= 0)
+            value[flat.take(kept)] -= norm.take(kept)
             out[k : k + len(w)] = value
         return out
 
     def _moved(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         gradient = gradient.astype(np.float32, copy=False)
-        sums = self.sums[name][rows] + gradient * gradient
+        sums = self.sums[name][rows]
+        sums = sums + gradient * gradient
         self.sums[name][rows] = sums
         np.sqrt(sums, out=sums)
         gradient = RATE * gradient
@@ -213,23 +222,42 @@ class LogBilinear:
     def step(self, contexts: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> None:
         """Noise-contrastive estimation of both softmaxes on one batch, by AdaGrad; noise comes from the unigram distributions."""
         q, g = self.predicted(contexts), w // WIDTH
-        z = rng.choice(GROUPS, NOISE, p=self.groups)
-        weight = _sigmoid(q @ self.S[z].T + (self.t[z] - self.log_groups[z])) @ np.eye(GROUPS, dtype=np.float32)[z]
-        weight[np.arange(len(w)), g] += _sigmoid(np.einsum("ij,ij->i", q, self.S[g]) + self.t[g] - self.log_groups[g]) - 1
-        dq = weight @ self.S
-        data = _sigmoid(np.einsum("ij,ij->i", q, self.R[w]) + self.b[w] - self.log_within[w]) - 1
-        dq += data[:, None] * self.R[w]
         of_block, rows = self.blocks(g)
+        real, flat = rows >= 0, rows.ravel()
+        qb = q.take(flat, axis=0, mode="wrap").reshape(*rows.shape, DIM)
+        # groups: one data sample and NOISE samples for the whole batch
+        z = rng.choice(GROUPS, NOISE, p=self.groups)
+        Sz = self.S[z]
+        weight = _sigmoid(q @ Sz.T + (self.t[z] - self.log_groups[z]))
+        own = _sigmoid(np.einsum("ij,ij->i", q, self.S.take(g, axis=0)) + self.t.take(g) - self.log_groups.take(g)) - 1
+        dq = weight @ Sz
+        dq += own[:, None] * self.S.take(g, axis=0)
+        gS, gt = np.zeros_like(self.S), np.bincount(g, own, GROUPS)
+        np.add.at(gS, of_block, ((own.take(flat, mode="wrap").reshape(rows.shape) * real)[:, None, :] @ qb)[:, 0, :])
+        np.add.at(gS, z, weight.T @ q)
+        np.add.at(gt, z, weight.sum(0))
+        # within groups: NOISE samples for each block
+        Rw = self.R.take(w, axis=0)
+        data = _sigmoid(np.einsum("ij,ij->i", q, Rw) + self.b.take(w) - self.log_within.take(w)) - 1
+        dq += data[:, None] * Rw
         noise = np.minimum(np.searchsorted(self.drawing, of_block[:, None] + rng.random((len(rows), NOISE))), SLOTS - 1)
-        real, qb, Rn = rows >= 0, q[rows], self.R[noise]
-        d = _sigmoid(qb @ Rn.transpose(0, 2, 1) + (self.b[noise] - self.log_within[noise])[:, None, :])
+        Rn = self.R.take(noise.ravel(), axis=0).reshape(*noise.shape, DIM)
+        d = _sigmoid(qb @ Rn.transpose(0, 2, 1) + (self.b - self.log_within).take(noise)[:, None, :])
         d *= real[:, :, None]
-        dq[rows[real]] += (d @ Rn)[real]
-        symbols, moves = _summed_by(np.concatenate([w, noise.ravel()]), np.concatenate([np.c_[data[:, None] * q, data], np.c_[(d.transpose(0, 2, 1) @ qb).reshape(-1, DIM), d.sum(1).ravel()]]))
-        gc = np.stack([(dq * self.E[contexts[:, i]]).mean(0) for i in range(CONTEXT)])
+        kept = np.flatnonzero(flat >= 0)
+        back = np.empty_like(dq)
+        back[flat.take(kept)] = (d @ Rn).reshape(-1, DIM).take(kept, axis=0)
+        dq += back
+        moves = np.empty((len(w) + noise.size, DIM + 1), np.float32)
+        np.multiply(data[:, None], q, out=moves[: len(w), :DIM])
+        moves[: len(w), DIM] = data
+        moves[len(w) :, :DIM] = (d.transpose(0, 2, 1) @ qb).reshape(-1, DIM)
+        moves[len(w) :, DIM] = d.sum(1).ravel()
+        symbols, moves = _summed_by(np.concatenate([w, noise.ravel()]), moves)
+        gc = np.stack([np.einsum("ij,ij->j", dq, self.E.take(contexts[:, i], axis=0)) for i in range(CONTEXT)]) / len(w)
         before, back = _summed_by(contexts.T.ravel(), np.concatenate([dq * self.c[i] for i in range(CONTEXT)]))
-        self._moved("S", weight.T @ q)
-        self._moved("t", weight.sum(0))
+        self._moved("S", gS)
+        self._moved("t", gt)
         self._moved("R", moves[:, :DIM], symbols)
         self._moved("b", moves[:, DIM], symbols)
         self._moved("c", gc)
@@ -365,7 +393,7 @@ def _company(resolved: DataFrame) -> np.ndarray:
                 total += np.bincount(before[known] * N_SYMBOLS + after[known], minlength=total.size).reshape(total.shape)
         yield _summands(total, 0, 1)
 
-    return _added_up(resolved.filter("not held_out").select("symbols").mapInArrow(run, _SUMMANDS), COMPANY * N_SYMBOLS)[0].reshape(COMPANY, N_SYMBOLS)
+    return _added_up(resolved.filter("not held_out").select("symbols").mapInArrow(run, _SUMMANDS), COMPANY * N_SYMBOLS, np.int64)[0].reshape(COMPANY, N_SYMBOLS)
 
 
 _SUMMANDS = "k int, shard bigint, n bigint, part binary"
@@ -373,14 +401,14 @@ _CHUNK = 1 << 16
 
 
 def _summands(values: np.ndarray, shard: int, n: int) -> pa.RecordBatch:
-    """A vector in chunks, weighted by n."""
-    flat = values.ravel().astype(np.float64) * n
-    parts = [squeezed(flat[k : k + _CHUNK]) for k in range(0, len(flat), _CHUNK)]
+    """A vector in chunks, of weight n."""
+    flat = values.ravel()
+    parts = [squeezed(flat[k : k + _CHUNK]) if flat.dtype == np.int64 else flat[k : k + _CHUNK].tobytes() for k in range(0, len(flat), _CHUNK)]
     return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([shard] * len(parts), pa.int64()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["k", "shard", "n", "part"])
 
 
-def _added_up(parts: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """The sum of vectors and of their weights: chunk by chunk, in order of shards, so that it is always the same."""
+def _added_up(parts: DataFrame, size: int, kind) -> tuple[np.ndarray, int]:
+    """The weighted sum of vectors of int64 or float32, and of their weights: chunk by chunk, in order of shards, so that it is always the same."""
 
     def run(batches):
         sums: dict[int, list] = {}
@@ -388,14 +416,14 @@ def _added_up(parts: DataFrame, size: int) -> tuple[np.ndarray, int]:
             for k, n, part in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "part")), strict=True):
                 own = sums.setdefault(k, [0, 0.0])
                 own[0] += n
-                own[1] = own[1] + expanded(part, np.float64)
+                own[1] = own[1] + n * (expanded(part, kind) if kind is np.int64 else np.frombuffer(part, kind)).astype(np.float64)
         for k, (n, v) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int64()), pa.array([n], pa.int64()), pa.array([squeezed(v)], pa.binary())], ["k", "shard", "n", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int64()), pa.array([n], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["k", "shard", "n", "part"])
 
     rows = parts.repartition(-(-size // _CHUNK), "k").sortWithinPartitions("k", "shard").mapInArrow(run, _SUMMANDS).collect()  # one vector
     out = np.zeros(size)
     for r in rows:
-        v = expanded(r["part"], np.float64)
+        v = np.frombuffer(r["part"], np.float64)
         out[r["k"] * _CHUNK : r["k"] * _CHUNK + len(v)] = v
     return out, max((r["n"] for r in rows), default=0)
 
@@ -441,7 +469,7 @@ def _train(resolved: DataFrame, counts: np.ndarray, slot: np.ndarray, total: int
                 learn()
                 yield _summands(model.state, at, seen)
 
-        summed, n = _added_up(dealt.select("shard", "symbols").mapInArrow(run, _SUMMANDS), len(state))
+        summed, n = _added_up(dealt.select("shard", "symbols").mapInArrow(run, _SUMMANDS), len(state), np.float32)
         sent.destroy()
         if not n:
             break
