@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators.intervals import depth_segments, overlap_join
+from lacuna.operators.reads import mapped
 
 FETCH = 500
 ZONE = 100
@@ -16,7 +17,7 @@ MAX_DENSITY = 0.05
 
 
 def primary(aln: DataFrame) -> DataFrame:
-    return aln.filter(~F.col("is_secondary") & ~F.col("is_supplementary"))
+    return mapped(aln).filter(~F.col("is_secondary") & ~F.col("is_supplementary"))
 
 
 def _ratio(part: Column, whole: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +25,26 @@ def contig_blocks(contigs: DataFrame, size: int = BLOCK) -> DataFrame:
 def scan_gaps(contigs: DataFrame, min_size: int = 1, max_size: int | None = None, block: int = BLOCK) -> DataFrame:
     """`(chrom, ord, gap_start, gap_end, size, name)` of every maximal run of N of the given sizes, half-open from 0.
 
-    Runs are found within blocks; those that touch at a block's edge are joined.
+    Runs are found within blocks, in the task that reads them; only runs that are long enough or touch a block's edge
+    go on, and those that touch are joined.  No sequence is shuffled.
     """
-    tokens = contig_blocks(contigs, block).select("chrom", "ord", "block_start", F.posexplode(F.regexp_extract_all(ascii_upper(F.col("seq")), F.lit("([^N]+|N+)"), 1)))
-    before = Window.partitionBy("chrom", "ord", "block_start").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    runs = (
-        tokens.withColumn("start", F.col("block_start") + F.coalesce(F.sum(F.length("col")).over(before), F.lit(0)))
-        .filter(F.col("col").startswith("N"))
-        .select("chrom", "ord", "start", (F.col("start") + F.length("col")).alias("end"))
-    )
+
+    def runs_of(batches):
+        for batch in batches:
+            places = ([], [], [])
+            for k in range(batch.num_rows):
+                here = np.frombuffer(batch.column("seq")[k].as_py(), np.uint8) & 0xDF == ord("N")  # either case
+                edges = np.flatnonzero(np.diff(np.r_[False, here, False].view(np.int8)))
+                start, end = edges[::2], edges[1::2]
+                kept = (end - start >= min_size) | (start == 0) | (end == len(here))
+                first = batch.column("block_start")[k].as_py()
+                for out, x in zip(places, (np.full(int(kept.sum()), k), start[kept] + first, end[kept] + first), strict=True):
+                    out.append(x)
+            row, start, end = (np.concatenate([np.empty(0, np.int64), *x]) for x in places)
+            yield pa.RecordBatch.from_arrays([batch.column("chrom").take(pa.array(row)), batch.column("ord").take(pa.array(row)), pa.array(start), pa.array(end)], ["chrom", "ord", "start", "end"])
+
+    blocks = contig_blocks(contigs, block).filter("seq is not null").withColumn("seq", F.col("seq").cast("binary"))
+    runs = blocks.mapInArrow(runs_of, f"chrom string, ord {blocks.schema['ord'].dataType.simpleString()}, start bigint, end bigint")
     order = Window.partitionBy("chrom", "ord").orderBy("start")
     fresh = F.when(F.col("start") == F.lag("end").over(order), 0).otherwise(1)
     merged = runs.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order)).groupBy("chrom", "ord", "island").agg(F.min("start").cast("bigint").alias("gap_start"), F.max("end").cast("bigint").alias("gap_end"))
@@ -90,6 +103,11 @@ def priority(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("priority", score)
 
 
+def by_size(gaps: DataFrame) -> DataFrame:
+    """Gaps in order of rising size, equal ones by place."""
+    return gaps.orderBy("size", "chrom", "gap_start")
+
+
 def batches(gaps: DataFrame, size: int = 50) -> DataFrame:
     """Adds `batch`: gaps by falling priority, then id, `size` at a time.
 

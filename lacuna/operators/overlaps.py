@@ -32,17 +32,23 @@ def merge_points(paf: DataFrame, min_overlap: int = 100) -> DataFrame:
 def clusters(reads: DataFrame, overlaps: DataFrame, cut) -> DataFrame:
     """`(gap_id, read_no, cluster)`: reads of a gap linked by overlaps of identity 0.9; gaps of up to 3 reads are one cluster.
 
-    Node numbers are (gap, read) hashes kept with their rows; the cluster is named by its least read_no.
+    A node is named by gap and read; the cluster is named by its least read_no.
     """
-    node = lambda no: F.xxhash64("gap_id", no)
+    node = lambda no: F.to_json(F.struct(F.col("gap_id").alias("g"), no.alias("r")))
     big = reads.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("gap_id")))
     edges = overlaps.filter(_identity() >= MIN_IDENTITY).select(node(F.col("query_no")).alias("a"), node(F.col("target_no")).alias("b"))
     roots = connected_components(edges, cut)
     named = big.withColumn("node", node(F.col("read_no"))).join(roots, "node", "left")
-    group = F.when(F.col("__n") <= 3, F.lit(0)).otherwise(F.coalesce("root", "node"))
+    group = F.when(F.col("__n") <= 3, F.lit("")).otherwise(F.coalesce("root", "node"))
     return named.withColumn("__g", group).withColumn("cluster", F.min("read_no").over(Window.partitionBy("gap_id", "__g"))).select("gap_id", "read_no", "cluster")
 
 
+def clusters_by_size(clustered: DataFrame) -> DataFrame:
+    """`(gap_id, cluster, n_reads, place)`: a gap's clusters in order of falling size, equal ones by name."""
+    sized = clustered.groupBy("gap_id", "cluster").agg(F.count(F.lit(1)).alias("n_reads"))
+    return sized.withColumn("place", F.row_number().over(Window.partitionBy("gap_id").orderBy(F.desc("n_reads"), "cluster")))
+
+
 def tier_choice(counts: DataFrame) -> DataFrame:
     """`(gap_id, first_tier, tiers)`: the tiers open to a gap by its read counts, in order of trial."""
     any_hifi, any_ont = F.expr("hifi_left + hifi_right > 0"), F.expr("ont_left + ont_right > 0")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.operators.intervals import overlap_join
+
 HAPS = ("hap1", "hap2", "hap3")
 
 
@@ -61,3 +63,40 @@ def snps_from_pairs(pairs: DataFrame) -> DataFrame:
     first = usable.groupBy("chrom", "pos", "hap").agg(F.min_by(F.struct("ref_base", "base"), "place").alias("x"), F.bool_or(F.col("base") != F.col("ref_base")).alias("differs")).select("chrom", "pos", "hap", "x.*", "differs")
     sites = first.groupBy("chrom", "pos").agg(F.max("ref_base").alias("ref_base"), F.bool_or("differs").alias("is_site"), F.array_sort(F.collect_list(F.struct("hap", "base"))).alias("found"))  # as many entries as haplotypes
     return sites.filter("is_site").select("chrom", "pos", "ref_base", F.map_from_entries("found").alias("bases"))
+
+
+def outside_gaps(points: DataFrame, gaps: DataFrame) -> DataFrame:
+    """points (chrom, pos, ...) that lie in no gap (chrom, gap_start, gap_end)."""
+    keys = ["chrom", "pos"]
+    at = points.select(*keys).distinct().withColumn("__p", F.col("pos")).withColumn("__q", F.col("pos") + 1)
+    inside = overlap_join(at, gaps.select("chrom", "gap_start", "gap_end"), ("__p", "__q"), ("gap_start", "gap_end")).select(*keys).distinct()
+    return points.join(inside, keys, "left_anti")
+
+
+def phased_reads(phased: DataFrame, haps: tuple[str, ...] = HAPS, use_ambiguous: bool = True) -> DataFrame:
+    """Rows of phase_reads with `hap`: a read goes to its haplotype, one of no haplotype to each of them (or to none)."""
+    own = F.col("outcome").isin(*haps)
+    to = F.when(own, F.array("outcome")).otherwise(F.array(*map(F.lit, haps)) if use_ambiguous else F.array().cast("array<string>"))
+    return phased.withColumn("is_ambiguous", ~own).withColumn("hap", F.explode(to))
+
+
+def merged_phased(phased: DataFrame) -> DataFrame:
+    """One table of all haplotypes' reads, every row kept: an ambiguous read stands in it once for each haplotype."""
+    return phased.select(F.concat_ws("__", "hap", "read_name").alias("read_name"), "hap", "aln_no", "is_ambiguous")
+
+
+def exported_snps(snps: DataFrame, haps: tuple[str, ...] = HAPS) -> DataFrame:
+    """`(chrom, value)`: a contig's SNPs as one JSON object, position -> haplotype -> base, in order of position.
+
+    For exchange with other tools; a table of SNPs is kept as Parquet.
+    """
+    entry = F.concat(F.lit('"'), F.col("pos").cast("string"), F.lit('":'), F.to_json(F.struct(*haps)))
+    per = snps.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))).alias("es"))
+    return per.select("chrom", F.concat(F.lit("{"), F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("}")).alias("value"))
+
+
+def imported_snps(exported: DataFrame, haps: tuple[str, ...] = HAPS) -> DataFrame:
+    """`(chrom, pos, one column per haplotype)` from exported_snps."""
+    kinds = ", ".join(f"{h}: string" for h in haps)
+    rows = exported.select("chrom", F.explode(F.from_json("value", f"map<string, struct<{kinds}>>")))
+    return rows.select("chrom", F.col("key").cast("bigint").alias("pos"), "value.*")

@@ -1,7 +1,8 @@
 """Classification of alignments against gaps.
 
 Alignments: chrom, read_name, aln_no (file order), read_type, ref_start, ref_end, read_len, mapq, is_secondary,
-is_supplementary, lclip, rclip.  Gaps: gap_id, chrom, gap_start, gap_end.
+is_supplementary, lclip, rclip and, where there are any, is_unmapped with null coordinates.  Gaps: gap_id, chrom,
+gap_start, gap_end.
 """
 
 from __future__ import annotations
@@ -18,11 +19,15 @@ FLANK = 500
 CLIP = 100
 
 
+def mapped(aln: DataFrame) -> DataFrame:
+    return aln.filter(~F.col("is_unmapped")) if "is_unmapped" in aln.columns else aln
+
+
 def near(aln: DataFrame, gaps: DataFrame, before: int, after: int, at: str = "gap") -> DataFrame:
     """Alignments that overlap a window around the gap (`gap`), its start (`start`) or its end (`end`)."""
     first, last = {"gap": ("gap_start", "gap_end"), "start": ("gap_start", "gap_start"), "end": ("gap_end", "gap_end")}[at]
     windows = gaps.select("gap_id", "chrom", "gap_start", "gap_end", F.greatest(F.col(first) - before, F.lit(0)).alias("w_start"), (F.col(last) + after).alias("w_end"))
-    return overlap_join(aln, windows).drop("w_start", "w_end")
+    return overlap_join(mapped(aln), windows).drop("w_start", "w_end")
 
 
 def _one(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -98,15 +103,15 @@ def anchored(aln: DataFrame, min_mapq: int = MIN_MAPQ) -> DataFrame:
 def _beside_gaps(aln: DataFrame, gaps: DataFrame) -> DataFrame:
     """Alignments within REACH of a gap: of (chrom, read_name, aln_no)."""
     windows = gaps.select("chrom", (F.col("gap_start") - REACH - 1).alias("w_start"), (F.col("gap_end") + REACH + 1).alias("w_end"))
-    return overlap_join(aln.select("chrom", "read_name", "aln_no", "ref_start", "ref_end"), windows).select("chrom", "read_name", "aln_no").distinct().withColumn("__near", F.lit(True))
+    return overlap_join(mapped(aln).select("chrom", "read_name", "aln_no", "ref_start", "ref_end"), windows).select("chrom", "read_name", "aln_no").distinct().withColumn("__near", F.lit(True))
 
 
 def useful_reads(aln: DataFrame, gaps: DataFrame, min_mapq: int = MIN_MAPQ) -> DataFrame:
-    """Adds `is_useful` to each read's first record: on a contig with gaps, and unanchored or within REACH of one."""
+    """Adds `is_useful` to each read's first record: without coordinates, or on a contig with gaps and unanchored or within REACH of one."""
     first = _one(anchored(aln, min_mapq), ["read_name"], "aln_no")
     contigs = gaps.select("chrom").distinct().withColumn("__has", F.lit(True))
     flagged = first.join(contigs, "chrom", "left").join(_beside_gaps(first, gaps), ["chrom", "read_name", "aln_no"], "left")
-    useful = F.coalesce("__has", F.lit(False)) & (~F.col("is_anchored") | F.coalesce("__near", F.lit(False)))
+    useful = F.col("ref_start").isNull() | F.col("ref_end").isNull() | F.coalesce("__has", F.lit(False)) & (~F.col("is_anchored") | F.coalesce("__near", F.lit(False)))
     return flagged.withColumn("is_useful", useful).drop("__has", "__near")
 
 
@@ -124,8 +129,44 @@ def filter_stats(aln: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def bundle_counts(aln: DataFrame, gaps: DataFrame, min_mapq: int = MIN_MAPQ) -> DataFrame:
-    """Six counts per gap: spanning, left and right reads of either type."""
-    part = lambda df, kind: df.select("gap_id", "read_type", F.lit(kind).alias("kind"))
-    rows = part(spanning_all(aln, gaps, min_mapq), "spanning").unionByName(part(flank_left(aln, gaps, min_mapq), "left")).unionByName(part(flank_right(aln, gaps, min_mapq), "right"))
-    counts = rows.groupBy("gap_id").agg(*[F.count_if((F.col("read_type") == t) & (F.col("kind") == k)).alias(f"{t}_{k}") for t in ("hifi", "ont") for k in ("spanning", "left", "right")])
+    """Six counts per gap: spanning, left and right reads of either type.
+
+    One join with the widest window; what `spanning_all`, `flank_left` and `flank_right` ask of a read's records are
+    conditions on its rows, settled by one aggregation per gap and read.
+    """
+    met = near(aln, gaps, REACH, REACH)
+    around = lambda at, reach: f"ref_start < {at} + {reach} and ref_end > greatest({at} - {reach}, 0)"
+    long = f"mapq >= {min_mapq} and read_len >= {MIN_LENGTH}"
+    direct = F.expr(f"not is_secondary and {long} and ref_start <= gap_start and ref_end >= gap_end")
+    left = F.expr(f"mapq >= {min_mapq} and {around('gap_start', REACH)} and abs(ref_end - gap_start) <= {REACH}")
+    right = F.expr(f"mapq >= {min_mapq} and {around('gap_end', REACH)} and abs(ref_start - gap_end) <= {REACH}")
+    at_start, at_end = F.expr(f"not is_secondary and {around('gap_start', FLANK)}"), F.expr(f"not is_secondary and {around('gap_end', FLANK)}")
+    reach_l, reach_r = f"abs(ref_end - gap_start) <= {FLANK}", f"abs(ref_start - gap_end) <= {FLANK}"
+    into_l = F.expr(f"{long} and (({reach_l} and rclip > 0) or (ref_start < gap_start and gap_start < ref_end and ref_end < gap_end) or (is_supplementary and {reach_l}))")
+    into_r = F.expr(f"{long} and (({reach_r} and lclip > 0) or (ref_start < gap_end and gap_end < ref_end and ref_start > gap_start) or (is_supplementary and {reach_r}))")
+    first = lambda what, ok: F.min_by(what, F.when(ok, F.col("aln_no")))
+    last = lambda what, ok: F.max_by(what, F.when(ok, F.col("aln_no")))
+    per = met.groupBy("gap_id", "read_name", "gap_start", "gap_end").agg(
+        first(F.col("read_type"), direct).alias("direct"),
+        last(F.struct("ref_end", "read_len", "read_type"), left).alias("l"),
+        last(F.struct("ref_start", "read_len"), right).alias("r"),
+        first(F.struct("read_type", into_l.alias("ok")), at_start).alias("fl"),
+        first(F.struct("read_type", into_r.alias("ok")), at_end).alias("fr"),
+    )
+    size = F.when(F.col("l.read_len") > 0, F.col("l.read_len")).otherwise(F.col("r.read_len"))
+    linked = F.when(F.expr(f"l.ref_end <= gap_start + {REACH} and r.ref_start >= gap_end - {REACH}") & (size >= MIN_LENGTH), F.col("l.read_type"))
+    kinds = {"spanning": F.coalesce("direct", linked), "left": F.when(F.col("fl.ok"), F.col("fl.read_type")), "right": F.when(F.col("fr.ok"), F.col("fr.read_type"))}
+    counts = per.groupBy("gap_id").agg(*[F.count_if(kinds[k] == t).alias(f"{t}_{k}") for t in ("hifi", "ont") for k in kinds])
     return gaps.select("gap_id").join(counts, "gap_id", "left").na.fill(0)
+
+
+def extracted_reads(aln: DataFrame, regions: DataFrame, least: int = 100) -> DataFrame:
+    """`(region_id, read_name, read_type, aln_no, read_len)` of primary records of `least` bases in regions (region_id, chrom, r_start, r_end): each name once, HiFi before ONT, then in file order."""
+    fit = mapped(aln).filter(~F.col("is_secondary") & ~F.col("is_supplementary") & (F.col("read_len") >= least))
+    met = overlap_join(fit, regions, window=("r_start", "r_end"))
+    return _one(met, ["region_id", "read_name"], F.when(F.col("read_type") == "hifi", 0).otherwise(1), "aln_no").select("region_id", "read_name", "read_type", "aln_no", "read_len")
+
+
+def of_kept_names(aln: DataFrame, names: DataFrame) -> DataFrame:
+    """Records whose read_name is among names."""
+    return aln.join(names.select("read_name"), "read_name", "left_semi")

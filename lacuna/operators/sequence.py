@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +54,71 @@ def backbone(reads: DataFrame) -> DataFrame:
     return ranked.filter(F.expr("__k = __n div 2 + 1")).drop("__k", "__n")
 
 
-def majority_vote(reads: DataFrame) -> DataFrame:
-    """`(gap_id, consensus)`: at each place the base of most reads, ties to the read that comes first; as long as the longest."""
-    bases = reads.select("gap_id", "read_no", F.posexplode(F.split(F.col("seq"), ""))).filter("col <> ''")
-    votes = bases.groupBy("gap_id", "pos", "col").agg(F.count(F.lit(1)).alias("n"), F.min("read_no").alias("first"))
-    best = votes.groupBy("gap_id", "pos").agg(F.max_by("col", F.struct("n", -F.col("first"))).alias("base"))
-    return best.groupBy("gap_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("consensus"))
+def majority_vote(reads: DataFrame, piece: int = 4096) -> DataFrame:
+    """`(gap_id, consensus)`: at each place the base of most reads, ties to the read that comes first; as long as the longest.
+
+    Reads are cut into pieces of places, and a piece's reads, in order, are counted as they stream by: a task holds one
+    table of `piece` places whatever the number of reads, and a gap's pieces are different tasks' work.
+    """
+    kind = reads.schema["gap_id"].dataType.simpleString()
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(piece)))
+    pieces = reads.filter("seq <> ''").withColumn("at", at).select("gap_id", F.col("at").cast("bigint").alias("at"), "read_no", F.substring(F.col("seq").cast("binary"), F.col("at") + 1, F.lit(piece)).alias("s"))
+
+    def run(batches):
+        counts, first = np.zeros((piece, 256), np.int64), np.zeros((piece, 256), np.int64)
+        key, size, seen, places = None, 0, 0, np.arange(piece)
+
+        def voted():
+            best = (counts[:size] * (1 << 32) - first[:size]).argmax(axis=1).astype(np.uint8)
+            counts[:size], first[:size] = 0, 0
+            return (*key, best.tobytes().decode("latin-1"))
+
+        for batch in batches:
+            out = []
+            for gap, place, s in zip(*(batch.column(c).to_pylist() for c in ("gap_id", "at", "s")), strict=True):
+                if (gap, place) != key:
+                    if key is not None:
+                        out.append(voted())
+                    key, size, seen = (gap, place), 0, 0
+                codes = np.frombuffer(s, np.uint8)
+                own, size = places[: len(codes)], max(size, len(codes))
+                new = counts[own, codes] == 0
+                first[own[new], codes[new]] = seen
+                counts[own, codes] += 1
+                seen += 1
+            yield _votes(out, batch.schema.field("gap_id").type)
+        if key is not None:
+            yield _votes([voted()], pa.array([key[0]]).type)
+
+    dealt = pieces.repartition("gap_id", "at").sortWithinPartitions("gap_id", "at", "read_no")
+    best = dealt.select("gap_id", "at", "s").mapInArrow(run, f"gap_id {kind}, at bigint, s string")
+    return best.groupBy("gap_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), "").alias("consensus"))
+
+
+def _votes(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    gap, at, s = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(gap, kind), pa.array(at, pa.int64()), pa.array(s, pa.string())], ["gap_id", "at", "s"])
+
+
+def direct_consensus(reads: DataFrame) -> DataFrame:
+    """`(gap_id, n_reads, seq)`: the backbone of gaps of up to 3 reads, the vote of the others."""
+    sized = reads.groupBy("gap_id").agg(F.count(F.lit(1)).alias("n_reads"))
+    both = sized.join(backbone(reads).select("gap_id", F.col("seq").alias("spine")), "gap_id").join(majority_vote(reads), "gap_id", "left")
+    return both.select("gap_id", "n_reads", F.when(F.col("n_reads") <= 3, F.col("spine")).otherwise(F.coalesce("consensus", "spine")).alias("seq"))
+
+
+def consensus_fill(reads: DataFrame, poa=None) -> DataFrame:
+    """`(gap_id, source, seq, n_reads, confidence, is_complete)` of reads (gap_id, read_type, read_no, seq): by the route of their number and identity.
+
+    poa(reads) -> (gap_id, n_reads, seq) does the routes that ask for it; without it those gaps have no fill.
+    """
+    stats = mean_identity(reads.select("gap_id", "read_no", "seq")).join(reads.groupBy("gap_id").agg(F.min("read_type").alias("read_type")), "gap_id")
+    routed = consensus_route(stats).filter("route <> 'none'").select("gap_id", "route", "confidence")
+    of = lambda *routes: reads.join(routed.filter(F.col("route").isin(*routes)).select("gap_id"), "gap_id", "left_semi").select("gap_id", "read_no", "seq")
+    filled = direct_consensus(of("direct_consensus"))
+    if poa is not None:
+        filled = filled.unionByName(poa(of("poa_consensus", "ont_poa_consensus")).select("gap_id", F.col("n_reads").cast("bigint").alias("n_reads"), "seq"))
+    return filled.join(routed, "gap_id").select("gap_id", F.col("route").alias("source"), "seq", "n_reads", "confidence", F.lit(True).alias("is_complete"))
 
 
 def consensus_route(stats: DataFrame) -> DataFrame:

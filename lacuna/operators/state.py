@@ -13,6 +13,11 @@ def latest(log: DataFrame) -> DataFrame:
     return log.groupBy("gap_id").agg(F.max_by("status", F.struct("ts", "seq_no")).alias("status"))
 
 
+def latest_by_haplotype(log: DataFrame) -> DataFrame:
+    """`(hap, gap_id, status)` of each haplotype's last entry for a gap."""
+    return log.groupBy("hap", "gap_id").agg(F.max_by("status", F.struct("ts", "seq_no")).alias("status"))
+
+
 def loaded(log: DataFrame) -> DataFrame:
     """Statuses of older logs: unknown ones and filled_pending become failed."""
     known = F.col("status").isin(*STATUSES) & (F.col("status") != "filled_pending")

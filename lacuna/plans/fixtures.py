@@ -31,8 +31,12 @@ select concat('chr', l_suppkey % 5) as chrom,
        l_linenumber in (5, 6) as is_supplementary,
        cast(case when l_returnflag = 'R' then round(l_tax * 2500) else 0 end as int) as lclip,
        cast(case when l_linestatus = 'F' then round(l_tax * 2500) else 0 end as int) as rclip,
-       concat(l_linenumber * 10, repeat('A5C5', cast(l_quantity as int) % 4), 'T9') as md
-from lineitem""",
+       concat(l_linenumber * 10, repeat('A5C5', cast(l_quantity as int) % 4), 'T9') as md, false as is_unmapped
+from lineitem
+union all
+select distinct '*', concat('u', l_orderkey), cast(1 as int), 'hifi', cast(null as bigint), cast(null as bigint), cast(300 + l_orderkey % 500 as bigint), cast(0 as int),
+       false, false, cast(0 as int), cast(0 as int), cast(null as varchar(9)), true
+from lineitem where l_linenumber = 1 and l_orderkey % 40 = 0""",
     "snps": """
 select concat('chr', p_partkey % 5) as chrom,
        cast(p_partkey * 500 + 250 as bigint) as pos,

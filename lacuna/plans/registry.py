@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lacuna.operators import align, coverage, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state, validation
+from lacuna.operators import align, coverage, fills, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state, validation
 from lacuna.plans.fixtures import duck, load
 from lacuna.shipping import shipped
 
@@ -221,7 +221,7 @@ def _(spark, d):
 
 
 _USEFUL = """f as (select * from (select *, row_number() over (partition by read_name order by aln_no) as k from aln) where k = 1), useful as (
-  select read_name, aln_no, read_len, exists (select 1 from gaps g where g.chrom = f.chrom) and (not (mapq >= 20 and lclip < 100 and rclip < 100)
+  select read_name, aln_no, read_len, ref_start is null or exists (select 1 from gaps g where g.chrom = f.chrom) and (not (mapq >= 20 and lclip < 100 and rclip < 100)
     or exists (select 1 from gaps g where g.chrom = f.chrom and greatest(gap_start - ref_end, ref_start - gap_end, 0) <= 1000)) as is_useful from f)"""
 
 
@@ -269,7 +269,7 @@ def _(spark, d):
 
 # --- coverage and validation ---------------------------------------------------------------------------------
 
-_PRIMARY = "prim as (select * from aln where not is_secondary and not is_supplementary)"
+_PRIMARY = "prim as (select * from aln where not is_secondary and not is_supplementary and not is_unmapped)"
 
 
 def _region_sql(regions: str) -> str:
@@ -469,11 +469,11 @@ def _(spark, d):
 _PHASED = f"""{_HITS}, sc as (select read_name, aln_no, count(*) as checked, count(*) filter (base = hap1) as n1, count(*) filter (base = coalesce(hap2, hap1)) as n2, count(*) filter (base = coalesce(hap3, hap1)) as n3 from hits group by all),
   ph as (select read_name, aln_no, cast(coalesce(checked, 0) as bigint) as checked, case when checked is null then 'no_snp' when greatest(n1, n2, n3) = 0 then 'no_match'
     when (n1 = greatest(n1, n2, n3))::int + (n2 = greatest(n1, n2, n3))::int + (n3 = greatest(n1, n2, n3))::int > 1 then 'tie' when n1 = greatest(n1, n2, n3) then 'hap1' when n2 = greatest(n1, n2, n3) then 'hap2' else 'hap3' end as outcome
-    from (select read_name, aln_no from aln where not is_secondary) left join sc using (read_name, aln_no))"""
+    from (select read_name, aln_no from aln where not is_secondary and not is_unmapped) left join sc using (read_name, aln_no))"""
 
 
 def _phased(spark, d):
-    reads_ = load(spark, d, "aln").filter("not is_secondary").select("read_name", "aln_no")
+    reads_ = load(spark, d, "aln").filter("not is_secondary and not is_unmapped").select("read_name", "aln_no")
     return phasing.phase_reads(_hits(spark, d).select("read_name", "aln_no", "base", "hap1", "hap2", "hap3"), reads_)
 
 
@@ -635,3 +635,229 @@ def _(spark, d):
     paf = load(spark, d, "paf")
     sides = paf.select("gap_id").distinct().select("gap_id", F.expr("repeat('AC', cast(gap_id as int) + 1)").alias("left_seq"), F.expr("repeat('GT', 1600)").alias("right_seq"))
     return overlaps.merged_sequences(sides, overlaps.merge_points(paf.filter("gap_id % 2 = 0")))
+
+
+# --- fills, outcomes and haplotypes --------------------------------------------------------------------------
+
+
+def _from(spark, d, sql: str, table: str):
+    return spark.sql(sql.replace(f"from {table}", "from {t}"), t=spark.read.parquet(f"{d}/{table}.parquet"))
+
+
+@query("contig_lengths", "select chrom, ord, cast(length(seq) as bigint) as length from contigs", "contigs")
+def _(spark, d):
+    from lacuna.sources.files import contig_lengths
+
+    return contig_lengths(load(spark, d, "contigs"))
+
+
+@query("extract_reads", f""", x as (select gap_id as region_id, read_name, read_type, aln_no, read_len, row_number() over (partition by gap_id, read_name order by case read_type when 'hifi' then 0 else 1 end, aln_no) as k
+  from {_NEAR} where not is_unmapped and not is_secondary and not is_supplementary and read_len >= 100 and ref_start < gap_end and ref_end > gap_start)
+select region_id, read_name, read_type, aln_no, read_len from x where k = 1""", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    return reads.extracted_reads(aln, _gap_regions(found))
+
+
+@query("reads_of_kept_names", """select read_name, aln_no from aln where read_name in (select read_name from aln a where not is_secondary and (not (mapq >= 20 and lclip < 100 and rclip < 100)
+  or exists (select 1 from gaps g where g.chrom = a.chrom and greatest(gap_start - ref_end, ref_start - gap_end, 0) <= 1000)))""", "gaps aln")
+def _(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    return reads.of_kept_names(aln, reads.kept_names(aln, found)).select("read_name", "aln_no")
+
+
+@query("snps_outside_gaps", "select chrom, pos, hap1 from snps s where not exists (select 1 from gaps g where g.chrom = s.chrom and gap_start <= pos and pos < gap_end)", "snps gaps")
+def _(spark, d):
+    return phasing.outside_gaps(load(spark, d, "snps"), load(spark, d, "gaps")).select("chrom", "pos", "hap1")
+
+
+_SPLIT = f"""{_PHASED}, sp as (select *, outcome not in ('hap1', 'hap2', 'hap3') as is_ambiguous, unnest(case when outcome in ('hap1', 'hap2', 'hap3') then [outcome] else ['hap1', 'hap2', 'hap3'] end) as hap from ph)"""
+
+
+@query("phased_reads", f", {_SPLIT} select read_name, aln_no, hap, is_ambiguous from sp", "aln snps")
+def _(spark, d):
+    return phasing.phased_reads(_phased(spark, d)).select("read_name", "aln_no", "hap", "is_ambiguous")
+
+
+@query("merge_phased_reads", f", {_SPLIT} select concat(hap, '__', read_name) as read_name, hap, aln_no, is_ambiguous from sp", "aln snps")
+def _(spark, d):
+    return phasing.merged_phased(phasing.phased_reads(_phased(spark, d)))
+
+
+@query("snp_export", """select chrom, concat('{', string_agg(concat('"', pos, '":{"hap1":"', hap1, '","hap2":"', hap2, '"', case when hap3 is null then '' else concat(',"hap3":"', hap3, '"') end, '}'), ',' order by pos), '}') as value from snps group by chrom""", "snps")
+def _(spark, d):
+    return phasing.exported_snps(load(spark, d, "snps"))
+
+
+@query("snp_import", "select chrom, pos, hap1, hap2, hap3 from snps", "snps")
+def _(spark, d):
+    return phasing.imported_snps(phasing.exported_snps(load(spark, d, "snps")))
+
+
+@query("status_by_haplotype", ", l as (select concat('hap', seq_no % 3 + 1) as hap, * from status_log) select hap, gap_id, arg_max(status, (ts, seq_no)) as status from l group by hap, gap_id", "status_log")
+def _(spark, d):
+    return state.latest_by_haplotype(load(spark, d, "status_log").withColumn("hap", F.concat(F.lit("hap"), F.col("seq_no") % 3 + 1)))
+
+
+@query("haplotype_summary", f""", h as ({_HAP_GAPS}), m as (select *, exists (select 1 from h o where o.chrom = h.chrom and o.hap <> h.hap and abs(o.gap_start - h.gap_start) <= 1000) as is_shared from h)
+select hap, cast(count(*) as bigint) as total_gaps, cast(count(*) filter (not is_shared) as bigint) as haplotype_specific_gaps from m group by hap""", "gaps")
+def _(spark, d):
+    return fills.haplotype_summary(gaps.shared_or_specific(_hap_gaps(spark, d)))
+
+
+@query("cluster_sizes", "with c as (select o_custkey % 50 as gap_id, o_orderkey % 7 as cluster, count(*) as n from orders group by 1, 2) select gap_id, cluster, cast(n as bigint) as n_reads, cast(row_number() over (partition by gap_id order by n desc, cluster) as int) as place from c")
+def _(spark, d):
+    return overlaps.clusters_by_size(_from(spark, d, "select o_custkey % 50 as gap_id, o_orderkey % 7 as cluster from orders", "orders"))
+
+
+_RUN_RESULTS = "select o_custkey as gap_id, o_orderkey % 4 as iteration, o_orderkey % 3 > 0 as success, o_orderkey % 2 = 0 as is_complete, o_orderkey % 900 as fill_length from (select o_custkey, max(o_orderkey) as o_orderkey from orders group by o_custkey, o_orderkey % 4) x"
+
+
+@query("iteration_stats", f"with r as ({_RUN_RESULTS}) select iteration, cast(count(*) as bigint) as gaps_processed, cast(count(*) filter (success) as bigint) as gaps_filled, cast(count(*) filter (not success) as bigint) as gaps_failed, cast(coalesce(sum(fill_length) filter (success), 0) as bigint) as total_bp_filled from r group by iteration")
+def _(spark, d):
+    return fills.iteration_stats(_from(spark, d, _RUN_RESULTS, "orders"))
+
+
+@query("final_stats", f"""with r as ({_RUN_RESULTS}), l as (select *, row_number() over (partition by gap_id order by iteration desc) as k from r)
+select cast((select count(distinct iteration) from r) as bigint) as iterations, cast(count(*) as bigint) as total_gaps_initial, cast(count(*) filter (success and is_complete) as bigint) as gaps_completely_filled,
+  cast(count(*) filter (success and not is_complete) as bigint) as gaps_partially_filled, cast(count(*) filter (not success) as bigint) as gaps_failed from l where k = 1""")
+def _(spark, d):
+    return fills.final_stats(_from(spark, d, _RUN_RESULTS, "orders"))
+
+
+_SIDES_OF = "select o_custkey % 200 as gap_id, case when o_orderkey % 2 = 0 then 'left' else 'right' end as side, o_orderkey % 5 as cluster, o_orderkey % 9 as n_reads, repeat('ACGT', cast(o_orderkey % 700 as int)) as seq from orders"
+
+
+@query("flanking_fill", f""", a as ({_SIDES_OF}), b as (select gap_id, side, arg_max(seq, length(seq) * 10 - cluster) as seq from a where n_reads >= 3 and seq <> '' group by gap_id, side),
+  s as (select gap_id, max(seq) filter (side = 'left') as l, max(seq) filter (side = 'right') as r from b group by gap_id),
+  g as (select gap_id, max(qend) filter (tend >= tlen - 100 and qstart < 200) as l, min(qstart) filter (tstart < 100 and qend > qlen - 200) as r, max(qlen) as q from paf where matches / greatest(block_len, 1) >= 0.9 and strand = '+' group by gap_id),
+  t as (select gap_id, case when l > 0 and l < q - 100 then l end as lt, case when r > 100 and r < q then r end as rt from g),
+  c as (select s.gap_id, coalesce(substr(l, coalesce(lt, 0) + 1), '') as l, coalesce(case when rt is null then r else substr(r, 1, rt) end, '') as r from s left join t using (gap_id)),
+  m as (select gap_id, arg_min(qend, line_no) as qend from paf where matches / greatest(block_len, 1) >= 0.9 and block_len >= 100 and tend >= tlen - 100 and strand = '+' and gap_id % 3 = 0 group by gap_id),
+  f as (select c.gap_id, l, r, case when l <> '' and r <> '' then qend end as qend from c left join m using (gap_id) where l <> '' or r <> '')
+select gap_id, case when qend is not null then concat(l, substr(r, qend + 1)) else concat(l, repeat('N', 500), r) end as seq, qend is not null as is_complete, qend is null as has_placeholder, case when qend is not null then 'flanking_merged' else 'flanking' end as strategy from f""", "paf")
+def _(spark, d):
+    paf = load(spark, d, "paf")
+    return fills.flanking_fill(fills.best_sides(_from(spark, d, _SIDES_OF, "orders")), overlaps.trim_points(paf), overlaps.merge_points(paf.filter("gap_id % 3 = 0")))
+
+
+_PRESETS = "select o_custkey % 300 as gap_id, case when o_orderkey % 2 = 0 then 'hifi' else 'ont' end as preset, repeat('ACGT', cast(o_orderkey % 50 as int)) as seq from orders"
+
+
+@query("longer_assembly", f"with a as ({_PRESETS}), k as (select *, row_number() over (partition by gap_id order by length(seq) desc, preset) as n from a where seq <> '') select gap_id, preset, seq from k where n = 1")
+def _(spark, d):
+    return fills.longer_assembly(_from(spark, d, _PRESETS, "orders"))
+
+
+_TIERED = """select concat(chrom, '_', gap_start, '_', gap_end) as gap_id, case k when 0 then '0' when 1 then '0b' when 2 then '1' when 3 then '4' else '6' end as tier, concat('s', k) as source,
+  case gap_start / 500 % (k + 2) when 0 then 'failed' when 1 then 'passed' else 'not_evaluated' end as validation_state, repeat('ACGT', cast(k + 1 as int)) as seq
+from (select distinct concat('chr', l_suppkey % 5) as chrom, cast(l_partkey * 500 as bigint) as gap_start, cast(l_partkey * 500 + 500 as bigint) as gap_end, l_linenumber % 5 as k from lineitem where l_partkey % 20 = 0) g"""
+_TIERED_SPARK = _TIERED.replace("gap_start / 500", "gap_start div 500")
+_TIERS = """t as (select gap_id, unnest(list_filter([case when hifi_spanning >= 3 then '0' end, case when ont_spanning >= 5 then '0b' end, case when hifi_spanning >= 3 then '1' end, case when ont_spanning >= 3 then '2' end,
+  case when hifi_spanning + ont_spanning >= 3 then '3' end, case when hifi_left + hifi_right > 0 then '4' end, case when ont_left + ont_right > 0 then '5' end, case when hifi_left + hifi_right + ont_left + ont_right > 0 then '6' end], lambda x: x is not null)) as tier from counts)"""
+_CASCADE = f"""{_BUNDLE}, {_TIERS}, cand as ({_TIERED.replace('gap_start / 500', 'gap_start // 500')}),
+  acc as (select * exclude (n) from (select *, row_number() over (partition by gap_id order by tier, source, seq) as n from cand semi join t using (gap_id, tier) where validation_state in ('passed', 'not_evaluated')) where n = 1)"""
+
+
+def _accepted(spark, d):
+    counts = reads.bundle_counts(*_aln_gaps(spark, d))
+    return counts, fills.cascade(overlaps.tier_choice(counts), _from(spark, d, _TIERED_SPARK, "lineitem"))
+
+
+@query("tier_cascade", f", {_CASCADE} select gap_id, tier, source, seq, validation_state from acc", "gaps aln")
+def _(spark, d):
+    return _accepted(spark, d)[1].select("gap_id", "tier", "source", "seq", "validation_state")
+
+
+@query("fill_result", f""", {_CASCADE}, {_TRIAGE} select counts.gap_id, seq is not null as success, tier, source, cast(length(seq) as bigint) as fill_length,
+  case when validation_state = 'passed' then 'validated' when seq is not null then 'not_evaluated' when bad then 'needs_polish' else 'unfillable' end as status,
+  hifi_spanning, ont_spanning, hifi_left + hifi_right as hifi_flanking, ont_left + ont_right as ont_flanking from counts left join acc using (gap_id) left join bad using (gap_id)""", "gaps aln")
+def _(spark, d):
+    counts, accepted = _accepted(spark, d)
+    return fills.outcomes(counts, accepted, validation.triage(*_aln_gaps(spark, d)))
+
+
+_LOCAL = "select concat('chr', k) as fill_id, cast(5000 * (k + 1) as bigint) as left_length, concat(repeat('ACGT', cast(100 * (k + 1) as int)), repeat('N', cast(6 * k as int)), repeat('ACGT', 200)) as fill, k % 2 = 0 as is_complete from (select distinct n_nationkey % 7 as k from nation) x"
+_LOCAL_REGIONS = "select fill_id as region_id, fill_id as chrom, left_length as r_start, left_length + length(fill) as r_end from lf where is_complete or not regexp_matches(fill, 'N{10,}')"
+_LOCAL_SIDES = """select concat(fill_id, '/l') as region_id, fill_id as chrom, left_length as r_start, left_length + strpos(fill, 'NNNNNNNNNN') - 1 as r_end from lp
+  union all select concat(fill_id, '/r'), fill_id, left_length + strpos(fill, 'NNNNNNNNNN') - 1 + length(regexp_extract(fill, 'N{10,}')), left_length + length(fill) from lp"""
+
+
+@query("local_validation", f""", lf as ({_LOCAL}), lp as (select * from lf where not is_complete and regexp_matches(fill, 'N{{10,}}')), {_region_sql(_LOCAL_REGIONS + " union all " + _LOCAL_SIDES)},
+  jw as (select region_id, chrom, case when ends_with(region_id, '/l') then r_start else r_end end as pos from regs where contains(region_id, '/')),
+  jc as (select region_id, coalesce(sum(case when ref_start is not null then least(ref_end, pos + 50) - greatest(ref_start, greatest(pos - 50, 0)) end), 0) / any_value(pos + 50 - greatest(pos - 50, 0)) as j
+    from jw left join prim p on p.chrom = jw.chrom and ref_start < pos + 50 and ref_end > greatest(pos - 50, 0) group by region_id),
+  v as (select region_id as fill_id, 'complete' as mode, spanning_reads >= case when fill_length < 1000 then 1 else 2 end and avg_coverage >= 2 as valid from rs where not contains(region_id, '/')
+    union all select split_part(region_id, '/', 1), 'partial', bool_or(j >= 5 and avg_coverage >= 5 and zero_coverage_ratio <= 0.05) from rs join jc using (region_id) group by 1)
+select fill_id, mode, case when fill_id in (select chrom from aln) then valid end as valid,
+  case when fill_id not in (select chrom from aln) then 'not_evaluated' when not valid then 'failed' when mode = 'complete' then 'filled_complete' else 'filled_partial' end as status from v""", "gaps aln")
+def _(spark, d):
+    return fills.local_validation(load(spark, d, "aln"), _from(spark, d, _LOCAL, "nation"))
+
+
+_FORMS = "rd as (select chrom as gap_id, 'hifi' as read_type, r as read_no, case when r = 4 then concat('A', substr(seq, 2)) when r = 5 then concat('T', substr(seq, 2)) else seq end as seq from contigs, (select unnest([1, 2, 3, 4, 5]) as r) x where r <= 3 + ord % 3)"
+_FORM_PAIRS = _PAIRS.replace(_READS, _FORMS)
+_VOTE = """vb as (select gap_id, read_no, unnest(range(1, length(seq) + 1)) as pos, unnest(string_split(seq, '')) as base from rd), vv as (select gap_id, pos, base, count(*) as n, min(read_no) as f from vb group by all),
+  vw as (select gap_id, pos, base, row_number() over (partition by gap_id, pos order by n desc, f) as k from vv), vote as (select gap_id, string_agg(base, '' order by pos) as consensus from vw where k = 1 group by gap_id),
+  bk as (select gap_id, seq as spine, n from (select *, row_number() over (partition by gap_id order by length(seq), read_no) as k, count(*) over (partition by gap_id) as n from rd) where k = n // 2 + 1)"""
+
+
+def _forms(spark, d):
+    form = F.when(F.col("read_no") == 4, F.concat(F.lit("A"), F.expr("substring(seq, 2)"))).when(F.col("read_no") == 5, F.concat(F.lit("T"), F.expr("substring(seq, 2)"))).otherwise(F.col("seq"))
+    many = load(spark, d, "contigs").withColumn("read_no", F.explode(F.expr("sequence(1, cast(3 + ord % 3 as int))")))
+    return many.select(F.col("chrom").alias("gap_id"), F.lit("hifi").alias("read_type"), F.col("read_no").cast("bigint").alias("read_no"), form.alias("seq"))
+
+
+@query("direct_consensus", f", {_FORMS}, {_VOTE} select gap_id, cast(n as bigint) as n_reads, case when n <= 3 then spine else coalesce(consensus, spine) end as seq from bk left join vote using (gap_id)", "contigs")
+def _(spark, d):
+    return sequence.direct_consensus(_forms(spark, d).select("gap_id", "read_no", "seq"))
+
+
+@query("consensus_fill", f""", {_FORM_PAIRS}, {_VOTE}, mi as (select gap_id, avg(identity) as identity from id group by gap_id)
+select gap_id, 'direct_consensus' as source, case when n <= 3 then spine else coalesce(consensus, spine) end as seq, cast(n as bigint) as n_reads, round(cast(least(identity + 0.1, 1.0) as double), 6) as confidence, true as is_complete
+from bk left join vote using (gap_id) join mi using (gap_id) where n >= 3 and identity >= 0.95""", "contigs")
+def _(spark, d):
+    return sequence.consensus_fill(_forms(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+_POLISHED = "select o_custkey as gap_id, o_orderkey % 4 as n_alignments, repeat('T', cast(o_orderkey % 30 as int)) as polished from (select o_custkey, max(o_orderkey) as o_orderkey from orders group by o_custkey) x"
+
+
+@query("polished_fill", f"""with f as (select c_custkey as gap_id, repeat('A', cast(c_custkey % 25 as int)) as seq from customer), p as ({_POLISHED}), j as (select *, coalesce(n_alignments >= 2 and length(polished) >= 0.8 * length(seq), false) as use from f left join p using (gap_id))
+select gap_id, case when use then polished else seq end as seq, use as is_polished from j""")
+def _(spark, d):
+    found = _from(spark, d, "select c_custkey as gap_id, repeat('A', cast(c_custkey % 25 as int)) as seq from customer", "customer")
+    return fills.polished_fill(found, _from(spark, d, _POLISHED, "orders"))
+
+
+_POLISH_FLANKS = """pf as (select flank_id, gap_id, chrom, f_start, f_end, repeat('A', cast(f_end - f_start as int)) as seq from fl where f_end > f_start),
+  hv as (select chrom, pos, case pos % 3 when 0 then 'A' when 1 then 'C' else 'T' end as base from snps), vt as (select flank_id, pos, base from hv join pf using (chrom) where pos >= f_start and pos < f_end),
+  nr as (select flank_id, count(*) as n from prim p join pf on p.chrom = pf.chrom and ref_start < f_end and ref_end > f_start where read_len >= 500 group by flank_id),
+  ps as (select pf.flank_id, string_agg(coalesce(base, 'A'), '' order by i) as s from (select flank_id, unnest(range(f_start, f_end)) as i from pf) pf left join vt on vt.flank_id = pf.flank_id and vt.pos = i group by pf.flank_id),
+  pd as (select pf.flank_id, gap_id, cast(coalesce(n, 0) as bigint) as n_reads, case when coalesce(n, 0) >= 5 then s else seq end as seq, coalesce(n, 0) >= 5 and s <> seq as is_polished from pf left join nr using (flank_id) join ps using (flank_id))"""
+
+
+def _polished_flanks(spark, d):
+    aln, found = _aln_gaps(spark, d)
+    flanks = validation.flanks_of(found).filter("f_end > f_start").withColumn("seq", F.expr("repeat('A', cast(f_end - f_start as int))"))
+    sites = load(spark, d, "snps").select("chrom", "pos", F.expr("case pos % 3 when 0 then 'A' when 1 then 'C' else 'T' end").alias("base")).withColumn("p_end", F.col("pos") + 1)
+    votes = intervals.overlap_join(sites, flanks.select("flank_id", "chrom", "f_start", "f_end"), ("pos", "p_end"), ("f_start", "f_end")).select("flank_id", "pos", "base")
+    return fills.polish_flanks(aln, flanks.drop("gap_id"), votes).join(flanks.select("flank_id", "gap_id"), "flank_id")
+
+
+@query("polish_flanks", f", {_PRIMARY}, {_FLANKS}, {_POLISH_FLANKS} select flank_id, n_reads, seq, is_polished from pd", "gaps aln snps")
+def _(spark, d):
+    return _polished_flanks(spark, d).select("flank_id", "n_reads", "seq", "is_polished")
+
+
+@query("polish_counts", f", {_PRIMARY}, {_FLANKS}, {_POLISH_FLANKS}, pc as (select gap_id, bool_or(is_polished) as x from pd group by gap_id) select cast(count(*) as bigint) as n_gaps, cast(count(*) filter (x) as bigint) as n_polished from pc", "gaps aln snps")
+def _(spark, d):
+    return fills.polish_counts(_polished_flanks(spark, d))
+
+
+@query("apply_polish", "select chrom, case when length(seq) >= 300 then concat(substr(seq, 1, 100), repeat('T', 50), repeat('G', 60), substr(seq, 211)) else seq end as seq from contigs", "contigs")
+def _(spark, d):
+    contigs = load(spark, d, "contigs").select("chrom", "seq")
+    side = lambda start, end, base: F.struct(F.lit(start).cast("bigint").alias("f_start"), F.lit(end).cast("bigint").alias("f_end"), F.lit(base * (end - start)).alias("seq"))
+    sides = F.array(side(100, 160, "T"), side(150, 210, "G"))
+    return fills.apply_polish(contigs, contigs.filter("length(seq) >= 300").select("chrom", F.inline(sides)))

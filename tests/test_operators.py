@@ -1,3 +1,4 @@
+import numpy as np
 """Boundaries of predicates, planted truth, formats and plans, on small fixtures."""
 
 import hashlib
@@ -251,3 +252,54 @@ def test_pieces_cover_every_base(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["gap_id"]: (r["n_reads"], len(r["seq"])) for r in registry.QUERIES["poa_consensus"](spark, str(tmp_path)).collect()}
     assert {k: n for k, (n, _) in got.items()} == {f"ctg{i}:{at}": 3 for i, t in enumerate(texts) for at in range(0, len(t), 300)}
+
+
+def test_fastq_keeps_qualities_that_begin_with_at(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    records = [(f"r{k}", "".join(rng.choice(list("ACGT"), n)), "".join(rng.choice(list("@+I!@"), n))) for k, n in enumerate(rng.integers(1, 60, 2000))]
+    path = tmp_path / "reads.fastq"
+    path.write_text("".join(f"@{n} more\n{s}\n+\n{q}\n" for n, s, q in records))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("7000", size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = sorted((r["read_name"], r["seq"], r["quality"]) for r in files.read_fastq(spark, str(path), "hifi").collect())
+        assert got == sorted(records)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    path.write_text("@a\nACGT\n+\nII\n")
+    with pytest.raises(Exception, match="not a FASTQ record"):
+        files.read_fastq(spark, str(path), "hifi").collect()
+
+
+def test_fasta_headers_may_hold_the_mark(spark, tmp_path):
+    path = tmp_path / "x.fa"
+    path.write_text(">a one>two > three\nACG\nTT\n>b\nNN\n>c\n")
+    rows = files.read_fasta(spark, str(path)).orderBy("ord").collect()
+    assert [(r["chrom"], r["description"], r["seq"]) for r in rows] == [("a", "one>two > three", "ACGTT"), ("b", "", "NN"), ("c", "", "")]
+
+
+def test_sam_records_are_numbered_in_file_order(spark, tmp_path):
+    path = tmp_path / "x.sam"
+    lines = ["@HD\tVN:1.6", "r1\t2048\tchr2\t900\t60\t4M\t*\t0\t0\tACGT\tIIII", "r1\t0\tchr1\t5\t60\t4M\t*\t0\t0\tACGT\tIIII", "u\t4\t*\t0\t0\t*\t*\t0\t0\tACGT\tIIII"]
+    path.write_text("\n".join(lines) + "\n")
+    rows = {(r["read_name"], r["aln_no"]): r for r in files.read_sam(spark, str(path), "hifi").collect()}
+    assert (rows["r1", 1]["chrom"], rows["r1", 2]["chrom"], rows["u", 1]["ref_start"], rows["u", 1]["is_unmapped"]) == ("chr2", "chr1", None, True)
+    gaps_ = spark.createDataFrame([("g", "chr1", 100, 200)], "gap_id string, chrom string, gap_start bigint, gap_end bigint")
+    useful = {r["read_name"]: r["is_useful"] for r in reads.useful_reads(files.read_sam(spark, str(path), "hifi"), gaps_).collect()}
+    assert useful == {"r1": False, "u": True}
+
+
+def test_vote_over_pieces_and_many_reads(spark):
+    rng = np.random.default_rng(9)
+    seqs = ["".join(rng.choice(list("ACGT"), n)) for n in rng.integers(0, 90, 200)]
+    df = spark.createDataFrame([("g", k, s) for k, s in enumerate(seqs)], "gap_id string, read_no bigint, seq string").repartition(3)
+    want = []
+    for at in range(max(map(len, seqs))):
+        column = [s[at] for s in seqs if at < len(s)]
+        want.append(max(dict.fromkeys(column), key=column.count))
+    assert sequence.majority_vote(df, 16).first()["consensus"] == "".join(want)
+
+
+def test_pairs_of_many_reads_are_drawn_from_all(spark):
+    df = spark.createDataFrame([("g", k, "ACGTTGCAAGGCTTAACC" + "ACGT"[k % 4]) for k in range(60)], "gap_id string, read_no bigint, seq string")
+    rows = sequence.pair_identity(df).collect()
+    assert len(rows) == 10 and max(r["j"] for r in rows) > 20

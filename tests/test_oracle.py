@@ -11,8 +11,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents"
 
 
 def rows(df):
-    cols = sorted(df.columns)
-    return cols, sorted(repr(tuple(None if pd.isna(v) else v for v in r)) for r in df[cols].astype(object).itertuples(index=False))
+    cols, plain = sorted(df.columns), lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    return cols, sorted(repr(tuple(map(plain, r))) for r in df[cols].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
