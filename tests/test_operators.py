@@ -167,11 +167,16 @@ def test_streamed_status_is_the_batch_status(spark, tmp_path):
 
 
 def test_plans_have_equi_joins_and_no_python(spark):
-    for name in ("spanning_direct", "useful_reads", "region_stats", "phase_reads", "gap_scan", "majority_vote"):
+    for name in ("spanning_direct", "useful_reads", "region_stats", "phase_reads", "reads_bundle_counts", "local_validation", "fill_result"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search("NestedLoop|Cartesian|Python|Arrow", plan), name
 
 
+def test_no_sequence_is_shuffled_by_the_scan(spark):
+    plan = registry.QUERIES["gap_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "MapInArrow" in plan.partition("Exchange")[2], "the scan stands below the only exchange of runs"
+
+
 def test_overlap_join_gives_each_pair_once(spark):
     rng = random.Random(3)
     span = lambda: (lambda a: (a, a + rng.randint(1, 80)))(rng.randrange(300))
