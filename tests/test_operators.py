@@ -201,6 +201,51 @@ def test_rounds_restore_planted_gaps_and_go_on_where_they_stopped(spark, tmp_pat
         assert got == truth
 
 
+def test_rounds_merge_flanking_reads_and_leave_partial_fills(spark, tmp_path):
+    from lacuna.plans.rounds import run_rounds
+
+    rng = random.Random(21)
+    truth = {c: "".join(rng.choice("ACGT") for _ in range(3400)) for c in "ab"}
+    broken = [(c, k, s[:1200] + "N" * 900 + s[2100:]) for k, (c, s) in enumerate(truth.items())]
+    # no read of 400 spans 900 bases; those of b leave 1500 to 1850 uncovered
+    found = [(f"{c}{k}", s[k : k + 400], "hifi") for c, s in truth.items() for k in range(700, 2500, 25) if c == "a" or not 1100 < k < 1850]
+    contigs, given = spark.createDataFrame(broken, "chrom string, ord int, seq string"), spark.createDataFrame(found, "read_name string, seq string, read_type string")
+    got = {r["chrom"]: r["seq"] for r in run_rounds(contigs, given, f"{tmp_path}/run").collect()}
+    assert got["a"] == truth["a"]
+    left, right = got["b"].split("N" * 500)
+    assert truth["b"].startswith(left) and truth["b"].endswith(right) and len(left) > 1400 and len(right) > 1400
+    log = spark.read.parquet(f"{tmp_path}/run/round-*/status").collect()
+    assert {"filled_partial"} <= {r["status"] for r in log} <= {"filled_complete", "filled_partial"}
+    assert {r["validation_state"] for r in log} == {"passed"}
+
+
+def test_command_line_fills_haplotypes_from_fastq(spark, tmp_path):
+    from lacuna.__main__ import fill, read_reads
+
+    rng = random.Random(8)
+    truth = ["".join(rng.choice("ACGT") for _ in range(1600)) for _ in range(2)]
+    for k, s in enumerate(truth):
+        (tmp_path / f"{k}.fa").write_text(f">c\n{s[:800]}{'N' * 150}{s[900:]}\n")
+    pieces = [(f"r{h}_{k}", s[k : k + 500]) for h, s in enumerate(truth) for k in range(400, 900, 40)]
+    (tmp_path / "reads.fastq").write_text("".join(f"@{n}\n{s}\n+\n{'I' * len(s)}\n" for n, s in pieces))
+    fill(spark, [f"{tmp_path}/{k}.fa" for k in range(2)], read_reads(spark, f"{tmp_path}/reads.fastq", "hifi"), f"{tmp_path}/out", max_rounds=1)
+    for k, s in enumerate(truth):
+        assert [(r["chrom"], r["seq"]) for r in files.read_fasta(spark, f"{tmp_path}/out/contigs-hap{k + 1}").collect()] == [("c", s)]
+    assert spark.read.parquet(f"{tmp_path}/out/rounds/round-000/status").filter("tier = '0' and validation_state = 'passed'").count() == 2
+
+
+def test_overlaps_within_gaps(spark):
+    rng = random.Random(5)
+    truth = "".join(rng.choice("ACGT") for _ in range(1500))
+    back = truth[400:1000][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [("g", 0, truth[:600]), ("g", 1, truth[300:900]), ("g", 2, back), ("g", 3, truth[1100:]), ("h", 0, truth[300:900])]
+    got = {(r["query_no"], r["target_no"]): r for r in align.overlaps_within(spark.createDataFrame(rows, "gap_id string, read_no bigint, seq string")).collect()}
+    assert set(got) == {(1, 0), (2, 0), (2, 1)}
+    assert got[1, 0]["strand"] == "+" and got[2, 1]["strand"] == "-"
+    r = got[1, 0]
+    assert r["qstart"] < 12 and r["qend"] > 288 and r["tstart"] - r["qstart"] == 300 and r["matches"] >= 0.9 * r["block_len"]
+
+
 def test_identity_pairs_are_the_least_hashes_of_all_pairs(spark):
     rng, sizes = random.Random(2), {"a": 300, "b": 21, "c": 2}
     df = spark.createDataFrame([(g, 3 * k, "".join(rng.choices("ACGT", k=40))) for g, n in sizes.items() for k in range(n)], "gap_id string, read_no int, seq string")
