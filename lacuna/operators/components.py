@@ -5,22 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A node with more than this part (one of HOT) of all links isn't met by a shuffle.
+HOT = 100
+
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(links: DataFrame) -> DataFrame:
+    """`(a, m, n)`: the least partner of each node and how many it has; merged within tasks first."""
+    return links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _with_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """links (a, b) with `m` of a.
+
+    A node with more than 1/HOT of all links, as the root of a large component has, is one of 2 * HOT at most: those
+    are broadcast, and their links stay where they are; the others meet their node by a shuffle.
+    """
+    hot = least.filter(F.col("n") * HOT > total).select("a", "m")
+    cold = links.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.select("a", "m"), "a")
+    return links.join(F.broadcast(hot), "a").unionByName(cold)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Links every larger neighbour of a node to the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _pairs(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    least = _least(both).select("a", F.least("a", "m").alias("m"), "n")
+    return _pairs(_with_least(both.filter("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return _pairs(edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))))
+    least = _least(edges)
+    return _pairs(_with_least(edges, least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))))
 
 
 def connected_components(edges: DataFrame, cut, max_rounds: int = 60) -> DataFrame:
@@ -34,7 +53,7 @@ def connected_components(edges: DataFrame, cut, max_rounds: int = 60) -> DataFra
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        now, seen = cut(_small_star(_large_star(now))), state
+        now, seen = cut(_small_star(_large_star(now, state[0]), state[0])), state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

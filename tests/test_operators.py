@@ -109,6 +109,21 @@ def test_components(spark):
     assert got == {n: root[n] for n in linked}
 
 
+def test_components_of_hot_nodes(spark):
+    edges = [(k, 1) for k in range(2, 400)] + [(k, 900) for k in range(500, 700)] + [(399, 500), (901, 902), (903, 904), (904, 905)] + [(901, 902)] * 300
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), shared_checkpoint).collect()}
+    assert got == {n: 1 for n in [*range(1, 400), *range(500, 700), 900]} | {901: 901, 902: 901, 903: 903, 904: 903, 905: 903}
+    assert components.connected_components(spark.createDataFrame([(1, 1)], "a bigint, b bigint"), shared_checkpoint).isEmpty()
+
+
+def test_hot_node_is_not_shuffled(spark):
+    links = spark.createDataFrame([(1, k) for k in range(2, 5000)] + [(k, k + 1) for k in range(6000, 6200)], "a bigint, b bigint")
+    cold = components._with_least(links, components._least(links), links.count())
+    assert cold.filter("a = 1 and m = 2").count() == 4998 and cold.count() == links.count()
+    plan = cold._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 and "LeftAnti" in plan
+
+
 def test_clusters_of_three_are_one(spark):
     found = spark.createDataFrame([(1, 5), (1, 6), (1, 7), (2, 1), (2, 2), (2, 3), (2, 4)], "gap_id bigint, read_no bigint")
     links = spark.createDataFrame([(2, 1, 3, 900, 1000), (2, 2, 4, 899, 1000)], "gap_id bigint, query_no bigint, target_no bigint, matches bigint, block_len bigint")
