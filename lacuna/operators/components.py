@@ -45,7 +45,8 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
 def connected_components(edges: DataFrame, cut, max_rounds: int = 60) -> DataFrame:
     """`(node, root)` for every node of `edges(a, b)`, root being the least node of its component.
 
-    `cut` materialises a frame (checkpoint or written table); it is called once a round.  Rounds grow with the
+    `cut` materialises a frame (checkpoint or written table); it is called twice a round, since
+    each step reads its links several times.  Rounds grow with the
     logarithm of the longest chain, squared.  Nodes without an edge to another node aren't in the result.
     """
     now, seen = cut(_pairs(edges)), None
@@ -53,7 +54,7 @@ def connected_components(edges: DataFrame, cut, max_rounds: int = 60) -> DataFra
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        now, seen = cut(_small_star(_large_star(now, state[0]), state[0])), state
+        now, seen = cut(_small_star(cut(_large_star(now, state[0])), state[0])), state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
