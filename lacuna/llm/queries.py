@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from lacuna.llm.bayes_minhash import OP11_SQL, op11_bayes_minhash
 from lacuna.llm.bin_packing import op9_best_fit_shards
 from lacuna.llm.byte_bpe import op6_byte_bpe
 from lacuna.llm.decontamination import op3_pigeonhole_decontamination
 from lacuna.llm.golay_simhash import op8_golay_simhash
 from lacuna.llm.huffman_tokens import op1_huffman_tokens
+from lacuna.llm.importance_resampling import OP12_SQL, op12_importance_resampling
+from lacuna.llm.lexical_search import OP13_SQL, op13_lexical_search
 from lacuna.llm.neural_lm import op2_log_bilinear_lm
 from lacuna.llm.quality_ledger import ABLATIONS_SQL, OP7_SQL, ledger_ablations, op7_quality_ledger
 from lacuna.llm.quality_mil import op4_attention_quality
@@ -26,6 +29,9 @@ _ALL = {
     "op8_golay_simhash": op8_golay_simhash,
     "op9_best_fit_shards": op9_best_fit_shards,
     "op10_warc_bundles": op10_warc_bundles,
+    "op11_bayes_minhash": op11_bayes_minhash,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_lexical_search": op13_lexical_search,
 }
 QUERIES = {name: shipped(query) for name, query in _ALL.items()}
 
@@ -34,4 +40,7 @@ ORACLE_SQL = {
     "op7_quality_ledger": OP7_SQL,
     "op10_warc_bundles": OP10_SQL,
     "ledger_ablations": ABLATIONS_SQL,
+    "op11_bayes_minhash": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
+    "op13_lexical_search": OP13_SQL,
 }

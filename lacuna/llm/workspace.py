@@ -51,9 +51,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def to_table(df: DataFrame, folder: str) -> DataFrame:
+def to_table(df: DataFrame, folder: str, compression: str | None = None) -> DataFrame:
     """Write as Parquet in the shared folder and read it back."""
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
