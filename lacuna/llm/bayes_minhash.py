@@ -12,7 +12,7 @@ or fewer heads in n + 1 throws of a coin of that bias.  A pair is dropped as soo
 MinHash value is kept, so unequal values agree once in 256 and the bound errs to the side of keeping.  Pairs whose sizes
 alone rule out a link are dropped before.  Whatever survives all batches is verified on the full sets.
 
-Survivors aren't written as pairs: those of a key become the edges of a forest (`crowds.links`), the components of these
+Survivors aren't written as pairs: those of a key become the edges of a forest (`crowds.components`), the components of these
 hold whatever can be linked, and within each of them links are settled again, now with the sets of the whole texts,
 which are read once more for classes that have a candidate.
 
@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import crowds
 from lacuna.llm.near_copies import shingle_set
-from lacuna.llm.workspace import HOT, cut_lineage, join_hot, new_folder, rows_of, to_table
-from lacuna.operators.components import connected_components
+from lacuna.llm.workspace import HOT, join_hot, new_folder, rows_of, to_table
 
 SHINGLE = 3
 PERCENT = 85
@@ -145,12 +144,12 @@ def near_duplicates(docs: DataFrame, folder: str, percent: int = PERCENT, shingl
     filled = prints.filter("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = to_table(filled.select("cls", "rep.id", "rep.h", "rows", "bands", "sig"), f"{folder}/classes")
     keys = classes.select(F.explode("bands").alias("key"), "cls", F.col("sig").alias("what"))
-    rough = connected_components(crowds.links(keys, unpruned(percent), f"{folder}/rough", cell), cut_lineage).select(F.col("node").alias("cls"), F.col("root").alias("key"))
+    rough = crowds.components(keys, unpruned(percent), f"{folder}/rough", cell).select(F.col("node").alias("cls"), F.col("root").alias("key"))
     wanted = to_table(rough.join(classes.select("cls", "id", "h", "sig"), "cls"), f"{folder}/wanted")
     named = wanted.select(F.struct("id", "h").alias("r"), "key", "cls", "sig")  # a struct meets its equal though the id is null
     found = rows.select(F.struct("id", "h").alias("r"), "text").join(named, "r").select("key", "cls", F.concat("sig", F.encode("text", "utf-8")).alias("what"))
     members = to_table(found.dropDuplicates(["key", "cls"]), f"{folder}/members")
-    roots = connected_components(crowds.links(members, verified(percent, shingle), f"{folder}/exact", cell), cut_lineage).select(F.col("node").alias("cls"), "root")
+    roots = crowds.components(members, verified(percent, shingle), f"{folder}/exact", cell).select(F.col("node").alias("cls"), "root")
     linked = to_table(roots.join(classes.select("cls", "id"), "cls"), f"{folder}/linked")
     least = to_table(linked.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), f"{folder}/least")
     large = least.filter(F.col("n") * HOT > linked.count())

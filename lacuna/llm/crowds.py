@@ -4,9 +4,9 @@ What is wanted are edges that connect whatever a relation links, directly or by
 
 1. A key's members are dealt by hash into chunks of CELL members or CELL_BYTES at most, and each chunk is settled in one
    task.  Small keys are one chunk and done.
-2. Of a larger key, whose chunks were settled apart, each component sends REPRESENTATIVES members to the next tier,
-   which is dealt and settled the same way, until the representatives fit into one chunk or components stop melting.
-   Copies of one text thus become one component at a cost in proportion to their number.
+2. Of a larger key, whose chunks were settled apart, each component of a chunk sends REPRESENTATIVES members to the next
+   tier, which is dealt and settled the same way, until the representatives fit into one chunk or components stop
+   melting.  Copies of one text thus become one component at a cost in proportion to their number.
 3. If a key then still has several components, nothing says that they aren't linked: all members of the largest are
    compared with all others, and the others among themselves, chunk against chunk.  Only this step, and only for
    members that no tier linked, costs more than the number of members.
@@ -16,13 +16,16 @@ Edges of one key count for all, so components are those of the whole table.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.workspace import HOT, cut_lineage, join_hot, rows_of, to_table
+from lacuna.llm.workspace import HOT, cut_lineage, join_hot, to_table
 from lacuna.operators.components import connected_components
+from lacuna.operators.grouped import key_runs
 
 CELL, CELL_BYTES = 2048, 16 << 20
 REPRESENTATIVES = 16
@@ -43,42 +46,56 @@ def spanning_forest(n: int, near) -> list[tuple[int, int]]:
     return out
 
 
-def _settled(placed: DataFrame, relation) -> DataFrame:
-    """Edges `(a, b)` within the cells of rows (key, cell, cls, what, main); with main members, only of others with one of them."""
-    kind = placed.schema["cls"].dataType.simpleString()
+def _settled(placed: DataFrame, relation, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Edges `(a, b)` within the cells of rows (key, cell, cls, what, main, large), and representatives `(key, cls, what)` of the components of large keys' cells.
+
+    In a cell with main members, which are linked already, only others are linked with one of them.
+    """
+    kind, key_kind, what_kind = (placed.schema[c].dataType.simpleString() for c in ("cls", "key", "what"))
 
     def run(batches):
-        def compare():
-            if len(cls) > 1 and not all(main):
+        def compare(key, rows):
+            cls, what, main = rows.column("cls").to_pylist(), rows.column("what").to_pylist(), np.array(rows.column("main").to_pylist())
+            edges = []
+            if len(cls) > 1 and not main.all():
                 near = relation(what)
-                if any(main):
+                if main.any():
                     mains = np.flatnonzero(main)
-                    hits = ((i, mains[near(i, mains)]) for i in np.flatnonzero(~np.array(main)))
+                    hits = ((i, mains[near(i, mains)]) for i in np.flatnonzero(~main))
                     edges = [(i, js[0]) for i, js in hits if len(js)]
                 else:
                     edges = spanning_forest(len(cls), near)
-                a.extend(cls[i] for i, _ in edges)
-                b.extend(cls[j] for _, j in edges)
-
-        at, cls, what, main, a, b = None, [], [], [], [], []
-        types = None
-        for batch in batches:
-            types = batch.schema.field("cls").type
-            for key, cell, c, w, m in rows_of(batch, "key", "cell", "cls", "what", "main"):
-                if (key, cell) != at:
-                    compare()
-                    at, cls, what, main = (key, cell), [], [], []
-                cls.append(c)
-                what.append(w)
-                main.append(m)
-            yield pa.RecordBatch.from_arrays([pa.array(a, types), pa.array(b, types)], ["a", "b"])
-            a, b = [], []
+            a.extend(cls[i] for i, _ in edges)
+            b.extend(cls[j] for _, j in edges)
+            if rows.column("large")[0].as_py():
+                label, held = list(range(len(cls))), Counter()
+                for i, j in edges:  # in the order of a search from each component's first member
+                    label[j] = label[i]
+                for i, x in enumerate(label):
+                    held[x] += 1
+                    if held[x] <= REPRESENTATIVES:
+                        reps.append((key, cls[i], what[i]))
+
+        def out():
+            null = [None] * len(reps)
+            keys, names, whats = list(zip(*reps, strict=True)) or [()] * 3
+            empty = [None] * len(a)
+            columns = [a + null, b + null, empty + list(keys), empty + list(names), empty + list(whats)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["a", "b", "key", "cls", "what"])
+
+        a, b, reps, types = [], [], [], None
+        for (key, _), rows in key_runs(batches, ["key", "cell"]):
+            types = types or [rows.schema.field(c).type for c in ("cls", "cls", "key", "cls", "what")]
+            compare(key, rows)
+            if len(a) > 1 << 16 or len(reps) > 1 << 12:
+                yield out()
+                a, b, reps = [], [], []
         if types is not None:
-            compare()
-            yield pa.RecordBatch.from_arrays([pa.array(a, types), pa.array(b, types)], ["a", "b"])
+            yield out()
 
-    sorted_ = placed.select("key", "cell", "cls", "what", "main").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return sorted_.mapInArrow(run, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    sorted_ = placed.select("key", "cell", "cls", "what", "main", "large").repartition("key", "cell").sortWithinPartitions("key", "cell", "cls")
+    both = to_table(sorted_.mapInArrow(run, f"a {kind}, b {kind}, key {key_kind}, cls {kind}, what {what_kind}"), folder)
+    return both.filter("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), both.filter("key is not null").select("key", "cls", "what")
 
 
 def _chunks(n, size, cell: int, cell_bytes: int):
@@ -89,46 +106,34 @@ def _dealt(chunks, seed: int):
     return F.pmod(F.xxhash64("cls", F.lit(seed)), chunks)
 
 
-def links(members: DataFrame, relation, folder: str, cell: int = CELL, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """Edges `(a, b)`, a > b, that connect the classes of members (key, cls, what) as far as relation(list of what) -> near links any two of a key.
+def components(members: DataFrame, relation, folder: str, cell: int = CELL, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """`(node, root)` of all classes of members (key, cls, what) that relation(list of what) -> near links with another one of their key, directly or by others.
 
-    A class is once in a key at most.  Tables go below folder.
+    root is the least class of its component.  A class is once in a key at most.  Tables go below folder.
     """
     n, size = F.count(F.lit(1)), F.sum(F.octet_length("what"))
-    counted = to_table(members.groupBy("key").agg(n.alias("n"), size.alias("size")).filter("n > 1").withColumn("chunks", _chunks(F.col("n"), F.col("size"), cell, cell_bytes)), f"{folder}/counts")
+    chunks = _chunks(n, size, cell, cell_bytes).alias("chunks")
+    counted = to_table(members.groupBy("key").agg(n.alias("n"), chunks).filter("n > 1"), f"{folder}/counts")
     total, most = counted.agg(F.sum("n"), F.max("chunks")).first()
-    hot = counted.filter(F.col("n") * HOT > (total or 0))
-    sized = join_hot(members.select("key", "cls", "what"), counted.select("key", "chunks"), hot.select("key", "chunks"), "key", F.col("cls")).filter("chunks is not null")
-    first = sized.select("key", _dealt(F.col("chunks"), 0).alias("cell"), "cls", "what", F.lit(False).alias("main"))
-    edges = to_table(_settled(first, relation), f"{folder}/edges-0")
+    sized = _of_keys(members.select("key", "cls", "what"), counted, total or 0, "chunks")
+    dealt = lambda rows, seed: rows.select("key", _dealt(F.col("chunks"), seed).alias("cell"), "cls", "what", F.lit(False).alias("main"), (F.col("chunks") > 1).alias("large"))
+    edges, pool = _settled(dealt(sized, 0), relation, f"{folder}/tier-0")
     if (most or 0) <= 1:
-        return edges
-    big = to_table(sized.filter("chunks > 1").drop("chunks"), f"{folder}/big")
-    step, before = 0, None
-
-    def rooted() -> DataFrame:
-        roots = connected_components(edges, cut_lineage).select(F.col("node").alias("cls"), "root")
-        return to_table(big.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), f"{folder}/rooted-{step}")
-
-    n_big = big.count()
-    while True:
-        named, step = rooted(), step + 1
-        keys = _apart(named, f"{folder}/keys-{step}")
-        if (now := keys.agg(F.sum("parts")).first()[0]) is None:
-            return edges
-        order = Window.partitionBy("key", "root").orderBy(F.xxhash64("cls", F.lit(step)), "cls")
-        pool = to_table(_of_keys(named, keys, n_big, "parts").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= REPRESENTATIVES).drop("k", "parts"), f"{folder}/pool-{step}")
-        pooled = to_table(pool.groupBy("key").agg(n.alias("n"), _chunks(n, size, cell, cell_bytes).alias("chunks")), f"{folder}/pooled-{step}")
-        last = pooled.agg(F.max("chunks")).first()[0] == 1
-        if before is not None and now > 0.75 * before:
-            break
-        tier = _of_keys(pool, pooled, pool.count(), "chunks").select("key", _dealt(F.col("chunks"), step).alias("cell"), "cls", "what", F.lit(False).alias("main"))
-        edges, before = to_table(edges.unionByName(_settled(tier, relation)).distinct(), f"{folder}/edges-{step}"), now
-        if last:
-            named, step = rooted(), step + 1
-            keys = _apart(named, f"{folder}/keys-{step}")
-            break
-    return edges.unionByName(_settled(_rest(named, keys, n_big, cell, cell_bytes), relation)).distinct()
+        return connected_components(edges, cut_lineage)
+    tier, before = 1, None
+    while (now := pool.count()) and (before is None or now <= 0.75 * before):
+        pooled = to_table(pool.groupBy("key").agg(n.alias("n"), chunks), f"{folder}/pooled-{tier}")
+        more, pool = _settled(dealt(_of_keys(pool, pooled, now, "chunks"), tier), relation, f"{folder}/tier-{tier}")
+        edges, before, tier = edges.unionByName(more), now, tier + 1
+    edges = to_table(edges, f"{folder}/edges")
+    roots = connected_components(edges, cut_lineage)
+    big = sized.filter("chunks > 1").drop("chunks")
+    named = to_table(big.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), f"{folder}/rooted")
+    keys = _apart(named, f"{folder}/apart")
+    if keys.isEmpty():
+        return roots
+    more, _ = _settled(_rest(named, keys, named.count(), cell, cell_bytes), relation, f"{folder}/rest")
+    return roots if more.isEmpty() else connected_components(edges.unionByName(more), cut_lineage)
 
 
 def _apart(named: DataFrame, folder: str) -> DataFrame:
@@ -156,4 +161,4 @@ def _rest(named: DataFrame, keys: DataFrame, total: int, cell: int, cell_bytes:
     placed = met.withColumn("mine", mine)
     one = placed.select("key", F.explode(across).alias("cell"), "cls", "what", F.col("is_main").alias("main"))
     two = placed.filter("not is_main").select("key", F.explode(among).alias("cell"), "cls", "what", F.lit(False).alias("main"))
-    return one.unionByName(two)
+    return one.unionByName(two).withColumn("large", F.lit(False))
