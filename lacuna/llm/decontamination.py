@@ -1,10 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-An item's normal form (its words in lower case, one space between) may differ from a document's by up to `budget`
-edits, RATE of its length.  Cut into budget + 1 pieces, at least one piece is untouched, so every match contains
+An item's normal form (its words in lower case, one space between) may differ from a run of whole words of a document's
+by up to `budget` edits, RATE of its length; what lies within a word is no match.  Cut into budget + 1 pieces, at least one piece is untouched, so every match contains
 an exact hit of a piece at its place.  Hits of all pieces come from one Aho-Corasick pass over the document; the
 regions around an item's hits are merged, so that none is read twice, and Myers' bit-parallel algorithm finds the
-least edit distance of the item to any part of the region.
+ends of all parts of the region within the budget; from those that end a word it goes back to where words begin.
 
 The items of the benchmark go to the tasks by broadcast, in blocks of at most about BLOCK_BYTES of text; a larger
 benchmark takes one pass over the documents for each block, and one block is alive at a time: what its pass found is
@@ -52,12 +52,10 @@ def masks_of(item: str) -> dict[str, int]:
     return out
 
 
-def myers(masks: dict[str, int], m: int, text: str, budget: int) -> tuple[int, int] | None:
-    """(distance, end) of the part of text nearest to a pattern of m characters, if within budget; the first of equals."""
+def myers(masks: dict[str, int], m: int, text: str, budget: int) -> list[int]:
+    """Ends of the parts of text within budget of a pattern of m characters."""
     full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, None
-    if score <= budget:
-        best = (score, 0)
+    up, down, score, ends = full, 0, m, []
     get = masks.get
     for at, c in enumerate(text, 1):
         eq = get(c, 0)
@@ -70,9 +68,9 @@ def myers(masks: dict[str, int], m: int, text: str, budget: int) -> tuple[int, i
             score -= 1
         plus, minus = (plus << 1) & full, (minus << 1) & full  # a match may start anywhere, so no carry comes in
         up, down = minus | (full & ~(xv | plus)), plus & xv
-        if score <= budget and (best is None or score < best[0]):
-            best = (score, at)
-    return best
+        if score <= budget:
+            ends.append(at)
+    return ends
 
 
 class Matcher:
@@ -125,35 +123,34 @@ class Matcher:
                     merged.append([a, b])
             best = None
             for a, b in merged:
-                found = myers(masks, len(item), form[a:b], budget)
-                if found and (best is None or found[0] < best[0]):
-                    best = (found[0], a + found[1])
+                for end in myers(masks, len(item), form[a:b], budget):
+                    if a + end == len(form) or form[a + end] == " ":
+                        found = _to_word_start(backward, len(item), form, a + end, budget)
+                        best = min(filter(None, (best, found)), default=None)
             if best is None:
                 continue
-            distance, end = best
-            behind = form[max(0, end - len(item) - budget) : end][::-1]
-            begin = end - _anchored(backward, len(item), behind, distance)
+            distance, end, begin = best
             if spans is None:
                 spans = _word_spans(text)
             out.append((item_id, distance, *_outside(spans, begin, end)))
         return out
 
 
-def _anchored(masks: dict[str, int], m: int, text: str, distance: int) -> int:
-    """Length of the least prefix of text at the given distance from the whole pattern."""
+def _to_word_start(masks: dict[str, int], m: int, form: str, end: int, budget: int) -> tuple[int, int, int] | None:
+    """(distance, end, begin) of the part of form up to end that begins with a word and is nearest to the whole pattern, if within budget; of equals the longest."""
     full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score = full, 0, m
-    for at, c in enumerate(text, 1):
-        eq = masks.get(c, 0)
+    up, down, score, best = full, 0, m, None
+    for begin in range(end - 1, max(0, end - m - budget) - 1, -1):
+        eq = masks.get(form[begin], 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
         plus, minus = down | (full & ~(xh | up)), up & xh
         score += 1 if plus & top else -1 if minus & top else 0
         plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
         up, down = minus | (full & ~(xv | plus)), plus & xv
-        if score <= distance:
-            return at
-    return len(text)
+        if score <= budget and (not begin or form[begin - 1] == " ") and (best is None or score <= best[0]):
+            best = (score, end, begin)
+    return best
 
 
 def _word_spans(text: str) -> list[tuple[int, int, int, int]]:

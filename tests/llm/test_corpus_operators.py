@@ -134,13 +134,24 @@ def test_language_model_is_normalised():
 
 
 def _edit_distance_within(item, text):
-    before = [0] * (len(text) + 1)
+    """Least distance of the item to a run of whole words."""
+    far = 10**6
+    before = []
+    for j in range(len(text) + 1):
+        starts = j < len(text) and text[j] != " " and (not j or text[j - 1] == " ")
+        before.append(0 if starts else before[-1] + 1 if before else far)
     for i, c in enumerate(item, 1):
-        now = [i]
+        now = [before[0] + 1]
         for j, t in enumerate(text, 1):
             now.append(min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (c != t)))
         before = now
-    return min(before)
+    return min((d for j, d in enumerate(before) if j and text[j - 1] != " " and (j == len(text) or text[j] == " ")), default=far)
+
+
+def test_items_within_words_are_no_matches():
+    match = decontamination.Matcher([(1, "art"), (2, "a"), (3, "party was"), (4, "arty was over")])
+    assert [x[0] for x in match("The party was over")] == [3]
+    assert [x[0] for x in match("a part of Art")] == [1, 2]
 
 
 def test_pigeonhole_matches_are_those_of_dynamic_programming(spark, odd, empty, monkeypatch):
