@@ -233,8 +233,11 @@ def near_duplicates(docs: DataFrame, folder: str, max_bits: int = MAX_BITS, shin
     classes = to_table(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), f"{folder}/classes")
     roots = connected_components(links(classes, folder, max_bits, cell), cut_lineage)
     linked = roots.join(classes, roots["node"] == classes["fp"]).select("fp", "rep", "root")
-    least = linked.groupBy("root").agg(F.min("rep").alias("least"))  # one row per component of several fingerprints
-    named = classes.join(linked.join(least, "root").select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id"))
+    linked = to_table(linked, f"{folder}/linked")
+    least = to_table(linked.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size")), f"{folder}/least")  # one row per component of several fingerprints
+    large = least.filter(F.col("size") * HOT > linked.count())
+    grouped = join_hot(linked, least.select("root", "least"), large.select("root", "least"), "root", F.col("fp"))
+    named = classes.join(grouped.select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id"))
     of_class = to_table(named, f"{folder}/components")
     hot = of_class.filter(F.col("n") * HOT > prints.count())
     out = join_hot(prints, of_class.select("fp", "component_id"), hot.select("fp", "component_id"), "fp", F.col("id"))
