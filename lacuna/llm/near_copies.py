@@ -9,8 +9,8 @@ at 0.8 two fingerprints of 64 bits differ in 10 bits on average.  Classes of a k
 agree in ROUGH of all places, which a pair at 0.8 misses with probability 7e-8; that gives rough components.
 
 Links.  Within a rough component sets are compared exactly, whole texts being read once more; what is linked there
-makes the groups.  Both steps hand on a spanning forest, not all pairs, and runs of more than `cell` members are
-dealt into cells, each pair of cells being one task's work.  Rows of a key that has more than 1/HOT of all are dealt by class where its size is looked up.
+makes the groups.  Both steps are `crowds.components`: they hand on forests, not all pairs, and work in chunks that are
+bounded in members and bytes.  A class is named by 128 bits of hash, so that no two sets share a name at any size.
 """
 
 from __future__ import annotations
@@ -20,16 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.workspace import HOT, cut_lineage, join_hot, rows_of
-from lacuna.operators.components import connected_components
+from lacuna.llm import crowds
+from lacuna.llm.workspace import new_folder, rows_of, to_table
 
 SEED = 42
 SHINGLE = 5
 SIMILARITY = (4, 5)
 BANDS, ROWS = 32, 4
 ROUGH = 0.6
-#: Members of a key that are compared in one task.
-CELL = 1024
 _draw = np.random.default_rng(SEED)
 _MULTIPLY = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
 _ADD = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -69,28 +67,13 @@ def _prints(docs: DataFrame) -> DataFrame:
             cls, bands, sigs = [], [], []
             for (t,) in rows_of(batch, "text"):
                 hashes = shingle_set(t)
-                cls.append(signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
+                cls.append(xxhash.xxh3_128_digest(hashes.tobytes(), SEED))
                 least = signature(hashes).astype("<u4") if len(hashes) else None
                 bands.append([] if least is None else [signed(xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)) for k in range(BANDS)])
                 sigs.append(None if least is None else (least & 0xFF).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(cls, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "h", "cls", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "h", "cls", "bands", "sig"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h bigint, cls bigint, bands array<bigint>, sig binary")
-
-
-def _forest(n: int, near) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of 0..n-1; near(i, others) is a mask."""
-    left, out = np.arange(n), []
-    while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            i = front.pop()
-            mask = near(i, left)
-            if mask.any():
-                out += [(i, j) for j in left[mask]]
-                front += list(left[mask])
-                left = left[~mask]
-    return out
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h bigint, cls binary, bands array<bigint>, sig binary")
 
 
 def alike(signatures: list[bytes]):
@@ -117,57 +100,15 @@ def similar(texts: list[str | None]):
     return near
 
 
-def crowds(members: DataFrame, cell: int) -> DataFrame:
-    """members (key, cls, ...) of keys that have several, with `cells`, the number of cells their key is dealt into; hot keys are dealt by class."""
-    counted = cut_lineage(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "n", F.ceil(F.col("n") / cell).cast("int").alias("cells")))
-    hot = counted.filter(F.col("n") * HOT > (counted.agg(F.sum("n")).first()[0] or 0))
-    return join_hot(members, counted.select("key", "cells"), hot.select("key", "cells"), "key", F.col("cls")).filter("cells is not null")
-
-
-def _links(members: DataFrame, relation) -> DataFrame:
-    """Edges `(a, b)` that join what relation() finds near among rows `(key, cls, what, cells)` of a key."""
-    mine = F.pmod(F.xxhash64("cls"), F.col("cells")).cast("int")
-    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    placed = dealt.select("key", (F.least("mine", "other") * F.col("cells") + F.greatest("mine", "other")).cast("long").alias("cell"), "cls", "what")
-
-    def run(batches):
-        def compare(cls, what):
-            edges = _forest(len(cls), relation(what)) if len(cls) > 1 else []
-            a.extend(cls[i] for i, _ in edges)
-            b.extend(cls[j] for _, j in edges)
-
-        at, cls, what = None, [], []
-        for batch in batches:
-            a, b = [], []
-            for key, cell_, c, w in rows_of(batch, "key", "cell", "cls", "what"):
-                if (key, cell_) != at:
-                    compare(cls, what)
-                    at, cls, what = (key, cell_), [], []
-                cls.append(c)
-                what.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        a, b = [], []
-        compare(cls, what)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    sorted_ = placed.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return sorted_.mapInArrow(run, "a bigint, b bigint").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def once(docs: DataFrame) -> DataFrame:
-    """Rows `(id, h, text)`, one of those with equal id and text; merged within tasks before they are dealt."""
-    return docs.select("id", "h", "text").dropDuplicates(["id", "h"])
-
-
-def first_of_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", cell: int = CELL) -> DataFrame:
+def first_of_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", cell: int = crowds.CELL) -> DataFrame:
     """`(id, h)` of one row for each group: that of the least id, and then of the least hash h = xxhash64(text)."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
-    prints = cut_lineage(_prints(rows))
-    classes = cut_lineage(prints.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    keys = classes.select(F.explode("bands").alias("key"), "cls")
-    candidates = cut_lineage(crowds(keys, cell).join(classes.select("cls", F.col("sig").alias("what")), "cls"))
-    rough = connected_components(_links(candidates, alike), cut_lineage).select(F.col("node").alias("cls"), F.col("root").alias("key"))
-    named = crowds(rough.join(classes.select("cls", "rep.*"), "cls"), cell)
-    texts = cut_lineage(once(rows).join(named, ["id", "h"]).select("key", "cls", F.col("text").alias("what"), "cells"))
-    roots = connected_components(_links(texts, similar), cut_lineage).select(F.col("node").alias("cls"), "root")
+    folder = new_folder(docs.sparkSession, "near")
+    prints = to_table(_prints(rows), f"{folder}/prints")
+    classes = to_table(prints.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), f"{folder}/classes")
+    keys = classes.filter("sig is not null").select(F.explode("bands").alias("key"), "cls", F.col("sig").alias("what"))
+    rough = crowds.components(keys, alike, f"{folder}/rough", cell).select(F.col("node").alias("cls"), F.col("root").alias("key"))
+    named = to_table(rough.join(classes.select("cls", "rep.*"), "cls"), f"{folder}/named")
+    found = rows.join(named, ["id", "h"]).select("key", "cls", F.col("text").alias("what")).dropDuplicates(["key", "cls"])
+    roots = crowds.components(to_table(found, f"{folder}/members"), similar, f"{folder}/exact", cell).select(F.col("node").alias("cls"), "root")
     return classes.select("cls", "rep").join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("group")).agg(F.min("rep").alias("rep")).select("rep.*")
