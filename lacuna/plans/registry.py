@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lacuna.operators import align, coverage, fills, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state, validation
+from lacuna.operators import align, assembly, coverage, fills, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state, validation
 from lacuna.plans.fixtures import duck, load
 from lacuna.shipping import shipped
 
@@ -574,7 +574,12 @@ def _pieces(spark, d, size: int = 300, step: int = 150, least: int = 300):
 
 @query("assemble_gap")
 def _(spark, d):
-    return kernels.assemble(_pieces(spark, d))
+    """Every contig from its pieces; those of fewer than 3 pieces have no sequence."""
+    from lacuna.plans.rounds import shared_checkpoint
+
+    pieces = _pieces(spark, d, least=1)
+    counts = pieces.groupBy("gap_id").agg(F.count(F.lit(1)).alias("n_reads"))
+    return counts.join(assembly.assemble(pieces, shared_checkpoint).select("gap_id", "seq"), "gap_id", "left")
 
 
 @query("poa_consensus")
@@ -590,7 +595,91 @@ def _(spark, d):
 def _(spark, d):
     contigs = load(spark, d, "contigs").select("chrom", "ord", F.translate("seq", "N", "A").alias("seq"))
     reads_ = _pieces(spark, d, 300, 300, 1).select(F.concat_ws(":", "gap_id", "read_no").alias("read_name"), "seq")
-    return align.place_reads(reads_, gaps.contig_blocks(contigs))
+    out = align.align_reads(reads_, gaps.contig_blocks(contigs))
+    return out.withColumn("cigar", F.array_join(F.transform("cigar", lambda x: F.concat(x["len"].cast("string"), F.element_at(F.split(F.lit("M,I,D,N,S"), ","), x["op"] + 1))), ""))
+
+
+# --- alignment, consensus, assembly and haplotypes of random sequence, whose results are known -----------------
+
+#: A contig for each document: the hexadecimal MD5 of its id and a number, for every 32 characters, as bases.
+_GENOME = """genome as (select concat('g', doc_id) as chrom, translate({join}, '0123456789abcdef', 'ACGTACGTACGTACGT') as seq from {documents})"""
+_DUCK_GENOME = "with " + _GENOME.format(join="array_to_string(list_transform(range(0, coalesce(length(text), 0) // 32 + 1), lambda k: md5(concat(doc_id, ':', k))), '')", documents="documents")
+_TURN = ("ACGT", "CATG")
+
+
+def _genome(spark, d):
+    join = "array_join(transform(sequence(0, coalesce(length(text), 0) div 32), k -> md5(concat(doc_id, ':', k))), '')"
+    return spark.sql("with " + _GENOME.format(join=join, documents="{documents}") + " select chrom, cast(substring(chrom, 2) as bigint) as ord, seq from genome", documents=spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def _cut(contigs, size, step, least):
+    """Pieces (chrom, at, s) of `size` bases at each `step`, those at the end being shorter down to `least`."""
+    at = F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(step)))
+    return contigs.withColumn("at", at).select("chrom", "at", F.expr(f"substring(seq, at + 1, {size})").alias("s")).filter(F.length("s") >= least)
+
+
+@query("align_edit_cost", _DUCK_GENOME + """, places as (select chrom, unnest(range(0, length(seq) - 299, 300)) as b, seq from genome where length(seq) >= 300)
+select concat(chrom, ':', b) as read_name, chrom, case when b % 600 = 0 then '+' else '-' end as strand, b as ref_start, b + 300 as ref_end, cast(1 as int) as nm, '300M' as cigar, concat('150', substr(seq, b + 151, 1), '149') as md,
+  cast(0 as int) as lclip, cast(0 as int) as rclip from places""")
+def _(spark, d):
+    """Reads that differ from their contig in one base, every other one turned round: where they lie and what it costs."""
+    contigs = _genome(spark, d)
+    changed = F.concat(F.substring("s", 1, 150), F.translate(F.substring("s", 151, 1), *_TURN), F.expr("substring(s, 152)"))
+    turned = F.when(F.col("at") % 600 == 0, changed).otherwise(F.reverse(F.translate(changed, "ACGT", "TGCA")))
+    out = align.align_reads(_cut(contigs, 300, 300, 300).select(F.concat_ws(":", "chrom", "at").alias("read_name"), turned.alias("seq")), gaps.contig_blocks(contigs))
+    text = F.array_join(F.transform("cigar", lambda x: F.concat(x["len"].cast("string"), F.element_at(F.split(F.lit("M,I,D,N,S"), ","), x["op"] + 1))), "")
+    return out.select("read_name", "chrom", "strand", "ref_start", "ref_end", "nm", text.alias("cigar"), "md", "lclip", "rclip")
+
+
+@query("poa_planted", _DUCK_GENOME + """, places as (select chrom, unnest(range(0, length(seq) - 299, 300)) as b, seq from genome where length(seq) >= 300)
+select concat(chrom, ':', b) as gap_id, cast(4 as bigint) as n_reads, substr(seq, b + 1, 300) as seq from places""")
+def _(spark, d):
+    """Four reads of each place, one without a base, one with a base more, one with a base changed."""
+    s = F.col("s")
+    forms = F.array(s, F.concat(F.substring(s, 1, 100), F.expr("substring(s, 102)")), F.concat(F.substring(s, 1, 200), F.translate(F.substring(s, 201, 1), *_TURN), F.expr("substring(s, 201)")), F.concat(F.substring(s, 1, 150), F.translate(F.substring(s, 151, 1), *_TURN), F.expr("substring(s, 152)")))
+    rows = _cut(_genome(spark, d), 300, 300, 300).select(F.concat_ws(":", "chrom", "at").alias("gap_id"), F.posexplode(forms))
+    return kernels.poa_consensus(rows.select("gap_id", F.col("pos").cast("bigint").alias("read_no"), F.col("col").alias("seq")), 100)
+
+
+@query("assemble_planted", _DUCK_GENOME + "select chrom as gap_id, cast(ceil(length(seq) / 150.0) as bigint) as n_reads, seq from genome where length(seq) > 300")
+def _(spark, d):
+    """Every contig from pieces that overlap by half."""
+    from lacuna.plans.rounds import shared_checkpoint
+
+    rows = _cut(_genome(spark, d), 300, 150, 1)
+    return assembly.assemble(rows.select(F.col("chrom").alias("gap_id"), F.col("at").cast("bigint").alias("read_no"), F.col("s").alias("seq")), shared_checkpoint)
+
+
+@query("polish_planted", _DUCK_GENOME + "select chrom as draft_id, cast(3 as bigint) as n_alignments, seq as polished from genome where length(seq) >= 300")
+def _(spark, d):
+    """Drafts with a base changed and one left out in every 1000, by three whole reads."""
+    contigs = _genome(spark, d).filter("length(seq) >= 300")
+    spoilt = F.concat(F.substring("s", 1, 120), F.translate(F.substring("s", 121, 1), *_TURN), F.expr("substring(s, 122, 78)"), F.expr("substring(s, 201)"))
+    drafts = _cut(contigs, 1000, 1000, 1).withColumn("s", F.when(F.length("s") >= 300, F.regexp_replace(spoilt, "^(.{220}).", "$1")).otherwise(F.col("s")))
+    whole = drafts.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("x")).select(F.col("chrom").alias("draft_id"), F.array_join(F.transform("x", lambda x: x["s"]), "").alias("seq"))
+    given = contigs.select("chrom", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"), "seq").withColumn("read_name", F.concat_ws("/", "chrom", "k"))
+    return kernels.polish(whole, given.select("read_name", "seq"), given.select(F.col("chrom").alias("draft_id"), "read_name"))
+
+
+@query("snp_from_assemblies", _DUCK_GENOME + """, long as (select * from genome where length(seq) >= 640),
+  two as (select chrom, unnest(range(250, length(seq) - 50, 500)) as pos, seq from long), three as (select chrom, unnest(range(200, length(seq) - 50, 300)) as pos, seq from long),
+  sites as (select chrom, pos, substr(seq, pos + 1, 1) as ref_base, bool_or(h = 2) as two, bool_or(h = 3) as three from (select *, 2 as h from two union all select *, 3 as h from three) group by chrom, pos, seq)
+select chrom, pos, ref_base, concat('hap1=', ref_base, ',hap2=', case when two then translate(ref_base, 'ACGT', 'CATG') else ref_base end, ',hap3=', case when three then translate(ref_base, 'ACGT', 'CATG') else ref_base end) as bases from sites""")
+def _(spark, d):
+    """Two haplotypes against a first one: one with 7 bases more in each contig, one whose contigs are turned round."""
+    from lacuna.operators import haplotypes
+
+    first = _genome(spark, d).filter("length(seq) >= 640")
+
+    def varied(start, step):
+        turn = lambda c, k: F.when((k >= start) & (k < F.length("seq") - 50) & ((k - start) % step == 0), F.translate(c, *_TURN)).otherwise(c)
+        return F.array_join(F.transform(F.split("seq", "(?!$)"), turn), "")
+
+    two, three = first.withColumn("seq", varied(250, 500)), first.withColumn("seq", varied(200, 300))
+    longer = two.withColumn("seq", F.concat(F.substring("seq", 1, 100), F.lit("ACGTTCA"), F.expr("substring(seq, 101)")))
+    turned = three.withColumn("seq", F.reverse(F.translate("seq", "ACGT", "TGCA")))
+    out = haplotypes.snps_from_assemblies(first, {"hap2": longer, "hap3": turned})
+    return out.withColumn("bases", F.array_join(F.transform(F.array_sort(F.map_entries("bases")), lambda x: F.concat_ws("=", x["key"], x["value"])), ","))
 
 
 @query("fill_round")

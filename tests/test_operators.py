@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import align, components, coverage, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state
+from lacuna.operators import align, assembly, components, coverage, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state
 from lacuna.plans import registry
 from lacuna.plans.rounds import shared_checkpoint
 from lacuna.sources import files
@@ -131,13 +131,11 @@ def test_clusters_of_three_are_one(spark):
     assert got == {(1, 5): 5, (1, 6): 5, (1, 7): 5, (2, 1): 1, (2, 3): 1, (2, 2): 2, (2, 4): 4}
 
 
-def test_assembly_of_planted_reads_in_tiers(spark, monkeypatch):
+def test_assembly_of_planted_reads(spark):
     rng = random.Random(1)
     truth = "".join(rng.choice("ACGT") for _ in range(3000))
     df = spark.createDataFrame([("g", k, truth[k * 50 : k * 50 + 300]) for k in range(60)], "gap_id string, read_no bigint, seq string")
-    assert kernels.assemble(df).first()["seq"] == truth
-    monkeypatch.setattr(kernels, "PORTION", 20)
-    assert kernels.assemble(df).first()["seq"] == truth
+    assert [tuple(r) for r in assembly.assemble(df, shared_checkpoint).collect()] == [("g", 60, truth)]
 
 
 def test_consensus_repairs_errors(spark):
@@ -278,7 +276,7 @@ def test_consensus_counts_every_read_once(spark, n):
     assert [(r["n_reads"], r["seq"]) for r in kernels.poa_consensus(df).collect()] == [(n, truth)]
 
 
-def test_votes_by_aggregation_equal_those_of_one_task(spark, monkeypatch):
+def test_consensus_does_not_depend_on_partitions(spark):
     rng, rows = random.Random(7), []
     for g in range(12):
         truth = rng.choices("ACGT", k=50)
@@ -286,8 +284,7 @@ def test_votes_by_aggregation_equal_those_of_one_task(spark, monkeypatch):
             rows.append((g, k, "".join(rng.choice(["", "A", c + "G", c, c, c, c, c, c]) for c in truth)))
     df = spark.createDataFrame(rows, "gap_id int, read_no bigint, seq string")
     want = sorted(map(tuple, kernels.poa_consensus(df).collect()))
-    monkeypatch.setattr(kernels, "PORTION", 2)
-    assert len(want) == 12 and sorted(map(tuple, kernels.poa_consensus(df).collect())) == want
+    assert len(want) == 12 and sorted(map(tuple, kernels.poa_consensus(df.repartition(9)).collect())) == want
 
 
 def test_reads_of_many_copies_are_placed(spark):
