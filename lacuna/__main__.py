@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.operators import fills, gaps
-from lacuna.plans.rounds import run_rounds
+from lacuna.plans.rounds import results, run_rounds
 from lacuna.shipping import ship
 from lacuna.sources import files
 
@@ -39,6 +39,9 @@ def fill(spark: SparkSession, assemblies: list[str], reads: DataFrame, out: str,
     left = gaps.scan_gaps(done, min_size)
     files.write_bed(left, f"{out}/gaps")
     files.write_report(gaps.gap_stats(left), f"{out}/stats")
+    tried = results(spark, f"{out}/rounds")
+    files.write_report(fills.iteration_stats(tried), f"{out}/iterations")
+    files.write_report(fills.final_stats(tried), f"{out}/final")
     shared = gaps.shared_or_specific(gaps.split_prefix(left))
     files.write_report(fills.haplotype_summary(shared), f"{out}/haplotypes")
 

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import align, assembly, components, coverage, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state
+from lacuna.operators import align, assembly, components, coverage, fills, gaps, intervals, kernels, overlaps, phasing, reads, sequence, state
 from lacuna.plans import registry
 from lacuna.plans.rounds import shared_checkpoint
 from lacuna.sources import files
@@ -214,8 +214,22 @@ def test_rounds_restore_planted_gaps_and_go_on_where_they_stopped(spark, tmp_pat
         assert got == truth
 
 
+def test_gaps_keep_their_names_over_rounds(spark):
+    from lacuna.plans.rounds import next_gaps
+
+    known = spark.createDataFrame([("c_100_200", "o1", "c", 100, 200), ("c_300_350", "o2", "c", 300, 350), ("c_500_600", "o3", "c", 500, 600)], "gap_id string, origin_id string, chrom string, gap_start bigint, gap_end bigint")
+    filled = spark.createDataFrame([("c_100_200", "A" * 130, True), ("c_300_350", "C" * 7 + "N" * 20 + "G" * 3, False)], "gap_id string, fill string, is_complete boolean")
+    assert sorted(map(tuple, next_gaps(known, filled).collect())) == [("c_337_357", "o2", "c", 337, 357), ("c_510_610", "o3", "c", 510, 610)]
+
+
+def test_sequences_that_sam_leaves_out(spark, tmp_path):
+    path = tmp_path / "x.sam"
+    path.write_text("r\t256\tc\t5\t0\t4M\t*\t0\t0\t*\t*\nr\t0\tc\t9\t60\t4M\t*\t0\t0\tACGT\tIIII\n")
+    assert [(r["seq"], r["read_len"]) for r in files.read_sam(spark, str(path), "hifi").orderBy("aln_no").collect()] == [(None, 0), ("ACGT", 4)]
+
+
 def test_rounds_merge_flanking_reads_and_leave_partial_fills(spark, tmp_path):
-    from lacuna.plans.rounds import run_rounds
+    from lacuna.plans.rounds import results, run_rounds
 
     rng = random.Random(21)
     truth = {c: "".join(rng.choice("ACGT") for _ in range(3400)) for c in "ab"}
@@ -228,8 +242,12 @@ def test_rounds_merge_flanking_reads_and_leave_partial_fills(spark, tmp_path):
     left, right = got["b"].split("N" * 500)
     assert truth["b"].startswith(left) and truth["b"].endswith(right) and len(left) > 1400 and len(right) > 1400
     log = spark.read.parquet(f"{tmp_path}/run/round-*/status").collect()
-    assert {"filled_partial"} <= {r["status"] for r in log} <= {"filled_complete", "filled_partial"}
-    assert {r["validation_state"] for r in log} == {"passed"}
+    assert {"filled_partial"} <= {r["status"] for r in log} <= {"filled_complete", "filled_partial", "needs_polish", "unfillable"}
+    assert {r["validation_state"] for r in log if r["status"].startswith("filled")} == {"passed"}
+    assert {r["gap_id"] for r in log} == {"a_1200_2100", "b_1200_2100"} and all(r["ts"] for r in log)
+    assert any(r["round_gap_id"] != r["gap_id"] for r in log)  # where the gap lies moves, its name stays
+    tried = results(spark, f"{tmp_path}/run")
+    assert fills.final_stats(tried).first().asDict() == {"iterations": len({r["round"] for r in log}), "total_gaps_initial": 2, "gaps_completely_filled": 1, "gaps_partially_filled": int(max(log, key=lambda r: (r["gap_id"] > "b", r["round"]))["status"] == "filled_partial"), "gaps_failed": int(max(log, key=lambda r: (r["gap_id"] > "b", r["round"]))["status"] != "filled_partial")}
 
 
 def test_command_line_fills_haplotypes_from_fastq(spark, tmp_path):
