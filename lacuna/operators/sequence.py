@@ -21,20 +21,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def pair_identity(reads: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
-    """`(gap_id, i, j, identity)` of at most `most` pairs of each gap's reads (gap_id, read_no, seq).
+def drawn_pairs(sizes: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
+    """`(gap_id, i, j)`, i < j from 1: `most` of the n(n-1)/2 pairs of each gap (gap_id, n), or all if there are no more.
 
-    Pairs are chosen before any sequence is touched: those with the least hash of (gap, i, j) among all pairs.  A row
-    for each i holds its `most` least j; hashing grows with the square of a gap's reads, rows don't.
+    Pairs are numbered, those of a greater j after those of a lesser one.  The numbers drawn lie at even distances from
+    a start that a hash of the gap gives, and a pair is worked out from its number, so nothing is listed but what is drawn.
     """
-    order = Window.partitionBy("gap_id").orderBy("read_no")
-    ranked = reads.withColumn("i", F.row_number().over(order))
-    sizes = reads.groupBy("gap_id").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n >= 2")
-    firsts = sizes.select("gap_id", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i")).repartition("gap_id", "i")
-    hashed = F.transform(F.sequence(F.col("i") + 1, F.col("n")), lambda j: F.struct(F.md5(F.concat_ws("/", "gap_id", "i", j)).alias("hash"), j.alias("j")))
-    offered = firsts.select("gap_id", "i", F.inline(F.slice(F.sort_array(hashed), 1, most)))
-    pick = Window.partitionBy("gap_id").orderBy("hash", "i", "j")
-    chosen = offered.withColumn("__k", F.row_number().over(pick)).filter(F.col("__k") <= most).select("gap_id", "i", "j")
+    pairs = sizes.filter("n >= 2").withColumn("p", F.expr("n * (n - 1) div 2")).withColumn("start", F.conv(F.substring(F.md5(F.col("gap_id").cast("string")), 1, 8), 16, 10).cast("bigint"))
+    numbered = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.col("p")) - 1))).withColumn("x", F.expr(f"(start + k * p div least({most}, p)) % p"))
+    guess = numbered.withColumn("m", F.expr("cast(floor((1 + sqrt(8 * x + 1)) / 2) as bigint)"))
+    exact = guess.withColumn("m", F.expr("m - if(m * (m - 1) div 2 > x, 1, 0) + if(m * (m + 1) div 2 <= x, 1, 0)"))  # where doubles are too coarse
+    return exact.select("gap_id", F.expr("cast(x - m * (m - 1) div 2 + 1 as int)").alias("i"), F.expr("cast(m + 1 as int)").alias("j"))
+
+
+def pair_identity(reads: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
+    """`(gap_id, i, j, identity)` of at most `most` pairs of each gap's reads (gap_id, read_no, seq), chosen by `drawn_pairs` before any sequence is touched."""
+    ranked = reads.withColumn("i", F.row_number().over(Window.partitionBy("gap_id").orderBy("read_no")))
+    chosen = drawn_pairs(reads.groupBy("gap_id").agg(F.count(F.lit(1)).alias("n")), most)
     needed = chosen.select("gap_id", F.explode(F.array("i", "j")).alias("i")).distinct()
     sets = ranked.join(needed, ["gap_id", "i"], "left_semi").select("gap_id", "i", kmers(F.col("seq")).alias("kmers"))
     left, right = sets.withColumnRenamed("kmers", "a"), sets.select("gap_id", F.col("i").alias("j"), F.col("kmers").alias("b"))

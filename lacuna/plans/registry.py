@@ -396,16 +396,19 @@ def _(spark, d):
 
 # --- sequences -----------------------------------------------------------------------------------------------
 
-_READS = "rd as (select concat('g', ord - ord % 7) as gap_id, ord as read_no, seq from contigs)"
+_READS = "rd as (select concat('g', ord - ord % 64) as gap_id, ord as read_no, seq from contigs)"
 
 
 def _reads(spark, d):
-    return load(spark, d, "contigs").select(F.concat(F.lit("g"), F.col("ord") - F.col("ord") % 7).alias("gap_id"), F.col("ord").alias("read_no"), "seq")
+    return load(spark, d, "contigs").select(F.concat(F.lit("g"), F.col("ord") - F.col("ord") % 64).alias("gap_id"), F.col("ord").alias("read_no"), "seq")
 
 
 _PAIRS = f"""{_READS}, rk as (select *, row_number() over (partition by gap_id order by read_no) as i from rd),
   ks as (select gap_id, i, case when length(seq) >= 15 then list_distinct([substr(seq, x, 15) for x in range(1, length(seq) - 13)]) else [] end as k from rk),
-  ch as (select * from (select a.gap_id, a.i, b.i as j, a.k as ka, b.k as kb, row_number() over (partition by a.gap_id order by md5(concat_ws('/', a.gap_id, a.i, b.i))) as n from ks a join ks b on a.gap_id = b.gap_id and a.i < b.i) where n <= 10),
+  np as (select gap_id, count(*) * (count(*) - 1) // 2 as p, cast('0x' || substr(md5(cast(gap_id as varchar)), 1, 8) as bigint) as start from rd group by gap_id having count(*) >= 2),
+  nx as (select gap_id, (start + k * p // least(10, p)) % p as x from (select *, unnest(range(0, least(10, p))) as k from np)),
+  ij as (select a.gap_id, a.i as i, b.i as j from nx join rk b on nx.gap_id = b.gap_id and nx.x >= (b.i - 1) * (b.i - 2) // 2 and nx.x < b.i * (b.i - 1) // 2 join rk a on a.gap_id = nx.gap_id and a.i = nx.x - (b.i - 1) * (b.i - 2) // 2 + 1),
+  ch as (select ij.gap_id, ij.i, ij.j, a.k as ka, b.k as kb from ij join ks a on a.gap_id = ij.gap_id and a.i = ij.i join ks b on b.gap_id = ij.gap_id and b.i = ij.j),
   id as (select gap_id, i, j, case when len(ka) = 0 or len(kb) = 0 then 0.0 else len(list_intersect(ka, kb)) / len(list_distinct(list_concat(ka, kb))) end as identity from ch)"""
 
 

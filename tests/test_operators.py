@@ -277,12 +277,17 @@ def test_overlaps_within_gaps(spark):
     assert r["qstart"] < 12 and r["qend"] > 288 and r["tstart"] - r["qstart"] == 300 and r["matches"] >= 0.9 * r["block_len"]
 
 
-def test_identity_pairs_are_the_least_hashes_of_all_pairs(spark):
-    rng, sizes = random.Random(2), {"a": 300, "b": 21, "c": 2}
-    df = spark.createDataFrame([(g, 3 * k, "".join(rng.choices("ACGT", k=40))) for g, n in sizes.items() for k in range(n)], "gap_id string, read_no int, seq string")
-    hashed = {g: sorted((hashlib.md5(f"{g}/{i}/{j}".encode()).hexdigest(), i, j) for i in range(1, n) for j in range(i + 1, n + 1))[:10] for g, n in sizes.items()}
-    got = sorted((r["gap_id"], r["i"], r["j"]) for r in sequence.pair_identity(df).collect())
-    assert got == sorted((g, i, j) for g, pairs in hashed.items() for _, i, j in pairs)
+def test_identity_pairs_are_spread_over_all_pairs(spark):
+    sizes = {"a": 300, "b": 21, "c": 2, "d": 4, "e": 1, "f": 90_000_000}
+    got = {}
+    for r in sequence.drawn_pairs(spark.createDataFrame(list(sizes.items()), "gap_id string, n bigint")).collect():
+        got.setdefault(r["gap_id"], set()).add((r["i"], r["j"]))
+    assert {g: len(x) for g, x in got.items()} == {"a": 10, "b": 10, "c": 1, "d": 6, "f": 10}
+    for g, pairs in got.items():
+        n = sizes[g]
+        p, start = n * (n - 1) // 2, int(hashlib.md5(g.encode()).hexdigest()[:8], 16)
+        want = {(start + k * p // min(10, p)) % p for k in range(min(10, p))}
+        assert {(j - 1) * (j - 2) // 2 + i - 1 for i, j in pairs} == want and all(1 <= i < j <= n for i, j in pairs)
 
 
 @pytest.mark.parametrize("n", [65, 3000])
