@@ -106,11 +106,17 @@ def _dealt(chunks, seed: int):
     return F.pmod(F.xxhash64("cls", F.lit(seed)), chunks)
 
 
-def components(members: DataFrame, relation, folder: str, cell: int = CELL, cell_bytes: int = CELL_BYTES) -> DataFrame:
+def components(members: DataFrame, relation, folder: str, cell: int = CELL, cell_bytes: int = CELL_BYTES, whats: DataFrame | None = None) -> DataFrame:
     """`(node, root)` of all classes of members (key, cls, what) that relation(list of what) -> near links with another one of their key, directly or by others.
 
-    root is the least class of its component.  A class is once in a key at most.  Tables go below folder.
+    root is the least class of its component.  A class is once in a key at most.  With whats (cls, what), one row for each
+    class, members are only (key, cls), and those of keys that have several meet it: less is shuffled where a class has
+    many keys.  Tables go below folder.
     """
+    if whats is not None:
+        several = to_table(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("is_shared", F.lit(True)), f"{folder}/several")
+        shared = _of_keys(members.select("key", "cls"), several, several.agg(F.sum("n")).first()[0] or 0, "is_shared")
+        members = to_table(shared.select("key", "cls").join(whats, "cls"), f"{folder}/met")
     n, size = F.count(F.lit(1)), F.sum(F.octet_length("what"))
     chunks = _chunks(n, size, cell, cell_bytes).alias("chunks")
     counted = to_table(members.groupBy("key").agg(n.alias("n"), chunks).filter("n > 1"), f"{folder}/counts")

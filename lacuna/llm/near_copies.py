@@ -106,9 +106,10 @@ def first_of_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     folder = new_folder(docs.sparkSession, "near")
     prints = to_table(_prints(rows), f"{folder}/prints")
     classes = to_table(prints.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), f"{folder}/classes")
-    keys = classes.filter("sig is not null").select(F.explode("bands").alias("key"), "cls", F.col("sig").alias("what"))
-    rough = crowds.components(keys, alike, f"{folder}/rough", cell).select(F.col("node").alias("cls"), F.col("root").alias("key"))
+    keys = classes.select(F.explode("bands").alias("key"), "cls")
+    rough = crowds.components(keys, alike, f"{folder}/rough", cell, whats=classes.select("cls", F.col("sig").alias("what"))).select(F.col("node").alias("cls"), F.col("root").alias("key"))
     named = to_table(rough.join(classes.select("cls", "rep.*"), "cls"), f"{folder}/named")
     found = rows.join(named, ["id", "h"]).select("key", "cls", F.col("text").alias("what")).dropDuplicates(["key", "cls"])
-    roots = crowds.components(to_table(found, f"{folder}/members"), similar, f"{folder}/exact", cell).select(F.col("node").alias("cls"), "root")
+    members = to_table(found, f"{folder}/members")
+    roots = crowds.components(members, similar, f"{folder}/exact", cell).select(F.col("node").alias("cls"), "root")
     return classes.select("cls", "rep").join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("group")).agg(F.min("rep").alias("rep")).select("rep.*")
