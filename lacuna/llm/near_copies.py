@@ -104,8 +104,7 @@ def first_of_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """`(id, h)` of one row for each group: that of the least id, and then of the least hash h = xxhash64(text)."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
     folder = new_folder(docs.sparkSession, "near")
-    prints = to_table(_prints(rows), f"{folder}/prints")
-    classes = to_table(prints.groupBy("cls").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), f"{folder}/classes")
+    classes = to_table(_prints(rows).groupBy("cls").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), f"{folder}/classes")
     keys = classes.select(F.explode("bands").alias("key"), "cls")
     rough = crowds.components(keys, alike, f"{folder}/rough", cell, whats=classes.select("cls", F.col("sig").alias("what"))).select(F.col("node").alias("cls"), F.col("root").alias("key"))
     named = to_table(rough.join(classes.select("cls", "rep.*"), "cls"), f"{folder}/named")
