@@ -14,9 +14,11 @@ normalised by batched matrix products, so a token costs GROUPS + symbols / GROUP
 2. The dictionaries, not the tokens, are shuffled: training counts are summed by word and sent back to the blocks.
 3. Every document becomes its symbols, its base score and its words' shares within classes.
 4. One pass counts what follows frequent symbols; from these counts the symbols are grouped.
-5. Training rows are dealt by hash into shards of about SHARD_TOKENS, so neither the order of rows nor the layout of
-   files matters.  Each shard is trained on from the common parameters by noise-contrastive estimation of both
-   softmaxes; parameters and AdaGrad's sums are averaged by Spark, weighted by tokens, ROUNDS times.
+5. Training rows are dealt by hash into shards of about SHARD_TOKENS and within them to TURNS, so neither the order of
+   rows nor the layout of files matters.  In a turn each shard trains on from the common parameters on that turn's rows,
+   by noise-contrastive estimation of both softmaxes.  Spark then joins the moves of all shards to one model, from which
+   the next turn starts: a row of parameters moves by the mean of its moves, weighted by the squared gradients that it
+   met in each shard, so a word that one shard alone holds isn't held back by the others.  All turns are one pass.
 6. One pass scores every row.
 
 Null text counts as empty: one end.  Rows are scored one by one, so repeated ids and rows are fine, and texts of any
@@ -51,8 +53,8 @@ BATCH = 16_384
 #: Tokens of one group that share noise samples.
 TOGETHER = 32
 RATE = 0.2
-#: Passes over all training tokens, each followed by averaging.
-ROUNDS = 1
+#: Parts of the pass over all training tokens; the shards' models become one after each.
+TURNS = 8
 SHARD_TOKENS = 4_000_000
 BLOCK_TOKENS = 3_000_000
 FOLDS, HELD_OUT = 7, 2
@@ -79,6 +81,15 @@ def expanded(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def rounded(numbers: np.ndarray) -> bytes:
+    """float32 to 8 binary digits: the upper halves."""
+    return squeezed(((numbers.view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)).astype(np.uint16))
+
+
+def widened(data: bytes) -> np.ndarray:
+    return (expanded(data, np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
@@ -140,9 +151,15 @@ def _summed_by(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class LogBilinear:
-    """Parameters as one vector: E and R (slots x DIM), b (slots), S (groups x DIM), t (groups), c (CONTEXT x DIM)."""
+    """Parameters as one vector: E and R (slots x DIM), b (slots), S (groups x DIM), t (groups), c (CONTEXT x DIM).
+
+    AdaGrad keeps one sum for each row of a matrix, of the mean squares of its gradients.
+    """
 
     SHAPES = {"E": (SLOTS, DIM), "R": (SLOTS, DIM), "b": (SLOTS,), "S": (GROUPS, DIM), "t": (GROUPS,), "c": (CONTEXT, DIM)}
+    SIZE = sum(int(np.prod(x)) for x in SHAPES.values())
+    #: How many parameters share each of AdaGrad's sums, one after the other.
+    SHARED = np.concatenate([np.full(x[0], int(np.prod(x[1:]))) for x in SHAPES.values()])
 
     def __init__(self, counts: np.ndarray, state: np.ndarray | None = None):
         """counts: of training tokens by slot, -1 for empty places.  state: the parameters and AdaGrad's sums."""
@@ -150,20 +167,19 @@ class LogBilinear:
         own = np.where(filled, counts + 1.0, 0.0).reshape(GROUPS, WIDTH)
         self.groups = own.sum(1) / own.sum()
         self.within = own / own.sum(1, keepdims=True)
-        size = sum(int(np.prod(x)) for x in self.SHAPES.values())
         if state is None:
             rng = np.random.default_rng(SEED)
             with np.errstate(divide="ignore"):
                 b = np.maximum(np.log(self.within), -1e4)
             first = {"E": rng.normal(0, 0.3, (SLOTS, DIM)), "R": np.zeros((SLOTS, DIM)), "b": b, "S": np.zeros((GROUPS, DIM)), "t": np.log(self.groups), "c": np.outer(1 / np.arange(1, CONTEXT + 1), np.ones(DIM))}
-            state = np.concatenate([*(np.ravel(first[k]) for k in self.SHAPES), np.ones(size)])
-        self.state, at = np.array(state, np.float32), 0
+            state = np.concatenate([*(np.ravel(first[k]) for k in self.SHAPES), np.ones(len(self.SHARED))])
+        self.state, at, row = np.array(state, np.float32), 0, self.SIZE
         self.sums: dict[str, np.ndarray] = {}
         for name, shape in self.SHAPES.items():
             n = int(np.prod(shape))
             setattr(self, name, self.state[at : at + n].reshape(shape))
-            self.sums[name] = self.state[size + at : size + at + n].reshape(shape)
-            at += n
+            self.sums[name] = self.state[row : row + shape[0]].reshape(shape[0], *(1,) * (len(shape) - 1))
+            at, row = at + n, row + shape[0]
         self.log_groups = np.log(NOISE * self.groups).astype(np.float32)
         with np.errstate(divide="ignore"):
             self.log_within = np.maximum(np.log(NOISE * self.within), -1e4).ravel().astype(np.float32)
@@ -211,14 +227,27 @@ class LogBilinear:
 
     def _moved(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         gradient = gradient.astype(np.float32, copy=False)
-        sums = self.sums[name][rows]
-        sums = sums + gradient * gradient
+        squares = gradient * gradient if gradient.ndim == 1 else np.einsum("ij,ij->i", gradient, gradient)[:, None] / np.float32(DIM)
+        sums = self.sums[name][rows] + squares
         self.sums[name][rows] = sums
         np.sqrt(sums, out=sums)
         gradient = RATE * gradient
         gradient /= sums
         getattr(self, name)[rows] -= gradient
 
+    def moves(self, start: np.ndarray) -> np.ndarray:
+        """What joined() adds up: the moves since start, times what each row's sum grew by, and these growths."""
+        out = self.state - start
+        out[: self.SIZE] *= np.repeat(out[self.SIZE :], self.SHARED)
+        return out
+
+    @classmethod
+    def joined(cls, start: np.ndarray, added: np.ndarray, models: int) -> np.ndarray:
+        """State after a turn, from the sum of the moves of so many models."""
+        grown = np.repeat(added[cls.SIZE :], cls.SHARED)
+        moved = np.divide(added[: cls.SIZE], grown, out=np.zeros(cls.SIZE), where=grown > 0)
+        return (start + np.concatenate([moved, added[cls.SIZE :] / models])).astype(np.float32)
+
     def step(self, contexts: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> None:
         """Noise-contrastive estimation of both softmaxes on one batch, by AdaGrad; noise comes from the unigram distributions."""
         q, g = self.predicted(contexts), w // WIDTH
@@ -403,7 +432,8 @@ _CHUNK = 1 << 16
 def _summands(values: np.ndarray, shard: int, n: int) -> pa.RecordBatch:
     """A vector in chunks, of weight n."""
     flat = values.ravel()
-    parts = [squeezed(flat[k : k + _CHUNK]) if flat.dtype == np.int64 else flat[k : k + _CHUNK].tobytes() for k in range(0, len(flat), _CHUNK)]
+    packed = squeezed if flat.dtype == np.int64 else rounded
+    parts = [packed(flat[k : k + _CHUNK]) for k in range(0, len(flat), _CHUNK)]
     return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([shard] * len(parts), pa.int64()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["k", "shard", "n", "part"])
 
 
@@ -416,7 +446,7 @@ def _added_up(parts: DataFrame, size: int, kind) -> tuple[np.ndarray, int]:
             for k, n, part in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "part")), strict=True):
                 own = sums.setdefault(k, [0, 0.0])
                 own[0] += n
-                own[1] = own[1] + n * (expanded(part, kind) if kind is np.int64 else np.frombuffer(part, kind)).astype(np.float64)
+                own[1] = own[1] + n * (expanded(part, kind) if kind is np.int64 else widened(part)).astype(np.float64)
         for k, (n, v) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int64()), pa.array([n], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["k", "shard", "n", "part"])
 
@@ -429,22 +459,22 @@ def _added_up(parts: DataFrame, size: int, kind) -> tuple[np.ndarray, int]:
 
 
 def _train(resolved: DataFrame, counts: np.ndarray, slot: np.ndarray, total: int, folder: str) -> np.ndarray:
-    """State of the model after ROUNDS rounds."""
+    """State of the model after one pass, in TURNS."""
     sc, shards = resolved.sparkSession.sparkContext, max(1, -(-total // SHARD_TOKENS))
-    rows = resolved.filter("not held_out").select(F.xxhash64("doc_id", "symbols").alias("h"), "symbols").withColumn("shard", F.pmod("h", F.lit(shards)))
-    dealt = to_table(rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "symbols"), f"{folder}/shards")
+    rows = resolved.filter("not held_out").select(F.xxhash64("doc_id", "symbols").alias("h"), "symbols").withColumn("shard", F.pmod("h", F.lit(shards))).withColumn("turn", F.expr(f"pmod(h div {shards}, {max(1, TURNS)})"))
+    # sorted by turn, so that a turn reads its own pages of a file alone
+    dealt = to_table(rows.repartition(shards, "shard").sortWithinPartitions("turn", "shard", "h", "symbols"), f"{folder}/shards")
     state = LogBilinear(counts).state
-    for turn in range(ROUNDS):
+    for turn in range(TURNS):
         sent = sc.broadcast(state)
 
         def run(batches, sent=sent, turn=turn):
-            at, seen, held, model, rng, left = None, 0, 0, None, None, []
+            at, held, model, rng, left = None, 0, None, None, []
 
             def learn():
-                nonlocal left, held, seen
+                nonlocal left, held
                 if left:
                     contexts, w = contexts_of(left, slot[0]), np.concatenate(left)
-                    seen += len(w)
                     for k in range(0, len(w), BATCH):
                         model.step(contexts[k : k + BATCH], w[k : k + BATCH], rng)
                     left, held = [], 0
@@ -458,8 +488,8 @@ def _train(resolved: DataFrame, counts: np.ndarray, slot: np.ndarray, total: int
                     if shard[a] != at:
                         if model is not None:
                             learn()
-                            yield _summands(model.state, at, seen)
-                        at, seen, model, rng = int(shard[a]), 0, LogBilinear(counts, sent.value), np.random.default_rng([SEED, turn, int(shard[a])])
+                            yield _summands(model.moves(sent.value), at, 1)
+                        at, model, rng = int(shard[a]), LogBilinear(counts, sent.value), np.random.default_rng([SEED, turn, int(shard[a])])
                     for k in range(a, b):
                         left.append(slot[expanded(batch.column("symbols")[k].as_py(), np.uint16)])
                         held += len(left[-1])
@@ -467,13 +497,12 @@ def _train(resolved: DataFrame, counts: np.ndarray, slot: np.ndarray, total: int
                             learn()
             if model is not None:
                 learn()
-                yield _summands(model.state, at, seen)
+                yield _summands(model.moves(sent.value), at, 1)
 
-        summed, n = _added_up(dealt.select("shard", "symbols").mapInArrow(run, _SUMMANDS), len(state), np.float32)
+        added, n = _added_up(dealt.filter(F.col("turn") == turn).select("shard", "symbols").mapInArrow(run, _SUMMANDS), len(state), np.float32)
         sent.destroy()
-        if not n:
-            break
-        state = (summed / n).astype(np.float32)
+        if n:
+            state = LogBilinear.joined(state, added, n)
     return state
 
 

@@ -110,9 +110,29 @@ def test_trained_network_carries_the_gain(spark, monkeypatch):
         return tuple(r)
 
     trained, base = held_out()
-    monkeypatch.setattr(neural_lm, "ROUNDS", 0)
+    monkeypatch.setattr(neural_lm, "SHARD_TOKENS", 60_000)
+    dealt, _ = held_out()
+    monkeypatch.setattr(neural_lm, "TURNS", 1)
+    apart, _ = held_out()
+    monkeypatch.setattr(neural_lm, "TURNS", 0)
     untrained, _ = held_out()
     assert base < untrained + 0.02 < trained - 0.02
+    assert apart < dealt and dealt > trained - 0.05  # shards become one model: dealing loses nothing, here it even gains
+
+
+def test_moves_of_shards_are_joined():
+    counts = np.arange(neural_lm.SLOTS, dtype=float)
+    model = neural_lm.LogBilinear
+    start, size = model(counts).state, model.SIZE
+    one, two = start.copy(), start.copy()
+    one[0], one[size] = start[0] + 1, start[size] + 3  # the first row of E moves in both, the second in one alone
+    two[0], two[size] = start[0] + 2, start[size] + 1
+    two[neural_lm.DIM], two[size + 1] = start[neural_lm.DIM] + 4, start[size + 1] + 2
+    added = sum(neural_lm.widened(neural_lm.rounded(model(counts, x).moves(start))).astype(float) for x in (one, two))
+    got = model.joined(start, added, 2) - start
+    assert got[0] == pytest.approx((3 * 1 + 1 * 2) / 4, rel=0.02) and got[neural_lm.DIM] == pytest.approx(4, rel=0.02)
+    assert got[size] == pytest.approx(2, rel=0.02) and got[size + 1] == pytest.approx(1, rel=0.02) and np.count_nonzero(got) == 4
+    assert len(model.SHARED) == len(start) - size and model.SHARED.sum() == size
 
 
 def test_language_model_is_normalised():
