@@ -146,6 +146,33 @@ def splice_fills(contigs: DataFrame, fills: DataFrame) -> DataFrame:
     return joined.select("chrom", F.when(F.col("cuts").isNull(), F.col("seq")).otherwise(whole).alias("seq"))
 
 
+def splice_blocks(blocks: DataFrame, fills: DataFrame, size: int = BLOCK) -> DataFrame:
+    """`(chrom, block_start, seq)`: the blocks of contig_blocks(.., size) with every fill in place of its gap, so no row is a whole contig.
+
+    A block keeps its bases outside gaps and takes the fills of the gaps that begin in it; block_start counts in the new
+    contig, by a running sum over the blocks' changes of length alone.  Fills must not overlap and gaps hold a base at
+    least; a block within a gap is empty, and so is one without a sequence.  Sequences are shuffled once.
+    """
+    keys = ["chrom", "block"]
+    block = lambda at: F.floor(at / size).cast("bigint")
+    own = blocks.select("chrom", block(F.col("block_start")).alias("block"), "block_start", F.coalesce("seq", F.lit("")).alias("seq"))
+    dealt = fills.withColumn("block", F.explode(F.sequence(block(F.col("gap_start")), block(F.col("gap_end") - 1)))).withColumn("first", F.col("block") * size)
+    cut = F.struct(
+        F.greatest(F.col("gap_start") - F.col("first"), F.lit(0)).cast("int").alias("from"),
+        F.least(F.col("gap_end") - F.col("first"), F.lit(size)).cast("int").alias("to"),
+        F.when(F.col("gap_start") >= F.col("first"), F.col("fill")).otherwise("").alias("fill"),
+    )
+    cuts = dealt.groupBy(*keys).agg(F.array_sort(F.collect_list(cut)).alias("cuts"))  # a block has no more gaps than bases
+    change = dealt.withColumn("cut", cut).groupBy(*keys).agg(F.sum(F.length("cut.fill") - (F.col("cut.to") - F.col("cut.from"))).alias("by"))
+    before = Window.partitionBy("chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    moved = own.select("chrom", "block", "block_start").join(change, keys, "left").select(*keys, (F.col("block_start") + F.coalesce(F.sum("by").over(before), F.lit(0))).alias("start"))
+    at = lambda i: F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["to"])
+    pieces = F.transform("cuts", lambda x, i: F.concat(F.substring(F.col("seq"), at(i) + 1, x["from"] - at(i)), x["fill"]))
+    whole = F.concat(F.array_join(pieces, ""), F.substring(F.col("seq"), F.element_at("cuts", -1)["to"] + 1, F.length("seq")))
+    joined = own.join(moved, keys).join(cuts, keys, "left")
+    return joined.select("chrom", F.col("start").alias("block_start"), F.when(F.col("cuts").isNull(), F.col("seq")).otherwise(whole).alias("seq"))
+
+
 def lifted(gaps: DataFrame, fills: DataFrame) -> DataFrame:
     """Adds `shift`: how far a gap moves when the fills of its contig before it are spliced in."""
     moves = fills.select("chrom", F.col("gap_start").alias("at"), (F.length("fill") - (F.col("gap_end") - F.col("gap_start"))).alias("by"))

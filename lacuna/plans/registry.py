@@ -140,6 +140,17 @@ def _(spark, d):
     return gaps.splice_fills(load(spark, d, "contigs").select("chrom", "seq"), _fills(spark, d))
 
 
+@query("splice_blocks", _FILLS + """, inside as (select chrom, unnest(range(gap_start + 1, gap_end + 1)) as i from fills), parts as (
+  select chrom, i, substr(seq, i, 1) as s from n where not exists (select 1 from inside x where x.chrom = n.chrom and x.i = n.i)
+  union all select chrom, gap_start + 1, fill from fills
+), texts as (select chrom, (i - 1) // 64 as block, string_agg(s, '' order by i) as seq from parts group by all),
+b as (select chrom, unnest(range(0, greatest(length(seq), 1), 64)) // 64 as block from contigs),
+whole as (select chrom, block, coalesce(seq, '') as seq from b left join texts using (chrom, block))
+select chrom, cast(coalesce(sum(length(seq)) over (partition by chrom order by block rows between unbounded preceding and 1 preceding), 0) as bigint) as block_start, seq from whole""", "contigs")
+def _(spark, d):
+    return gaps.splice_blocks(gaps.contig_blocks(load(spark, d, "contigs"), 64), _fills(spark, d), 64)
+
+
 @query("lift_over", _FILLS + """, g as (select concat(chrom, '_', gap_start, '_', gap_end) as gap_id, chrom, gap_start, gap_end from runs where size >= 4)
 select gap_id, g.chrom, g.gap_start, g.gap_end, cast(coalesce(sum(length(fill) - (f.gap_end - f.gap_start)), 0) as bigint) as shift
 from g left join fills f on f.chrom = g.chrom and f.gap_start < g.gap_start group by all""", "contigs")

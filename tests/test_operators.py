@@ -4,7 +4,7 @@ import numpy as np
 import hashlib
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +67,27 @@ def test_gap_scan_agrees_with_a_regex_across_blocks(spark):
     assert got == want
 
 
+def test_splicing_by_blocks_agrees_with_whole_contigs(spark):
+    rng = random.Random(6)
+    contigs = [(f"c{k}", k, "".join(rng.choice("ACGTNNN") for _ in range(rng.randint(1, 120))) + rng.choice(["", "N" * 40, "A"])) for k in range(20)]
+    df = spark.createDataFrame([*contigs, ("e", 99, ""), ("none", 100, None)], "chrom string, ord int, seq string")
+    fills = [(c, m.start(), m.end(), "G" * rng.choice([0, 1, 30])) for c, _, s in contigs for m in re.finditer("N+", s) if rng.random() < 0.7]
+    made = spark.createDataFrame(fills, "chrom string, gap_start bigint, gap_end bigint, fill string")
+    whole = {r["chrom"]: r["seq"] or "" for r in gaps.splice_fills(df, made).collect()}
+    for size in (7, 1000):
+        got = defaultdict(list)
+        for r in gaps.splice_blocks(gaps.contig_blocks(df, size), made, size).collect():
+            got[r["chrom"]].append((r["block_start"], r["seq"]))
+        for chrom, rows in got.items():
+            at = 0
+            for start, seq in sorted(rows, key=lambda x: (x[0], len(x[1]))):
+                assert start == at
+                at += len(seq)
+            assert "".join(seq for _, seq in sorted(rows, key=lambda x: (x[0], len(x[1])))) == whole[chrom]
+        assert set(got) == set(whole)
+    assert gaps.splice_blocks(gaps.contig_blocks(df.limit(0), 7), made, 7).count() == 0
+
+
 def test_splice_and_normalize(spark):
     df = spark.createDataFrame([("a", 0, "acNNNNgtNNtt"), ("b", 1, "TT")], "chrom string, ord int, seq string")
     fills = spark.createDataFrame([("a", 2, 6, "GG"), ("a", 8, 10, "")], "chrom string, gap_start bigint, gap_end bigint, fill string")
