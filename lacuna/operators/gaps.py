@@ -151,7 +151,8 @@ def splice_blocks(blocks: DataFrame, fills: DataFrame, size: int = BLOCK) -> Dat
 
     A block keeps its bases outside gaps and takes the fills of the gaps that begin in it; block_start counts in the new
     contig, by a running sum over the blocks' changes of length alone.  Fills must not overlap and gaps hold a base at
-    least; a block within a gap is empty, and so is one without a sequence.  Sequences are shuffled once.
+    least; a block within a gap is empty, and so is one without a sequence; blocks without a chrom have no place and are left out.
+    Sequences are shuffled once, and the offsets' scan doesn't read them.
     """
     keys = ["chrom", "block"]
     block = lambda at: F.floor(at / size).cast("bigint")
