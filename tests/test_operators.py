@@ -409,3 +409,19 @@ def test_pairs_of_many_reads_are_drawn_from_all(spark):
     df = spark.createDataFrame([("g", k, "ACGTTGCAAGGCTTAACC" + "ACGT"[k % 4]) for k in range(60)], "gap_id string, read_no bigint, seq string")
     rows = sequence.pair_identity(df).collect()
     assert len(rows) == 10 and max(r["j"] for r in rows) > 20
+
+
+def test_identities_of_all_pairs_of_any_number_of_reads(spark):
+    rng = random.Random(5)
+    given = {"g": ["".join(rng.choices("ACGTN", k=rng.choice([0, 10, 15, 40, 300]))) for _ in range(11)], "h": ["".join(map(chr, rng.choices(range(33, 1033), k=60)))] * 2 + ["x" * 20], "one": ["ACGT" * 9]}
+    given["g"][3] = given["g"][2][:20] + given["g"][4]
+    df = spark.createDataFrame([(g, 7 * k, s) for g, seqs in given.items() for k, s in enumerate(seqs)], "gap_id string, read_no bigint, seq string")
+    want = {}
+    for g, seqs in given.items():
+        sets = [{s[i : i + 15] for i in range(len(s) - 14)} for s in seqs]
+        want |= {(g, i + 1, j + 1): len(a & b) / len(a | b) if a and b else 0.0 for j, b in enumerate(sets) for i, a in enumerate(sets[:j])}
+    for tile in (3, 64):
+        rows = sequence.all_identities(df, tile).collect()
+        assert len(rows) == len(want) and {(r["gap_id"], r["i"], r["j"]): r["identity"] for r in rows} == want
+    means = {r["gap_id"]: (r["n_reads"], r["identity"]) for r in sequence.mean_identity(df).collect()}
+    assert means["one"] == (1, 1.0) and means["g"][0] == 11 and means["g"][1] == pytest.approx(sum(v for k, v in want.items() if k[0] == "g") / 55)
