@@ -143,8 +143,8 @@ def near_duplicates(docs: DataFrame, folder: str, percent: int = PERCENT, shingl
     prints = to_table(_prints(rows, shingle), f"{folder}/prints")
     filled = prints.filter("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = to_table(filled.select("cls", "rep.id", "rep.h", "rows", "bands", "sig"), f"{folder}/classes")
-    keys = classes.select(F.explode("bands").alias("key"), "cls", F.col("sig").alias("what"))
-    rough = crowds.components(keys, unpruned(percent), f"{folder}/rough", cell).select(F.col("node").alias("cls"), F.col("root").alias("key"))
+    keys = classes.select(F.explode("bands").alias("key"), "cls")
+    rough = crowds.components(keys, unpruned(percent), f"{folder}/rough", cell, whats=classes.select("cls", F.col("sig").alias("what"))).select(F.col("node").alias("cls"), F.col("root").alias("key"))
     wanted = to_table(rough.join(classes.select("cls", "id", "h", "sig"), "cls"), f"{folder}/wanted")
     named = wanted.select(F.struct("id", "h").alias("r"), "key", "cls", "sig")  # a struct meets its equal though the id is null
     found = rows.select(F.struct("id", "h").alias("r"), "text").join(named, "r").select("key", "cls", F.concat("sig", F.encode("text", "utf-8")).alias("what"))

@@ -11,6 +11,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +47,27 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, an action's shuffle files go when it ends, instead of when the driver's garbage is collected: what it wrote needs them no more."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A table of its own in the shared folder; unlike a checkpoint's, its shuffles are dropped."""
+    return to_table(df, new_folder(df.sparkSession, "cut"))
 
 
 def to_table(df: DataFrame, folder: str, compression: str | None = None) -> DataFrame:
     """Write as Parquet in the shared folder and read it back."""
-    df.write.mode("overwrite").parquet(folder, compression=compression)
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import floor, log
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.llm import bayes_minhash, crowds, importance_resampling, lexical_search
-from lacuna.llm.workspace import new_folder
+from lacuna.llm.workspace import cut_lineage, new_folder, to_table
 
 DOCS = "doc_id bigint, text string, rank string, score string, `root` int, component_id string, term string"
 ODD = [(0, None), (1, ""), (2, "   \n\t "), (3, "one"), (4, "One"), (5, "A b C d e f g"), (5, "A b C d e f g"), (None, "no id here at all"), (None, "no id here at all"), (7, "x" * 3000 + " ü 漢字 \x1c end"), (8, "the of and to " * 20_000), (9, "the of and to " * 20_000 + "end")]
@@ -195,3 +196,27 @@ def test_postings_round_trip():
     data, sizes = lexical_search.packed(values)
     assert (lexical_search.unpacked(data.tobytes()) == values).all() and sizes.tolist() == [1, 1, 1, 2, 2, 3, 4, 4, 5, 5]
     assert len(lexical_search.unpacked(b"")) == 0
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: sum("shuffle_" in str(files.getAllFiles().apply(i)) for i in range(files.getAllFiles().size()))
+    name, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffled()
+    set_to = spark.conf.get(name, None)
+    for write in (lambda df: to_table(df, f"file://{tmp_path}/t"), cut_lineage):
+        got = write(spark.range(1000).groupBy(F.col("id") % 100).count())
+        for _ in range(50):
+            if shuffled() <= before:
+                break
+            time.sleep(0.1)
+        assert shuffled() <= before
+        assert got.count() == 100
+        before = shuffled()
+    assert spark.conf.get(name, None) == set_to
+
+
+def test_signatures_are_not_sent_with_every_band(spark, odd, monkeypatch):
+    seen, real = [], crowds.components
+    monkeypatch.setattr(crowds, "components", lambda members, *a, **b: seen.append(members.columns) or real(members, *a, **b))
+    bayes_minhash.near_duplicates(odd, new_folder(spark, "minhash")).count()
+    assert seen[0] == ["key", "cls"]
