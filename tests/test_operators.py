@@ -437,3 +437,18 @@ def test_runs_within_blocks_and_numbers_over_stripes_are_not_dealt_together(spar
     fills = spark.createDataFrame([("a", 0, 2, "ACGTACGT")], "chrom string, gap_start bigint, gap_end bigint, fill string")
     lifted = gaps.lifted(found.withColumnRenamed("name", "gap_id").withColumn("other", F.lit(1)), fills)
     assert lifted.columns[-2:] == ["other", "shift"] and {r["gap_id"]: r["shift"] for r in lifted.collect() if r["chrom"] == "a"} == {"a_0_2": 0, "a_4_8": 6, "a_10_16": 6}
+
+
+def test_consensus_of_small_gaps_shuffles_reads_once_and_agrees_with_tiles(spark, monkeypatch):
+    rows = [("a", "hifi", k, "ACGTTGCATTGACCATGAC" * 3 + "ACGT"[k % 4]) for k in range(5)] + [("b", "hifi", k, s) for k, s in enumerate(["ACGT" * 9, "ACGT" * 8, "ACGT" * 10])]
+    rows += [("c", "ont", k, "ACGT" * 9) for k in range(6)] + [("d", "hifi", 0, "ACGT" * 9), ("e", "hifi", 0, None), ("e", "hifi", 1, ""), ("e", "hifi", 2, "AC"), (None, "hifi", 0, "ACGT")]
+    table = spark.createDataFrame(rows, "gap_id string, read_type string, read_no bigint, seq string")
+    poa = lambda df: df.groupBy("gap_id").agg(F.count(F.lit(1)).alias("n_reads"), F.min("seq").alias("seq"))
+    small = sequence.consensus_fill(table, poa)
+    whole = sorted(map(tuple, small.collect()))
+    plain = sequence.consensus_fill(table)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(sequence, "TILE", 4)
+    assert sorted(map(tuple, sequence.consensus_fill(table, poa).collect())) == whole
+    assert {r[0] for r in whole} == {"a", "b", "c"}
+    assert sequence.voted([b"AC", b"", b"TCG"], 2) == b"ACG"
