@@ -16,9 +16,9 @@ def _first(start: Column, width: int) -> Column:
     return F.floor(start / width).cast("bigint")
 
 
-def _binned(df: DataFrame, start: str, end: str, width: int, name: str) -> DataFrame:
+def _binned(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
     last = F.floor((F.greatest(F.col(end) - 1, F.col(start))) / width).cast("bigint")
-    return df.withColumn("__bin", F.explode(F.sequence(_first(F.col(start), width), last))).withColumn(name, _first(F.col(start), width))
+    return df.withColumn("__bin", F.explode(F.sequence(_first(F.col(start), width), last)))
 
 
 def overlap_join(reads: DataFrame, windows: DataFrame, read: tuple[str, str] = ("ref_start", "ref_end"), window: tuple[str, str] = ("w_start", "w_end"), width: int = BIN) -> DataFrame:
@@ -26,10 +26,10 @@ def overlap_join(reads: DataFrame, windows: DataFrame, read: tuple[str, str] = (
 
     Column names must differ but for chrom.
     """
-    a = _binned(reads, *read, width, "__a")
-    b = _binned(windows, *window, width, "__b")
-    met = (F.col("__bin") == F.greatest("__a", "__b")) & (F.col(read[0]) < F.col(window[1])) & (F.col(read[1]) > F.col(window[0]))
-    return a.join(b, ["chrom", "__bin"]).filter(met).drop("__bin", "__a", "__b")
+    a, b = _binned(reads, *read, width), _binned(windows, *window, width)
+    first = F.greatest(_first(F.col(read[0]), width), _first(F.col(window[0]), width))  # worked out after the shuffle
+    met = (F.col("__bin") == first) & (F.col(read[0]) < F.col(window[1])) & (F.col(read[1]) > F.col(window[0]))
+    return a.join(b, ["chrom", "__bin"]).filter(met).drop("__bin")
 
 
 def depth_segments(pieces: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:

@@ -45,21 +45,46 @@ def spanning_linked(aln: DataFrame, gaps: DataFrame, min_mapq: int = MIN_MAPQ) -
 
     Of several such alignments of a read the last in file order counts, at either end.
     """
+    linked = _linked(_spanning(aln, gaps, min_mapq, False))
+    return linked.select("gap_id", "read_name", "chrom", "l.read_type", "gap_start", "gap_end", "l.left_end", "l.left_len", "r.right_start", "r.right_len", "read_len")
+
+
+def _around(at: str, reach: int) -> str:
+    return f"ref_start < {at} + {reach} and ref_end > greatest({at} - {reach}, 0)"
+
+
+def _spanning(aln: DataFrame, gaps: DataFrame, min_mapq: int, with_direct: bool) -> DataFrame:
+    """What carries a read over a gap: (gap_id, read_name, chrom, gap_start, gap_end) with its last records `l` and `r` at either end and, if asked for, its first `direct` one.
+
+    One join with the widest window for all of them; rows that are neither aren't shuffled again.
+    """
     fit = aln.filter(F.col("mapq") >= min_mapq)
-    left = near(fit, gaps, REACH, REACH, "start").filter(f"abs(ref_end - gap_start) <= {REACH}")
-    right = near(fit, gaps, REACH, REACH, "end").filter(f"abs(ref_start - gap_end) <= {REACH}")
-    keys = ["gap_id", "read_name"]
-    left = _one(left, keys, F.desc("aln_no")).select(*keys, "chrom", "read_type", "gap_start", "gap_end", F.col("ref_end").alias("left_end"), F.col("read_len").alias("left_len"))
-    right = _one(right, keys, F.desc("aln_no")).select(*keys, F.col("ref_start").alias("right_start"), F.col("read_len").alias("right_len"))
-    both = left.join(right, keys).filter(f"left_end <= gap_start + {REACH} and right_start >= gap_end - {REACH}")
-    return both.withColumn("read_len", F.when(F.col("left_len") > 0, F.col("left_len")).otherwise(F.col("right_len"))).filter(F.col("read_len") >= MIN_LENGTH)
+    met = near(fit, gaps, REACH, REACH)
+    left = F.expr(f"{_around('gap_start', REACH)} and abs(ref_end - gap_start) <= {REACH}")
+    right = F.expr(f"{_around('gap_end', REACH)} and abs(ref_start - gap_end) <= {REACH}")
+    direct = F.expr(f"not is_secondary and read_len >= {MIN_LENGTH} and ref_start <= gap_start and ref_end >= gap_end") if with_direct else F.lit(False)
+    last = lambda what, ok: F.max_by(what, F.when(ok, F.col("aln_no")))
+    found = [
+        last(F.struct("read_type", F.col("ref_end").alias("left_end"), F.col("read_len").alias("left_len")), left).alias("l"),
+        last(F.struct(F.col("ref_start").alias("right_start"), F.col("read_len").alias("right_len")), right).alias("r"),
+    ]
+    if with_direct:
+        found.append(F.min_by(F.struct("read_type", "read_len"), F.when(direct, F.col("aln_no"))).alias("direct"))
+    return met.filter(left | right | direct).groupBy("gap_id", "read_name", "chrom", "gap_start", "gap_end").agg(*found)
+
+
+def _linked(spans: DataFrame) -> DataFrame:
+    """Rows of _spanning that two alignments link, with `read_len`."""
+    size = F.when(F.col("l.left_len") > 0, F.col("l.left_len")).otherwise(F.col("r.right_len"))
+    return spans.filter("l is not null and r is not null").withColumn("read_len", size).filter(F.col("read_len") >= MIN_LENGTH)
 
 
 def spanning_all(aln: DataFrame, gaps: DataFrame, min_mapq: int = MIN_MAPQ) -> DataFrame:
     """Both methods, each read once per gap: directly spanning first."""
-    direct = spanning_direct(aln, gaps, min_mapq).select("gap_id", "read_name", "read_type", "read_len", F.lit("direct").alias("method"), F.col("aln_no").cast("int").alias("place"))
-    linked = spanning_linked(aln, gaps, min_mapq).select("gap_id", "read_name", "read_type", "read_len", F.lit("linked").alias("method"), F.lit(0).alias("place"))
-    return _one(direct.unionByName(linked), ["gap_id", "read_name"], "method", "place").drop("place")
+    size = F.when(F.col("l.left_len") > 0, F.col("l.left_len")).otherwise(F.col("r.right_len"))
+    linked = F.when(F.col("l").isNotNull() & F.col("r").isNotNull() & (size >= MIN_LENGTH), F.struct(F.col("l.read_type").alias("read_type"), size.alias("read_len"), F.lit("linked").alias("method")))
+    direct = F.when(F.col("direct").isNotNull(), F.struct("direct.read_type", "direct.read_len", F.lit("direct").alias("method")))
+    return _spanning(aln, gaps, min_mapq, True).select("gap_id", "read_name", F.coalesce(direct, linked).alias("x")).filter("x is not null").select("gap_id", "read_name", "x.*")
 
 
 def _flank(aln: DataFrame, gaps: DataFrame, side: str, min_mapq: int) -> DataFrame:
@@ -132,31 +157,42 @@ def bundle_counts(aln: DataFrame, gaps: DataFrame, min_mapq: int = MIN_MAPQ) ->
     """Six counts per gap: spanning, left and right reads of either type.
 
     One join with the widest window; what `spanning_all`, `flank_left` and `flank_right` ask of a read's records are
-    conditions on its rows, settled by one aggregation per gap and read.
+    conditions on its rows, settled by one aggregation per gap and read.  An alignment is shuffled as its name, place and
+    one number: its place in the file, and below that what is asked of its other columns.  The first or last record
+    that fits is then the least or greatest such number.
     """
-    met = near(aln, gaps, REACH, REACH)
-    around = lambda at, reach: f"ref_start < {at} + {reach} and ref_end > greatest({at} - {reach}, 0)"
-    long = f"mapq >= {min_mapq} and read_len >= {MIN_LENGTH}"
-    direct = F.expr(f"not is_secondary and {long} and ref_start <= gap_start and ref_end >= gap_end")
-    left = F.expr(f"mapq >= {min_mapq} and {around('gap_start', REACH)} and abs(ref_end - gap_start) <= {REACH}")
-    right = F.expr(f"mapq >= {min_mapq} and {around('gap_end', REACH)} and abs(ref_start - gap_end) <= {REACH}")
-    at_start, at_end = F.expr(f"not is_secondary and {around('gap_start', FLANK)}"), F.expr(f"not is_secondary and {around('gap_end', FLANK)}")
-    reach_l, reach_r = f"abs(ref_end - gap_start) <= {FLANK}", f"abs(ref_start - gap_end) <= {FLANK}"
-    into_l = F.expr(f"{long} and (({reach_l} and rclip > 0) or (ref_start < gap_start and gap_start < ref_end and ref_end < gap_end) or (is_supplementary and {reach_l}))")
-    into_r = F.expr(f"{long} and (({reach_r} and lclip > 0) or (ref_start < gap_end and gap_end < ref_end and ref_start > gap_start) or (is_supplementary and {reach_r}))")
-    first = lambda what, ok: F.min_by(what, F.when(ok, F.col("aln_no")))
-    last = lambda what, ok: F.max_by(what, F.when(ok, F.col("aln_no")))
-    per = met.groupBy("gap_id", "read_name", "gap_start", "gap_end").agg(
-        first(F.col("read_type"), direct).alias("direct"),
-        last(F.struct("ref_end", "read_len", "read_type"), left).alias("l"),
-        last(F.struct("ref_start", "read_len"), right).alias("r"),
-        first(F.struct("read_type", into_l.alias("ok")), at_start).alias("fl"),
-        first(F.struct("read_type", into_r.alias("ok")), at_end).alias("fr"),
+    kind = F.when(F.col("read_type") == "hifi", 0).when(F.col("read_type") == "ont", 1).when(F.col("read_type").isNull(), 3).otherwise(2)
+    length = F.when(F.col("read_len") >= MIN_LENGTH, 2).when(F.col("read_len") > 0, 1).otherwise(0)
+    flags = [F.col("mapq") >= min_mapq, ~F.col("is_secondary"), F.col("is_supplementary"), F.col("lclip") > 0, F.col("rclip") > 0]
+    code = sum((F.when(x, 1 << k).otherwise(0) for k, x in enumerate(flags)), kind * 32 + length * 128)
+    asked = F.expr(f"mapq >= {min_mapq} or not is_secondary")
+    slim = mapped(aln).filter(asked).select("chrom", "read_name", "ref_start", "ref_end", (F.col("aln_no").cast("bigint") * 1024 + code).alias("no"))
+    met = near(slim, gaps, REACH, REACH)
+    well, primary, supplementary, lclip, rclip = (F.col("no").bitwiseAND(1 << k) != 0 for k in range(5))
+    long = well & (F.col("no").bitwiseAND(256) != 0)
+    at_start, at_end = F.expr(_around("gap_start", FLANK)) & primary, F.expr(_around("gap_end", FLANK)) & primary
+    direct = long & primary & F.expr("ref_start <= gap_start and ref_end >= gap_end")
+    left = well & F.expr(f"{_around('gap_start', REACH)} and abs(ref_end - gap_start) <= {REACH}")
+    right = well & F.expr(f"{_around('gap_end', REACH)} and abs(ref_start - gap_end) <= {REACH}")
+    reach_l, reach_r = F.expr(f"abs(ref_end - gap_start) <= {FLANK}"), F.expr(f"abs(ref_start - gap_end) <= {FLANK}")
+    into_l = long & ((reach_l & (rclip | supplementary)) | F.expr("ref_start < gap_start and gap_start < ref_end and ref_end < gap_end"))
+    into_r = long & ((reach_r & (lclip | supplementary)) | F.expr("ref_start < gap_end and gap_end < ref_end and ref_start > gap_start"))
+    marked = lambda ok: F.col("no") * 2 + F.when(ok, 1).otherwise(0)
+    per = met.filter(direct | left | right | at_start | at_end).groupBy("gap_id", "read_name").agg(
+        F.min(F.when(direct, F.col("no"))).alias("direct"),
+        F.max(F.when(left, F.col("no"))).alias("l"),
+        F.max(F.when(right, F.col("no"))).alias("r"),
+        F.min(F.when(at_start, marked(into_l))).alias("fl"),
+        F.min(F.when(at_end, marked(into_r))).alias("fr"),
     )
-    size = F.when(F.col("l.read_len") > 0, F.col("l.read_len")).otherwise(F.col("r.read_len"))
-    linked = F.when(F.expr(f"l.ref_end <= gap_start + {REACH} and r.ref_start >= gap_end - {REACH}") & (size >= MIN_LENGTH), F.col("l.read_type"))
-    kinds = {"spanning": F.coalesce("direct", linked), "left": F.when(F.col("fl.ok"), F.col("fl.read_type")), "right": F.when(F.col("fr.ok"), F.col("fr.read_type"))}
-    counts = per.groupBy("gap_id").agg(*[F.count_if(kinds[k] == t).alias(f"{t}_{k}") for t in ("hifi", "ont") for k in kinds])
+    kind_of = lambda no: F.shiftright(no, 5).bitwiseAND(3)
+    length_of = lambda no: F.shiftright(no, 7).bitwiseAND(3)
+    size = F.when(length_of("l") > 0, length_of("l")).otherwise(length_of("r"))
+    known = F.when(F.col("direct").isNotNull() & (kind_of("direct") != 3), kind_of("direct"))
+    linked = F.when(F.col("l").isNotNull() & F.col("r").isNotNull() & (size == 2), kind_of("l"))
+    flank = lambda c: F.when(F.col(c).bitwiseAND(1) != 0, kind_of(F.shiftright(c, 1)))
+    kinds = {"spanning": F.coalesce(known, linked), "left": flank("fl"), "right": flank("fr")}
+    counts = per.groupBy("gap_id").agg(*[F.count_if(kinds[k] == n).alias(f"{t}_{k}") for n, t in enumerate(("hifi", "ont")) for k in kinds])
     return gaps.select("gap_id").join(counts, "gap_id", "left").na.fill(0)
 
 

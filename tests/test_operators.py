@@ -452,3 +452,14 @@ def test_consensus_of_small_gaps_shuffles_reads_once_and_agrees_with_tiles(spark
     assert sorted(map(tuple, sequence.consensus_fill(table, poa).collect())) == whole
     assert {r[0] for r in whole} == {"a", "b", "c"}
     assert sequence.voted([b"AC", b"", b"TCG"], 2) == b"ACG"
+
+
+def test_spanning_reads_meet_gaps_in_one_join(spark):
+    kind = "chrom string, read_name string, aln_no int, read_type string, ref_start bigint, ref_end bigint, read_len bigint, mapq int, is_secondary boolean, is_supplementary boolean, lclip int, rclip int"
+    rows = [("c", "a", 1, "hifi", 100, 5000, 4900, 60, False, False, 0, 0), ("c", "b", 1, None, 0, 950, 0, 60, False, False, 0, 9), ("c", "b", 2, "ont", 2100, 3000, 900, 60, False, True, 9, 0), ("c", "d", 1, "ont", 0, 900, 300, 60, False, False, 0, 9), ("c", "d", 2, "ont", 2100, 3000, 900, 60, True, False, 9, 0)]
+    aln, found = spark.createDataFrame(rows, kind), spark.createDataFrame([("g", "c", 1000, 2000)], "gap_id string, chrom string, gap_start bigint, gap_end bigint")
+    spans = reads.spanning_all(aln, found)
+    for df in (spans, reads.spanning_linked(aln, found)):
+        assert len(re.findall(r"(?:SortMergeJoin|HashJoin) \[", df._jdf.queryExecution().executedPlan().toString())) == 1
+    assert sorted(tuple(r) for r in spans.collect()) == [("g", "a", "hifi", 4900, "direct"), ("g", "b", None, 900, "linked")]
+    assert reads.bundle_counts(aln, found).first().asDict() == {"gap_id": "g", "hifi_spanning": 1, "hifi_left": 0, "hifi_right": 0, "ont_spanning": 0, "ont_left": 0, "ont_right": 1}
