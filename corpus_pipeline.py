@@ -39,7 +39,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at a Jaccard similarity of 0.8 of five-word shingles."""
+    """One document of each group linked by op8's method (SimHash with Golay keys) or at a Jaccard similarity of 0.8, both of five-word shingles."""
     ship(spark)
     h, named = free_name(docs, "__h"), docs.filter("doc_id is not null")
     kept = near_copies.first_of_groups(named.select("doc_id", "text")).select(F.col("id").alias("doc_id"), F.col("h").alias(h))

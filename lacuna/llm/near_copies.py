@@ -3,9 +3,12 @@
 A text's set holds the XXH64 hashes (seed 42) of its five-word shingles; a text of fewer words is one shingle, one
 without words (or null) has the empty set.  Texts of equal sets are one class from the start, so copies are never paired.
 
-Candidates.  MinHash of BANDS * ROWS functions; classes that agree on all ROWS of a band share a key.  A pair of
-similarity s shares none with probability (1 - s^ROWS)^BANDS: 4.7e-8 at 0.8, less above.  SimHash keys don't serve:
-at 0.8 two fingerprints of 64 bits differ in 10 bits on average.  Classes of a key are joined if their signatures
+Fingerprints.  Op8's method, SimHash with Golay keys (`golay_simhash`), over the hashes of a set: classes whose
+fingerprints differ in MAX_BITS of 64 bits or fewer are linked, as op8 links them.  The empty set has none.
+
+Candidates for the similarity.  MinHash of BANDS * ROWS functions; classes that agree on all ROWS of a band share a key.  A pair of
+similarity s shares none with probability (1 - s^ROWS)^BANDS: 4.7e-8 at 0.8, less above.  Fingerprints alone
+don't serve there: at 0.8 two of 64 bits differ in 10 bits on average.  Classes of a key are joined if their signatures
 agree in ROUGH of all places, which a pair at 0.8 misses with probability 7e-8; that gives rough components.
 
 Links.  Within a rough component sets are compared exactly, whole texts being read once more; what is linked there
@@ -20,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm import crowds
-from lacuna.llm.workspace import new_folder, rows_of, to_table
+from lacuna.llm import crowds, golay_simhash
+from lacuna.llm.workspace import cut_lineage, new_folder, rows_of, to_table
+from lacuna.operators.components import connected_components
 
 SEED = 42
 SHINGLE = 5
@@ -56,24 +60,33 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of hashes: the bits that over half of them have, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _prints(docs: DataFrame) -> DataFrame:
-    """`(id, h, cls, bands, sig)` from rows (id, h, text): class, band keys and a byte of each MinHash value; no keys for empty sets."""
+    """`(id, h, cls, fp, bands, sig)` from rows (id, h, text): class, fingerprint, band keys and a byte of each MinHash value; only a class for empty sets."""
 
     def run(batches):
         import xxhash
 
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         for batch in batches:
-            cls, bands, sigs = [], [], []
+            cls, fps, bands, sigs = [], [], [], []
             for (t,) in rows_of(batch, "text"):
                 hashes = shingle_set(t)
                 cls.append(xxhash.xxh3_128_digest(hashes.tobytes(), SEED))
+                fps.append(fingerprint(hashes) if len(hashes) else None)
                 least = signature(hashes).astype("<u4") if len(hashes) else None
                 bands.append([] if least is None else [signed(xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)) for k in range(BANDS)])
                 sigs.append(None if least is None else (least & 0xFF).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "h", "cls", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(cls, pa.binary()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "h", "cls", "fp", "bands", "sig"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h bigint, cls binary, bands array<bigint>, sig binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h bigint, cls binary, fp bigint, bands array<bigint>, sig binary")
 
 
 def alike(signatures: list[bytes]):
@@ -100,15 +113,27 @@ def similar(texts: list[str | None]):
     return near
 
 
+def fingerprint_links(classes: DataFrame, folder: str) -> DataFrame:
+    """Edges `(a, b)` among classes (cls, fp) that join those of equal or near fingerprints into components."""
+    named = classes.filter("fp is not null").select("cls", "fp")
+    first = to_table(named.groupBy("fp").agg(F.min("cls").alias("first")), f"{folder}/fingerprints")
+    found = to_table(golay_simhash.links(first, folder), f"{folder}/links")
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_cls")) for c in "ab")
+    near = found.join(a, "a").join(b, "b").select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
+    return near.unionByName(named.join(first, "fp").select(F.col("cls").alias("a"), F.col("first").alias("b")).filter("a <> b"))
+
+
 def first_of_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", cell: int = crowds.CELL) -> DataFrame:
     """`(id, h)` of one row for each group: that of the least id, and then of the least hash h = xxhash64(text)."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
     folder = new_folder(docs.sparkSession, "near")
-    classes = to_table(_prints(rows).groupBy("cls").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), f"{folder}/classes")
+    classes = to_table(_prints(rows).groupBy("cls").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), f"{folder}/classes")
     keys = classes.select(F.explode("bands").alias("key"), "cls")
     rough = crowds.components(keys, alike, f"{folder}/rough", cell, whats=classes.select("cls", F.col("sig").alias("what"))).select(F.col("node").alias("cls"), F.col("root").alias("key"))
     named = to_table(rough.join(classes.select("cls", "rep.*"), "cls"), f"{folder}/named")
     found = rows.join(named, ["id", "h"]).select("key", "cls", F.col("text").alias("what")).dropDuplicates(["key", "cls"])
     members = to_table(found, f"{folder}/members")
-    roots = crowds.components(members, similar, f"{folder}/exact", cell).select(F.col("node").alias("cls"), "root")
+    alike_ = crowds.components(members, similar, f"{folder}/exact", cell).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = to_table(alike_.unionByName(fingerprint_links(classes, f"{folder}/golay")), f"{folder}/both")
+    roots = connected_components(links, cut_lineage).select(F.col("node").alias("cls"), "root")
     return classes.select("cls", "rep").join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("group")).agg(F.min("rep").alias("rep")).select("rep.*")

@@ -14,7 +14,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lacuna.llm import bin_packing, byte_bpe, decontamination, golay_simhash, huffman_tokens, near_copies, neural_lm, quality_ledger, quality_mil, queries, url_rules, warc_bundles
+from lacuna.llm import bin_packing, byte_bpe, decontamination, golay_simhash, huffman_tokens, near_copies, neural_lm, quality_ledger, quality_mil, queries, url_rules, warc_bundles, workspace
 from lacuna.llm.workspace import cut_lineage, join_hot, new_folder
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, `row` int"
@@ -486,3 +486,19 @@ def test_rows_of_equal_ids_stay_in_their_groups(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.withColumn("__h", F.lit(3)).withColumn("id", F.lit(1)), SMALL).columns == ["doc_id", "text", "__h", "id"]
     got = sorted(((r["doc_id"] or 0), r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect())
     assert got == sorted([(1, own[0]), (5, own[1]), (5, own[2]), (2, own[3]), (0, own[0])])
+
+
+def test_near_copies_link_fingerprints_through_golay_keys(spark, monkeypatch):
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 5000, np.uint64)
+    for n in (1, 2, 5, 5000):
+        bits = [(int(h) >> k & 1) for h in hashes[:n] for k in range(64)]
+        most = sum(1 << k for k in range(64) if 2 * sum(bits[k::64]) > n)
+        assert near_copies.fingerprint(hashes[:n]) & (1 << 64) - 1 == most
+    rows = [(b"a", 0), (b"b", 0b1111), (b"c", 0b1111 << 20 | 0b1111), (b"d", 0), (b"e", 0x5555555555555555), (b"f", 0x55555555555555AA), (b"g", None)]
+    folder = workspace.new_folder(spark, "golay")
+    links = near_copies.fingerprint_links(spark.createDataFrame(rows, "cls binary, fp bigint"), folder).collect()
+    assert {frozenset(map(bytes, (r["a"], r["b"]))) for r in links} == {frozenset((b"a", b"b")), frozenset((b"b", b"c")), frozenset((b"a", b"d"))}
+    docs = spark.createDataFrame([(k, " ".join(f"{k}w{j}" for j in range(60))) for k in (3, 5, 8)] + [(1, ""), (2, None)], "doc_id bigint, text string")
+    assert sorted(r["id"] for r in near_copies.first_of_groups(docs).collect()) == [1, 3, 5, 8]
+    monkeypatch.setattr(golay_simhash, "links", lambda fps, folder: fps.crossJoin(fps.agg(F.min("fp").alias("b"))).select(F.col("fp").alias("a"), "b").filter("a <> b"))
+    assert sorted(r["id"] for r in near_copies.first_of_groups(docs).collect()) == [1, 3]
