@@ -1,14 +1,14 @@
-"""Byte-level BPE encoding and decoding with DuckDB inside Spark tasks.
+"""Byte-level BPE encoding and decoding inside Spark tasks.
 
 Each partition's texts are cut into chunks at single spaces between non-spaces, where the pattern always ends a
-match; distinct chunks are matched against the pattern once, and distinct matches that are no token themselves go
-to a recursive DuckDB query: rows (word, position, token) join the merge table, each word contracts its leftmost
-pair of least rank, and words leave when no pair is left.  Decoding joins ids with the vocabulary and aggregates
-the pieces in order of position, again in DuckDB.  Both run map-side: no shuffle, and memory is bounded by an
-Arrow batch, LIMIT_CACHE remembered chunks and LIMIT_ROWS recursion rows.
-
-The recursion for short words keeps every step's rows, which would be quadratic in a word's length.  Words of more
-than LONG_WORD bytes, one at a time, take a recursion that keeps only the current state, by key, and contracts in one
+match; distinct chunks are matched against the pattern once, and distinct matches that are no token themselves are
+contracted many at a time, as arrays: in each step every word contracts its leftmost pair of least rank, only the ranks
+of the pairs beside it are looked up anew, and words leave when no pair is left.  Decoding takes the pieces of all ids
+from the vocabulary into one buffer and cuts it by document.  Both run map-side: no shuffle, and memory is bounded by an
+Arrow batch, LIMIT_CACHE remembered chunks and LIMIT_BYTES of words.
+
+A step looks at all that is left of a word, which would be quadratic in a word's length.  Words of more
+than LONG_WORD bytes, one at a time, take a recursive DuckDB query that keeps the state by key, and contracts in one
 step all places of the least rank up to the first whose contraction makes a pair of lower rank: the same order of
 contractions, so the same ids.
 
@@ -22,6 +22,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from lacuna.llm.workspace import portions, release
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LIMIT_CACHE = 150_000
-LIMIT_ROWS = 1_500_000
+#: Bytes of words that are contracted together.
+LIMIT_BYTES = 500_000
 LONG_WORD = 512
 #: Longest chunk, in characters, that is remembered.
 LONGEST = 64
@@ -44,24 +46,6 @@ PORTION = 2000
 # fixed values: the characters of Unicode's White_Space property, which is what \s means in the pattern
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-# a row's key is word << 10 | position, so one order serves all words
-ENCODE_SQL = """
-with recursive tokens as (
-  select 0 as step, key, id from word_bytes
-  union all
-  (with pairs as (
-     select key, id, lead(id) over words as next_id, lead(key) over words as next_key from tokens window words as (order by key)
-   ), best as (
-     select key >> 10 as w, min(rank * 1024 + (key & 1023)) as pick, arg_min(next_key, rank * 1024 + (key & 1023)) as gone
-     from pairs join merges on pairs.id = merges.l and pairs.next_id = merges.r where key >> 10 = next_key >> 10 group by 1
-   )
-   select step + 1, key, case when key & 1023 = pick & 1023 then cast(pick >> 10 as integer) else id end
-   from tokens join best on key >> 10 = w where key <> gone)
-)
-select key >> 10 as w, id
-from tokens join (select key >> 10 as w, max(step) as last from tokens group by 1) on key >> 10 = w and step = last
-order by key
-"""
 # the state of one word: a row for each byte, of which those contracted away have id -1
 LONG_SQL = """
 with recursive tokens(key, id) using key (key) as (
@@ -88,7 +72,8 @@ with recursive tokens(key, id) using key (key) as (
 )
 select id from tokens where id >= 0 order by key
 """
-DECODE_SQL = "select doc, string_agg(piece, '' order by pos) as text from ids join vocabulary using (id) group by doc"
+#: Rank of what is no pair.
+NONE = np.iinfo(np.int32).max
 
 
 #: White space of any kind beside a space (or the mark that the cutting uses): such texts are cut one by one.
@@ -146,44 +131,79 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """One worker's tables, connection and remembered chunks."""
+    """One worker's tables and remembered chunks."""
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
-
         self.ranks, self.known, self.past = load_ranks(path), {}, {}
         self.plain_letters = pattern == public_tokenizers.PATTERN
         self.match = matcher(pattern)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
-        pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        merges = pa.table({name: pa.array(x, pa.int32() if name != "rank" else pa.int64()) for name, x in zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True)})
-        pieces = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])})
-        for name, table in (("merges", merges), ("vocabulary", pieces)):
-            self.db.register("given", table)
-            self.db.execute(f"create table {name} as select * from given")
-            self.db.unregister("given")
+        pairs = np.array([(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks], np.int64)
+        self.merges = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        self.pairs = self.merges[:, 0] << 32 | self.merges[:, 1]
+        self.pair_ranks = self.merges[:, 2].astype(np.int32)
+        self.of_bytes = self._rank(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256))
+        pieces = [b""] * (max(self.ranks.values()) + 1)
+        for t, r in self.ranks.items():
+            pieces[r] = t
+        self.pieces = pa.array(pieces, pa.large_binary())
+
+    @cached_property
+    def db(self):
+        import duckdb
+
+        db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        db.register("given", pa.table({"l": self.merges[:, 0].astype(np.int32), "r": self.merges[:, 1].astype(np.int32), "rank": self.merges[:, 2]}))
+        db.execute("create table merges as select * from given")
+        db.unregister("given")
+        return db
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, or NONE."""
+        pair = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.pair_ranks[at], NONE)
 
     def _contract(self, words: list[bytes]) -> dict[bytes, bytes]:
         """ids (int32, little-endian) of words that are no tokens."""
         out = {w: self._contract_long(w) for w in words if len(w) > LONG_WORD}
         rest = sorted((w for w in words if len(w) <= LONG_WORD), key=len)
-        while rest:
-            cost, n = 0, 0
-            while n < len(rest) and (n == 0 or cost < LIMIT_ROWS):
-                cost += len(rest[n]) * (len(rest[n]) + 1) // 2
-                n += 1
-            part, rest = rest[:n], rest[n:]
-            lens = np.fromiter(map(len, part), np.int32, n)
-            first = np.cumsum(lens) - lens
-            flat = self.of_byte[np.frombuffer(b"".join(part), np.uint8)]
-            self.db.register("word_bytes", pa.table({"key": np.repeat((np.arange(n, dtype=np.int64) << 10) - first, lens) + np.arange(len(flat), dtype=np.int64), "id": flat}))
-            got = self.db.execute(ENCODE_SQL).fetchnumpy()
-            self.db.unregister("word_bytes")
-            ids, at = np.asarray(got["id"], "<i4").tobytes(), 4 * np.searchsorted(got["w"], np.arange(n + 1))
-            out |= {w: ids[a:b] for w, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True)}
+        upto, at = np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest))), 0
+        while at < len(rest):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LIMIT_BYTES, "right")))
+            self._contract_together(rest[at:end], out)
+            at = end
         return out
 
+    def _contract_together(self, words: list[bytes], out: dict[bytes, bytes]) -> None:
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        number, ids = np.arange(len(words)), self.of_byte[flat]
+        rank = np.full(len(ids), NONE, np.int32)  # of the pair that begins at a place
+        rank[:-1] = self.of_bytes[flat[:-1].astype(np.int64) << 8 | flat[1:]]
+        rank[np.cumsum(lens) - 1] = NONE
+        while len(lens):
+            first = np.cumsum(lens) - lens
+            least = np.minimum.reduceat(rank, first)
+            if (done := least == NONE).any():
+                gone = np.repeat(done, lens)
+                whole, ends = ids[gone].astype("<i4").tobytes(), 4 * np.cumsum(lens[done])
+                out |= {words[w]: whole[a:b] for w, a, b in zip(number[done].tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+                ids, rank, lens, number, least = ids[~gone], rank[~gone], lens[~done], number[~done], least[~done]
+                first = np.cumsum(lens) - lens
+            if not len(lens):
+                break
+            found = np.flatnonzero(rank == np.repeat(least, lens))
+            at = found[np.searchsorted(found, first)]  # the leftmost of each word
+            ids[at] = least
+            ids, rank = np.delete(ids, at + 1), np.delete(rank, at + 1)
+            shift, lens = np.arange(len(at)), lens - 1
+            at, first = at - shift, first - shift
+            inner, after = at[at < first + lens - 1], at[at > first]
+            rank[at] = NONE
+            rank[inner] = self._rank(ids[inner], ids[inner + 1])
+            rank[after - 1] = self._rank(ids[after - 1], ids[after])
+
     def _contract_long(self, word: bytes) -> bytes:
         self.db.register("word_bytes", pa.table({"key": np.arange(len(word), dtype=np.int64), "id": self.of_byte[np.frombuffer(word, np.uint8)]}))
         ids = self.db.execute(LONG_SQL).fetchnumpy()["id"]
@@ -213,17 +233,13 @@ class Codec:
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        out = [b""] * len(ids)
-        if not lens.sum():
-            return out
-        first = np.cumsum(lens) - lens
-        flat = np.concatenate(ids)
-        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), lens), "pos": np.arange(len(flat), dtype=np.int64) - np.repeat(first, lens), "id": flat.astype(np.int32)}))
-        for doc, text in self.db.execute(DECODE_SQL).fetchall():
-            out[doc] = text.encode("latin-1")
-        self.db.unregister("ids")
-        return out
+        if not ids:
+            return []
+        pieces = self.pieces.take(pa.array(np.concatenate(ids), pa.int32()))
+        _, ends, data = pieces.buffers()
+        cuts = np.frombuffer(ends, np.int64)[np.cumsum([0, *map(len, ids)])].tolist()
+        whole = data.to_pybytes() if data else b""
+        return [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

@@ -269,6 +269,18 @@ def test_bpe_equals_tiktoken(spark, odd, empty):
     assert byte_bpe.round_trip(empty).count() == 0
 
 
+def test_short_words_and_decoding_need_no_recursion():
+    import tiktoken
+
+    tool = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(byte_bpe.RANKS), special_tokens={})
+    own, rng = byte_bpe.Codec(byte_bpe.RANKS, public_tokenizers.PATTERN), random.Random(7)
+    words = ["".join(rng.choice(some) for _ in range(rng.randint(1, 512 // len(some[-1].encode())))) for some in ("ab", "aaaab", "theandingou", "é漢", "-=") for _ in range(60)] + ["a" * 512, "b", ""]
+    ids = [np.frombuffer(x, "<i4") for x in own.encode(pa.array(words))]
+    assert [i.tolist() for i in ids] == [tool.encode_ordinary(w) for w in words]
+    assert own.decode(ids) == [w.encode() for w in words] and own.decode([]) == [] and own.decode([ids[-1]]) == [b""]
+    assert "db" not in vars(own), "only words of more than LONG_WORD bytes need the database"
+
+
 def test_ledger(spark, odd, empty, small):
     got = {r["doc_id"]: r for r in queries.QUERIES["op7_quality_ledger"](spark, SMALL).collect()}
     for i, text in small.items():
