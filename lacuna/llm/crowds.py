@@ -46,6 +46,22 @@ def spanning_forest(n: int, near) -> list[tuple[int, int]]:
     return out
 
 
+def stars(a: list, b: list) -> tuple[list, list]:
+    """The components of edges (a, b) as edges from each node to the least of its component."""
+    up: dict = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        x, y = top(x), top(y)
+        up[max(x, y)] = up[min(x, y)] = min(x, y)
+    found = [(x, top(x)) for x in up]
+    return [x for x, y in found if x != y], [y for x, y in found if x != y]
+
+
 def _settled(placed: DataFrame, relation, folder: str) -> tuple[DataFrame, DataFrame]:
     """Edges `(a, b)` within the cells of rows (key, cell, cls, what, main, large), and representatives `(key, cls, what)` of the components of large keys' cells.
 
@@ -79,8 +95,9 @@ def _settled(placed: DataFrame, relation, folder: str) -> tuple[DataFrame, DataF
         def out():
             null = [None] * len(reps)
             keys, names, whats = list(zip(*reps, strict=True)) or [()] * 3
-            empty = [None] * len(a)
-            columns = [a + null, b + null, empty + list(keys), empty + list(names), empty + list(whats)]
+            low, high = stars(a, b)  # keys of a task often hold the same classes
+            empty = [None] * len(low)
+            columns = [low + null, high + null, empty + list(keys), empty + list(names), empty + list(whats)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["a", "b", "key", "cls", "what"])
 
         a, b, reps, types = [], [], [], None
@@ -139,7 +156,7 @@ def components(members: DataFrame, relation, folder: str, cell: int = CELL, cell
     if keys.isEmpty():
         return roots
     more, _ = _settled(_rest(named, keys, named.count(), cell, cell_bytes), relation, f"{folder}/rest")
-    return roots if more.isEmpty() else connected_components(edges.unionByName(more), cut_lineage)
+    return roots if more.isEmpty() else connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), cut_lineage)
 
 
 def _apart(named: DataFrame, folder: str) -> DataFrame:

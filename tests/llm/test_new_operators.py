@@ -220,3 +220,9 @@ def test_signatures_are_not_sent_with_every_band(spark, odd, monkeypatch):
     monkeypatch.setattr(crowds, "components", lambda members, *a, **b: seen.append(members.columns) or real(members, *a, **b))
     bayes_minhash.near_duplicates(odd, new_folder(spark, "minhash")).count()
     assert seen[0] == ["key", "cls"]
+
+
+def test_edges_of_a_task_become_stars():
+    a, b = crowds.stars([b"5", b"4", b"9", b"5", b"8"], [b"4", b"1", b"5", b"4", b"7"])  # a chain, an edge twice, another component
+    assert dict(zip(a, b, strict=True)) == {b"4": b"1", b"5": b"1", b"9": b"1", b"8": b"7"} and len(a) == 4
+    assert crowds.stars([], []) == ([], [])

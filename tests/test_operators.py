@@ -137,6 +137,17 @@ def test_components_of_hot_nodes(spark):
     assert components.connected_components(spark.createDataFrame([(1, 1)], "a bigint, b bigint"), shared_checkpoint).isEmpty()
 
 
+def test_stars_need_no_round(spark):
+    cuts = []
+    cut = lambda df: cuts.append(1) or shared_checkpoint(df)
+    links = spark.createDataFrame([(k, k % 3) for k in range(3, 300)], "a bigint, b bigint")
+    got = {r["node"]: r["root"] for r in components.connected_components(links, cut).collect()}
+    assert got == {k: k % 3 for k in range(300)} and len(cuts) == 1
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 40)], "a bigint, b bigint")
+    assert {r["root"] for r in components.connected_components(chain, cut).collect()} == {0}
+
+
+
 def test_hot_node_is_not_shuffled(spark):
     links = spark.createDataFrame([(1, k) for k in range(2, 5000)] + [(k, k + 1) for k in range(6000, 6200)], "a bigint, b bigint")
     cold = components._with_least(links, components._least(links), links.count())
