@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lacuna.operators.intervals import overlap_join
 
 HAPS = ("hap1", "hap2", "hap3")
+#: phase_spans: the narrowest bins have 2^LEAST_BITS bases.
+LEAST_BITS = 13
 
 
 def snp_by_position(first: DataFrame, other: DataFrame, piece: int = 10_000) -> DataFrame:
@@ -32,6 +34,16 @@ def hap_coverage(snps: DataFrame) -> DataFrame:
     return long_snps(snps).groupBy("hap").agg(F.count(F.lit(1)).alias("n_snps"))
 
 
+def _outcome(scored: DataFrame, keys: list[str], haps: tuple[str, ...], min_snps: int) -> DataFrame:
+    """`(keys, checked, outcome)` from rows (keys, checked, one count n_<hap> per haplotype)."""
+    counts = [F.col(f"n_{h}") for h in haps]
+    top = F.greatest(*counts)
+    leaders = sum(F.when(c == top, 1).otherwise(0) for c in counts)
+    winner = F.coalesce(*[F.when(c == top, h) for c, h in zip(counts, haps, strict=True)])
+    outcome = F.when(F.col("checked") == 0, "no_snp").when(F.col("checked") < min_snps, "below_threshold").when(top == 0, "no_match").when(leaders == 1, winner).otherwise("tie")
+    return scored.withColumn("outcome", outcome).select(*keys, "checked", "outcome")
+
+
 def phase_reads(hits: DataFrame, reads: DataFrame, haps: tuple[str, ...] = HAPS, min_snps: int = 1) -> DataFrame:
     """`(read columns, checked, outcome)` from the SNPs that reads hit (read key, base, one column per haplotype).
 
@@ -41,12 +53,35 @@ def phase_reads(hits: DataFrame, reads: DataFrame, haps: tuple[str, ...] = HAPS,
     keys = reads.columns
     matches = [F.count_if(F.col("base") == F.coalesce(h, haps[0])).alias(f"n_{h}") for h in haps]
     scored = reads.join(hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("checked"), *matches), keys, "left").na.fill(0)
-    counts = [F.col(f"n_{h}") for h in haps]
-    top = F.greatest(*counts)
-    leaders = sum(F.when(c == top, 1).otherwise(0) for c in counts)
-    winner = F.coalesce(*[F.when(c == top, h) for c, h in zip(counts, haps, strict=True)])
-    outcome = F.when(F.col("checked") == 0, "no_snp").when(F.col("checked") < min_snps, "below_threshold").when(top == 0, "no_match").when(leaders == 1, winner).otherwise("tie")
-    return scored.withColumn("outcome", outcome).select(*keys, "checked", "outcome")
+    return _outcome(scored, keys, haps, min_snps)
+
+
+def phase_spans(reads: DataFrame, sites: DataFrame, base, keys: list[str], haps: tuple[str, ...] = HAPS, min_snps: int = 1) -> DataFrame:
+    """As phase_reads, from alignments (keys, chrom, ref_start, ref_end, what base() needs) and sites (chrom, pos, one column per haplotype).
+
+    base(pos) is the read's base at a site.  Every row of reads is judged by itself, and one with a null key hits
+    nothing.  Reads go through one shuffle, a row each: one of up to 2^LEAST_BITS * 16^k bases is dealt to the bin of that
+    width in which it starts, where the sites of that bin and of the next one wait in one row.  Sites are laid out only
+    for widths that reads have.
+    """
+    length = F.greatest(F.col("ref_end") - F.col("ref_start"), F.lit(1))
+    level = F.greatest(F.ceil((F.log2(length) - LEAST_BITS) / 4), F.lit(0)).cast("int")
+    width = lambda k: F.pow(F.lit(2.0), k * 4 + LEAST_BITS)
+    bin_of = lambda at, k: F.floor(at / width(k)).cast("bigint")
+    found = reads.withColumn("__level", level)
+    used = found.filter("ref_start is not null and ref_end is not null").select("__level").distinct()  # fourteen at most
+    laid = sites.filter("pos is not null").withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(13)))).join(F.broadcast(used), "__level")
+    here = bin_of(F.col("pos"), F.col("__level"))
+    near = laid.withColumn("__bin", F.explode(F.array(here, here - 1))).groupBy("chrom", "__level", "__bin").agg(F.collect_list(F.struct("pos", *haps)).alias("__sites"))
+    met = found.withColumn("__bin", bin_of(F.col("ref_start"), F.col("__level"))).join(near, ["chrom", "__level", "__bin"], "left")
+    named = F.lit(True)
+    for k in keys:
+        named &= F.col(k).isNotNull()
+    hit = F.filter("__sites", lambda s: (s["pos"] >= F.col("ref_start")) & (s["pos"] < F.col("ref_end")))
+    hits = met.withColumn("__hits", F.when(named & F.col("__sites").isNotNull(), F.transform(hit, lambda s: F.struct(base(s["pos"]).alias("base"), *[s[h].alias(h) for h in haps]))).otherwise(F.array()))
+    fits = lambda h: lambda s: s["base"] == F.coalesce(s[h], s[haps[0]])
+    scored = hits.select(*keys, F.size("__hits").cast("bigint").alias("checked"), *[F.size(F.filter("__hits", fits(h))).alias(f"n_{h}") for h in haps])
+    return _outcome(scored, keys, haps, min_snps)
 
 
 def phase_stats(phased: DataFrame) -> DataFrame:

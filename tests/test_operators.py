@@ -185,6 +185,24 @@ def test_phasing_outcomes(spark):
     assert got == {0: "tie", 1: "tie", 2: "no_match", 3: "no_snp"}
 
 
+def test_spans_are_phased_in_one_pass(spark):
+    rng = random.Random(8)
+    sites = [(f"c{rng.randrange(2)}", p, *(rng.choice([*"ACGT", None]) if k else rng.choice("ACGT") for k in range(3))) for p in (rng.randrange(600_000) for _ in range(400))]
+    reads = []
+    for n in range(300):
+        start, size = rng.choice([rng.randrange(600_000), 8192 * rng.randrange(70)]), rng.choice([-5, 0, 1, 3000, 8191, 8192, 8193, 60_000, 131_072, 131_073, 2_500_000])
+        reads.append((None if n % 50 == 7 else f"r{n}", n % 3, f"c{rng.randrange(3)}", None if n % 60 == 9 else start, start + size, n))
+    alns = spark.createDataFrame(reads, "read_name string, aln_no int, chrom string, ref_start bigint, ref_end bigint, step bigint")
+    snps = spark.createDataFrame(sites, "chrom string, pos bigint, hap1 string, hap2 string, hap3 string")
+    base = lambda pos: F.substr(F.lit("ACGT"), ((F.col("step") + pos) % 4).cast("int") + 1, F.lit(1))
+    got = phasing.phase_spans(alns, snps, base, ["read_name", "aln_no"]).collect()
+    hits = alns.join(snps, "chrom").filter("ref_start <= pos and pos < ref_end").withColumn("base", base(F.col("pos"))).select("read_name", "aln_no", "base", "hap1", "hap2", "hap3")
+    want = phasing.phase_reads(hits, alns.select("read_name", "aln_no")).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len({r["outcome"] for r in got}) == 6
+    plan = registry.QUERIES["phase_reads"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1, "alignments are numbered once"
+
+
 def test_formats_round_trip(spark, tmp_path):
     contigs = spark.createDataFrame([("c1", "ACGT" * 50), ("c2", "N" * 80)], "chrom string, seq string")
     files.write_fasta(contigs, f"{tmp_path}/f", compression="gzip")
