@@ -1,7 +1,8 @@
 """Token ids as canonical length-limited Huffman files.
 
-1. Documents are range-partitioned by id; every partition is tokenised and its ids are spooled to the shared
-   folder, one file each, together with the partition's counts per id.
+1. Documents are range-partitioned by id; every partition is tokenised, each distinct match of the tokenizer's pattern
+   once for PORTION_BYTES of text, and its ids are spooled to the shared folder, one file each, together with the
+   partition's counts per id.
 2. The global counts (one row per vocabulary entry at most) give code lengths by package-merge, at most MAX_BITS,
    and canonical codes follow from the lengths alone.
 3. Every spool file becomes one output file: header, code lengths, document table, checkpoints, bits.  The bits are
@@ -21,9 +22,9 @@ and no rows.  Columns other than doc_id and text are not looked at.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.byte_bpe import matcher, remembered
 from lacuna.llm.workspace import Replacing, arrow_schema, filesystem, new_folder, portions, release, rows_of, to_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,10 +43,12 @@ BLOCK = 1024
 LOCKSTEP = 1024
 #: Bytes of text that make one file.
 FILE_BYTES = 24 << 20
-#: Chunks, and matches of the pattern, that a worker remembers; as many again are kept until they are not used for a while.
-LIMIT_CACHE = 250_000
-#: Longest chunk, in characters, that is remembered.
-LONGEST = 64
+#: Texts, and bytes of text, that are encoded together.
+PORTION_ROWS, PORTION_BYTES = 20_000, 24 << 20
+#: Bytes of text that are cut into matches together, and what follows until a text or a word in ASCII ends.
+CUT_BYTES = 1 << 20
+#: Matches that the library takes at a time.
+WORDS = 4096
 MAGIC = b"LHUF0002"
 
 SPOOL = "part int, spool string, ids array<int>, counts array<bigint>"
@@ -159,71 +161,156 @@ class Codebook:
 # --- tokenising ----------------------------------------------------------------------------------------------
 
 
+# fixed values: the letters that byte-level vocabularies write for bytes, printable ones for themselves and the others in order from 256 on
+_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(b) for b in _printable} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _printable)}
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray, at_once: int = 500_000) -> np.ndarray:
+    """The pieces of flat, whose sizes are given, in the order of index."""
+    first, each = np.cumsum(sizes) - sizes, sizes[index]
+    upto = np.r_[0, np.cumsum(each)]
+    out = np.empty(int(upto[-1]), flat.dtype)
+    for k in range(0, len(index), at_once):
+        end = min(k + at_once, len(index))
+        some = np.arange(upto[k], upto[end])
+        some += np.repeat(first[index[k:end]] - upto[k:end], each[k:end])
+        out[upto[k] : upto[end]] = flat[some]
+    return out
+
+
+def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text starts (and the last ends), and the bytes of all."""
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets or bytes(8), np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return bounds - bounds[0], np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+
+
+OTHER, LETTER, NUMBER, SPACE = range(4)
+_between_words = re.compile(rb"[A-Za-z] (?=[A-Za-z])").search  # where a text may be cut, as the pattern ends a match there
+
+
+class Kinds:
+    """What the library's splitting takes code points for (regular expressions elsewhere may follow another version of Unicode); asked once for each 2048 in use.
+
+    Neighbours of one kind are one piece, or are white space; between a letter and a number, twice the same character tells its kind.
+    """
+
+    SAID = {(3, 1): LETTER, (1, 3): NUMBER, (1, 2, 1): OTHER, (1, 1, 1, 1): SPACE}
+
+    def __init__(self, split):
+        self.split, self.table, self.asked = split, np.full(0x110000, OTHER, np.uint8), np.zeros(0x220, bool)
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        for k in np.flatnonzero((np.bincount(points >> 11, minlength=0x220) > 0) & ~self.asked).tolist():
+            at = k << 11
+            for _, (a, b) in self.split(np.arange(at, at + 0x800, dtype="<u4").tobytes().decode("utf-32-le")):
+                self.table[at + a : at + b] = self.SAID[tuple(d - c for _, (c, d) in self.split(f"a{chr(at + b - 1) * 2}1"))]
+            self.table[32], self.asked[k] = SPACE, True  # a space goes with what follows it
+        return self.table[points]
+
+
+def match_starts(data: np.ndarray, bounds: np.ndarray, kinds: Kinds) -> np.ndarray:
+    """The bytes at which the matches of the byte-level pattern begin in the texts between bounds, which are UTF-8 one after the other.
+
+    A match is a run of one kind, with these exceptions: of white space before another run of the same text the last character is
+    apart, and goes with that run if it is a space; ' with s, t, m, d, re, ve or ll is a match where ' begins one and is a run alone.
+    """
+    if not len(data):
+        return np.empty(0, np.int64)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    n, where, kind = len(points), np.flatnonzero((data & 0xC0) != 0x80), kinds(points)
+    edge = np.zeros(n + 3, bool)  # texts begin or end before the character
+    edge[np.searchsorted(where, bounds)] = edge[n:] = True
+    run = edge.copy()
+    run[1:n] |= kind[1:] != kind[:-1]
+    starts = run.copy()
+    last = np.flatnonzero((kind == SPACE) & run[1 : n + 1] & ~edge[1 : n + 1])
+    starts[last] = True
+    starts[last[points[last] == 32] + 1] = False
+    quote = np.flatnonzero((points == 39) & starts[:n] & run[1 : n + 1] & ~edge[1 : n + 1])
+    one, two = points[quote + 1], np.where(edge[quote + 2], 0, points[np.minimum(quote + 2, n - 1)])
+    short = np.isin(one, [*b"stmd"])
+    size = np.where(short, 2, np.where(np.isin(one, [*b"rv"]) & (two == 101) | (one == 108) & (two == 108), 3, 0))
+    quote, size = quote[size > 0], size[size > 0]
+    starts[quote + 1] = False
+    starts[quote + size] = True
+    return where[np.flatnonzero(starts[:n])]
+
+
 class _Encoder:
-    """The tokenizer, with the ids of chunks that it has seen where its splitting allows chunks to go apart."""
+    """The tokenizer, for many texts at once where its splitting allows matches of the pattern to go apart.
+
+    Texts are cut into matches as arrays, Arrow numbers these, and the library's model takes the distinct ones, many in a call;
+    nothing in Python is called for each match, and nothing is remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         with open(path) as f:
             said = json.load(f)
-        split = said.get("pre_tokenizer") or {}
+        split, model = said.get("pre_tokenizer") or {}, said["model"]
         self.apart = said.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        # the tokens of a match are told by their lengths, so they have to be its bytes and nothing else
+        self.apart = self.apart and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")) and all(x in model["vocab"] for x in _BYTE_LETTERS.values()) and not said.get("truncation") and not said.get("padding")
         self.tool = Tokenizer.from_file(path)
         self.added = [t["content"] for t in said.get("added_tokens") or []]  # texts that hold one are encoded as a whole
         self.size = self.tool.get_vocab_size()
-        self.match = matcher(public_tokenizers.PATTERN)
-        self.known, self.past, self.matches, self.past_matches = {}, {}, {}, {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self.tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-
-    def _match_ids(self, match: str) -> bytes:
-        """ids of one match of the pattern, from the tokenizer's own merges."""
-        ids = self.matches.get(match)
-        if ids is None:
-            ids = self.past_matches.get(match)
-            if ids is None:
-                ids = array("I", [t.id for t in self.tool.model.tokenize(match.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
-            self.matches[match] = ids
-        return ids
-
-    def _learn(self, new: set[str]) -> None:
-        for c in new:
-            ids = self.past.get(c)
-            if ids is None:
-                whole = (c[1:] if c[:1] == " " else c).isalpha()
-                ids = self._match_ids(c) if whole else b"".join([self._match_ids(m) for m in self.match(c)])
-            self.known[c] = ids
-
-    def __call__(self, texts: pa.Array) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        if self.apart:
+            self.kinds = Kinds(self.tool.pre_tokenizer.pre_tokenize_str)
+            self.words = Tokenizer(self.tool.model)  # the same merges; takes matches, written in byte letters, with spaces between
+            self.words.pre_tokenizer = WhitespaceSplit()
+            self.n_bytes = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+            self.n_bytes[list(model["vocab"].values())] = list(map(len, model["vocab"]))
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(self.tool.encode(t, add_special_tokens=False).ids, "<u4") for t in texts]
+        return np.concatenate([np.empty(0, "<u4"), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _tokenize(self, matches: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of matches of the pattern, from the tokenizer's own merges, and how many each match has."""
+        bounds, data = _text_bytes(matches)
+        ids, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for k in range(0, len(matches), WORDS):
+            ends = bounds[k + 1 : k + WORDS + 1] - bounds[k]
+            apart = np.insert(data[bounds[k] : bounds[k] + ends[-1]], ends[:-1], 0xFF)  # UTF-8 has no byte FF
+            letters = apart.tobytes().decode("latin-1").translate(_BYTE_LETTERS | {0xFF: " "})
+            ids.append(np.array(self.words.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4"))
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids[-1]]), ends) + 1, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _by_matches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        bounds, data = _text_bytes(texts)
+        starts, at = [np.empty(0, np.int64)], 0
+        while at < len(data):
+            stop = int(bounds[np.searchsorted(bounds, min(at + CUT_BYTES, len(data)))])
+            word = _between_words(memoryview(data), at + CUT_BYTES, stop)
+            end = word.start() + 1 if word else stop
+            inner = bounds[np.searchsorted(bounds, at, "right") : np.searchsorted(bounds, end)] - at
+            starts.append(at + match_starts(data[at:end], np.r_[0, inner, end - at], self.kinds))
+            at = end
+        starts = np.concatenate(starts)
+        numbered = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.r_[starts, len(data)].astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        ids, sizes = self._tokenize(numbered.dictionary)
+        index = numbered.indices.to_numpy()
+        return _gather(ids, sizes, index), np.diff(np.r_[0, np.cumsum(sizes[index])][np.searchsorted(starts, bounds)])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (little-endian, unsigned, 32 bits) of all texts, and how many each text has."""
         if not self.apart:
             return self._plain(texts.to_pylist())
-        if len(self.known) > LIMIT_CACHE:
-            self.known, self.past = {}, self.known
-        if len(self.matches) > LIMIT_CACHE:
-            self.matches, self.past_matches = {}, self.matches
         holds = np.zeros(len(texts), bool)
         for token in self.added:
             holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         if not holds.any():
-            found = remembered(texts, self.known, self._learn)
-        else:
-            found = [b""] * len(texts)
-            for mask, ids in ((~holds, remembered(texts.filter(pa.array(~holds)), self.known, self._learn)), (holds, self._plain(texts.filter(pa.array(holds)).to_pylist()))):
-                for i, x in zip(np.flatnonzero(mask).tolist(), ids, strict=True):
-                    found[i] = x
-        for long in [c for c in self.known if len(c) > LONGEST]:
-            del self.known[long]
-        for long in [m for m in self.matches if len(m) > LONGEST]:
-            del self.matches[long]
-        return found
-
-
-# fixed values: the letters that byte-level vocabularies write for bytes, printable ones for themselves and the others in order from 256 on
-_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_LETTERS = {b: chr(b) for b in _printable} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _printable)}
+            return self._by_matches(texts)
+        parts = self._by_matches(texts.filter(pa.array(~holds))), self._plain(texts.filter(pa.array(holds)).to_pylist())
+        ids, sizes = map(np.concatenate, zip(*parts, strict=True))
+        place = np.empty(len(texts), np.int64)
+        place[np.r_[np.flatnonzero(~holds), np.flatnonzero(holds)]] = np.arange(len(texts))
+        return _gather(ids, sizes, place), sizes[place]
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -301,21 +388,21 @@ def _spool(docs: DataFrame, folder: str, tokenizer: str, end_id: int, files: int
 
         part, schema, tool = TaskContext.get().partitionId(), arrow_schema(SPOOL), encoder(tokenizer)
         kind = "<u2" if max(tool.size, end_id + 1) <= 1 << 16 else "<u4"
-        counts, doc_ids, lengths, body, end = np.zeros(max(tool.size, end_id + 1), np.int64), [], [], [], np.array([end_id], "<u4").tobytes()
+        counts, doc_ids, lengths, body = np.zeros(max(tool.size, end_id + 1), np.int64), [], [], []
         squeeze = zstandard.ZstdCompressor(level=1).compressobj()
         for batch in batches:
-            for k, n in portions(batch.column(1), 4000, 8 << 20):
+            for k, n in portions(batch.column(1), PORTION_ROWS, PORTION_BYTES):
                 some = batch.slice(k, n)
-                found = [x + end for x in tool(some.column(1).fill_null(""))]
-                flat = np.frombuffer(b"".join(found), "<u4")
+                flat, sizes = tool(some.column(1).fill_null(""))
+                flat = np.insert(flat, np.cumsum(sizes), end_id)
                 counts += np.bincount(flat, minlength=len(counts))
                 doc_ids += some.column(0).to_pylist()
-                lengths += [len(x) // 4 for x in found]
+                lengths.append(sizes + 1)
                 body.append(squeeze.compress(flat.astype(kind).tobytes()))
         if doc_ids:
             body.append(squeeze.flush())
             uri, used = f"{folder}/spool/part-{part:06d}", np.flatnonzero(counts)
-            _pack(uri, doc_ids, np.array(lengths, np.int64), body, kind.encode())
+            _pack(uri, doc_ids, np.concatenate(lengths), body, kind.encode())
             yield pa.RecordBatch.from_pylist([{"part": part, "spool": uri, "ids": used, "counts": counts[used]}], schema=schema)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))

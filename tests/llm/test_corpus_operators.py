@@ -83,6 +83,34 @@ def test_tokens_of_random_texts_are_the_library_s(spark, monkeypatch):
         before += len(ids)
 
 
+def test_matches_are_cut_and_tokenised_without_a_call_for_each(monkeypatch):
+    from cProfile import Profile
+
+    monkeypatch.setattr(huffman_tokens, "CUT_BYTES", 40)  # so that texts are cut within
+    tool, match, rng = huffman_tokens.encoder(huffman_tokens.TOKENIZER), byte_bpe.matcher(public_tokenizers.PATTERN), random.Random(5)
+    letters = [*"ab  \n\t'sretß1_9.!😀漢٣\x1c\x85\u2028\u3000\xa0\0", "'ll", "'rest", " the", "  ", "it's", " word word"]
+    for n in (0, 1, 7, 300):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 9, 60]))) for _ in range(n)]
+        bounds, data = huffman_tokens._text_bytes(pa.array(["it's", *texts, "'s"], pa.string()).slice(1, n))
+        cut = [len(m.encode()) for t in texts for m in match(t)]
+        assert huffman_tokens.match_starts(data, bounds, tool.kinds).tolist() == [sum(cut[:k]) for k in range(len(cut))]
+        ids, sizes = tool(pa.array(texts, pa.string()))
+        want = [tool.tool.encode(t, add_special_tokens=False).ids for t in texts]  # the library's splitting
+        assert (ids.tolist(), sizes.tolist()) == (sum(want, []), list(map(len, want)))
+    monkeypatch.undo()
+    some = [*range(0x3100), *range(0xA480, 0xAC00), *range(0xF900, 0x12000), 0x1C, 0x1F600, 0x10FFFF]  # all kinds, also characters that are letters in later versions of Unicode only
+    texts = [f"a{chr(c)}{chr(c)}1 {chr(c)}b\n{chr(c)}" for c in some]
+    cut = [b - a for t in texts for _, (a, b) in tool.tool.pre_tokenizer.pre_tokenize_str(t)]
+    bounds, data = huffman_tokens._text_bytes(pa.array(texts))
+    chars = np.flatnonzero((data & 0xC0) != 0x80)
+    assert (huffman_tokens.match_starts(data, bounds, tool.kinds) == chars[np.r_[0, np.cumsum(cut)[:-1]]]).all()
+    words, calls = " ".join("".join(rng.choices("abcdeinorst", k=9)) for _ in range(50_000)), Profile()
+    calls.enable()
+    tool(pa.array([words]))
+    calls.disable()
+    assert sum(x.callcount for x in calls.getstats()) < 5000
+
+
 def test_language_model(spark, odd, empty, small):
     got = {r["doc_id"]: r for r in queries.QUERIES["op2_log_bilinear_lm"](spark, SMALL).collect()}
     cut = lambda t: [*(t or "").encode().lower().split(), b"\n"]
