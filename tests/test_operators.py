@@ -492,3 +492,28 @@ def test_spanning_reads_meet_gaps_in_one_join(spark):
         assert len(re.findall(r"(?:SortMergeJoin|HashJoin) \[", df._jdf.queryExecution().executedPlan().toString())) == 1
     assert sorted(tuple(r) for r in spans.collect()) == [("g", "a", "hifi", 4900, "direct"), ("g", "b", None, 900, "linked")]
     assert reads.bundle_counts(aln, found).first().asDict() == {"gap_id": "g", "hifi_spanning": 1, "hifi_left": 0, "hifi_right": 0, "ont_spanning": 0, "ont_left": 0, "ont_right": 1}
+
+
+def test_few_sequences_are_voted_on_where_they_differ():
+    """voted counts equal sequences together and is the vote of each place, of any lengths, ties to the first."""
+    rng = random.Random(4)
+    for k in range(200):
+        truth = "".join(rng.choices("ACGT", k=rng.randrange(30)))
+        seqs = [truth[: rng.randrange(len(truth) + 1)] if rng.random() < 0.3 else "".join(rng.choice("AC") if rng.random() < 0.2 else c for c in truth) for _ in range(rng.randrange(1, 9))]
+        want = ""
+        for i in range(max(map(len, seqs))):
+            column = [s[i] for s in seqs if len(s) > i]
+            want += max(dict.fromkeys(column), key=column.count)
+        assert sequence.voted([s.encode() for s in seqs], (7, 1 << 16)[k % 2]) == want.encode()
+
+
+def test_direct_consensus_shuffles_reads_once(spark):
+    """Gaps of few reads take one exchange with sequences; larger ones give the same by joins."""
+    rows = [(g, r, "ACGTACGT" if r % 3 else "ACGAACGT" + "T" * (r % 2)) for g in range(5) for r in range(g + 1)]
+    few = spark.createDataFrame(rows, "gap_id long, read_no long, seq string")
+    out = sequence.direct_consensus(few)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    many = spark.createDataFrame([(9, r, "ACGTACGT" if r % 3 else "ACGAACGT") for r in range(100)], few.schema)
+    got = {r["gap_id"]: (r["n_reads"], r["seq"]) for r in sequence.direct_consensus(few.union(many)).collect()}
+    assert got == {r["gap_id"]: (r["n_reads"], r["seq"]) for r in out.collect()} | {9: (100, "ACGTACGT")}
+    assert got[3] == (4, "ACGTACGTT") and got[0] == (1, "ACGAACGT")
