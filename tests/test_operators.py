@@ -516,4 +516,4 @@ def test_direct_consensus_shuffles_reads_once(spark):
     many = spark.createDataFrame([(9, r, "ACGTACGT" if r % 3 else "ACGAACGT") for r in range(100)], few.schema)
     got = {r["gap_id"]: (r["n_reads"], r["seq"]) for r in sequence.direct_consensus(few.union(many)).collect()}
     assert got == {r["gap_id"]: (r["n_reads"], r["seq"]) for r in out.collect()} | {9: (100, "ACGTACGT")}
-    assert got[3] == (4, "ACGTACGTT") and got[0] == (1, "ACGAACGT")
+    assert got[3] == (4, "ACGAACGTT") and got[0] == (1, "ACGAACGT")
