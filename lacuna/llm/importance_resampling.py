@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.workspace import new_folder, portions, to_table
+from lacuna.llm.workspace import new_folder, portions, rows_at_once, to_table
 
 BUCKETS = 10_000
 ORDER = 2
 MIN_WORDS = 20
 PERCENT = 25
 SEED = 7
-BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 20
+#: Blocks that are in memory at once, and bytes of a group of the matrix's rows on disk.
+BLOCKS, GROUP_BYTES = 8, 8 << 20
 _word = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -72,7 +74,7 @@ def count_matrix(docs: DataFrame, folder: str, text: str = "text", id_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     blocks = narrow.mapInArrow(run, f"ids array<{kind}>, n_words array<bigint>, n_features array<bigint>, starts array<bigint>, buckets binary, counts binary")
-    return to_table(blocks, folder, compression="zstd")
+    return to_table(blocks, folder, compression="zstd", group_bytes=GROUP_BYTES)
 
 
 def _entries(batch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +94,9 @@ def column_sums(blocks: DataFrame, n_buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "n"])
 
     out = np.zeros(n_buckets, np.int64)
-    for bucket, n in blocks.select("buckets", "counts").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n")).collect():
+    with rows_at_once(blocks.sparkSession, BLOCKS):
+        sums = blocks.select("buckets", "counts").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n")).collect()
+    for bucket, n in sums:
         out[bucket] = n
     return out
 
@@ -143,7 +147,9 @@ def resampled(docs: DataFrame, target: DataFrame, folder: str, percent: int = PE
     """`(id, n_words, n_features, weight, score, rank)` of every row of docs; the matrices are tables below folder."""
     matrix = count_matrix(docs, f"{folder}/corpus", text, id_col)
     wanted = count_matrix(target.select(F.lit(0).alias("id"), F.col(target_text).alias("text")), f"{folder}/target", "text", "id")
-    weighted = to_table(weights(matrix, gains_of(column_sums(matrix), column_sums(wanted))), f"{folder}/weights")
+    gains = gains_of(column_sums(matrix), column_sums(wanted))
+    with rows_at_once(matrix.sparkSession, BLOCKS):
+        weighted = to_table(weights(matrix, gains), f"{folder}/weights")
     return drawn(weighted, percent, min_words, seed).withColumnRenamed("id", id_col)
 
 

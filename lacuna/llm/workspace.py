@@ -59,15 +59,28 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, an action hands so many rows at a time to Python at most: for rows that are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A table of its own in the shared folder; unlike a checkpoint's, its shuffles are dropped."""
     return to_table(df, new_folder(df.sparkSession, "cut"))
 
 
-def to_table(df: DataFrame, folder: str, compression: str | None = None) -> DataFrame:
-    """Write as Parquet in the shared folder and read it back."""
+def to_table(df: DataFrame, folder: str, compression: str | None = None, group_bytes: int | None = None) -> DataFrame:
+    """Write as Parquet in the shared folder and read it back; group_bytes: what a writer holds, and a reader has at once of large rows (128 MB by default)."""
     with shuffles_dropped(df.sparkSession):
-        df.write.mode("overwrite").parquet(folder, compression=compression)
+        out = df.write.mode("overwrite")
+        (out if group_bytes is None else out.option("parquet.block.size", group_bytes)).parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -9,6 +9,7 @@ from collections import Counter
 from math import floor, log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,18 @@ def test_edges_of_a_task_become_stars():
     a, b = crowds.stars([b"5", b"4", b"9", b"5", b"8"], [b"4", b"1", b"5", b"4", b"7"])  # a chain, an edge twice, another component
     assert dict(zip(a, b, strict=True)) == {b"4": b"1", b"5": b"1", b"9": b"1", b"8": b"7"} and len(a) == 4
     assert crowds.stars([], []) == ([], [])
+
+
+def test_large_rows_reach_python_few_at_a_time(spark):
+    """Within rows_at_once a batch has so many rows at most; the setting is put back."""
+    from lacuna.llm import workspace
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, df = spark.conf.get(name, None), spark.range(50, numPartitions=1)
+    with workspace.rows_at_once(spark, importance_resampling.BLOCKS):
+        got = [r["n"] for r in df.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 50 and max(got) <= importance_resampling.BLOCKS and spark.conf.get(name, None) == before
